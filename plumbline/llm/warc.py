@@ -5,12 +5,13 @@ that keeps its payload. The HTTP message is framed in chunks; messages longer
 than a segment are cut into a first record and ``continuation`` records that
 name its id, their number and, on the last, the total length. One row is one
 record and the writer's line separator is the record separator, so that the
-files are plain WARC files and no task holds more than one record.
+files are plain WARC files, packed by gzip, and no task holds more than one
+record.
 
 Reading: the archives are split at the separator and the version line that
 follows it. The writer's chunk borders are placed so that no block holds the
-version line, hence files are splittable and a task never holds more than one
-record. Continuations are grouped by the origin's id, put in order of their
+version line, hence a task streams through its file and never holds more than
+one record. Continuations are grouped by the origin's id, put in order of their
 numbers, checked for gaps and for the total length, and their chunks are
 decoded. A broken message is returned with ``error`` set, never dropped.
 
@@ -110,7 +111,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_CHARS, least: int = LEAST_BYTES) -> None:
     """Writes every page as WARC records to the folder ``path``."""
     marked = with_revisits(pages, least).withColumn("uid", F.expr("uuid()"))
-    marked.mapInArrow(_spell(segment), "record string").write.option("lineSep", BREAK).text(path)
+    marked.mapInArrow(_spell(segment), "record string").write.option("lineSep", BREAK).option("compression", "gzip").text(path)
 
 
 PARSED = "uid string, kind string, page_id long, refers_to long, digest string, origin string, number int, total long, block binary, error string"
