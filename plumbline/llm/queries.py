@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, warc
+from . import bpe, chat, decontaminate, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_pii": pii.op3_pii,
     "op5_warc": warc.op5_warc,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES = {"op2_chat_formatting": chat.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES = {"op2_chat_formatting": chat.ORACLE, "op3_pii": pii.ORACLE, "op5_warc": warc.ORACLE}

@@ -26,3 +26,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column, rows: int) -> DataFrame:
+    """(text, label) of at most ``rows`` labelled documents for which ``kept`` holds: those of the lowest id hashes, so the same ones each time.
+
+    What is broadcast are ``rows`` ids at most.
+    """
+    picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & kept).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
+    picked = picked.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
+    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")

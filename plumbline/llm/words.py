@@ -62,6 +62,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     text: np.ndarray
+    sums: np.ndarray
 
     def __len__(self) -> int:
         return len(self.rows) - 1
@@ -78,6 +79,12 @@ class Words:
             out += self.hashes[j : j + n]
         return mix(out + np.uint64(k + 1000 * lane))
 
+    def heads(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first n bytes of the words that are longer, and which words these are."""
+        long = np.flatnonzero(self.ends - self.starts > n)
+        at = self.starts[long]
+        return mix((self.sums[at + n] - self.sums[at]) * _power("down", len(self.sums))[at] + np.uint64(n)), long
+
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.rows))
 
@@ -116,7 +123,7 @@ def _hash(first: int, raw: np.ndarray, bounds: np.ndarray, fold: np.ndarray) ->
     n = len(text)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(first, np.zeros(len(bounds), np.int64), np.zeros(0, np.uint64), none, none, raw)
+        return Words(first, np.zeros(len(bounds), np.int64), np.zeros(0, np.uint64), none, none, raw, np.zeros(1, np.uint64))
     solid = ~_SPACE[text]
     begin, stop = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -129,4 +136,4 @@ def _hash(first: int, raw: np.ndarray, bounds: np.ndarray, fold: np.ndarray) ->
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[text] * _power("up", n), out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _power("down", n)[starts])
-    return Words(first, np.searchsorted(starts, bounds), hashes, starts, ends, raw)
+    return Words(first, np.searchsorted(starts, bounds), hashes, starts, ends, raw, sums)
