@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, pii, quality, toxicity, warc
+from . import bpe, chat, decontaminate, fingerprint, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_pii": pii.op3_pii,
     "op5_warc": warc.op5_warc,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_quality": quality.op10_quality,
