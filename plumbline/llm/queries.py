@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fingerprint, pii, quality, toxicity, warc
+from . import bpe, chat, decontaminate, fingerprint, pii, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_pii": pii.op3_pii,
+    "op4_substrings": substrings.op4_substrings,
     "op5_warc": warc.op5_warc,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES = {"op2_chat_formatting": chat.ORACLE, "op3_pii": pii.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES = {"op2_chat_formatting": chat.ORACLE, "op3_pii": pii.ORACLE, "op4_substrings": substrings.ORACLE, "op5_warc": warc.ORACLE}
