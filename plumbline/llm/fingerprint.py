@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import read, small_side
 from .words import LOWER, words_of
 
 K, SHINGLE, BYTES = 128, 5, 6
-PIECE, GROUP, BROADCAST_ROWS = 512, 1 << 15, 500_000
+PIECE, GROUP = 512, 1 << 15
 NO_ID = -(1 << 60)
 
 
@@ -129,8 +129,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     placed = own.withColumn("piece", F.coalesce(F.floor(F.col("doc_id") / PIECE), F.lit(NO_ID)))
     firsts = placed.groupBy("piece").agg(F.min("doc_id").alias("first"))
     wanted = firsts.join(_successors(firsts).select(F.col("piece").alias("borrower"), F.col("follower").alias("piece")), "piece")
-    wanted = F.broadcast(wanted) if firsts.count() <= BROADCAST_ROWS else wanted
-    lent = placed.join(wanted.withColumnRenamed("piece", "home"), (F.col("piece") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    lent = placed.join(small_side(wanted).withColumnRenamed("piece", "home"), (F.col("piece") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("first")))
     lent = lent.groupBy(F.col("borrower").alias("piece")).agg(F.min(F.struct("doc_id", "text")).alias("head")).select("piece", F.lit(True).alias("borrowed"), "head.doc_id", "head.text")
     return placed.select("piece", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(lent)
 

@@ -23,6 +23,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, computed once, to be broadcast if it has at most ``rows`` rows (of ids and hashes), else left to a shuffle join."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))

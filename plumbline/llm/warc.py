@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read, shared_folder
+from .tables import read, shared_folder, small_side
 
 VERSION = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
@@ -105,7 +105,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     own = own.withColumn("same", F.concat(F.sha2("payload", 256), F.octet_length("payload").cast("string")))
     keeper = own.where(F.octet_length("payload") >= least).groupBy("same").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
     other = ~F.coalesce(F.col("page_id") == F.col("keeper"), F.lit(False))
-    return own.join(keeper, "same", "left").select("page_id", "url", "payload", F.when(F.col("keeper").isNotNull() & other, F.col("keeper")).alias("refers_to"))
+    return own.join(small_side(keeper), "same", "left").select("page_id", "url", "payload", F.when(F.col("keeper").isNotNull() & other, F.col("keeper")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_CHARS, least: int = LEAST_BYTES) -> None:
