@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fingerprint, pii, quality, substrings, toxicity, warc
+from . import bpe, chat, decontaminate, fingerprint, near_dedup, pii, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -12,8 +12,9 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES = {"op2_chat_formatting": chat.ORACLE, "op3_pii": pii.ORACLE, "op4_substrings": substrings.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES = {"op2_chat_formatting": chat.ORACLE, "op3_pii": pii.ORACLE, "op4_substrings": substrings.ORACLE, "op8_near_dedup": near_dedup.ORACLE, "op5_warc": warc.ORACLE}
