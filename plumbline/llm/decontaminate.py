@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import read, small_side
 from .words import LOOSE, words_of
 
 SEED, COMMON, LEAST, BLOCK_WORDS = 4, 4.0, 0.4, 2_000_000
@@ -186,8 +186,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, common: floa
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without those in which an item leaks. Rows without an id stay: nothing can be held against them by id."""
-    leaks = find_leaks(docs, items, **options).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    leaks = find_leaks(docs, items, **options).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(small_side(leaks), F.col("doc_id") == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ Candidates are looked at in two rounds, so that no group is paired with itself:
    region. Links that hold on the full sets join the sets into components. A
    group of thousands of near copies becomes one component in this way.
 2. Regions that still hold several components are searched exactly: every set
-   meets all sets of other components there, in blocks of bounded size, and
-   numpy compares the signatures. Depth adapts to the region: one that is larger
+   meets all sets of other components there, in blocks of bounded size; numpy
+   compares the signatures, then the sets, and only links leave the task. Depth adapts to the region: one that is larger
    than a block is first split by the size of the sets, as far apart as sets of
    the wanted similarity can be, and blocks meet each other in tasks of their own.
 
@@ -36,7 +36,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,36 +135,73 @@ def neighbours(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     return ordered.select(F.concat(F.col("tree").cast("string").cast("binary"), F.lit(b":"), "prefix").alias("region"), "rep", "sign", "n").mapInArrow(_beside, "a long, b long").distinct()
 
 
-def _blocked(group: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs of different components between the two blocks of a group (or within its one block)."""
-    sign = np.frombuffer(b"".join(group["sign"]), ">u2").reshape(-1, HASHES).astype(np.uint16)
-    rep, part, n, block = (group[c].to_numpy() for c in ("rep", "component", "n", "block"))
-    left = np.flatnonzero(block == block.min())
-    right = np.flatnonzero(block == block.max())
+def _meet(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of different components between the two blocks of a group (or within its one block) that are alike by their 32-bit sets."""
+    rep, part, n, block = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
+    tree, signs = rows[0][5], b"".join(r[6] for r in rows)
+    sign, quads = np.frombuffer(signs, ">u2").reshape(-1, HASHES), np.frombuffer(signs, ">u8").reshape(-1, TREES)
+    sets = [np.frombuffer(r[7], np.uint32) for r in rows]
+    right, one = np.flatnonzero(block == block.max()), block.min() == block.max()
     out = []
-    for i in left:
-        others = right[(part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= 75 * np.maximum(n[right], n[i]))]
-        hit = others[_agree(sign[others], sign[i]) >= LIKELY] if len(others) else others
-        out.append(np.stack([np.minimum(rep[i], rep[hit]), np.maximum(rep[i], rep[hit])], 1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    for i in np.flatnonzero(block == block.min()).tolist():
+        to = right[right > i] if one else right
+        to = to[(part[to] != part[i]) & (100 * np.minimum(n[to], n[i]) >= 75 * np.maximum(n[to], n[i]))]
+        if len(to):
+            to = to[_agree(sign[to], sign[i]) >= LIKELY]
+        if len(to):
+            to = to[(quads[to] == quads[i]).argmax(1) == tree]  # a pair is looked at in the first tree that brings it together
+        for j in to.tolist():
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))  # never too few
+            if 100 * both >= 75 * (n[i] + n[j] - both):
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return out
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each group of rows that lie together; a group has two blocks at most."""
+    group: list[tuple] = []
+
+    def made(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        pairs = []
+        for lo in range(0, batch.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                if group and group[0][0] != row[0]:
+                    pairs += _meet(group) if len(group) > 1 else []
+                    group = []
+                group.append(row)
+        yield made(pairs)
+    if len(group) > 1:
+        yield made(_meet(group))
+
+
+def _narrow_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in _sets(part.column(1))], pa.binary())], ["rep", "set"])
 
 
-def remaining(placed: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """Candidate pairs of round 2: those of different components, in regions that hold several."""
+def remaining(placed: DataFrame, nodes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs of round 2: those of different components that are alike, in regions that hold several components."""
     known = placed.join(components, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = known.groupBy(REGION).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows")).where("least < most").select(*REGION, "rows")
     rows = known.join(mixed, REGION).join(nodes.select("rep", "sign", "n"), "rep")
     # a region of several blocks is split by set size first: bands of factor 4/3, and a set meets its own band and the next
     band = F.when(F.col("rows") <= BLOCK, F.array(F.lit(0))).otherwise(_bands(F.col("n")))
-    banded = rows.withColumn("band", F.explode(band))
+    banded = checkpointed(rows.withColumn("band", F.explode(band)))
     many = banded.groupBy(*REGION, "band").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(*REGION, "band", "held")
     sized = banded.join(many, [*REGION, "band"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    groups = dealt.select(*REGION, "band", "low", "high", "rep", "component", "n", "sign", "block").groupBy(*REGION, "band", "low", "high")
-    return groups.applyInPandas(_blocked, "a long, b long").distinct()
+    meeting = F.struct("tree", "prefix", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    wanted = small_side(banded.select(F.col("rep").alias("doc_id")).distinct())
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").mapInArrow(_narrow_sets, "rep long, set binary")
+    dealt = dealt.withColumn("meeting", F.xxhash64(meeting)).join(sets, "rep").select("meeting", "rep", "component", "n", "block", "tree", "sign", "set", meeting.alias("_meeting"))
+    grouped = dealt.repartition("meeting").sortWithinPartitions("meeting", "_meeting")
+    return grouped.select(F.to_json("_meeting").alias("meeting"), "rep", "component", "n", "block", "tree", "sign", "set").mapInArrow(_meetings, "a long, b long").distinct()
 
 
 def _bands(n):
@@ -230,7 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = checkpointed(regions(nodes))
     links = checkpointed(confirmed(checkpointed(neighbours(placed, nodes)), docs).unionByName(repeated))
     first = connected(links)
-    more = checkpointed(confirmed(checkpointed(remaining(placed, nodes, first)), docs))
+    more = checkpointed(confirmed(checkpointed(remaining(placed, nodes, first, docs)), docs))
     components = connected(links.unionByName(more)) if more.limit(1).count() else first
     told = owned.join(components, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(told, "doc_id", "left")
