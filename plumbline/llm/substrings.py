@@ -12,7 +12,7 @@ prefixes whose length varies with what shares them:
    map-side (a group is a pair of extremes, so its size doesn't matter); a prefix
    that only one text has is a leaf and is dropped.
 2. Where a short prefix is shared, its suffixes are partitioned further by the
-   full ``DEPTH`` words, with 128 bits of hash, and again summed to the smallest
+   full ``DEPTH`` words, with 96 bits of hash, and again summed to the smallest
    id of each node.
 3. Each document gets the nodes it has that also start in a smaller id, marks
    the words they cover and keeps the others.
@@ -36,13 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import read, small_side
 from .words import Words, binary, words_of
 
-DEPTH, SHORT = 13, 5
+DEPTH, SHORT = 13, 4
 
 
 def prefixes(w: Words, depth: int = DEPTH, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +60,9 @@ def prefixes(w: Words, depth: int = DEPTH, short: int = SHORT) -> tuple[np.ndarr
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(prefix, doc_id, same): the chosen suffixes of each row, each once; ``same`` is the row's column 2."""
+    """(prefix, doc_id): the chosen suffixes of each row, each once."""
     for batch in batches:
-        ids, same = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for w in words_of(batch.column(1)):
             at, least = prefixes(w)
             row = w.row_of()[at]
@@ -69,10 +70,19 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, least = row[order], least[order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
-            row = row[new] + w.first
-            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(ids[row]), pa.array(same[row])], ["prefix", "doc_id", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(ids[row[new] + w.first])], ["prefix", "doc_id"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, packed): texts as they travel."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(x.as_py()) for x in binary(batch.column(1))], pa.binary())], ["doc_id", "packed"])
+
+
+def _unpacked(column) -> pa.Array:
+    open_up = zstandard.ZstdDecompressor().decompress
+    return pa.array([open_up(x) if x else b"" for x in column.to_pylist()], pa.large_binary())
 
 
 
@@ -87,10 +97,10 @@ def _among(row: np.ndarray, value: np.ndarray, lists: list) -> np.ndarray:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, lane, doc_id): the windows whose short prefix is shared, with two hashes of all their words."""
+    """(node, lane, doc_id): the windows whose short prefix is shared, with 96 bits of hash of all their words."""
     for batch in batches:
         ids, shared = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-        for w in words_of(batch.column(1)):
+        for w in words_of(_unpacked(batch.column(1))):
             at, least = prefixes(w)
             row = w.row_of()[at]
             lists = [None if x.as_py() is None else np.asarray(x.values, np.int64) for x in shared.slice(w.first, len(w))]
@@ -101,60 +111,63 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, node, lane = row[order], node[order], lane[order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (node[1:] != node[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(node[new].view(np.int64)), pa.array(lane[new].view(np.int64)), pa.array(ids[row[new] + w.first])], ["node", "lane", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[new].view(np.int64)), pa.array((lane[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[row[new] + w.first])], ["node", "lane", "doc_id"])
 
 
 CUT = "doc_id long, n_words long, n_removed long, n_runs long, kept string"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document without the words that its repeated nodes cover; all of them, if it is a copy."""
-    for batch in batches:
-        out = []
-        copies, marks, texts = batch.column(2).to_pylist(), batch.column(3), binary(batch.column(1))
-        for w in words_of(batch.column(1)):
-            lists = [None if x.as_py() is None else np.asarray(x.values, np.int64) for x in marks.slice(w.first, len(w))]
-            at = np.flatnonzero(w.inside(DEPTH))
-            row = w.row_of()[at]
-            copied = np.array([c is True for c in copies[w.first : w.first + len(w)]], bool)
-            hit = copied[row] if len(row) else np.zeros(0, bool)
-            if any(x is not None for x in lists):
-                hit = hit | _among(row, w.grams(DEPTH)[at].view(np.int64), lists)
-            covered = np.zeros(len(w.hashes) + 1, np.int32)
-            np.add.at(covered, at[hit], 1)
-            np.add.at(covered, at[hit] + DEPTH, -1)
-            gone = np.cumsum(covered[:-1]) > 0
-            for r in range(len(w)):
-                a, b = int(w.rows[r]), int(w.rows[r + 1])
-                words, cut = texts[w.first + r].as_py().split(), gone[a:b]
-                removed = int(cut.sum())
-                runs = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
-                kept = words if not removed else [x for x, c in zip(words, cut.tolist()) if not c]
-                out.append((b - a, removed, runs, b" ".join(kept).decode()))
-        columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], [x.split()[0] for x in CUT.split(", ")])
+def _cut(copied: bool, packed: bool):
+    """Each document without the words that its repeated nodes (column 2) cover; without all of them, if it is a copy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            texts = _unpacked(batch.column(1)) if packed else binary(batch.column(1))
+            marks = batch.column(2) if packed else pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            for w in words_of(texts):
+                lists = [None if x.as_py() is None else np.asarray(x.values, np.int64) for x in marks.slice(w.first, len(w))]
+                at = np.flatnonzero(w.inside(DEPTH))
+                hit = np.full(len(at), copied)
+                if any(x is not None for x in lists):
+                    hit |= _among(w.row_of()[at], w.grams(DEPTH)[at].view(np.int64), lists)
+                covered = np.zeros(len(w.hashes) + 1, np.int32)
+                np.add.at(covered, at[hit], 1)
+                np.add.at(covered, at[hit] + DEPTH, -1)
+                gone = np.cumsum(covered[:-1]) > 0
+                for r in range(len(w)):
+                    a, b = int(w.rows[r]), int(w.rows[r + 1])
+                    words, cut = texts[w.first + r].as_py().split(), gone[a:b]
+                    removed = int(cut.sum())
+                    runs = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
+                    kept = words if not removed else [x for x, c in zip(words, cut.tolist()) if not c]
+                    out.append((b - a, removed, runs, b" ".join(kept).decode()))
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], [x.split()[0] for x in CUT.split(", ")])
+
+    return run
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """Per row of docs: how many words it has, how many repeat from a smaller id, in how many maximal runs, and the text of the others."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = own.where(F.col("doc_id").isNotNull())
-    digests = known.select("doc_id", F.sha2("text", 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = digests.join(firsts, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
-
-    suffixes = known.select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(_suffixes, "prefix long, doc_id long, same long")
-    shared = suffixes.groupBy("prefix").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("prefix")
-    branches = suffixes.select("prefix", "doc_id").join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("shared"))
-
-    told = branches.join(copies, "doc_id", "full")
-    copied = F.coalesce(F.array_contains("copies", F.when(F.col("copies").isNotNull(), F.sha2("text", 256))), F.lit(False))
-    base = own.join(told, "doc_id", "left").withColumn("copied", copied).drop("copies")
-    inner = base.where(F.col("shared").isNotNull() & ~F.col("copied"))
-    nodes = inner.select("doc_id", "text", "shared").mapInArrow(_nodes, "node long, lane long, doc_id long")
+    known = own.where(F.col("doc_id").isNotNull()).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    copies = small_side(known.select("doc_id", "digest").join(firsts, "digest").where("doc_id > first").select("doc_id", "digest").distinct())
+    fresh = known.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
+    copied = known.join(copies, ["doc_id", "digest"], "left_semi").select("doc_id", "text")
+
+    suffixes = fresh.mapInArrow(_suffixes, "prefix long, doc_id long")
+    shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("prefix")
+    branches = suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("shared"))
+
+    base = fresh.mapInArrow(_pack, "doc_id long, packed binary").join(branches, "doc_id", "left")
+    nodes = base.where(F.col("shared").isNotNull()).mapInArrow(_nodes, "node long, lane int, doc_id long")
     least = nodes.groupBy("node", "lane").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     marks = nodes.join(least, ["node", "lane"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("node").alias("marks"))
-    return base.join(marks, "doc_id", "left").select("doc_id", "text", "copied", "marks").mapInArrow(_cut, CUT)
+    kept = base.join(marks, "doc_id", "left").select("doc_id", "packed", "marks").mapInArrow(_cut(False, True), CUT)
+    alone = own.where(F.col("doc_id").isNull()).mapInArrow(_cut(False, False), CUT)
+    return kept.unionByName(copied.mapInArrow(_cut(True, False), CUT)).unionByName(alone)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,8 @@ class Words:
 def binary(column) -> pa.Array:
     """A text column as large binary, nulls as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return column.cast(pa.large_binary()).fill_null(b"")
     return column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
 
 
