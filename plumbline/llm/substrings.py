@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .tables import read, small_side
 from .words import Words, binary, words_of
 
-DEPTH, SHORT = 13, 4
+DEPTH, SHORT = 13, 5
 
 
 def prefixes(w: Words, depth: int = DEPTH, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +158,15 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     copied = known.join(copies, ["doc_id", "digest"], "left_semi").select("doc_id", "text")
 
     suffixes = fresh.mapInArrow(_suffixes, "prefix long, doc_id long")
-    shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("prefix")
-    branches = suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("shared"))
+    shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("prefix", "a")
+    met = suffixes.join(shared, "prefix").groupBy("doc_id")
+    branches = met.agg(F.collect_set("prefix").alias("shared"), F.collect_set(F.when(F.col("doc_id") > F.col("a"), F.col("prefix"))).alias("later"))
 
     base = fresh.mapInArrow(_pack, "doc_id long, packed binary").join(branches, "doc_id", "left")
-    nodes = base.where(F.col("shared").isNotNull()).mapInArrow(_nodes, "node long, lane int, doc_id long")
-    least = nodes.groupBy("node", "lane").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    marks = nodes.join(least, ["node", "lane"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("node").alias("marks"))
+    # all holders of a node tell its smallest id; only those that are not the smallest of its prefix have to ask for it
+    tell, ask = (base.where(F.size(c) > 0).select("doc_id", "packed", c).mapInArrow(_nodes, "node long, lane int, doc_id long") for c in ("shared", "later"))
+    least = tell.groupBy("node", "lane").agg(F.min("doc_id").alias("first"))
+    marks = ask.join(least, ["node", "lane"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("node").alias("marks"))
     kept = base.join(marks, "doc_id", "left").select("doc_id", "packed", "marks").mapInArrow(_cut(False, True), CUT)
     alone = own.where(F.col("doc_id").isNull()).mapInArrow(_cut(False, False), CUT)
     return kept.unionByName(copied.mapInArrow(_cut(True, False), CUT)).unionByName(alone)
