@@ -33,6 +33,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .tables import read
 
@@ -207,7 +208,7 @@ def vocabulary(name: str = VOCABULARY) -> str:
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """docs with a column ``ids``: the token ids of the whole text."""
     path = path or vocabulary()
-    schema = docs.drop("ids").schema.add("ids", "array<int>")
+    schema = docs.drop("ids").schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
