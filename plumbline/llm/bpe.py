@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .tables import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MEMO = 400_000
+MEMO = 200_000
 SHORT = 48  # pieces up to this many characters are memoised
 
 
