@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import read, small_side
@@ -47,7 +47,7 @@ DEPTH, SHORT = 13, 5
 
 
 def prefixes(w: Words, depth: int = DEPTH, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
-    """Where a window of ``depth`` words starts in the chunk, and the smallest hash of the ``short``-word prefixes in each."""
+    """Where a window of ``depth`` words starts in the chunk, and the smallest hash of the ``short``-word prefixes in each (63 bits; the lowest is 0)."""
     at = np.flatnonzero(w.inside(depth))
     if not len(at):
         return at, np.zeros(0, np.uint64)
@@ -56,7 +56,7 @@ def prefixes(w: Words, depth: int = DEPTH, short: int = SHORT) -> tuple[np.ndarr
     least = grams[:n].copy()
     for j in range(1, depth - short + 1):
         np.minimum(least, grams[j : n + j], out=least)
-    return at, least[at]
+    return at, least[at] & ~np.uint64(1)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,10 +74,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, packed): texts as they travel."""
+    """(doc_id, packed, nth): texts as they travel."""
     press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(x.as_py()) for x in binary(batch.column(1))], pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(x.as_py()) for x in binary(batch.column(1))], pa.binary()), batch.column(2)], ["doc_id", "packed", "nth"])
 
 
 def _unpacked(column) -> pa.Array:
@@ -96,41 +96,52 @@ def _among(row: np.ndarray, value: np.ndarray, lists: list) -> np.ndarray:
     return out
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, lane, doc_id): the windows whose short prefix is shared, with 96 bits of hash of all their words."""
-    for batch in batches:
-        ids, shared = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-        for w in words_of(_unpacked(batch.column(1))):
-            at, least = prefixes(w)
-            row = w.row_of()[at]
-            lists = [None if x.as_py() is None else np.asarray(x.values, np.int64) for x in shared.slice(w.first, len(w))]
-            hit = _among(row, least.view(np.int64), lists)
-            at, row = at[hit], row[hit]
-            node, lane = w.grams(DEPTH)[at], w.grams(DEPTH, 1)[at]
-            order = np.lexsort((node, row))
-            row, node, lane = row[order], node[order], lane[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (node[1:] != node[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(node[new].view(np.int64)), pa.array((lane[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[row[new] + w.first])], ["node", "lane", "doc_id"])
+def _nodes(asking: bool):
+    """(node, lane, doc_id, place): the windows whose short prefix is shared, with 96 bits of hash of all their words, each once per row
+    and with the first place where it starts (above bit 40: which of its id's texts that is). ``asking``: only those of prefixes that a smaller id holds too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, shared, nth = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            for w in words_of(_unpacked(batch.column(1))):
+                at, least = prefixes(w)
+                row = w.row_of()[at]
+                lists = [None if x.as_py() is None else np.asarray(x.values, np.int64) for x in shared.slice(w.first, len(w))]
+                lists = [x if x is None else x[x & 1 == 1] & ~1 if asking else x & ~1 for x in lists]
+                hit = _among(row, least.view(np.int64), lists)
+                at, row = at[hit], row[hit]
+                node, lane = w.grams(DEPTH)[at], w.grams(DEPTH, 1)[at]
+                order = np.lexsort((at, node, row))
+                row, node, lane, at = row[order], node[order], lane[order], at[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (node[1:] != node[:-1])
+                row, at = row[new], at[new]
+                columns = [node[new].view(np.int64), (lane[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[row + w.first], (nth[row + w.first] << 40) + at - w.rows[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "lane", "doc_id", "place"])
+
+    return run
 
 
 CUT = "doc_id long, n_words long, n_removed long, n_runs long, kept string"
 
 
 def _cut(copied: bool, packed: bool):
-    """Each document without the words that its repeated nodes (column 2) cover; without all of them, if it is a copy."""
+    """Each document without the words that its repeated nodes (column 2: a place of each) cover; without all of them, if it is a copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             texts = _unpacked(batch.column(1)) if packed else binary(batch.column(1))
             marks = batch.column(2) if packed else pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            nth = batch.column(3).to_pylist() if packed else [0] * batch.num_rows
             for w in words_of(texts):
                 lists = [None if x.as_py() is None else np.asarray(x.values, np.int64) for x in marks.slice(w.first, len(w))]
+                lists = [x if x is None else x[x >> 40 == k] & (1 << 40) - 1 for x, k in zip(lists, nth[w.first : w.first + len(w)])]
                 at = np.flatnonzero(w.inside(DEPTH))
                 hit = np.full(len(at), copied)
                 if any(x is not None for x in lists):
-                    hit |= _among(w.row_of()[at], w.grams(DEPTH)[at].view(np.int64), lists)
+                    nodes = w.grams(DEPTH)
+                    hit |= _among(w.row_of()[at], nodes[at], [x if x is None else nodes[w.rows[r] + x] for r, x in enumerate(lists)])
                 covered = np.zeros(len(w.hashes) + 1, np.int32)
                 np.add.at(covered, at[hit], 1)
                 np.add.at(covered, at[hit] + DEPTH, -1)
@@ -154,20 +165,22 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     known = own.where(F.col("doc_id").isNotNull()).withColumn("digest", F.unhex(F.sha2("text", 256)))
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = small_side(known.select("doc_id", "digest").join(firsts, "digest").where("doc_id > first").select("doc_id", "digest").distinct())
-    fresh = known.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("doc_id")
+    texts = known.select("doc_id", "digest").join(several, "doc_id").distinct().select("doc_id", "digest", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")).alias("nth"))
+    fresh = known.join(copies, ["doc_id", "digest"], "left_anti").join(small_side(texts), ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("nth", F.lit(0)).alias("nth"))
     copied = known.join(copies, ["doc_id", "digest"], "left_semi").select("doc_id", "text")
 
     suffixes = fresh.mapInArrow(_suffixes, "prefix long, doc_id long")
-    shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("prefix", "a")
-    met = suffixes.join(shared, "prefix").groupBy("doc_id")
-    branches = met.agg(F.collect_set("prefix").alias("shared"), F.collect_set(F.when(F.col("doc_id") > F.col("a"), F.col("prefix"))).alias("later"))
+    shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("prefix", "a")
+    marked = F.col("prefix") + (F.col("doc_id") > F.col("a")).cast("long")
+    branches = suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(marked).alias("shared"))
 
-    base = fresh.mapInArrow(_pack, "doc_id long, packed binary").join(branches, "doc_id", "left")
+    base = fresh.mapInArrow(_pack, "doc_id long, packed binary, nth int").join(branches, "doc_id", "left")
     # all holders of a node tell its smallest id; only those that are not the smallest of its prefix have to ask for it
-    tell, ask = (base.where(F.size(c) > 0).select("doc_id", "packed", c).mapInArrow(_nodes, "node long, lane int, doc_id long") for c in ("shared", "later"))
+    tell, ask = (base.where(F.size("shared") > 0).select("doc_id", "packed", "shared", "nth").mapInArrow(_nodes(asking), "node long, lane int, doc_id long, place long") for asking in (False, True))
     least = tell.groupBy("node", "lane").agg(F.min("doc_id").alias("first"))
-    marks = ask.join(least, ["node", "lane"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("node").alias("marks"))
-    kept = base.join(marks, "doc_id", "left").select("doc_id", "packed", "marks").mapInArrow(_cut(False, True), CUT)
+    marks = ask.join(least, ["node", "lane"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("place").alias("marks"))
+    kept = base.join(marks, "doc_id", "left").select("doc_id", "packed", "marks", "nth").mapInArrow(_cut(False, True), CUT)
     alone = own.where(F.col("doc_id").isNull()).mapInArrow(_cut(False, False), CUT)
     return kept.unionByName(copied.mapInArrow(_cut(True, False), CUT)).unionByName(alone)
 
