@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_numeric
+
 PAGE = ["report_id", "page_no"]
 _BLANKS = " \t\r"
 
@@ -66,3 +68,90 @@ def repeat_line(line_table: DataFrame, n: int = 50) -> DataFrame:
     island = F.col("line_no") - F.row_number().over(Window.partitionBy(*PAGE, "unit").orderBy("line_no"))
     runs = placed.where(F.length("unit") >= 3).withColumn("island", island).groupBy(*PAGE, "unit", "island")
     return runs.agg(F.min("line_no").alias("line_no"), F.min("start").alias("start"), F.count("*").alias("times")).where(F.col("times") >= n).drop("island")
+
+
+# Words of rows that are kept, and titles that open a chart.
+KEEP = (
+    "项目名称", "监测单位", "监测项", "监测项目", "监测日期", "监测次数", "监测点数量", "监测数据成果汇总", "数据统计", "备注", "测点编号", "测点深度", "测孔编号", "测孔深度", "深度", "点号", "初始",
+    "上次累计量", "本次累计量", "本次变化量", "累计变化量", "本期变化", "变化速率", "安全状态", "最大变化速率", "最大变化位移", "最大内力", "最小内力", "当次累计",
+)
+CHART = ("监测数据成果曲线图", "位移—深度曲线", "位移-深度曲线")
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_TABLES, _ROWS, _CELLS = r"(?is)<table[^>]*>.*?</table>", r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
+
+
+def clean_cell(c: Column) -> Column:
+    """The text of a cell's markup: breaks as " / ", without images and tags, entities resolved, numbers normalised, spaces collapsed."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", " / "), r"(?i)<img[^>]*>", ""), r"<[^>]+>", "")
+    for name, char in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(normalize_numeric(out), r"\s+", " "))
+
+
+def html_cells(pages: DataFrame, markup: str = "markup") -> DataFrame:
+    """DOC-01: one row per table row with its cells; blank cells at the end and rows without text go."""
+    tables = pages.select(*PAGE, F.posexplode(F.regexp_extract_all(markup, F.lit(_TABLES), F.lit(0))).alias("table_no", "html"))
+    rows = tables.select(*PAGE, "table_no", F.posexplode(F.regexp_extract_all("html", F.lit(_ROWS), F.lit(1))).alias("row_no", "html"))
+    cells = F.transform(F.regexp_extract_all("html", F.lit(_CELLS), F.lit(1)), clean_cell)
+    filled = F.array_max(F.transform("cells", lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    return rows.withColumn("cells", cells).withColumn("n", F.coalesce(filled, F.lit(0))).where("n > 0").select(*PAGE, "table_no", "row_no", F.slice("cells", F.lit(1), F.col("n")).alias("cells"))
+
+
+def has_keep_marker(c: Column) -> Column:
+    return c.rlike("|".join(KEEP))
+
+
+def is_axis_noise(c: Column) -> Column:
+    """DOC-02: whether a text looks like the labels of a chart's axis."""
+    text = F.trim(c)
+    digits = F.regexp_count(text, F.lit("[0-9]"))
+    legend, dashed = text.rlike(r"^[-•]\s*[A-Za-z]+[0-9]+$"), (digits > 0) & (F.regexp_count(text, F.lit("-")) >= 10)
+    charset = text.rlike(r"^[\d\-./年月日:~\sA-Za-z△☐○●]+$") & (digits / F.greatest(F.length(text), F.lit(1)) >= 0.35)
+    return F.coalesce((text != "") & ~has_keep_marker(text) & (legend | dashed | ((digits > 0) & charset)), F.lit(False))
+
+
+TABLE = [*PAGE, "table_no"]
+
+
+def drop_noise_tables(rows: DataFrame) -> DataFrame:
+    """DOC-03: rows of tables that aren't chart axes. A marker keeps a table; else its share of axis cells decides."""
+    full = F.filter("cells", lambda x: x != "")
+    per_row = rows.withColumns({"full": full}).withColumns({"axes": F.size(F.filter("full", is_axis_noise)), "keep": F.exists("full", has_keep_marker), "single": (F.size("full") <= 1).cast("double")})
+    per_table = per_row.groupBy(TABLE).agg(F.max("keep").alias("keep"), (F.sum("axes") / F.sum(F.size("full"))).alias("axes"), F.avg("single").alias("single"), F.sum(F.size("full")).alias("n"))
+    noise = (F.col("n") == 0) | (~F.col("keep") & ((F.col("axes") >= 0.8) | ((F.col("axes") >= 0.5) & (F.col("single") >= 0.6))))
+    return rows.join(per_table.where(~noise).select(TABLE), TABLE)
+
+
+def filter_table_rows(rows: DataFrame) -> DataFrame:
+    """DOC-04: without chart titles, rows of images only, and axis rows between a chart title and the next marker row."""
+    full = F.filter("cells", lambda x: x != "")
+    marked = rows.withColumn("full", full).withColumn("said", F.array_join("full", " "))
+    title = F.col("said").rlike("|".join(CHART))
+    image = F.forall("full", lambda x: x.rlike(r"^!\[[^\]]*\]\([^)]+\)$"))
+    state = F.when(title, "open").when(~image & has_keep_marker(F.col("said")), "shut")
+    before = Window.partitionBy(*TABLE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.last(state, ignorenulls=True).over(before) == "open", F.lit(False))
+    axis = is_axis_noise(F.col("said")) | F.forall("full", is_axis_noise)
+    return marked.withColumn("opened", opened).where(~title & ~image & ~(F.col("opened") & ~has_keep_marker(F.col("said")) & axis)).select(*TABLE, "row_no", "cells")
+
+
+def text_lines(pages: DataFrame, markup: str = "markup") -> DataFrame:
+    """DOC-05: the lines of a page's markup outside tables, block tags as line ends, blank lines and chart parts left out."""
+    flat = F.regexp_replace(F.regexp_replace(F.col(markup), _TABLES, "\n\u0001\n"), r"(?i)<(?:br\s*/?|/?(?:div|p|li|ul|ol|h[1-6]|section|article|tr))[^>]*>", "\n")
+    split = pages.select(*PAGE, F.posexplode(F.split(flat, "\n")).alias("at", "raw"))
+    said = split.withColumn("line", F.when(F.contains("raw", F.lit("\u0001")), F.lit("\u0001")).otherwise(clean_cell(F.col("raw")))).where("line <> ''")
+    table, title = F.col("line") == "\u0001", F.col("line").rlike("|".join(CHART))
+    state = F.when(title, "open").when(table | has_keep_marker(F.col("line")), "shut")
+    before = Window.partitionBy(*PAGE).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.last(state, ignorenulls=True).over(before) == "open", F.lit(False))
+    kept = said.withColumn("opened", opened).where(~table & ~title & ~(F.col("opened") & is_axis_noise(F.col("line"))))
+    return kept.select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy("at")).cast("long").alias("line_no"), "line")
+
+
+def page_stats(pages: DataFrame, kept_lines: DataFrame, rows: DataFrame, markup: str = "markup") -> DataFrame:
+    """DOC-07: per page how long its markup and its text are, what share is markup, and how many lines, rows and cells it has."""
+    said = kept_lines.groupBy(PAGE).agg(F.count("*").alias("lines"), F.sum(F.length("line").cast("long")).alias("plain_chars"))
+    cells = rows.groupBy(PAGE).agg(F.countDistinct("table_no").alias("tables"), F.count("*").alias("rows"), F.sum(F.size("cells").cast("long")).alias("cells"))
+    raw, bare = F.length(markup), F.length(F.regexp_replace(F.col(markup), r"<[^>]+>", ""))
+    sized = pages.select(*PAGE, raw.cast("long").alias("raw_chars"), F.round(F.try_divide(raw - bare, raw), 4).alias("markup_ratio"))
+    return sized.join(said, PAGE, "left").join(cells, PAGE, "left").fillna(0)

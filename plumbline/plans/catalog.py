@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reports, rules, texts
+from . import landings, reports, rules, texts
 
-QUERIES = rules.QUERIES | reports.QUERIES | texts.QUERIES
-ORACLES = rules.ORACLES | reports.ORACLES | texts.ORACLES
+QUERIES = rules.QUERIES | reports.QUERIES | texts.QUERIES | landings.QUERIES
+ORACLES = rules.ORACLES | reports.ORACLES | texts.ORACLES | landings.ORACLES

@@ -77,3 +77,33 @@ _over_pages("doc_11_repeat_unit", lambda g: hygiene.repeat_unit(g, 12))
 _over_pages("doc_12_repeat_line", lambda g: hygiene.repeat_line(hygiene.lines(g), 2), """, m AS (SELECT *, trim(line, ' \t\r') AS t, sum(length(line) + 1) OVER (PARTITION BY report_id, page_no ORDER BY line_no) - length(line) - 1 AS start FROM l),
 k AS (SELECT *, line_no - row_number() OVER (PARTITION BY report_id, page_no, t ORDER BY line_no) AS island FROM m WHERE length(t) >= 3)
 SELECT report_id, page_no, min(line_no) AS line_no, min(start)::BIGINT AS start, t AS unit, count(*) AS times FROM k GROUP BY report_id, page_no, t, island HAVING count(*) >= 2""")
+
+# Markup made of the printed numbers: a page is 20 events, two tables with a line of text before, between and after.
+_MARKUP = """
+SELECT event_id % 5 AS report_id, CAST(floor(event_id / 100.0) AS BIGINT) AS page_no, CAST(floor(event_id / 5.0) AS BIGINT) % 20 AS n, event_type AS kind, CAST(CAST(value AS DECIMAL(18, 2)) AS STRING) AS v FROM {events}
+"""
+
+
+def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_MARKUP, events=read(spark, sf_dir, "events").select("event_id", "event_type", "value"))
+    cell = F.concat(F.lit("<tr><td>"), "kind", F.lit("<br/>x&amp;y</td><td><b>−"), "v", F.lit("</b><img src='i'></td><td></td></tr>"))
+    made = F.array_sort(F.collect_list(F.struct("n", cell.alias("html"))))
+    half = lambda keep: F.array_join(F.transform(F.filter(made, keep), lambda x: x["html"]), "")
+    page = F.concat(F.lit("<p>项目名称 A</p>\n<table border=1>"), half(lambda x: x["n"] < 10), F.lit("</table>次要<br>位移-深度曲线\n10 20 30 40\n深度 m\n10 20 30\n<table>"), half(lambda x: x["n"] >= 10), F.lit("</table><div> 尾 &lt;1&gt; </div>"))
+    return rows.groupBy("report_id", "page_no").agg(page.alias("markup"))
+
+
+def _over_markup(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(_markup(spark, sf_dir))
+    if sql is not None:
+        ORACLES[name] = f"WITH m AS ({_MARKUP.replace('{events}', 'events')}), r AS (SELECT report_id, page_no, CASE WHEN n < 10 THEN 0 ELSE 1 END AS table_no, row_number() OVER (PARTITION BY report_id, page_no, n >= 10 ORDER BY n) - 1 AS row_no, kind || ' / x&y|-' || v AS said FROM m) {sql}"
+
+
+_said = F.array_join("cells", "|").alias("said")
+_over_markup("doc_01_html_cells", lambda g: hygiene.html_cells(g).select("report_id", "page_no", "table_no", "row_no", _said), "SELECT * FROM r")
+_over_markup("doc_03_04_tables", lambda g: hygiene.filter_table_rows(hygiene.drop_noise_tables(hygiene.html_cells(g))).select("report_id", "page_no", "table_no", "row_no", _said), "SELECT * FROM r")
+_over_markup("doc_05_text_lines", hygiene.text_lines, "SELECT DISTINCT report_id, page_no, unnest([1, 2, 3, 4, 5]) AS line_no, unnest(['项目名称 A', '次要', '深度 m', '10 20 30', '尾 <1>']) AS line FROM m")
+_over_markup("doc_07_page_stats", lambda g: hygiene.page_stats(g, hygiene.text_lines(g), hygiene.html_cells(g)).select("report_id", "page_no", "lines", "plain_chars", "tables", "rows", "cells"),
+             "SELECT report_id, page_no, 5 AS lines, len('项目名称 A' || '次要' || '深度 m' || '10 20 30' || '尾 <1>') AS plain_chars, count(DISTINCT table_no) AS tables, count(*) AS rows, 2 * count(*) AS cells FROM r GROUP BY 1, 2")
+_query("doc_02_axis_noise", lambda spark, sf_dir: _printed(spark, sf_dir).select("event_id", hygiene.is_axis_noise(F.col("s")).alias("noise")),
+       "SELECT event_id, t <> '' AND NOT regexp_matches(t, '" + "|".join(hygiene.KEEP) + "') AND (regexp_matches(t, '^[-•]\\s*[A-Za-z]+[0-9]+$') OR (len(regexp_replace(t, '[^0-9]', '', 'g')) > 0 AND (len(regexp_replace(t, '[^-]', '', 'g')) >= 10 OR (regexp_matches(t, '^[0-9\\-./年月日:~\\sA-Za-z△☐○●]+$') AND len(regexp_replace(t, '[^0-9]', '', 'g')) / greatest(len(t), 1) >= 0.35)))) AS noise FROM (SELECT event_id, trim(s) AS t FROM x)")
