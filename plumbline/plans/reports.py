@@ -147,3 +147,34 @@ m AS (SELECT tr.report_id, truth_no, issue_no FROM tr JOIN sd ON tr.report_id =
 a AS (SELECT report_id, count(*) AS truths FROM tr GROUP BY 1), b AS (SELECT report_id, count(*) AS reported FROM sd GROUP BY 1), f AS (SELECT report_id, count(DISTINCT truth_no) AS hits, count(DISTINCT issue_no) AS good FROM m GROUP BY 1)
 SELECT report_id, truths, reported, hits, hits / truths AS recall, good / reported AS precision FROM a JOIN b USING (report_id) JOIN f USING (report_id)""")
 _query("eva_04_extra", lambda x: scoring.extra_errors(*_judged(x)), f"{_ALL}, tr AS ({_TRUTH.format('p')}), sd AS ({_SAID.format('iss')}) SELECT * FROM sd WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.report_id = sd.report_id AND contains(sd.point_id, split_part(tr.point_id, '(', 1)))")
+
+
+def _flags(x: dict[str, DataFrame]) -> DataFrame:
+    return quality.flag_sparse(_thin(x), x["mon_tables"]).unionByName(quality.flag_magnitude(x["points"]))
+
+
+_FLAGS = ", fg AS (SELECT report_id, table_idx, flag_code FROM (" + ORACLES["qua_02_sparse"].rsplit("\nSELECT", 1)[1].join(["SELECT", ""]) + ") UNION ALL SELECT report_id, table_idx, flag_code FROM (" + ORACLES["qua_03_magnitude"].rsplit(" SELECT report_id, table_idx, 'QUA-03'", 1)[1].join(["SELECT report_id, table_idx, 'QUA-03'", ""]) + "))"
+_SPARSE = _THIN + ORACLES["qua_02_sparse"].rsplit(_THIN, 1)[1].rsplit("\nSELECT", 1)[0]
+_query("rep_03_flag_groups", lambda x: review.group_flags(_flags(x), x["mon_tables"]), _SPARSE + _FLAGS + """, pt AS (SELECT report_id, table_idx, string_agg(flag_code, ',' ORDER BY flag_code) AS flag_list FROM fg GROUP BY 1, 2),
+gr AS (SELECT report_id, monitoring_item, flag_list, count(*) AS tables, list(monitor_date ORDER BY table_idx) AS days FROM pt JOIN t USING (report_id, table_idx) GROUP BY 1, 2, 3)
+SELECT report_id, monitoring_item, flag_list, tables, CASE WHEN tables <= 2 THEN array_to_string(days, ', ') ELSE days[1] || ' - ' || days[-1] END AS periods FROM gr""")
+_query("rep_05_hints", lambda x: _some(x).withColumn("source", F.when(F.col("row_no") % 2 == 0, "report").otherwise("")).select("report_id", "table_idx", "row_no", "rule_id", review.with_hint(F.when(F.col("row_no") % 4 == 0, F.concat("point_id", F.lit(" [source: report]"))).otherwise(F.col("point_id")), F.col("source")).alias("message")),
+       f"{_ALL} SELECT report_id, table_idx, row_no, rule_id, CASE WHEN row_no % 2 = 0 THEN point_id || ' [source: report]' ELSE point_id END AS message FROM iss")
+_RAW_TEXT = "SELECT report_id, repeat('甲', 300) || '坡顶水平位移' || repeat('乙', 400) || '地下水位(一)' || repeat('丙', 10) AS raw_text FROM (SELECT DISTINCT report_id FROM {0}) x"
+_NAMES = "CASE table_idx % 4 WHEN 0 THEN '坡顶水平位移' WHEN 1 THEN '地下水位(二)' WHEN 2 THEN '无此表' ELSE '地下水位(一)' END"
+
+
+def _context(x: dict[str, DataFrame]) -> DataFrame:
+    batches = review.review_batches(_some(x), _ORDER).withColumn("table_name", F.expr(_NAMES))
+    return review.context(batches, x["points"].sparkSession.sql(_RAW_TEXT.format("{points}"), points=x["points"])).select("report_id", "batch_no", "error_idx", "context")
+
+
+_query("ver_02_context", _context, f"""{_ALL}{_BATCHES}, tx AS ({_RAW_TEXT.format('p')}), nm AS (SELECT *, {_NAMES} AS name FROM ba JOIN tx USING (report_id)), ps AS (SELECT *, CASE WHEN instr(raw_text, name) > 0 THEN instr(raw_text, name) ELSE instr(raw_text, regexp_replace(name, '[(（].*$', '')) END AS a FROM nm)
+SELECT report_id, batch_no, error_idx, CASE WHEN a > 0 THEN substr(substr(raw_text, greatest(a - 200, 1), a - greatest(a - 200, 1) + 2000), 1, 200) ELSE '' END AS context FROM ps""")
+_query("log_01_damage", lambda x: logic.check_damage(x["points"].select("report_id", (F.col("table_idx") * 1000 + F.col("row_no")).alias("finding_no"), F.col("point_id").alias("detail"))),
+       ", f AS (SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY table_idx * 1000 + row_no) AS line_no, point_id AS detail FROM p) SELECT report_id, 0 AS line_no, 'LOG-01' AS rule_id, 'warning' AS severity, count(*) || ' findings' AS detail FROM f GROUP BY 1 UNION ALL SELECT report_id, line_no, 'LOG-01' AS rule_id, 'warning' AS severity, detail FROM f WHERE line_no <= 5")
+_query("log_02_extractable", lambda x: logic.check_extractable(x["deep_tables"].select("report_id").distinct(), x["mon_tables"]), " SELECT DISTINCT report_id, 'LOG-02' AS rule_id, 'warning' AS severity FROM dt WHERE report_id NOT IN (SELECT report_id FROM t)")
+_query("log_03_partial", lambda x: logic.check_partial_parse(x["points"].groupBy("report_id").agg(F.count_if(F.col("row_no") % 3 == 0).alias("failed"), F.count_if(F.col("row_no") % 3 != 0).alias("succeeded"))), " SELECT report_id, 'LOG-03' AS rule_id, 'warning' AS severity, count(*) FILTER (row_no % 3 = 0) AS failed FROM p GROUP BY 1")
+_query(
+    "cal_00_all", lambda x: review.issue_totals(calc.run_calculation_checks(x["mon_tables"].select("report_id").distinct().withColumn("monitoring_period", F.lit("")), x["mon_tables"], x["points"], x["deep_points"].limit(0), x["config"]).select("report_id", F.col("rule_id").alias("severity"))),
+)
