@@ -99,9 +99,12 @@ def _over_markup(name: str, build: Callable[[DataFrame], DataFrame], sql: str |
         ORACLES[name] = f"WITH m AS ({_MARKUP.replace('{events}', 'events')}), r AS (SELECT report_id, page_no, CASE WHEN n < 10 THEN 0 ELSE 1 END AS table_no, row_number() OVER (PARTITION BY report_id, page_no, n >= 10 ORDER BY n) - 1 AS row_no, kind || ' / x&y|-' || v AS said FROM m) {sql}"
 
 
-_said = F.array_join("cells", "|").alias("said")
-_over_markup("doc_01_html_cells", lambda g: hygiene.html_cells(g).select("report_id", "page_no", "table_no", "row_no", _said), "SELECT * FROM r")
-_over_markup("doc_03_04_tables", lambda g: hygiene.filter_table_rows(hygiene.drop_noise_tables(hygiene.html_cells(g))).select("report_id", "page_no", "table_no", "row_no", _said), "SELECT * FROM r")
+def _rows(rows: DataFrame) -> DataFrame:
+    return rows.select("report_id", "page_no", "table_no", "row_no", F.array_join("cells", "|").alias("said"))
+
+
+_over_markup("doc_01_html_cells", lambda g: _rows(hygiene.html_cells(g)), "SELECT * FROM r")
+_over_markup("doc_03_04_tables", lambda g: _rows(hygiene.filter_table_rows(hygiene.drop_noise_tables(hygiene.html_cells(g)))), "SELECT * FROM r")
 _over_markup("doc_05_text_lines", hygiene.text_lines, "SELECT DISTINCT report_id, page_no, unnest([1, 2, 3, 4, 5]) AS line_no, unnest(['项目名称 A', '次要', '深度 m', '10 20 30', '尾 <1>']) AS line FROM m")
 _over_markup("doc_07_page_stats", lambda g: hygiene.page_stats(g, hygiene.text_lines(g), hygiene.html_cells(g)).select("report_id", "page_no", "lines", "plain_chars", "tables", "rows", "cells"),
              "SELECT report_id, page_no, 5 AS lines, len('项目名称 A' || '次要' || '深度 m' || '10 20 30' || '尾 <1>') AS plain_chars, count(DISTINCT table_no) AS tables, count(*) AS rows, 2 * count(*) AS cells FROM r GROUP BY 1, 2")
