@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calc, logic, quality, review, scoring
+from ..operators import calc, logic, plan, quality, review, scoring
 from ..operators.issues import FIELDS, TABLE
 from ..sources.samples import sample_sql
-from .rules import _CONFIG, _RAW, _issue, _tables
+from .rules import _CONFIG, _FLAT_CHOSEN, _RAW, _issue, _tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,9 @@ _query("log_03_partial", lambda x: logic.check_partial_parse(x["points"].groupBy
 _query(
     "cal_00_all", lambda x: review.issue_totals(calc.run_calculation_checks(x["mon_tables"].select("report_id").distinct().withColumn("monitoring_period", F.lit("")), x["mon_tables"], x["points"], x["deep_points"].limit(0), x["config"]).select("report_id", F.col("rule_id").alias("severity"))),
 )
+_PLAN = _FLAT_CHOSEN + """, pl AS (SELECT report_id, table_idx, category, unit, 'initial_value, current_value, current_change, cumulative_change, change_rate' AS filled, sample, rows, chosen_days AS interval_days,
+  CASE WHEN chosen_days IS NULL THEN 'none' WHEN chosen_days = inferred THEN 'inferred' ELSE 'configured' END AS interval_source, CASE WHEN initial_value_reliable THEN 'reliable' WHEN unit = 'm' THEN 'metres' ELSE 'water level' END AS reliability,
+  CASE WHEN category = 'ANCHOR_FORCE' THEN 'CAL-01, CAL-10' WHEN initial_value_reliable THEN 'CAL-02, CAL-03, CAL-10' ELSE 'CAL-03, CAL-10' END AS rules
+  FROM cfg JOIN ch USING (report_id, table_idx) JOIN (SELECT report_id, table_idx, count(*) AS rows, string_agg(point_id, ', ' ORDER BY row_no) FILTER (row_no < 2) AS sample FROM p GROUP BY 1, 2) USING (report_id, table_idx))"""
+_query("cfg_10_plan", lambda x: plan.analysis_plan(x["points"], x["config"]), f"{_PLAN} SELECT * FROM pl")
+_query("rep_04_plan_groups", lambda x: review.group_plans(plan.analysis_plan(x["points"], x["config"]), ["category", "unit", "interval_source", "rules"]), f"{_PLAN} SELECT report_id, category, unit, interval_source, rules, count(*) AS tables, min(rows) AS least_rows, max(rows) AS most_rows FROM pl GROUP BY 1, 2, 3, 4, 5")
