@@ -145,7 +145,7 @@ SELECT tr.report_id, count(*) AS truths, count(c.truth_no) AS hits, count(c.trut
 _query("eva_03_fuzzy", lambda x: scoring.fuzzy_match(*_judged(x)), f"""{_ALL}, tr AS ({_TRUTH.format('p')}), sd AS ({_SAID.format('iss')}),
 m AS (SELECT tr.report_id, truth_no, issue_no FROM tr JOIN sd ON tr.report_id = sd.report_id AND (contains(tr.point_id, sd.point_id) OR contains(sd.point_id, tr.point_id)) AND (contains(tr.table_name, sd.table_name) OR contains(sd.table_name, tr.table_name))),
 a AS (SELECT report_id, count(*) AS truths FROM tr GROUP BY 1), b AS (SELECT report_id, count(*) AS reported FROM sd GROUP BY 1), f AS (SELECT report_id, count(DISTINCT truth_no) AS hits, count(DISTINCT issue_no) AS good FROM m GROUP BY 1)
-SELECT report_id, truths, reported, hits, hits / truths AS recall, good / reported AS precision FROM a JOIN b USING (report_id) JOIN f USING (report_id)""")
+SELECT report_id, coalesce(truths, 0) AS truths, coalesce(reported, 0) AS reported, coalesce(hits, 0) AS hits, coalesce(hits, 0) / nullif(coalesce(truths, 0), 0) AS recall, coalesce(good, 0) / nullif(coalesce(reported, 0), 0) AS precision FROM a FULL JOIN b USING (report_id) LEFT JOIN f USING (report_id)""")
 _query("eva_04_extra", lambda x: scoring.extra_errors(*_judged(x)), f"{_ALL}, tr AS ({_TRUTH.format('p')}), sd AS ({_SAID.format('iss')}) SELECT * FROM sd WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.report_id = sd.report_id AND contains(sd.point_id, split_part(tr.point_id, '(', 1)))")
 
 
