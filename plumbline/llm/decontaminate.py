@@ -3,14 +3,17 @@
 1. Every item's word n-grams are seeds. One pass over the corpus counts the
    documents that hold each (summed map-side before the shuffle, so the counts
    are as many rows as the items have n-grams).
-2. Seeds that are common *for their item* are dropped: those in more documents
-   than ``common`` times the item's median. The rule is relative, so an item
-   that leaked into a third of the corpus keeps its seeds.
-3. A second pass finds the seeds in each text and aligns the words around them
+2. Seeds are rare *for their item* if they are in at most ``common`` times as
+   many documents as the median of those of its seeds that occur at all.
+3. A second pass finds all seeds in each text and aligns the words around them
    with the item (Smith-Waterman over words: match 1, mismatch -1, gap -1). The
    score over the item's length is the similarity; ``least`` and more is a leak.
+   Rarity only saves work: a place with a rare seed is aligned at once, one with
+   common seeds only if it shares as many words with the item as a leak needs (a
+   score never exceeds them). So no leak that shares a seed is lost, however
+   often its passage repeats.
 
-The corpus is never shuffled. Items are taken in blocks of at most
+The corpus is never shuffled; ``decontaminate`` filters rows where they stand. Items are taken in blocks of at most
 ``block_words`` words, so that what is broadcast is bounded whatever the size of
 the benchmark; each further block is a further pass.
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read, small_side
+from .tables import read
 from .words import LOOSE, words_of
 
 SEED, COMMON, LEAST, BLOCK_WORDS = 4, 4.0, 0.4, 2_000_000
@@ -58,16 +61,15 @@ class Items:
     def _keep(self, grams, owner, place) -> None:
         order = np.argsort(grams, kind="stable")
         self.grams, self.owner, self.place = grams[order], owner[order], place[order]
-        self.keys = np.unique(self.grams)
+        self.keys, self.rare = np.unique(self.grams), np.ones(len(grams), bool)
 
-    def rare(self, held: dict[int, int], common: float) -> None:
-        """Keeps, of each item, the seeds in at most ``common`` times as many documents as its median seed."""
+    def tell_rare(self, held: dict[int, int], common: float) -> None:
+        """Marks, of each item, the seeds in at most ``common`` times as many documents as the median of those that occur."""
         df = np.array([held.get(int(g), 0) for g in self.grams.view(np.int64)], float)
-        keep = np.zeros(len(df), bool)
         for i in np.unique(self.owner):
             own = self.owner == i
-            keep[own] = df[own] <= common * max(1.0, np.median(df[own]))
-        self._keep(self.grams[keep], self.owner[keep], self.place[keep])
+            seen = df[own][df[own] > 0]
+            self.rare[own] = df[own] <= common * (np.median(seen) if len(seen) else 1.0)
 
     def hits(self, w) -> tuple[np.ndarray, np.ndarray]:
         """Word positions in the chunk that start a seed, and which key it is."""
@@ -97,18 +99,26 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _regions(places: np.ndarray, offsets: np.ndarray, m: int, n: int) -> list[tuple[int, int, int]]:
-    """Stretches of a text of n words that could hold an item of m words, given where its seeds lie; with their seed counts."""
+def shared(item: np.ndarray, text: np.ndarray) -> int:
+    """How many words two sequences share, repeats counted: no alignment of them scores more."""
+    words, n = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    return int(np.minimum(n, np.bincount(at[words[at] == text], minlength=len(words))).sum())
+
+
+def _regions(places: np.ndarray, offsets: np.ndarray, rare: np.ndarray, m: int, n: int) -> list[tuple[int, int, int, bool]]:
+    """Stretches of a text of n words that could hold an item of m words, given where its seeds lie; with their seed counts and whether one is rare."""
     pad = m // 4 + 4
     lo, hi = np.maximum(places - offsets - pad, 0), np.minimum(places - offsets + m + pad, n)
     order = np.argsort(lo, kind="stable")
     out: list[list[int]] = []
-    for a, b in zip(lo[order].tolist(), hi[order].tolist()):
+    for a, b, own in zip(lo[order].tolist(), hi[order].tolist(), rare[order].tolist()):
         if out and a <= out[-1][1] and b - out[-1][0] <= 4 * (m + 2 * pad):
             out[-1][1] = max(out[-1][1], b)
             out[-1][2] += 1
+            out[-1][3] |= own
         else:
-            out.append([a, b, 1])
+            out.append([a, b, 1, own])
     return [tuple(x) for x in out]
 
 
@@ -126,8 +136,9 @@ def _count(items: Items):
     return run
 
 
-def _search(items: Items, least: float):
-    def leaks(w, doc_ids) -> Iterator[tuple]:
+def _leaks(items: Items, least: float):
+    def leaks(w) -> Iterator[tuple]:
+        """Row of the batch, item, and where and how well they align."""
         at, key = items.hits(w)
         doc = np.searchsorted(w.rows, at, "right") - 1
         for d in np.unique(doc).tolist():
@@ -141,18 +152,26 @@ def _search(items: Items, least: float):
             for i in np.unique(items.owner[which]).tolist():
                 mine = items.owner[which] == i
                 item, top = items.words[i], None
-                for a, b, seeds in _regions(place[mine], items.place[which[mine]], len(item), len(text)):
+                for a, b, seeds, rare in _regions(place[mine], items.place[which[mine]], items.rare[which[mine]], len(item), len(text)):
+                    if not rare and shared(item, text[a:b]) < least * len(item):
+                        continue
                     score, end = align(item, text[a:b])
                     if top is None or score > top[0]:
                         back, _ = align(item[::-1], text[a : a + end][::-1])
                         top = (score, a, a + end, seeds, back)
                 if top and top[0] >= least * len(item):
                     begin = top[2] - _reach(item, text[top[1] : top[2]], top[0])
-                    yield doc_ids[d], items.ids[i], top[0] / len(item), top[0], begin, top[2] - 1, top[3]
+                    yield w.first + d, items.ids[i], top[0] / len(item), top[0], begin, top[2] - 1, top[3]
+
+    return leaks
+
+
+def _search(items: Items, least: float):
+    leaks = _leaks(items, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for w in words_of(batch.column(1), LOOSE) for x in leaks(w, batch.column(0).slice(w.first, len(w)).to_pylist())]
+            found = [(batch.column(0)[x[0]].as_py(), *x[1:]) for w in words_of(batch.column(1), LOOSE) for x in leaks(w)]
             columns = list(zip(*found)) if found else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in LEAKS.split(", ")])
@@ -160,34 +179,53 @@ def _search(items: Items, least: float):
     return run
 
 
+def _without(items: Items, least: float, place: int):
+    leaks = _leaks(items, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[x[0] for w in words_of(batch.column(place), LOOSE) for x in leaks(w)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _reach(item: np.ndarray, text: np.ndarray, score: int) -> int:
     """How many words before the end of ``text`` the alignment that ends there begins."""
     best, end = align(item[::-1], text[::-1])
     return end if best >= score else len(text)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, common: float = COMMON, least: float = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per (document, item) that align: the best score, its share of the item's words, where it lies."""
+def _blocks(docs: DataFrame, items: DataFrame, seed: int = SEED, common: float = COMMON, block_words: int = BLOCK_WORDS) -> Iterator:
+    """The items in broadcast blocks, each with its rare seeds told by a pass over docs."""
     context = docs.sparkSession.sparkContext
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = -(-words // block_words) or 1
-    out = None
     for k in range(blocks):
         block = Items(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect(), seed)
         first = context.broadcast(block)
         counted = docs.select("text").mapInArrow(lambda b, x=first: _count(x.value)(b), "gram long, n long")
-        block.rare(dict(counted.groupBy("gram").agg(F.sum("n")).collect()), common)
-        rare = context.broadcast(block)
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b, x=rare: _search(x.value, least)(b), LEAKS)
+        block.tell_rare(dict(counted.groupBy("gram").agg(F.sum("n")).collect()), common)
+        yield context.broadcast(block)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, **options) -> DataFrame:
+    """One row per (document, item) that align: the best score, its share of the item's words, where it lies and how many seeds lie there."""
+    out = None
+    for block in _blocks(docs, items, **options):
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b, x=block: _search(x.value, least)(b), LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those in which an item leaks. Rows without an id stay: nothing can be held against them by id."""
-    leaks = find_leaks(docs, items, **options).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(leaks), F.col("doc_id") == F.col("_gone"), "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, least: float = LEAST, **options) -> DataFrame:
+    """docs without those in which an item leaks; each row is judged where it stands, so repeated and null ids don't matter."""
+    place, left = docs.columns.index("text"), docs
+    for block in _blocks(docs, items, **options):
+        left = left.mapInArrow(lambda b, x=block: _without(x.value, least, place)(b), docs.schema)
+    return left
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

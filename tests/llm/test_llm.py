@@ -62,6 +62,28 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == leaked
 
 
+@pytest.mark.parametrize("copies", [5, 50, 500])
+def test_half_an_item_is_found_however_often_it_repeats(spark, copies):
+    word = iter(random.Random(3).sample(range(10**6), 60 * copies + 60))
+    item = [f"w{next(word)}" for _ in range(30)]
+    texts = [[f"w{next(word)}" for _ in range(20)] for _ in range(copies)]
+    whole = {-1: " ".join(item), -2: " ".join(item)} if copies == 50 else {}
+    rows = [*whole.items(), *((k, " ".join(t + item[:15] + t)) for k, t in enumerate(texts)), (10**6, " ".join(texts[0] + item[:5])), (None, " ".join(item[:15]))]
+    df, items = docs(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.score, r.first_word, r.last_word) for r in decontaminate.find_leaks(df, items).collect()}
+    assert found == {k: (30, 0, 29) for k in whole} | {k: (15, 20, 34) for k in range(copies)} | {None: (15, 0, 14)}
+    assert [r.doc_id for r in decontaminate.decontaminate(df, items).collect()] == [10**6]
+
+
+def test_shared_words_bound_every_alignment():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = r.integers(0, 9, r.integers(1, 12)), r.integers(0, 9, r.integers(1, 15))
+        assert decontaminate.align(a, b)[0] <= decontaminate.shared(a, b) == sum(min((a == x).sum(), (b == x).sum()) for x in set(a.tolist()))
+
+
 def test_alignment_equals_the_full_table():
     import numpy as np
 
