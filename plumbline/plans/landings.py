@@ -80,3 +80,42 @@ _query("lnd_06_header", lambda x: landing.merge_header(_parsed(x)), "SELECT repo
 _query("lnd_09_uncached", lambda x: landing.uncached(x["points"].select("report_id", F.col("point_id").alias("prompt_key"), F.lit(0.1).alias("temperature")).distinct(), x["points"].select(F.col("point_id").alias("prompt_key"), F.when(F.col("row_no") % 3 == 0, '{"a": 1}').when(F.col("row_no") % 3 == 1, " ").otherwise("short").alias("raw"))),
        "SELECT DISTINCT report_id, point_id AS prompt_key, 0.1::DOUBLE AS temperature FROM p WHERE point_id NOT IN (SELECT point_id FROM p WHERE row_no % 3 = 0)")
 _query("lnd_11_chunk_status", lambda x: landing.chunk_status(*landing.parse_responses(_responses(x))), "SELECT report_id, count(DISTINCT table_idx) AS chunks, count(DISTINCT CASE WHEN table_idx % 5 <> 4 THEN table_idx END) AS succeeded, count(DISTINCT CASE WHEN table_idx % 5 = 4 THEN table_idx END) AS failed, false AS lost FROM p GROUP BY 1")
+
+
+def _whole_responses(x: dict[str, DataFrame]) -> DataFrame:
+    """A response a table, flat or of depths, with all that a response may hold: statistics, and the report's thresholds and summaries in each chunk."""
+    key, both = ["report_id", "table_idx"], "positive_max_id positive_max_value negative_max_id negative_max_value max_rate_id max_rate_value max_force_id max_force_value min_force_id min_force_value".split()
+    listed = lambda df, name, cols, by, no: df.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(no, F.struct(*cols).alias("v")))), lambda p: p["v"]).alias(name))
+    points = listed(x["points"], "points", ["point_id", "initial_value", "current_value", "current_change", "cumulative_change", "change_rate", "safety_status"], key, "row_no")
+    depth = F.when(F.col("row_no") % 5 == 4, "01-1").otherwise(F.col("depth").cast("string")).alias("depth")
+    deep = listed(x["deep_points"], "deep_points", [depth, "previous_cumulative", "current_cumulative", "current_change", "change_rate"], key, "row_no")
+    stats = [x["table_stats"].select(*key, F.struct(*both).alias("statistics")), x["deep_stats"].select(*key, F.struct(*both, "max_change_id", "max_change_value").alias("statistics"))]
+    limits = listed(x["thresholds"], "thresholds", ["item_name", "warning_value", "control_value", "rate_limit"], ["report_id"], "th_no")
+    made = []
+    for tables, rows, stat, since in ((x["mon_tables"], points, stats[0], 0), (x["deep_tables"], deep, stats[1], 100000)):
+        name = rows.columns[-1]
+        unit = F.when(F.col("table_unit") != "mm", F.col("table_unit")).alias("table_unit")
+        table = F.struct("monitoring_item", F.col("monitoring_item").alias("category"), "monitor_date", "monitor_count", F.col("point_count").cast("string").alias("point_count"), "borehole_id", unit, F.when(F.col("table_idx") % 3 == 0, False).alias("initial_value_reliable"), name, "statistics")
+        item = F.struct("monitoring_item", F.col("monitor_date").alias("positive_max"))
+        body = F.struct(F.array(table).alias("tables"), F.when(F.col("table_idx") % 2 == 0, F.col("thresholds")).alias("thresholds"), F.array(item).alias("summary_items"), F.lit("7d").alias("interval_days"))
+        held = tables.join(rows, key).join(stat, key).join(limits, "report_id", "left")
+        made.append(held.select("report_id", (F.col("table_idx") + since).cast("int").alias("chunk_no"), F.to_json(body).alias("raw")))
+    return made[0].unionByName(made[1])
+
+
+_CHUNKS = """, c AS (SELECT report_id, table_idx AS own, table_idx AS chunk, monitoring_item, monitor_date, monitor_count, category, point_count, borehole_id, table_unit FROM t UNION ALL SELECT report_id, table_idx, 100000 + table_idx, monitoring_item, monitor_date, monitor_count, category, point_count, borehole_id, table_unit FROM dt),
+i AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY chunk) - 1 AS idx FROM c) """
+_STATS = "positive_max_id positive_max_value negative_max_id negative_max_value max_rate_id max_rate_value max_force_id max_force_value min_force_id min_force_value".split()
+_said = ", ".join(f"coalesce({c}, '') AS {c}" if c.endswith("_id") else c for c in _STATS)
+
+
+def _landed(name: str, sql: str) -> None:
+    _query(f"lnd_04_{name}", lambda x: landing.land(landing.parse_responses(_whole_responses(x))[0])[name], _CHUNKS + sql)
+
+
+_landed("mon_tables", "SELECT report_id, idx AS table_idx, monitoring_item, category, monitor_date, monitor_count, '' AS equipment_type, '' AS equipment_model, point_count, borehole_id, NULL::DOUBLE AS borehole_depth, table_unit, own % 3 <> 0 AS initial_value_reliable, 7.0::DOUBLE AS interval_days FROM i")
+_landed("points", "SELECT i.report_id, idx AS table_idx, row_no, point_id, initial_value, NULL::DOUBLE AS previous_value, current_value, current_change, cumulative_change, change_rate, safety_status FROM i JOIN p ON p.report_id = i.report_id AND p.table_idx = i.chunk")
+_landed("deep_points", "SELECT i.report_id, idx AS table_idx, row_number() OVER (PARTITION BY i.report_id, idx ORDER BY row_no) - 1 AS row_no, depth, previous_cumulative, current_cumulative, current_change, change_rate FROM i JOIN d ON d.report_id = i.report_id AND 100000 + d.table_idx = i.chunk WHERE row_no % 5 <> 4")
+_landed("thresholds", "SELECT report_id, th_no, item_name, warning_value, control_value, rate_limit FROM th WHERE report_id IN (SELECT report_id FROM i WHERE own % 2 = 0)")
+_landed("summary_items", "SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY min(chunk)) - 1 AS item_no, monitoring_item, arg_min(monitor_date, chunk) AS positive_max, '' AS positive_max_id, '' AS negative_max, '' AS negative_max_id, '' AS max_rate, '' AS max_rate_id, '' AS safety_status FROM i GROUP BY report_id, monitoring_item")
+_landed("table_stats", f"SELECT i.report_id, idx AS table_idx, {_said}, '' AS max_change_id, NULL::DOUBLE AS max_change_value FROM i JOIN s ON s.report_id = i.report_id AND s.table_idx = i.chunk UNION ALL SELECT i.report_id, idx AS table_idx, {_said}, coalesce(max_change_id, '') AS max_change_id, max_change_value FROM i JOIN ds ON ds.report_id = i.report_id AND 100000 + ds.table_idx = i.chunk")

@@ -76,8 +76,18 @@ def repair_json(c: Column) -> Column:
     return c
 
 
-_POINT = "struct<point_id:string,initial_value:string,current_value:string,current_change:string,cumulative_change:string,change_rate:string>"
-RESPONSE = f"struct<project_name:string,tables:array<struct<monitoring_item:string,monitor_date:string,point_count:string,table_unit:string,points:array<{_POINT}>>>,thresholds:array<struct<item_name:string,warning_value:string,control_value:string>>>"
+def _texts(names: str, *more: str) -> str:
+    """A struct of texts; lists are lists of texts too, so that an element that is no object spoils only itself."""
+    return "struct<" + ",".join([f"{c}:string" for c in names.split()] + [f"{c}:array<string>" for c in more]) + ">"
+
+
+_VALUES, _DEPTHS = "initial_value previous_value current_value current_change cumulative_change change_rate".split(), "depth previous_cumulative current_cumulative current_change change_rate".split()
+_LIMITS = "warning_value control_value rate_limit".split()
+_SUMMARY = "monitoring_item negative_max negative_max_id positive_max positive_max_id max_rate max_rate_id safety_status".split()
+_STATISTICS = "positive_max negative_max max_rate max_change max_force min_force".split()
+_TABLE_TEXTS = "monitoring_item monitor_date monitor_count equipment_type equipment_model".split()
+RESPONSE = _texts("project_name interval_days", "tables", "thresholds", "summary_items")
+_TABLE = _texts(" ".join(_TABLE_TEXTS) + " category point_count borehole_id borehole_depth table_unit initial_value_reliable statistics", "points", "deep_points")
 
 
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,24 +96,50 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return body.where("x is not null"), body.where("x is null").drop("x")
 
 
+def _objects(c: str, schema: str) -> Column:
+    """The objects of a list, parsed; what is no object is skipped."""
+    return F.transform(F.filter(F.col(c), lambda x: x.rlike(r"^\s*\{")), lambda x: F.from_json(x, schema))
+
+
 def land(parsed: DataFrame) -> dict[str, DataFrame]:
-    """LND-04: tables and points of the parsed responses, numbers read the landing way."""
+    """LND-04: the six tables of the parsed responses, numbers read the landing way; thresholds and summaries merged over a report's chunks."""
     from ..functions.text import category, landed_id, landed_number
 
-    tables = parsed.select("report_id", "chunk_no", F.posexplode("x.tables").alias("pos", "t")).where("t is not null")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    numbers = lambda of, names: [landed_number(F.col(f"{of}.{c}")).alias(c) for c in names]
+    chunks = parsed.withColumn("first_chunk", F.min("chunk_no").over(Window.partitionBy("report_id")))
+    interval = landed_number(F.col("x.interval_days"))
+    header = parsed.groupBy("report_id").agg(F.min_by(interval, F.when(interval != 0, F.col("chunk_no"))).alias("interval_days"))
+    tables = parsed.select("report_id", "chunk_no", F.posexplode(_objects("x.tables", _TABLE)).alias("pos", "t"))
     order = Window.partitionBy("report_id").orderBy("chunk_no", "pos")
     tables = tables.withColumn("table_idx", (F.row_number().over(order) - 1).cast("long"))
-    points = tables.select("report_id", "table_idx", F.posexplode("t.points").alias("row_no", "p")).where("p is not null")
+    rows = lambda c, schema, where=lambda x: F.lit(True): tables.select("report_id", "table_idx", F.posexplode(F.filter(_objects(f"t.{c}", schema), where)).alias("row_no", "p"))
+    points, deep = rows("points", _texts(" ".join(["point_id", *_VALUES, "safety_status"]))), rows("deep_points", _texts(" ".join(_DEPTHS)), lambda x: landed_number(x["depth"]).isNotNull())
+    said = tables.withColumn("s", F.from_json(F.when(F.col("t.statistics").rlike(r"^\s*\{"), F.col("t.statistics")), _texts(" ".join(f"{c}_id {c}_value" for c in _STATISTICS))))
+
+    def merged(c: str, key: str, schema: str, number: str, fields: list[Column]) -> DataFrame:
+        records = chunks.select("report_id", "chunk_no", "first_chunk", F.posexplode(_objects(f"x.{c}", schema)).alias("pos", "p"))
+        named = F.trim(text(f"p.{key}"))
+        first = merge_records(records, F.when(named != "", named).otherwise(F.to_json("p")), F.col("first_chunk"))
+        return first.select("report_id", (F.row_number().over(order) - 1).cast("int").alias(number), *fields)
+
     return {
-        "mon_tables": tables.select("report_id", "table_idx", F.coalesce("t.monitoring_item", F.lit("")).alias("monitoring_item"), category(F.coalesce("t.monitoring_item", F.lit(""))).alias("category"), F.coalesce("t.monitor_date", F.lit("")).alias("monitor_date"), F.coalesce("t.table_unit", F.lit("mm")).alias("table_unit")),
-        "points": points.select("report_id", "table_idx", "row_no", landed_id(F.col("p.point_id")).alias("point_id"), *[landed_number(F.col(f"p.{c}")).alias(c) for c in ("initial_value", "current_value", "current_change", "cumulative_change", "change_rate")]),
+        "mon_tables": tables.join(header, "report_id").select(
+            "report_id", "table_idx", *[text(f"t.{c}").alias(c) for c in _TABLE_TEXTS], category(text("t.category")).alias("category"), F.coalesce(landed_number(F.col("t.point_count")), F.lit(0)).cast("int").alias("point_count"),
+            landed_id(F.col("t.borehole_id")).alias("borehole_id"), *numbers("t", ["borehole_depth"]), F.coalesce("t.table_unit", F.lit("mm")).alias("table_unit"), (F.lower(F.coalesce("t.initial_value_reliable", F.lit("true"))) != "false").alias("initial_value_reliable"), "interval_days",
+        ),
+        "points": points.select("report_id", "table_idx", "row_no", landed_id(F.col("p.point_id")).alias("point_id"), *numbers("p", _VALUES), text("p.safety_status").alias("safety_status")),
+        "deep_points": deep.select("report_id", "table_idx", "row_no", *numbers("p", _DEPTHS)),
+        "thresholds": merged("thresholds", "item_name", _texts(" ".join(["item_name", *_LIMITS])), "th_no", [text("p.item_name").alias("item_name"), *numbers("p", _LIMITS)]),
+        "summary_items": merged("summary_items", "monitoring_item", _texts(" ".join(_SUMMARY)), "item_no", [text(f"p.{c}").alias(c) for c in _SUMMARY]),
+        "table_stats": said.select("report_id", "table_idx", *[x for c in _STATISTICS for x in (landed_id(F.col(f"s.{c}_id")).alias(f"{c}_id"), *numbers("s", [f"{c}_value"]))]),
     }
 
 
-def merge_records(records: DataFrame, key: Column) -> DataFrame:
-    """LND-05: the first record of each key in chunk order; records inside a report's first chunk all stay."""
+def merge_records(records: DataFrame, key: Column, first: Column | None = None) -> DataFrame:
+    """LND-05: the first record of each key in chunk order; records inside a report's first chunk (``first``, or else the first with records) all stay."""
     place = F.struct("chunk_no", "pos")
-    first_chunk = F.min("chunk_no").over(Window.partitionBy("report_id"))
+    first_chunk = F.min("chunk_no").over(Window.partitionBy("report_id")) if first is None else first
     rank = F.row_number().over(Window.partitionBy("report_id", "_key").orderBy(place))
     ranked = records.withColumn("_key", key).withColumns({"_rank": rank, "_first": first_chunk})
     return ranked.where((F.col("_rank") == 1) | (F.col("chunk_no") == F.col("_first"))).drop("_key", "_rank", "_first")
