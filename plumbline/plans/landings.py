@@ -119,3 +119,18 @@ _landed("deep_points", "SELECT i.report_id, idx AS table_idx, row_number() OVER
 _landed("thresholds", "SELECT report_id, th_no, item_name, warning_value, control_value, rate_limit FROM th WHERE report_id IN (SELECT report_id FROM i WHERE own % 2 = 0)")
 _landed("summary_items", "SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY min(chunk)) - 1 AS item_no, monitoring_item, arg_min(monitor_date, chunk) AS positive_max, '' AS positive_max_id, '' AS negative_max, '' AS negative_max_id, '' AS max_rate, '' AS max_rate_id, '' AS safety_status FROM i GROUP BY report_id, monitoring_item")
 _landed("table_stats", f"SELECT i.report_id, idx AS table_idx, {_said}, '' AS max_change_id, NULL::DOUBLE AS max_change_value FROM i JOIN s ON s.report_id = i.report_id AND s.table_idx = i.chunk UNION ALL SELECT i.report_id, idx AS table_idx, {_said}, coalesce(max_change_id, '') AS max_change_id, max_change_value FROM i JOIN ds ON ds.report_id = i.report_id AND 100000 + ds.table_idx = i.chunk")
+
+
+def _broken_responses(x: dict[str, DataFrame]) -> DataFrame:
+    """A response a table with what a strict parser refuses: line breaks and tabs inside texts, and units after numbers."""
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("", "cm", "KN", " kn", "")]), (F.col("table_idx") % 5 + 1).cast("int"))
+    point = F.concat(F.lit('{"point_id": "'), "point_id", F.lit('",\n"cumulative_change": '), F.format_string("%.2f", "cumulative_change"), unit, F.lit("}"))
+    body = _by_table(x["points"], point, ",\n")
+    name = F.element_at(F.array(*[F.lit(u) for u in ("P \\\"5\\\"\n", "P\r\nQ\t5", "P")]), (F.col("table_idx") % 3 + 1).cast("int"))
+    return body.select("report_id", F.col("table_idx").cast("int").alias("chunk_no"), F.concat(F.lit('{"project_name": "'), name, F.lit('",\n"tables": [{"points": ['), "body", F.lit("]}]}")).alias("raw"))
+
+
+_query("lnd_02_repaired_names", lambda x: landing.parse_responses(_broken_responses(x))[0].select("report_id", "chunk_no", F.col("x.project_name").alias("project_name")),
+       """SELECT DISTINCT report_id, table_idx AS chunk_no, CASE table_idx % 3 WHEN 0 THEN 'P "5"' || chr(10) WHEN 1 THEN 'P' || chr(13) || chr(10) || 'Q' || chr(9) || '5' ELSE 'P' END AS project_name FROM p""")
+_query("lnd_02_repaired_points", lambda x: landing.land(landing.parse_responses(_broken_responses(x))[0])["points"].select("report_id", "table_idx", "row_no", "point_id", F.round("cumulative_change", 2).alias("cum")),
+       "SELECT report_id, dense_rank() OVER (PARTITION BY report_id ORDER BY table_idx) - 1 AS table_idx, row_no, point_id, round(cumulative_change, 2) AS cum FROM p")

@@ -69,9 +69,17 @@ def isolate_json(c: Column) -> Column:
     return F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)(\{.*\})", 1)
 
 
+def escape_breaks(c: Column) -> Column:
+    """LND-02: raw line breaks and tabs inside string literals, escaped; those between literals stay."""
+    pieces = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]++|\\[\s\S])*+"|[^"]++|"'), F.lit(0))
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.startswith('"'), escaped(x)).otherwise(x)), "")
+
+
 def repair_json(c: Column) -> Column:
-    """LND-02: units after numbers, doubled and trailing dots, trailing and missing commas, in this order."""
-    for pattern, put in ((r"(:\s*-?\d+(?:\.\d+)?)\s*(?:mm/d|mm|kN|m)(?=\s*[,}\]])", "$1"), (r"(\d)\.\.(\d)", "$1.$2"), (r"(\d)\.(?=\s*[,}\]])", "$1"), (r",(?=\s*[}\]])", ""), (r"([}\]\"\d])\s*\n(\s*\")", "$1,\n$2"), (r"([}\]\"\d])\s{2,}(\"[A-Za-z_]+\"\s*:)", "$1, $2")):
+    """LND-02: breaks inside strings (first, or a missing comma would be put into them), units after numbers, doubled and trailing dots, trailing and missing commas."""
+    c = escape_breaks(c)
+    for pattern, put in ((r"(:\s*-?\d+(?:\.\d+)?)\s*(?:mm/d|mm|cm|kN|KN|kn|m)(?=\s*[,}\]])", "$1"), (r"(\d)\.\.(\d)", "$1.$2"), (r"(\d)\.(?=\s*[,}\]])", "$1"), (r",(?=\s*[}\]])", ""), (r"([}\]\"\d])\s*\n(\s*\")", "$1,\n$2"), (r"([}\]\"\d])\s{2,}(\"[A-Za-z_]+\"\s*:)", "$1, $2")):
         c = F.regexp_replace(c, pattern, put)
     return c
 
@@ -91,8 +99,12 @@ _TABLE = _texts(" ".join(_TABLE_TEXTS) + " category point_count borehole_id bore
 
 
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """LND-03: parsed responses, and those that no repair makes an object. Leaves are read as texts: a quoted number is a number too."""
-    body = responses.withColumn("x", F.coalesce(*[F.when(F.size(F.json_object_keys(t)) >= 0, F.from_json(t, RESPONSE)) for t in (isolate_json(F.col("raw")), repair_json(isolate_json(F.col("raw"))))]))
+    """LND-03: parsed responses, and those that no repair makes an object. Leaves are read as texts: a quoted number is a number too.
+
+    The parser that reads a text also says whether it can: as a map a text is null if any of it is broken, while as a struct it is one of nulls.
+    """
+    raw = isolate_json(F.col("raw"))
+    body = responses.withColumn("x", F.coalesce(*[F.when(F.from_json(t, "map<string,string>").isNotNull(), F.from_json(t, RESPONSE)) for t in (raw, escape_breaks(raw), repair_json(raw))]))
     return body.where("x is not null"), body.where("x is null").drop("x")
 
 
