@@ -4,22 +4,28 @@ A word is a maximal run of bytes other than space and \\x09-\\x0D. All words of
 a chunk of rows are found and hashed together, so that the cost per word is a
 few array operations instead of a Python call. The working memory is bounded by
 ``CHUNK`` bytes of text (or one text, if that is longer).
+
+A word's hash goes over it in blocks of eight bytes, each of which passes two
+lanes that mix every bit before the next block; words of more than ``LONG``
+bytes are hashed by blake2b. A shingle's hash joins those of its words in pairs,
+pairs of pairs and so on, mixed at every step. Neither is a sum of its parts, so
+texts that differ don't meet by construction. Operators whose decisions are
+final compare the words themselves as well (``spelled`` gives them).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
+CHUNK, LONG = 1 << 20, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)  # the first n bytes of a block
 
 EXACT = np.arange(256, dtype=np.uint8)
 LOWER = EXACT.copy()
@@ -28,20 +34,6 @@ LOWER[65:91] += 32
 LOOSE = LOWER.copy()
 LOOSE[[i for i in range(33, 127) if not chr(i).isalnum()]] = 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        grown = np.full(max(n, CHUNK) + 1, base, np.uint64)
-        grown[0] = 1
-        have = np.cumprod(grown, dtype=np.uint64)
-        if n <= 4 * CHUNK:
-            _powers[kind] = have
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the word."""
@@ -52,6 +44,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    return mix(mix(a + np.uint64(0xD6E8FEB86659FD93)) ^ (b * np.uint64(0xA0761D6478BD642F)))
+
+
+def _blocks(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of a text on, as one number each."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+
+
+def _spans(blocks: np.ndarray, at: np.ndarray, size: np.ndarray, tag: int = 0) -> np.ndarray:
+    """Hashes of the stretches of ``size`` bytes (at most LONG) from ``at`` on."""
+    one, two = mix(size.astype(np.uint64) + np.uint64(977 * tag)), np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
+    for step in range(0, int(size.max(initial=0)), 8):
+        live = slice(None) if step == 0 else np.flatnonzero(size > step)
+        x = blocks[at[live] + step] & _KEEP[np.minimum(size[live] - step, 8)]
+        one[live], two[live] = mix(one[live] ^ x), mix(two[live] + x * np.uint64(0x9FB21C651E98DF25)) ^ one[live]
+    return mix(one ^ (two >> np.uint64(7)) ^ (two << np.uint64(57)))
+
+
 @dataclass
 class Words:
     """Words of rows ``first .. first + len(rows) - 1``; row i has words rows[i] .. rows[i + 1] - 1."""
@@ -61,29 +74,32 @@ class Words:
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    text: np.ndarray
-    sums: np.ndarray
+    text: np.ndarray  # as given
+    folded: np.ndarray  # as hashed
 
     def __len__(self) -> int:
         return len(self.rows) - 1
 
-    def grams(self, k: int, lane: int = 0) -> np.ndarray:
+    def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; those that leave their row are meaningless (see ``inside``)."""
         n = len(self.hashes) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        step = np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[lane])
-        out = self.hashes[:n].copy()
-        for j in range(1, k):
-            out *= step
-            out += self.hashes[j : j + n]
-        return mix(out + np.uint64(k + 1000 * lane))
+        out, done, power, width = None, 0, self.hashes, 1
+        while True:
+            if k & width:
+                part = power[done : done + n]
+                out = part.copy() if out is None else _join(out, part)
+                done += width
+            if done == k:
+                return mix(out + np.uint64(k))
+            power = _join(power[:-width], power[width:])
+            width *= 2
 
     def heads(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the first n bytes of the words that are longer, and which words these are."""
+        """Hashes of the first n bytes (8 at most) of the words that are longer, and which words these are."""
         long = np.flatnonzero(self.ends - self.starts > n)
-        at = self.starts[long]
-        return mix((self.sums[at + n] - self.sums[at]) * _power("down", len(self.sums))[at] + np.uint64(n)), long
+        return _spans(_blocks(self.folded), self.starts[long], np.full(len(long), n), 1), long
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.rows))
@@ -96,6 +112,18 @@ class Words:
         left = np.repeat(self.rows[1:], np.diff(self.rows))[:n] - np.arange(n)
         return left >= k
 
+    def spelled(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """A number for each of the words, the same for the same word and for no other (within this call)."""
+        return cut(self.folded, self.starts[which], self.ends[which]).dictionary_encode().indices.to_numpy()
+
+
+def cut(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The stretches of a text, as an array."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    data = text[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
 
 def binary(column) -> pa.Array:
     """A text column as large binary, nulls as empty."""
@@ -105,8 +133,8 @@ def binary(column) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
 
 
-def words_of(column, fold: np.ndarray = EXACT) -> Iterator[Words]:
-    """The words of all rows, in chunks of rows."""
+def words_of(column, fold: np.ndarray = EXACT, chunk: int = CHUNK) -> Iterator[Words]:
+    """The words of all rows, in chunks of rows that hold about ``chunk`` bytes."""
     texts = binary(column)
     if not len(texts):
         return
@@ -114,7 +142,7 @@ def words_of(column, fold: np.ndarray = EXACT) -> Iterator[Words]:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
         to = min(to, len(texts))
         yield _hash(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold)
         at = to
@@ -125,7 +153,7 @@ def _hash(first: int, raw: np.ndarray, bounds: np.ndarray, fold: np.ndarray) ->
     n = len(text)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(first, np.zeros(len(bounds), np.int64), np.zeros(0, np.uint64), none, none, raw, np.zeros(1, np.uint64))
+        return Words(first, np.zeros(len(bounds), np.int64), np.zeros(0, np.uint64), none, none, raw, text)
     solid = ~_SPACE[text]
     begin, stop = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -135,7 +163,8 @@ def _hash(first: int, raw: np.ndarray, bounds: np.ndarray, fold: np.ndarray) ->
     begin[edge] = solid[edge]
     stop[edge - 1] = solid[edge - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[text] * _power("up", n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power("down", n)[starts])
-    return Words(first, np.searchsorted(starts, bounds), hashes, starts, ends, raw, sums)
+    size = ends - starts
+    hashes = _spans(_blocks(text), starts, np.minimum(size, LONG))
+    for i in np.flatnonzero(size > LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return Words(first, np.searchsorted(starts, bounds), hashes, starts, ends, raw, text)
