@@ -13,8 +13,8 @@ neighbouring windows mostly share their sample, so that they travel as one piece
 
 1. Sampled prefixes are counted over the corpus, summed map-side; a prefix that
    one document alone has is a leaf of the tree and goes no further.
-2. Groups of at most ``GROUP`` sampled suffixes are subtrees that fit into a
-   task. Where a group is larger, its windows get longer prefixes of their
+2. Groups of at most ``GROUP`` sampled suffixes (some 20 MB of text and as many
+   numbers) are subtrees that fit into a task. Where a group is larger, its windows get longer prefixes of their
    spellings (``LENGTHS``), counted again, until they fit. A group that is too
    large at full depth is one node; it is summed map-side to its smallest id, and never comes together.
 3. Each task sorts the spellings of its groups by their words and takes the
@@ -44,11 +44,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import read, small_side
+from .tables import checkpointed, read, small_side
 from .words import Words, binary, cut, words_of
 
 DEPTH = 13
-LENGTHS, GROUP = (5, 9), 1024
+LENGTHS, GROUP = (5, 9), 1 << 16
 TASK_ROWS = 8192
 _WORDS = np.arange(DEPTH)
 
@@ -148,7 +148,7 @@ def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of large groups one by one, their words in the order of the spelling with a space after each."""
     for batch in batches:
         ids, nth = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 3))
-        for w in words_of(_unpacked(batch.column(1))):
+        for w in words_of(batch.column(1)):
             row, at, _, place = _chosen(w, _lists(batch.column(2), w), True)
             which = _order(at, place - at).ravel()
             size = w.ends[which] - w.starts[which] + 1
@@ -293,13 +293,14 @@ def cut_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     copied = known.join(copies, ["doc_id", "digest"], "left_semi").select("doc_id", "text")
 
     suffixes = fresh.mapInArrow(_suffixes, "prefix long, doc_id long")
-    shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("prefix", (F.col("n") > group).alias("large"))
-    branches = suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.col("prefix") + F.col("large").cast("long")).alias("shared"))
+    shared = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", (F.col("n") > group).alias("large"))
+    branches = checkpointed(suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.col("prefix") + F.col("large").cast("long")).alias("shared")))
 
     base = fresh.mapInArrow(_pack, "doc_id long, packed binary, nth int").join(branches, "doc_id", "left")
-    inner = base.where(F.size("shared") > 0).select("doc_id", "packed", "shared", "nth")
-    crowded = inner.where(F.exists("shared", lambda p: p % 2 != 0))
-    places = _trees(inner.mapInArrow(_pieces, PIECE), False).unionByName(_longer(crowded.mapInArrow(_spelt, SPELT), group))
+    places = _trees(base.where(F.size("shared") > 0).select("doc_id", "packed", "shared", "nth").mapInArrow(_pieces, PIECE), False)
+    crowded = branches.where(F.exists("shared", lambda p: p % 2 != 0))
+    if crowded.limit(1).count():
+        places = places.unionByName(_longer(fresh.join(small_side(crowded), "doc_id").select("doc_id", "text", "shared", "nth").mapInArrow(_spelt, SPELT), group))
     marks = places.groupBy("doc_id").agg(F.collect_set("place").alias("marks"))
     kept = base.join(marks, "doc_id", "left").select("doc_id", "packed", "marks", "nth").mapInArrow(_cut(False, True), CUT)
     alone = own.where(F.col("doc_id").isNull()).mapInArrow(_cut(False, False), CUT)
