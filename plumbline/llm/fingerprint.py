@@ -30,13 +30,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import read, small_side
-from .words import LOWER, words_of
+from .words import LOWER, mix, words_of
 
 K, SHINGLE, BYTES = 128, 5, 6
 PIECE, GROUP = 512, 1 << 15
 NO_ID = -(1 << 60)
 
 
+def shorter(words: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of fewer words than a shingle has."""
+    one = np.array([len(words)], np.uint64)
+    for h in words:
+        one = mix(one ^ h) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(one)
+
+
 def shingles(w, row: int, k: int = SHINGLE, grams: np.ndarray | None = None) -> np.ndarray:
     """The distinct shingle hashes of one row, ascending. ``grams``: w.grams(k), if the caller has it."""
     a, b = int(w.rows[row]), int(w.rows[row + 1])
@@ -44,10 +52,7 @@ def shingles(w, row: int, k: int = SHINGLE, grams: np.ndarray | None = None) ->
         return np.unique((w.grams(k) if grams is None else grams)[a : b - k + 1])
     if b == a:
         return np.zeros(0, np.uint64)
-    one = np.uint64(b - a)
-    for h in w.hashes[a:b]:
-        one = one * np.uint64(0xD6E8FEB86659FD93) + h
-    return np.array([one], np.uint64)
+    return shorter(w.hashes[a:b])
 
 
 def sketches(column, k: int = K) -> list[np.ndarray]:

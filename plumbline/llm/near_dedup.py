@@ -1,52 +1,57 @@
 """MinHash near-dedup with an LSH forest.
 
 Each text's set of 5-word shingles gives 128 minhashes. Tree t of the forest
-orders all sets by their minhashes from number 4t on (and on from number 0), so
-that sets alike lie near each other in many orders; two sets are candidates in a
-region of a tree if their longest common prefix is at least four minhashes. At a
-similarity of 0.75, 32 trees miss a pair with probability 6e-6.
-
-Candidates are looked at in two rounds, so that no group is paired with itself:
-
-1. In each tree's order every set meets its neighbour and the first of its
-   region. Links that hold on the full sets join the sets into components. A
-   group of thousands of near copies becomes one component in this way.
-2. Regions that still hold several components are searched exactly: every set
-   meets all sets of other components there, in blocks of bounded size; numpy
-   compares the signatures, then the sets, and only links leave the task. Depth adapts to the region: one that is larger
-   than a block is first split by the size of the sets, as far apart as sets of
-   the wanted similarity can be, and blocks meet each other in tasks of their own.
-
-Pairs whose 128 minhashes agree in less than ``LIKELY`` are passed over (a pair at
-0.75 falls below it with probability 1e-7); all others are confirmed on the full
-sets before they count. Sets that are equal are one node from the start, so exact
-copies never meet. Components are found by alternating large-star and small-star
-steps, all on Spark; nothing but row counts reaches the driver.
+sorts all sets by their minhashes from number 4t on (and on from number 0), so
+that sets alike lie near each other in many orders; sets whose longest common
+prefix in a tree's order is ``DEPTH`` minhashes or more lie in one region. At a
+similarity of 0.75, all 32 trees miss a pair with probability 6e-6.
+
+Candidates are looked at in rounds, so that no group is paired with itself:
+
+1. In each order every set meets its neighbour and the first of its region, if
+   their common prefix is long enough: first in ``LEADING`` trees, then, of what
+   the other trees bring, the pairs whose components still differ. A group of
+   thousands of near copies becomes one component in this way.
+2. In regions that still hold several components, all sets of different
+   components meet. The depth adapts to the region: one of more than ``BLOCK``
+   sets is parted by longer common prefixes (``DEPTHS``) until its parts fit.
+3. Sets that such a parting kept from each other, and whose regions still hold
+   several components, are joined exactly: two sets of the wanted similarity
+   share one of the rarest quarter of their shingles, whatever tree they are in.
+
+Minhashes only choose whom to look at: a pair whose signatures agree in less
+than half is passed over (at 0.75 that happens with probability 3e-10). A link
+counts if it holds on the sets of the words themselves. Equal texts are one node
+from the start, so exact copies never meet. Components are found by alternating
+large-star and small-star steps, all on Spark; nothing but row counts reaches
+the driver.
 
 Edge cases: letters A-Z are lower-cased; a text of fewer than five words has one
 shingle, all its words; null texts and texts without words have an empty set and
-link with nothing; rows without an id link with nothing and have no component;
-rows that repeat an id are one node and are returned each; an empty table gives
-no rows.
+link with nothing; rows that repeat an id are one document and are returned
+each; rows without an id take part too, but a group of such rows alone has no
+component id; an empty table gives no rows. ``keep_one`` keeps one of rows that
+repeat both id and text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprint import SHINGLE, shingles
 from .tables import checkpointed, read, small_side
-from .words import LOWER, words_of
+from .words import LOWER, binary, words_of
 
 HASHES, DEPTH = 128, 4
-TREES = HASHES // DEPTH
-LIKELY, BLOCK = 0.55, 1024
+TREES, LEADING = HASHES // DEPTH, 4
+DEPTHS, BLOCK, LIKELY = (4, 6, 8, 12, 16), 256, 0.5
+NO_ID = 1 << 62
 _SEEDS = np.random.default_rng(8).integers(1, 1 << 63, (HASHES, 2), dtype=np.uint64)
 _ADD, _TIMES = _SEEDS[:, :1], _SEEDS[:, 1:] | np.uint64(1)
 
@@ -67,19 +72,25 @@ def _sets(column) -> Iterator[np.ndarray]:
                 yield shingles(w, row, SHINGLE, grams)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, node, text): ``node`` is the id, or a number beyond all ids that belongs to the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    return own.select("doc_id", "digest", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID - 1))).alias("node"), "text")
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            made = [(len(x), hashlib.sha256(x.tobytes()).digest()[:16], signature(x).tobytes()) if len(x) else (0, None, None) for x in _sets(part.column(1))]
-            n, same, sign = zip(*made)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "same", "sign"])
+            made = [(len(x), signature(x).tobytes()) if len(x) else (0, None) for x in _sets(part.column(3))]
+            n, sign = zip(*made)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(sign, pa.binary())], ["doc_id", "digest", "node", "n_shingles", "sign"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, same, sign): the size, the digest and the signature of each row's set."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_sign, "doc_id long, n_shingles long, same binary, sign binary")
+    """(doc_id, digest, node, n_shingles, sign): the size and the signature of each row's set."""
+    return _keyed(docs).mapInArrow(_sign, "doc_id long, digest binary, node long, n_shingles long, sign binary")
 
 
 REGION = ["tree", "prefix"]
@@ -94,153 +105,191 @@ def regions(nodes: DataFrame) -> DataFrame:
     return placed.join(shared, REGION)
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(-1)
+def turned() -> Column:
+    """A signature as its tree sorts it."""
+    return F.concat(F.expr(f"substring(sign, tree * {2 * DEPTH} + 1)"), F.expr(f"substring(sign, 1, tree * {2 * DEPTH})"))
 
 
 def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, HASHES)
 
 
+def _alike(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets may be as alike as is wanted, by their signatures and sizes."""
+    return ((sa == sb).mean(-1) >= LIKELY) & (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb))
+
+
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in the order of a tree, and of each node and the first one that this task sees in its region."""
+    """Pairs of each set and its neighbour in the order of a tree, and the first that this task sees of their region: all with a longest common prefix of DEPTH and more."""
     last = head = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        region, rep, sign, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(), _signs(batch.column(2)), batch.column(3).to_numpy()
+        tree, rep, n = (batch.column(c).to_numpy() for c in (0, 1, 3))
+        sign = _signs(batch.column(2))
         if last is not None:
-            region, rep, sign, n = [last[0], *region], np.append(last[1], rep), np.concatenate([last[2], sign]), np.append(last[3], n)
-        same = np.array([x == y for x, y in zip(region, region[1:])], bool)
+            tree, rep, sign, n = np.append(last[0], tree), np.append(last[1], rep), np.concatenate([last[2], sign]), np.append(last[3], n)
+        common = np.logical_and.accumulate(sign[1:, : DEPTHS[-1]] == sign[:-1, : DEPTHS[-1]], axis=1).sum(1)
+        same = (tree[1:] == tree[:-1]) & (common >= DEPTH)
         starts = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(rep)), 0))
         first, first_sign, first_n = rep[starts], sign[starts], n[starts]
-        if head is not None and head[0] == region[0]:
+        if head is not None:  # the row that was kept stands for the region it was in
             begun = starts == 0
-            first[begun], first_sign[begun], first_n[begun] = head[1], head[2], head[3]
+            first[begun], first_sign[begun], first_n[begun] = head
         a, b = np.concatenate([rep[:-1][same], first]), np.concatenate([rep[1:][same], rep])
         sa, sb = np.concatenate([sign[:-1][same], first_sign]), np.concatenate([sign[1:][same], sign])
         na, nb = np.concatenate([n[:-1][same], first_n]), np.concatenate([n[1:][same], n])
-        good = (a != b) & (_agree(sa, sb) >= LIKELY) & (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[good], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        head = (region[-1], first[-1], first_sign[-1], first_n[-1])
-        last = (region[-1], rep[-1:], sign[-1:], n[-1:])
+        good = (a != b) & _alike(sa, sb, na, nb)
+        at = np.concatenate([tree[1:][same], tree])[good]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good]), pa.array(at)], ["a", "b", "tree"])
+        head = (first[-1], first_sign[-1], first_n[-1])
+        last = (tree[-1:], rep[-1:], sign[-1:], n[-1:])
 
 
 def neighbours(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of round 1. The orders are cut into ranges of rows, so a large region is spread over tasks."""
-    turned = F.concat(F.expr(f"substring(sign, tree * {2 * DEPTH} + 1)"), F.expr(f"substring(sign, 1, tree * {2 * DEPTH})"))
-    rows = placed.join(nodes.select("rep", "sign", "n"), "rep").withColumn("turned", turned)
+    """(a, b, tree): candidate pairs of round 1, each with the first tree that has it. The orders are cut into ranges of rows, so a large region is spread over tasks."""
+    rows = placed.join(nodes.select("rep", "sign", "n"), "rep").select("tree", "rep", turned().alias("turned"), "n")
     ordered = rows.repartitionByRange("tree", "turned", "rep").sortWithinPartitions("tree", "turned", "rep")
-    return ordered.select(F.concat(F.col("tree").cast("string").cast("binary"), F.lit(b":"), "prefix").alias("region"), "rep", "sign", "n").mapInArrow(_beside, "a long, b long").distinct()
-
-
-def _meet(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs of different components between the two blocks of a group (or within its one block) that are alike by their 32-bit sets."""
-    rep, part, n, block = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
-    tree, signs = rows[0][5], b"".join(r[6] for r in rows)
-    sign, quads = np.frombuffer(signs, ">u2").reshape(-1, HASHES), np.frombuffer(signs, ">u8").reshape(-1, TREES)
-    sets = [np.frombuffer(r[7], np.uint32) for r in rows]
-    right, one = np.flatnonzero(block == block.max()), block.min() == block.max()
-    out = []
-    for i in np.flatnonzero(block == block.min()).tolist():
-        to = right[right > i] if one else right
-        to = to[(part[to] != part[i]) & (100 * np.minimum(n[to], n[i]) >= 75 * np.maximum(n[to], n[i]))]
-        if len(to):
-            to = to[_agree(sign[to], sign[i]) >= LIKELY]
-        if len(to):
-            to = to[(quads[to] == quads[i]).argmax(1) == tree]  # a pair is looked at in the first tree that brings it together
-        for j in to.tolist():
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))  # never too few
-            if 100 * both >= 75 * (n[i] + n[j] - both):
-                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-    return out
-
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each group of rows that lie together; a group has two blocks at most."""
-    group: list[tuple] = []
-
-    def made(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+    return ordered.mapInArrow(_beside, "a long, b long, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
+
+
+def _named(df: DataFrame, components: DataFrame, rep: str, component: str) -> DataFrame:
+    """df with the component of its column ``rep``: the node itself where it has no link."""
+    return df.join(components.select(F.col("rep").alias(rep), F.col("component").alias(component)), rep, "left").withColumn(component, F.coalesce(component, rep))
+
+
+def parted(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose components differ."""
+    return _named(_named(pairs.select("a", "b"), components, "a", "ca"), components, "b", "cb").where("ca <> cb").select("a", "b")
+
+
+def mixed(rows: DataFrame, region: list[str]) -> DataFrame:
+    """rows of the regions that hold several components, with ``held``, the region's number of rows."""
+    sizes = rows.groupBy(region).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("held")).where("least < most")
+    return rows.join(sizes.select(*region, "held"), region)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The likely pairs of different components of each group of rows that lie together (BLOCK at most)."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        group, rep, part, n = (rows.column(c).to_numpy() for c in ("group", "rep", "component", "n"))
+        sign, out = _signs(rows.column("turned")), []
+        bounds = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            for i in range(lo, hi - 1):
+                to = np.arange(i + 1, hi)
+                to = to[part[to] != part[i]]
+                to = to[_alike(sign[to], sign[i], n[to], n[i])] if len(to) else to
+                out.append(np.stack([np.minimum(rep[to], rep[i]), np.maximum(rep[to], rep[i])], 1))
+        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     for batch in batches:
-        pairs = []
-        for lo in range(0, batch.num_rows, 256):
-            for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
-                if group and group[0][0] != row[0]:
-                    pairs += _meet(group) if len(group) > 1 else []
-                    group = []
-                group.append(row)
-        yield made(pairs)
-    if len(group) > 1:
-        yield made(_meet(group))
-
-
-def _narrow_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= 4 * BLOCK:
+            rows = pa.Table.from_batches(held)
+            full = int(np.searchsorted(rows.column("group").to_numpy(), rows.column("group")[-1].as_py()))
+            if full:
+                yield pairs(rows.slice(0, full))
+            held = rows.slice(full).to_batches()
+    rows = [b for b in held if b.num_rows]
+    if rows:
+        yield pairs(pa.Table.from_batches(rows))
+
+
+def _groups(rows: DataFrame, key: Column) -> DataFrame:
+    return rows.select(F.xxhash64("tree", key).alias("group"), "rep", "component", "n", "turned")
+
+
+def deepened(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of round 2, and the rows (tree, prefix, rep) of those regions that were parted. ``rows``: of mixed regions, with ``held``."""
+    large = checkpointed(rows.where(F.col("held") > BLOCK).select(*REGION, "rep", "component"))
+    spelt = lambda some: some.join(nodes.select("rep", "sign", "n"), "rep").withColumn("turned", turned())
+    groups = _groups(spelt(rows.where(F.col("held") <= BLOCK)), F.col("prefix"))
+    if large.limit(1).count():
+        left = spelt(large)
+        for depth in DEPTHS[1:]:
+            tried = checkpointed(mixed(left.withColumn("longer", F.substring("turned", 1, 2 * depth)).drop("held"), ["tree", "longer"]))
+            groups = groups.unionByName(_groups(tried.where(F.col("held") <= BLOCK), F.col("longer")))
+            left = tried.where(F.col("held") > BLOCK)
+    pairs = groups.repartition("group").sortWithinPartitions("group").mapInArrow(_meet, "a long, b long").distinct()
+    return pairs, large.select(*REGION, "rep")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in _sets(part.column(1))], pa.binary())], ["rep", "set"])
-
-
-def remaining(placed: DataFrame, nodes: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidate pairs of round 2: those of different components that are alike, in regions that hold several components."""
-    known = placed.join(components, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy(REGION).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows")).where("least < most").select(*REGION, "rows")
-    rows = known.join(mixed, REGION).join(nodes.select("rep", "sign", "n"), "rep")
-    # a region of several blocks is split by set size first: bands of factor 4/3, and a set meets its own band and the next
-    band = F.when(F.col("rows") <= BLOCK, F.array(F.lit(0))).otherwise(_bands(F.col("n")))
-    banded = checkpointed(rows.withColumn("band", F.explode(band)))
-    many = banded.groupBy(*REGION, "band").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(*REGION, "band", "held")
-    sized = banded.join(many, [*REGION, "band"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meeting = F.struct("tree", "prefix", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    wanted = small_side(banded.select(F.col("rep").alias("doc_id")).distinct())
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").mapInArrow(_narrow_sets, "rep long, set binary")
-    dealt = dealt.withColumn("meeting", F.xxhash64(meeting)).join(sets, "rep").select("meeting", "rep", "component", "n", "block", "tree", "sign", "set", meeting.alias("_meeting"))
-    grouped = dealt.repartition("meeting").sortWithinPartitions("meeting", "_meeting")
-    return grouped.select(F.to_json("_meeting").alias("meeting"), "rep", "component", "n", "block", "tree", "sign", "set").mapInArrow(_meetings, "a long, b long").distinct()
-
-
-def _bands(n):
-    """The two bands of set sizes that a set of n belongs to; sets within a factor 4/3 of each other share one."""
-    step = F.floor(F.log(n.cast("double")) / float(np.log(4 / 3)))
-    return F.array(step.cast("int"), (step + 1).cast("int"))
-
-
-def _spelled_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            sets = list(_sets(part.column(1)))
+            size = np.array([len(x) for x in sets], np.int64)
+            rep = np.repeat(part.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.repeat(size, size)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["rep", "n", "token"])
+
+
+def rare_shingles(large: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs of round 3: sets of different components that share one of the rarest quarter of the shingles of both."""
+    left = mixed(_named(large, components, "rep", "component"), REGION).select("rep", "component").distinct()
+    tokens = checkpointed(_texts(docs, left.select("rep")).select("rep", "text").mapInArrow(_tokens, "rep long, n long, token long"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    # shingles that one set alone has come first and meet nothing; the others follow by how many sets hold them
+    shared = tokens.join(held, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("own"))
+    rare = F.greatest(F.col("n") - F.ceil(F.col("n") * 75 / 100) + 1 - (F.col("n") - F.size("own")), F.lit(0)).cast("int")
+    indexed = checkpointed(shared.select("rep", "n", F.explode(F.slice("own", F.lit(1), rare)["token"]).alias("token")).join(left, "rep"))
+    parts = indexed.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    most = parts.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.count("*").alias("several")).where("several > 1")
+    fewer = indexed.join(most, "token").where("component <> major").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    met = fewer.join(indexed, "token").where("cx <> component and 100 * least(n, nx) >= 75 * greatest(n, nx)")
+    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, packed): lower-cased texts, words parted by single spaces, as they travel."""
+    press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1))], pa.binary())], ["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(b" ".join(x.as_py().lower().split())) for x in binary(batch.column(1))], pa.binary())], ["rep", "packed"])
+
+
+def spelled(packed: bytes) -> set:
+    """The shingles of a text as words."""
+    words = zstandard.ZstdDecompressor().decompress(packed).split()
+    return set(zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else {tuple(words)}
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: list = [None, None, None, None]
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+            for side, packed in enumerate((x.as_py(), y.as_py())):
+                if last[side] != packed:
+                    last[side], last[side + 2] = packed, spelled(packed)
+            one, two = last[2:]
+            both = len(one & two)
+            keep.append(100 * both >= 75 * (len(one) + len(two) - both))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of the nodes in ``ids``; rows without an id give each text once."""
+    own = _keyed(docs).join(small_side(ids.select(F.col("rep").alias("node")).distinct()), "node")
+    once = own.where(F.col("doc_id").isNull()).dropDuplicates(["node"])
+    return own.where(F.col("doc_id").isNotNull()).unionByName(once).select(F.col("node").alias("rep"), "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are as alike as is wanted. Only texts that are in a pair give their sets."""
-    ids = small_side(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    sets = own.mapInArrow(_spelled_sets, "doc_id long, set binary")
-    first, second = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long").distinct()
+    """The pairs that are as alike as is wanted, by their words. Only texts that are in a pair travel."""
+    packed = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep"))).mapInArrow(_pack, "rep long, packed binary")
+    first, second = (packed.select(F.col("rep").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def connected(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(rep, component): the smallest node that each node of an edge reaches, by alternating large-star and small-star steps."""
+def connected(edges: DataFrame) -> DataFrame:
+    """(rep, component): the smallest node that each node of an edge reaches, by alternating large-star and small-star steps until nothing changes."""
     edges = edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct()
     edges, before = checkpointed(edges), None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high")))
         least = both.groupBy("low").agg(F.min("high").alias("least")).withColumn("least", F.least("low", "least"))
         large = both.join(least, "low").where("high > low").select(F.col("least").alias("low"), "high").where("low < high").distinct()
@@ -249,35 +298,53 @@ def connected(edges: DataFrame, most: int = 40) -> DataFrame:
         edges = checkpointed(small.select("low", "high").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return checkpointed(edges.groupBy(F.col("high").alias("rep")).agg(F.min("low").alias("component")))
         before = now
-    else:
-        raise RuntimeError("the components did not settle")
-    return edges.groupBy(F.col("high").alias("rep")).agg(F.min("low").alias("component"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one per row of docs."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, node, n_shingles, component), one per row of docs."""
     rows = checkpointed(signed(docs))
-    known = rows.where(F.col("doc_id").isNotNull() & F.col("same").isNotNull())
-    nodes = checkpointed(known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
-    owned = known.select("doc_id", "same").join(nodes.select("same", "rep"), "same").select("doc_id", "rep")
-    repeated = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    known = rows.where(F.col("sign").isNotNull())
+    nodes = checkpointed(known.groupBy("digest").agg(F.min("node").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
+    owned = known.join(nodes.select("digest", "rep"), "digest").select("node", "rep")
+    repeated = owned.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     placed = checkpointed(regions(nodes))
-    links = checkpointed(confirmed(checkpointed(neighbours(placed, nodes)), docs).unionByName(repeated))
-    first = connected(links)
-    more = checkpointed(confirmed(checkpointed(remaining(placed, nodes, first, docs)), docs))
-    components = connected(links.unionByName(more)) if more.limit(1).count() else first
-    told = owned.join(components, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = rows.select("doc_id", "n_shingles").join(told, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+    pairs = checkpointed(neighbours(placed, nodes))
+    links = checkpointed(confirmed(pairs.where(F.col("tree") < LEADING).select("a", "b"), docs).unionByName(repeated))
+    components = connected(links)
+    links = links.unionByName(checkpointed(confirmed(checkpointed(parted(pairs.where(F.col("tree") >= LEADING), components)), docs)))
+    components = connected(links)
+
+    found, large = deepened(checkpointed(mixed(_named(placed, components, "rep", "component"), REGION)), nodes)
+    more = checkpointed(confirmed(checkpointed(found), docs))
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        components = connected(links)
+    if large.limit(1).count():
+        components = connected(links.unionByName(confirmed(checkpointed(rare_shingles(large, components, docs)), docs)))
+
+    told = _named(owned, components, "rep", "component").groupBy("node").agg(F.min("component").alias("component"))
+    return rows.drop("sign").join(told, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one per row of docs."""
+    return _rows(docs).select("doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that have a near duplicate of a smaller id, directly or through others."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti").select(docs.columns)
+    """One document of each group of near duplicates: the row of the smallest id, once; of rows without an id, one. docs' columns may have any names."""
+    rows = _rows(docs).select(F.col("doc_id").alias("_own_id"), F.col("digest").alias("_own_digest"), (F.col("node") == F.col("component")).alias("_kept"))
+    said = rows.groupBy("_own_id", "_own_digest").agg(F.min("_kept").alias("_kept"), F.count("*").alias("_rows")).where("not _kept or _rows > 1")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*names.values())
+    digest = F.unhex(F.sha2(F.coalesce(F.col(names["text"]).cast("string"), F.lit("")), 256))
+    told = plain.withColumn("_id", F.col(names["doc_id"]).cast("long")).withColumn("_digest", digest)
+    told = told.join(small_side(said), F.col("_id").eqNullSafe(F.col("_own_id")) & (F.col("_digest") == F.col("_own_digest")), "left")
+    once = told.where("_kept").dropDuplicates(["_id", "_digest"])
+    return told.where("_kept is null").unionByName(once).select(*names.values()).toDF(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
