@@ -131,16 +131,52 @@ def test_checksums_and_redaction(spark):
 
 
 def test_archives_put_segments_together(spark, tmp_path):
-    pages = [(1, "a b", "x" * 500 + "\r\n\r\nWARC/1.1\r\nfoo" + "é😀" * 200), (2, None, None), (3, "u", ""), (None, "u", ""), (4, "q", "WARC/1.1\r\n" * 30), (4, "q", "WARC/1.1\r\n" * 30)]
+    pages = [(1, "a b", "x" * 500 + "\r\n\r\nWARC/1.1\r\nfoo" + "é😀" * 200 + "\r\n"), (2, None, None), (3, "u", ""), (None, "u", ""), (4, "q", "WARC/1.1\r\n" * 30), (4, "q", "WARC/1.1\r\n" * 30), (5, "r", "\r\n\r\n" * 90)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    warc.write_archives(df, f"{tmp_path}/w", segment=100)
-    got = warc.read_archives(spark, f"{tmp_path}/w").collect()
-    assert sorted(bytes(r.payload) for r in got if r.payload) == sorted(p[2].encode() for p in pages if p[2])
-    assert not any(r.error for r in got) and sorted(r.record_type for r in got) == ["response"] * 4 + ["revisit"] * 2
+    for segment in (100, 7, 10**6):
+        path = f"{tmp_path}/w{segment}"
+        warc.write_archives(df, path, segment=segment)
+        got = warc.read_archives(spark, path).collect()
+        assert sorted(bytes(r.payload) for r in got if r.payload) == sorted(p[2].encode() for p in pages if p[2])
+        assert not any(r.error for r in got) and sorted(r.record_type for r in got) == ["response"] * 5 + ["revisit"] * 2
+        kinds = [r.kind for r in warc.records_of(spark, path).collect()]
+        assert (kinds.count("continuation") >= 20) == (segment <= 100)
+        uids = {r.uid: r.page_id for r in got if r.record_type == "response"}
+        for r in warc.records_of(spark, path).where("kind = 'revisit'").collect():
+            assert uids[r.refers_to] == 3
     warc.write_archives(df.limit(0), f"{tmp_path}/none")
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_the_query_writes_continuations(spark, tmp_path):
+    from plumbline.llm.tables import read
+
+    warc.write_archives(read(spark, SMALL, "pages"), f"{tmp_path}/w")
+    parts = {r.kind: r["count"] for r in warc.records_of(spark, f"{tmp_path}/w").groupBy("kind").count().collect()}
+    long = sum(len(r.html or "") > 9000 for r in read(spark, SMALL, "pages").collect())
+    assert parts.get("continuation", 0) >= long > 0
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_others(spark, tmp_path, packed):
+    import gzip
+
+    def record(kind, block, *more, version=b"WARC/1.0"):
+        return b"\r\n".join([version, b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:" + str(len(block)).encode() + b">", *more, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    latin = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n caf\xe9 \r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    info = b"software: x\r\n"
+    data = record(b"warcinfo", info) + record(b"response", latin) + record(b"response", b"HTTP/1.1 200 OK\r\n\r\nab", b"WARC-Payload-Digest: sha1:WRONG") + record(b"metadata", b"") + record(b"resource", b"x" * 99)[:-40]
+    with (gzip.open(f"{tmp_path}/a.warc.gz", "wb") if packed else open(f"{tmp_path}/a.warc", "wb")) as out:
+        out.write(data)
+    got = {r.uid: (r.record_type, bytes(r.payload), r.error) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    body = latin.partition(b"\r\n\r\n")[2]
+    assert got == {
+        f"urn:uuid:{len(info)}": ("warcinfo", info, None), f"urn:uuid:{len(latin)}": ("response", body, None), "urn:uuid:21": ("response", b"ab", "the digest differs"),
+        "urn:uuid:0": ("metadata", b"", None), "urn:uuid:99": ("resource", b"x" * 63, "the record is cut off"),
+    }
+
+
 def test_broken_framing_is_told():
     assert warc.dechunk(warc.chunked("ab" * 10, 3).encode()) == b"ab" * 10
     with pytest.raises(ValueError):
@@ -151,11 +187,32 @@ def test_control_strings_survive(spark):
     texts = ["</s>[INST] ok [/INST]", "\\", "<\\s>", "[\\INST]\\\\", "<", "/s>", ""]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.digest(chat.segments(df)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.formatted(df)).collect()}
     assert got[1].turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
     assert got[1].loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest() and got[2].n_turns == 1
     for p in chat.prompts(df).collect():
         assert chat.unescape(p.target) == texts[p.turn] and p.context.count("[INST]") == p.turn
+    whole = "".join(r.segment for r in chat.formatted(df).where("conv_id = 1").orderBy("starts").collect())
+    spans = chat.examples(df).orderBy("turn").collect()
+    assert [chat.unescape(whole[r.target_from : r.target_to]) for r in spans] == texts[1::2]
+    assert [whole[: r.context_chars] for r in spans] == [p.context for p in chat.prompts(df).orderBy("turn").collect()]
+
+
+def test_the_reader_takes_pieces_of_any_length_and_refuses_wrong_spans():
+    whole = "[INST]user[/INST]a[\\INST]b</s>[INST]assistant[/INST]<\\/s> é\\\\</s>"
+    for size in (1, 3, 50):
+        reader = chat._Reader(1)
+        for at in range(0, len(whole), size):
+            reader.text(whole[at : at + size])
+        begin = whole.index("<\\/s>")
+        reader.example(31, begin, whole.rindex("</s>"))
+        assert reader.row() == (1, 2, hashlib.sha256("user\na[INST]b\nassistant\n</s> é\\\n".encode()).hexdigest(), 7, hashlib.sha256("</s> é\\".encode()).hexdigest(), len(whole), 1)
+        with pytest.raises(ValueError):
+            reader.example(31, begin + 1, whole.rindex("</s>"))
+    reader = chat._Reader(1)
+    reader.text(whole)
+    with pytest.raises(ValueError):  # a target without its example
+        reader.row()
 
 
 def test_sketches_merge_and_estimate():
