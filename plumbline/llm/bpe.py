@@ -33,7 +33,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .tables import read
 
@@ -176,10 +176,10 @@ class Bpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
-        """Of a piece: how many ids, the ids in decimals, and the bytes that the ids stand for."""
+    def _piece(self, piece: str) -> tuple[list[int], str, bytes]:
+        """Of a piece: the ids, the ids in decimals, and the bytes that the ids stand for."""
         ids = self.encode_piece(piece.encode())
-        known = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+        known = (ids, ",".join(map(str, ids)), self.decode(ids))
         if len(piece) <= SHORT:
             if len(self._known) >= MEMO:
                 self._known.clear()
@@ -189,11 +189,11 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         return [token for piece in self.pieces(text) for token in self.encode_piece(piece.encode())]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids, digest of the bytes they decode to."""
+    def digest(self, text: str) -> tuple[list[list[int]], str, str]:
+        """The ids of each piece, digest of the ids, digest of the bytes they decode to."""
         get, make = self._known.get, self._piece
-        n, ids, back = zip(*[get(p) or make(p) for p in self.pieces(text)]) if text else ((), (), ())
-        return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()
+        pieces, ids, back = zip(*[get(p) or make(p) for p in self.pieces(text)]) if text else ((), (), ())
+        return pieces, hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()
 
 
 @lru_cache(maxsize=4)
@@ -241,12 +241,30 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             model = bpe(path)
             done = [model.digest(x.as_py() or "") for x in batch.column(1)]
-            n, ids, back = zip(*done) if done else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            pieces, ids, back = zip(*done) if done else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(map(len, x)) for x in pieces], pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with ``ids``, ``n_tokens`` and the digests of the ids and of what they decode to (columns of these names are replaced)."""
+    path, added = path or vocabulary(), {"ids": ArrayType(IntegerType()), "n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
+    own = docs.drop(*added)
+    place = own.columns.index("text")
+    schema = StructType([*own.schema.fields, *(StructField(name, kind) for name, kind in added.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model = bpe(path)
+            done = [model.digest(x or "") for x in batch.column(place).to_pylist()]
+            pieces, said, back = zip(*done) if done else ([], [], [])
+            ids = [[token for piece in x for token in piece] for x in pieces]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return round_trip(read(spark, sf_dir, "documents"))

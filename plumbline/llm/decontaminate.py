@@ -17,9 +17,10 @@ The corpus is never shuffled; ``decontaminate`` filters rows where they stand. I
 ``block_words`` words, so that what is broadcast is bounded whatever the size of
 the benchmark; each further block is a further pass.
 
-Edge cases: null and empty texts, and texts or items of fewer than ``seed``
-words, match nothing; repeated documents are judged each on their own; rows with
-a null id are judged too; an empty benchmark leaves every document clean.
+Edge cases: null and empty texts and items match nothing; an item of fewer than
+``seed`` words is one seed, all its words in a row; repeated documents are judged
+each on their own; rows with a null id are judged too; an empty benchmark leaves
+every document clean.
 """
 
 from __future__ import annotations
@@ -46,14 +47,17 @@ class Items:
         self.words: list[np.ndarray] = []
         for w in words_of(pa.array([r[1] for r in rows], pa.string()), LOOSE):
             self.words += [w.hashes[w.rows[i] : w.rows[i + 1]] for i in range(len(w))]
-        grams, owner, place = [], [], []
-        at = 0
+        grams, owner, place, at = [], [], [], 0
+        size = np.array([len(x) for x in self.words], np.int64)
+        self.sizes = sorted({min(int(n), seed) for n in size if n})  # shorter items are seeds as a whole
         for w in words_of(pa.array([r[1] for r in rows], pa.string()), LOOSE):
-            inside = np.flatnonzero(w.inside(seed))
-            grams.append(w.grams(seed)[inside])
-            row = w.row_of()[inside]
-            owner.append(row + at)
-            place.append(inside - w.rows[row])
+            for k in self.sizes:
+                inside = np.flatnonzero(w.inside(k))
+                row = w.row_of()[inside]
+                own = (size[row + at] == k) | (k == seed)
+                grams.append(w.grams(k)[inside][own])
+                owner.append(row[own] + at)
+                place.append((inside - w.rows[row])[own])
             at += len(w)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self._keep(join(grams, np.uint64), join(owner, np.int64), join(place, np.int64))
@@ -66,19 +70,22 @@ class Items:
     def tell_rare(self, held: dict[int, int], common: float) -> None:
         """Marks, of each item, the seeds in at most ``common`` times as many documents as the median of those that occur."""
         df = np.array([held.get(int(g), 0) for g in self.grams.view(np.int64)], float)
-        for i in np.unique(self.owner):
-            own = self.owner == i
+        order = np.argsort(self.owner, kind="stable")
+        bounds = np.flatnonzero(np.diff(self.owner[order])) + 1
+        for own in np.split(order, bounds) if len(order) else []:
             seen = df[own][df[own] > 0]
             self.rare[own] = df[own] <= common * (np.median(seen) if len(seen) else 1.0)
 
     def hits(self, w) -> tuple[np.ndarray, np.ndarray]:
         """Word positions in the chunk that start a seed, and which key it is."""
-        grams = w.grams(self.seed)
-        if not len(grams) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, grams)
-        found = np.flatnonzero((self.keys[np.minimum(at, len(self.keys) - 1)] == grams) & w.inside(self.seed))
-        return found, at[found]
+        found, keys = [], []
+        for k in self.sizes if len(self.keys) else ():
+            grams = w.grams(k)
+            at = np.searchsorted(self.keys, grams)
+            hit = np.flatnonzero((self.keys[np.minimum(at, len(self.keys) - 1)] == grams) & w.inside(k)) if len(grams) else np.zeros(0, np.int64)
+            found.append(hit)
+            keys.append(at[hit])
+        return (np.concatenate(found), np.concatenate(keys)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:

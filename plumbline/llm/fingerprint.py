@@ -13,7 +13,8 @@ bits in ascending order.
 
 Edge cases: null and empty texts and texts without words have the empty sketch;
 two empty sketches resemble each other fully, an empty and a filled one not at
-all; repeated ids are put in the order of their texts; the last document's next
+all; repeated ids are put in the order of their texts, rows without an id come
+first, in the order of a hash of theirs; the last document's next
 is the first; a table of one document is its own next; an empty table gives no
 rows.
 """
@@ -26,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import read, small_side
+from .tables import read
 from .words import LOWER, mix, words_of
 
 K, SHINGLE, BYTES = 128, 5, 6
-PIECE, GROUP = 512, 1 << 15
-NO_ID = -(1 << 60)
+PIECE_ROWS, MOST, MERGED = 1000, 10000, 10000
+NO_ID = -1e19  # below all ids
 
 
 def shorter(words: np.ndarray) -> np.ndarray:
@@ -114,29 +116,69 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     return docs.drop("fingerprint", "n_distinct").mapInArrow(run, schema)
 
 
-def _successors(pieces: DataFrame) -> DataFrame:
-    """(piece, follower): the next piece that holds anything, after the last one the first. Only piece numbers move, in two levels."""
-    grouped = pieces.select("piece", (F.col("piece") / GROUP).cast("long").alias("band"))
-    bands = grouped.groupBy("band").agg(F.min("piece").alias("first"))
-    everything = Window.orderBy("band")  # one row per PIECE * GROUP ids
-    bands = bands.select("band", F.coalesce(F.lead("first").over(everything), F.first("first").over(everything)).alias("beyond"))
-    inner = grouped.withColumn("inside", F.lead("piece").over(Window.partitionBy("band").orderBy("piece")))
-    return inner.join(bands, "band").select("piece", F.coalesce("inside", "beyond").alias("follower"))
+def merged(fingerprinted: DataFrame, key: str, k: int = K) -> DataFrame:
+    """(key, fingerprint, n_distinct): the sketch of all texts of each key, from their sketches alone.
+
+    Every task merges what it sees of a key before anything is sent; a key's merged parts are then merged in a stream, so no group is held.
+    """
+    parts = fingerprinted.select(F.col(key).cast("string").alias("key"), "fingerprint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            for name, sketch in zip(*(c.to_pylist() for c in batch.columns[:2])):
+                held[name] = merge(held.get(name, np.zeros(0, np.uint64)), parsed(sketch or ""), k)
+            if len(held) > MERGED:
+                yield told(held)
+                held = {}
+        yield told(held)
+
+    def told(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([spelled(x) for x in held.values()], pa.string()), pa.array([distinct(x, k) for x in held.values()], pa.float64())], ["key", "fingerprint", "n_distinct"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sketch, begun = None, None, False
+        for batch in batches:
+            done = {}
+            for name, other in zip(*(c.to_pylist() for c in batch.columns[:2])):
+                if begun and name != now:
+                    done[now] = sketch
+                    sketch = None
+                now, begun = name, True
+                sketch = merge(np.zeros(0, np.uint64) if sketch is None else sketch, parsed(other), k)
+            yield told(done)
+        if begun:
+            yield told({now: sketch})
+
+    schema = "key string, fingerprint string, n_distinct double"
+    first = parts.mapInArrow(run, schema)
+    return first.select("key", "fingerprint").repartition("key").sortWithinPartitions("key").mapInArrow(last, schema).withColumnRenamed("key", key)
+
+
+def _pieces(docs: DataFrame) -> list[float]:
+    """Borders that deal the ids into about as many rows each, whatever their distribution (approximate quantiles, ``MOST`` borders at most)."""
+    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("double").alias("id"))
+    n = min(MOST, ids.count() // PIECE_ROWS)
+    inner = ids.approxQuantile("id", [(i + 1) / (n + 1) for i in range(n)], 0.25 / (n + 1)) if n else []
+    without = [NO_ID * (1 + i / 64) for i in range(64, 0, -1)]  # rows without an id lie below all ids
+    return [float("-inf"), *without, *sorted(set(inner)), float("inf")]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(piece, borrowed, doc_id, text): docs dealt into pieces of neighbouring ids, each with the first document of the next piece as its last.
+    """(piece, borrowed, at, doc_id, text): docs dealt into pieces of neighbouring ids, each with the first document of the next piece as its last.
 
-    A piece spans ``PIECE`` ids, so it holds no more documents than that if ids don't repeat. Rows without an id come first, in a piece
-    of their own. One row a piece is sent twice, everything else once.
+    ``at`` orders the rows: by id; before them, rows without an id by a hash of their texts. One row a piece is sent twice, everything else once.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = own.withColumn("piece", F.coalesce(F.floor(F.col("doc_id") / PIECE), F.lit(NO_ID)))
-    firsts = placed.groupBy("piece").agg(F.min("doc_id").alias("first"))
-    wanted = firsts.join(_successors(firsts).select(F.col("piece").alias("borrower"), F.col("follower").alias("piece")), "piece")
-    lent = placed.join(small_side(wanted).withColumnRenamed("piece", "home"), (F.col("piece") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    lent = lent.groupBy(F.col("borrower").alias("piece")).agg(F.min(F.struct("doc_id", "text")).alias("head")).select("piece", F.lit(True).alias("borrowed"), "head.doc_id", "head.text")
-    return placed.select("piece", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(lent)
+    spread = NO_ID * (F.lit(1.0) + F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40))
+    placed = own.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), spread))
+    dealt = Bucketizer(splits=_pieces(docs), inputCol="at", outputCol="piece").transform(placed).withColumn("piece", F.col("piece").cast("long"))
+    firsts = dealt.groupBy("piece").agg(F.min(F.struct("at", "doc_id")).alias("first")).select("piece", "first.at", "first.doc_id")
+    around = Window.orderBy("piece")  # one row per piece, MOST + 65 at most
+    wanted = firsts.select("at", F.col("doc_id").alias("id"), F.col("piece").alias("home"), F.coalesce(F.lag("piece").over(around), F.last("piece").over(around.rowsBetween(0, Window.unboundedFollowing))).alias("borrower"))
+    lent = dealt.join(F.broadcast(wanted.withColumnRenamed("at", "first")), (F.col("piece") == F.col("home")) & (F.col("at") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    lent = lent.groupBy(F.col("borrower").alias("piece")).agg(F.min(F.struct("at", "doc_id", "text")).alias("head")).select("piece", F.lit(True).alias("borrowed"), "head.at", "head.doc_id", "head.text")
+    return dealt.select("piece", F.lit(False).alias("borrowed"), "at", "doc_id", "text").unionByName(lent)
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained double"
@@ -169,8 +211,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Per document: its sketch, that of its edited text, and how alike they and the next document's are."""
-    ordered = with_next(docs).repartition("piece").sortWithinPartitions("piece", "borrowed", "doc_id", "text")
-    return ordered.mapInArrow(_compare, COMPARED)
+    ordered = with_next(docs).repartition("piece").sortWithinPartitions("piece", "borrowed", "at", "doc_id", "text")
+    return ordered.drop("at").mapInArrow(_compare, COMPARED)
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

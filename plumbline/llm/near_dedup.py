@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprint import SHINGLE, shingles
-from .tables import checkpointed, read, small_side
+from .tables import checkpointed, plain, read, small_side
 from .words import LOWER, binary, words_of
 
 HASHES, DEPTH = 128, 4
@@ -338,10 +338,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: the row of the smallest id, once; of rows without an id, one. docs' columns may have any names."""
     rows = _rows(docs).select(F.col("doc_id").alias("_own_id"), F.col("digest").alias("_own_digest"), (F.col("node") == F.col("component")).alias("_kept"))
     said = rows.groupBy("_own_id", "_own_digest").agg(F.min("_kept").alias("_kept"), F.count("*").alias("_rows")).where("not _kept or _rows > 1")
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.toDF(*names.values())
+    own, names = plain(docs)
     digest = F.unhex(F.sha2(F.coalesce(F.col(names["text"]).cast("string"), F.lit("")), 256))
-    told = plain.withColumn("_id", F.col(names["doc_id"]).cast("long")).withColumn("_digest", digest)
+    told = own.withColumn("_id", F.col(names["doc_id"]).cast("long")).withColumn("_digest", digest)
     told = told.join(small_side(said), F.col("_id").eqNullSafe(F.col("_own_id")) & (F.col("_digest") == F.col("_own_digest")), "left")
     once = told.where("_kept").dropDuplicates(["_id", "_digest"])
     return told.where("_kept is null").unionByName(once).select(*names.values()).toDF(*docs.columns)

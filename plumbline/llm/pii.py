@@ -2,8 +2,11 @@
 
 Regular expressions propose spans, kind by kind, leftmost and not overlapping.
 Checks confirm them: parts of an ip are at most 255, cards have 16 to 19 digits
-and pass Luhn, phones have 8 to 15 digits, ibans pass mod-97. Words near a span
-raise or lower its score; they never remove it.
+and pass Luhn, phones have 8 to 15 digits, ibans pass mod-97. Words near a span,
+up to ``CONTEXT`` characters on either side and not beyond the next proposal of
+its kind, raise or lower its score. Spans of the kinds that this method adds
+(not ``base``) need a score of ``LEAST``; base spans stay whatever their score.
+``redact`` replaces the spans that ``find`` gives, overlapping ones as one.
 
 ``split`` gives the text between the proposals and ``regexp_extract_all`` the
 proposals, so a running sum of lengths gives the places, without Python and
@@ -23,9 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import plain, read
 
-CONTEXT = 40
+CONTEXT, LEAST, CUTS = 40, 0.5, 128
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", "[0-9][.][0-9]", True, 0.6, "ip|address|host|server|login", "version|release|section", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     Kind("card", r"[0-9](?:[ -]?+[0-9])++", "[0-9][ -]?[0-9]", True, 0.8, "card|visa|master|pay|credit", "order|ticket|serial|isbn", r"[0-9]([\x20-]?[0-9])+"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", True, 0.6, "call|phone|tel|mobile|fax", "score|total|points", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", False, 0.9, "iban|account|bank|transfer", "serial|model", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", False, 0.6, "iban|account|bank|transfer", "serial|model", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
 )
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _BLOCK = 128
@@ -108,42 +111,78 @@ def _proposals(docs: DataFrame, text: str, kinds: tuple[Kind, ...]) -> DataFrame
     return docs.withColumns(columns)
 
 
+SPAN = "struct<kind:string,start:bigint,end:bigint,hit:string,score:double>"
+
+
+def _lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _spans(kind: Kind) -> Column:
     hits, gaps = F.col(f"_hit_{kind.name}"), F.col(f"_gap_{kind.name}")
-    own = F.slice(gaps, F.lit(1), F.size(hits))
-    at = running(F.zip_with(own, hits, lambda g, h: F.length(g) + F.length(h)))
-    placed = F.zip_with(F.arrays_zip(own.alias("gap"), at.alias("at")), hits, lambda x, h: F.struct(
-        (x["at"] + F.length(x["gap"])).cast("long").alias("start"), (x["at"] + F.length(x["gap"]) + F.length(h)).cast("long").alias("end"), h.alias("hit"), F.lower(F.right(x["gap"], F.lit(CONTEXT))).alias("near")
+    before, after = F.slice(gaps, F.lit(1), F.size(hits)), F.slice(gaps, F.lit(2), F.size(hits))
+    at = running(F.zip_with(before, hits, lambda g, h: F.length(g) + F.length(h)))
+    placed = F.zip_with(F.arrays_zip(before.alias("gap"), after.alias("next"), at.alias("at")), hits, lambda x, h: F.struct(
+        (x["at"] + F.length(x["gap"])).cast("long").alias("start"), (x["at"] + F.length(x["gap"]) + F.length(h)).cast("long").alias("end"), h.alias("hit"),
+        _lower(F.concat(F.right(x["gap"], F.lit(CONTEXT)), F.lit(" "), F.left(x["next"], F.lit(CONTEXT)))).alias("near"),
     ))
-    score = lambda x: F.round(F.lit(kind.score) + F.when(x["near"].rlike(kind.near), 0.1).otherwise(0.0) - F.when(x["near"].rlike(kind.against), 0.3).otherwise(0.0), 2)
+    score = lambda x: F.round(F.lit(kind.score) + F.when(x["near"].rlike(kind.near), 0.3).otherwise(0.0) - F.when(x["near"].rlike(kind.against), 0.3).otherwise(0.0), 2)
     good = F.filter(placed, lambda x: _holds(kind, x["hit"]))
     spans = F.transform(good, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), score(x).alias("score")))
-    return F.when(F.size(hits) == 0, F.array().cast("array<struct<kind:string,start:bigint,end:bigint,hit:string,score:double>>")).otherwise(spans)
+    spans = spans if kind.base else F.filter(spans, lambda x: x["score"] >= LEAST)
+    return F.when(F.size(hits) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(spans)
+
+
+def _found(own: DataFrame, whole: str, kinds: tuple[Kind, ...]) -> DataFrame:
+    """own with ``pii``. Its other columns are named as ``plain`` names them."""
+    found = _proposals(own, whole, kinds).withColumns({f"_span_{k.name}": _spans(k) for k in kinds})
+    return found.select(*own.columns, F.flatten(F.array(*[F.col(f"_span_{k.name}") for k in kinds])).alias("pii"))
 
 
 def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """docs with ``pii``: all confirmed spans by kind, then place, each with its score."""
-    whole = "_pii_text"
-    proposed = _proposals(docs.withColumn(whole, F.coalesce(F.col(text).cast("string"), F.lit(""))), whole, kinds)
-    found = proposed.withColumns({f"_span_{k.name}": _spans(k) for k in kinds})
-    return found.withColumn("pii", F.flatten(F.array(*[F.col(f"_span_{k.name}") for k in kinds]))).select(*docs.columns, "pii")
+    """docs with ``pii``: all confirmed spans by kind, then place, each with its score. A column of that name is replaced."""
+    own, names = plain(docs.drop("pii"))
+    found = _found(own.withColumn("_whole", F.coalesce(F.col(names[text]).cast("string"), F.lit(""))), "_whole", kinds)
+    return found.select(*names.values(), "pii").toDF(*names, "pii")
+
+
+def apart(spans: Column) -> Column:
+    """Spans in the order of their places, those that overlap as one with the kind of the first."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+
+    def put(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(F.size(done) == 0, F.array(x)).when(x["start"] >= last["end"], F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
+
+    one = F.aggregate(ordered, F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"), put)
+    cross = F.exists(F.zip_with(F.slice(ordered, F.lit(1), F.size(ordered) - 1), F.slice(ordered, F.lit(2), F.size(ordered) - 1), lambda a, b: a["end"] > b["start"]), lambda x: x)
+    return F.when(F.size(spans) < 2, ordered).when(cross, one).otherwise(ordered)
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with each of the spans (in order, apart) replaced by its kind in brackets. It is cut at every ``CUTS``-th span first, so that no cut looks far."""
+    count = F.size(spans)
+    sub = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+    start = lambda i, end: F.coalesce(F.get(spans, i)["start"], end)
 
+    def part(j: Column) -> Column:
+        low, high = start(j * CUTS, F.lit(0)), start((j + 1) * CUTS, F.length(text).cast("long"))
+        own = F.slice(spans, (j * CUTS + 1).cast("int"), CUTS)
+        piece = sub(text, low, high)
+        said = F.transform(own, lambda x, i: F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"), sub(piece, x["end"] - low, F.coalesce(F.get(own, i + 1)["start"], high) - low)))
+        return F.array_join(said, "")
 
-def _replacing(kind: Kind):
-    return lambda h: F.when(_holds(kind, h), f"[{kind.name.upper()}]").otherwise(h)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / CUTS).cast("int")), part)
+    return F.when(count == 0, text).otherwise(F.concat(sub(text, F.lit(0).cast("long"), start(F.lit(0), F.lit(0))), F.array_join(parts, "")))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every confirmed span replaced by its kind in brackets. Emails go first and ibans before cards, so that what holds other digits is taken whole."""
-    order = sorted(KINDS, key=lambda k: ("email", "iban", "card", "ip", "phone").index(k.name))
-    out = docs.withColumn("_was_null", F.col(text).isNull()).withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    for kind in order:
-        out = _proposals(out, text, (kind,))
-        hits, gaps = F.col(f"_hit_{kind.name}"), F.col(f"_gap_{kind.name}")
-        put = F.transform(hits, _replacing(kind))
-        joined = F.array_join(F.flatten(F.zip_with(gaps, put, lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))), "")
-        out = out.withColumn(text, F.when(F.size(hits) == 0, F.col(text)).otherwise(joined)).drop(f"_hit_{kind.name}", f"_gap_{kind.name}")
-    return out.withColumn(text, F.when(~F.col("_was_null"), F.col(text))).select(docs.columns)
+    """docs with every span that ``find`` gives replaced by its kind in brackets; null texts stay null."""
+    own, names = plain(docs)
+    found = _found(own.withColumn("_whole", F.coalesce(F.col(names[text]).cast("string"), F.lit(""))), "_whole", KINDS)
+    clean = F.when(F.col(names[text]).isNotNull(), replaced(F.col("_whole"), F.col("_apart")))
+    return found.withColumn("_apart", apart(F.col("pii"))).withColumn(names[text], clean).select(*names.values()).toDF(*names)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +206,12 @@ def _oracle() -> str:
         "iban": "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(h, ' ', ''), 5) || substr(replace(h, ' ', ''), 1, 4), ''), lambda c: CASE WHEN ord(c) < 58 THEN ord(c) - 48 ELSE ord(c) - 55 END)), lambda a, d: (a * CASE WHEN d > 9 THEN 100 ELSE 10 END + d) % 97) = 1",
     }
     parts = []
+    near = "translate(right(gaps[i], 40) || ' ' || left(gaps[i + 1], 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     for k, kind in enumerate(KINDS):
+        score = "true" if kind.base else f"round({kind.score} + CASE WHEN regexp_matches({near}, '{kind.near}') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches({near}, '{kind.against}') THEN 0.3 ELSE 0 END, 2) >= {LEAST}"
         parts.append(
             f"SELECT doc_id, {k} AS k, '{kind.name}' AS kind, i, h, list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS pos FROM ("
-            f"SELECT doc_id, gaps, hits, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{kind.plain}') AS gaps, regexp_extract_all(t, '{kind.plain}') AS hits FROM d)) WHERE {holds[kind.name]}"
+            f"SELECT doc_id, gaps, hits, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{kind.plain}') AS gaps, regexp_extract_all(t, '{kind.plain}') AS hits FROM d)) WHERE {holds[kind.name]} AND {score}"
         )
     base = [k.name for k in KINDS if k.base]
     said = "string_agg(kind || ':' || pos::BIGINT || ':' || (pos + len(h))::BIGINT, ',' ORDER BY k, pos)"

@@ -51,8 +51,16 @@ def fold(doc_id: str, modulus: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column, rows: int) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents for which ``kept`` holds: those of the lowest id hashes, so the same ones each time.
 
-    What is broadcast are ``rows`` ids at most.
+    An id counts once: of texts (or labels) that repeat an id the least is taken. What is broadcast are ``rows`` ids at most.
     """
-    picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & kept).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
-    picked = picked.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & kept)
+    picked = known.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col(label).cast("int")).alias("label"))
+    picked = picked.orderBy(F.xxhash64("id"), "id").limit(rows)
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
+
+
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named c0, c1, ..., so that none clashes with those an operator adds; and which is which."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names

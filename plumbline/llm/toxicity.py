@@ -91,8 +91,22 @@ def _dense(sample, features: np.ndarray) -> np.ndarray:
     return out
 
 
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float) -> tuple[float, np.ndarray]:
+    """What a step goes down on, and its gradient: prior * E_p[l(f)] + E_u[l(-f)] - prior * E_p[l(-f)] with the logistic loss l,
+    or, where the last two terms (the negatives' risk) have gone below zero, these alone and turned round, so that the step goes back from there.
+    The last weight is the constant's, which ``ridge`` leaves alone."""
+    fp, fu = positive @ w, unlabelled @ w
+    n_p, n_u = len(fp), len(fu)
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    held = np.append(w[:-1], 0)
+    small, pull = ridge / n_p / 2 * float(held @ held), ridge / n_p * held
+    if negative >= 0:
+        return prior * np.logaddexp(0, -fp).mean() + negative + small, sigmoid(fu) / n_u @ unlabelled - np.full(n_p, prior / n_p, fp.dtype) @ positive + pull
+    return small - negative, prior * sigmoid(fp) / n_p @ positive - sigmoid(fu) / n_u @ unlabelled + pull
+
+
 def nnpu(positive, unlabelled, prior: float, rounds: int = 250, rate: float = 0.05, ridge: float = 0.3) -> Linear:
-    """Minimises prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss l and ``ridge`` over the number of positives times half the squared weights, by Adam."""
+    """Minimises the non-negative risk prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]), with ``ridge`` over the number of positives times half the squared weights, by Adam."""
     weights = np.zeros(1 << BITS)
     n_p, n_u = len(positive[1]) - 1, len(unlabelled[1]) - 1
     if not n_p or not n_u:
@@ -102,13 +116,7 @@ def nnpu(positive, unlabelled, prior: float, rounds: int = 250, rate: float = 0.
     w = np.zeros(len(features) + 1, np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        fp, fu = (x @ w for x in (xp, xu))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        if negative >= 0:
-            gp, gu = np.full(n_p, -prior / n_p, np.float32), sigmoid(fu) / n_u
-        else:  # the estimate of the negatives' risk has gone below zero: step back from it
-            gp, gu = prior * sigmoid(fp) / n_p, -sigmoid(fu) / n_u
-        grad = (gp @ xp + gu @ xu + ridge / n_p * np.append(w[:-1], 0)).astype(np.float32)
+        grad = risk(w, xp, xu, prior, ridge)[1].astype(np.float32)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w = w - np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w = w.astype(np.float32)
