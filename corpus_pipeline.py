@@ -4,7 +4,8 @@
 2. MinHash near-dedup: of each group of near duplicates the smallest id stays;
 3. benchmark decontamination: documents in which an item leaks go;
 4. PII: confirmed spans are replaced by their kinds;
-5. byte-level BPE: every text that is left is encoded and decoded.
+5. byte-level BPE: every text that is left is encoded and decoded; the documents
+   come out with their ids and digests.
 
 Every stage works on all its predecessor kept. Rows with null ids, null or empty
 texts, repeated rows and further columns pass through as the operators say; an
@@ -41,7 +42,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return bpe.round_trip(docs)
+    return bpe.tokenized(docs)
 
 
 STAGES = [
