@@ -16,8 +16,8 @@ Candidates are looked at in rounds, so that no group is paired with itself:
    components meet. The depth adapts to the region: one of more than ``BLOCK``
    sets is parted by longer common prefixes (``DEPTHS``) until its parts fit.
 3. Sets that such a parting kept from each other, and whose regions still hold
-   several components, are joined exactly: two sets of the wanted similarity
-   share one of the rarest quarter of their shingles, whatever tree they are in.
+   several components, are compared in full, block by block: the exact way for
+   the rest. Only links leave a task, and texts travel once to each group.
 
 Minhashes only choose whom to look at: a pair whose signatures agree in less
 than half is passed over (at 0.75 that happens with probability 3e-10). A link
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fingerprint import SHINGLE, shingles
@@ -50,7 +50,7 @@ from .words import LOWER, binary, words_of
 
 HASHES, DEPTH = 128, 4
 TREES, LEADING = HASHES // DEPTH, 4
-DEPTHS, BLOCK, LIKELY = (4, 6, 8, 12, 16), 256, 0.5
+DEPTHS, BLOCK, LIKELY = (4, 6, 8, 12, 16), 512, 0.5
 NO_ID = 1 << 62
 _SEEDS = np.random.default_rng(8).integers(1, 1 << 63, (HASHES, 2), dtype=np.uint64)
 _ADD, _TIMES = _SEEDS[:, :1], _SEEDS[:, 1:] | np.uint64(1)
@@ -169,79 +169,90 @@ def mixed(rows: DataFrame, region: list[str]) -> DataFrame:
     return rows.join(sizes.select(*region, "held"), region)
 
 
+def _links(part: np.ndarray, n: np.ndarray, block: np.ndarray, sign: np.ndarray, packed: list[bytes]) -> Iterator[tuple[int, int]]:
+    """The links between sets of different components in a group; where it has two blocks, between these alone."""
+    two, likely = block.min() != block.max(), {}
+    for i in range(len(n) - 1):
+        to = np.arange(i + 1, len(n))
+        to = to[(part[to] != part[i]) & ((block[to] != block[i]) | (not two))]
+        to = to[_alike(sign[to], sign[i], n[to], n[i])] if len(to) else to
+        if len(to):
+            likely[i] = to
+    wanted = np.unique(np.concatenate([np.append(to, i) for i, to in likely.items()])) if likely else np.zeros(0, np.int64)
+    hashed: dict[int, np.ndarray] = {}
+    for lo in range(0, len(wanted), 256):
+        own = wanted[lo : lo + 256].tolist()
+        hashed.update(zip(own, _sets(pa.array([zstandard.ZstdDecompressor().decompress(packed[i]) for i in own], pa.large_binary()))))
+    for i, to in likely.items():
+        size = np.array([len(hashed[j]) for j in to.tolist()])
+        both = np.add.reduceat(np.isin(np.concatenate([hashed[j] for j in to.tolist()]), hashed[i]), np.cumsum(size) - size)
+        for j in to[100 * both >= 75 * (size + len(hashed[i]) - both)].tolist():
+            if alike(spelled(packed[i]), spelled(packed[j])):
+                yield i, j
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The likely pairs of different components of each group of rows that lie together (BLOCK at most)."""
+    """The links of each group of rows that lie together (a few blocks at most); whole groups are taken as they come."""
     held: list[pa.RecordBatch] = []
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        group, rep, part, n = (rows.column(c).to_numpy() for c in ("group", "rep", "component", "n"))
-        sign, out = _signs(rows.column("turned")), []
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        group, rep, part, n, block = (rows.column(c).to_numpy() for c in ("group", "rep", "component", "n", "block"))
+        sign, packed, out = _signs(rows.column("sign")), rows.column("packed"), []
         bounds = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
         for lo, hi in zip(bounds, bounds[1:]):
-            for i in range(lo, hi - 1):
-                to = np.arange(i + 1, hi)
-                to = to[part[to] != part[i]]
-                to = to[_alike(sign[to], sign[i], n[to], n[i])] if len(to) else to
-                out.append(np.stack([np.minimum(rep[to], rep[i]), np.maximum(rep[to], rep[i])], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            own = slice(lo, hi)
+            out += [(min(rep[lo + i], rep[lo + j]), max(rep[lo + i], rep[lo + j])) for i, j in _links(part[own], n[own], block[own], sign[own], packed[own].to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= 4 * BLOCK:
+        if sum(b.num_rows for b in held) >= 2 * BLOCK:
             rows = pa.Table.from_batches(held)
             full = int(np.searchsorted(rows.column("group").to_numpy(), rows.column("group")[-1].as_py()))
             if full:
-                yield pairs(rows.slice(0, full))
+                yield links(rows.slice(0, full))
             held = rows.slice(full).to_batches()
     rows = [b for b in held if b.num_rows]
     if rows:
-        yield pairs(pa.Table.from_batches(rows))
+        yield links(pa.Table.from_batches(rows))
 
 
-def _groups(rows: DataFrame, key: Column) -> DataFrame:
-    return rows.select(F.xxhash64("tree", key).alias("group"), "rep", "component", "n", "turned")
+def met(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links in groups of rows (group, block, rep, component). Texts travel packed, once to each group that they are in."""
+    packed = _texts(docs, groups.select("rep")).mapInArrow(_pack, "rep long, packed binary")
+    rows = groups.join(nodes.select("rep", "sign", "n"), "rep").join(packed, "rep")
+    ordered = rows.repartition("group").sortWithinPartitions("group")
+    return ordered.select("group", "block", "rep", "component", "n", "sign", "packed").mapInArrow(_meet, "a long, b long").distinct()
 
 
 def deepened(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of round 2, and the rows (tree, prefix, rep) of those regions that were parted. ``rows``: of mixed regions, with ``held``."""
+    """The groups of round 2, and the rows (tree, prefix, rep) of those regions that were parted. ``rows``: of mixed regions, with ``held``."""
     large = checkpointed(rows.where(F.col("held") > BLOCK).select(*REGION, "rep", "component"))
-    spelt = lambda some: some.join(nodes.select("rep", "sign", "n"), "rep").withColumn("turned", turned())
-    groups = _groups(spelt(rows.where(F.col("held") <= BLOCK)), F.col("prefix"))
+    grouped = lambda some, key: some.select(F.xxhash64("tree", key).alias("group"), F.lit(0).alias("block"), "rep", "component")
+    groups = grouped(rows.where(F.col("held") <= BLOCK), "prefix")
     if large.limit(1).count():
-        left = spelt(large)
+        left = large.join(nodes.select("rep", "sign"), "rep").withColumn("turned", turned()).drop("sign")
         for depth in DEPTHS[1:]:
-            tried = checkpointed(mixed(left.withColumn("longer", F.substring("turned", 1, 2 * depth)).drop("held"), ["tree", "longer"]))
-            groups = groups.unionByName(_groups(tried.where(F.col("held") <= BLOCK), F.col("longer")))
+            tried = checkpointed(mixed(left.drop("held").withColumn("longer", F.substring("turned", 1, 2 * depth)), ["tree", "longer"]))
+            groups = groups.unionByName(grouped(tried.where(F.col("held") <= BLOCK), "longer"))
             left = tried.where(F.col("held") > BLOCK)
-    pairs = groups.repartition("group").sortWithinPartitions("group").mapInArrow(_meet, "a long, b long").distinct()
-    return pairs, large.select(*REGION, "rep")
+    return groups, large.select(*REGION, "rep")
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            sets = list(_sets(part.column(1)))
-            size = np.array([len(x) for x in sets], np.int64)
-            rep = np.repeat(part.column(0).to_numpy(), size)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.repeat(size, size)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["rep", "n", "token"])
-
-
-def rare_shingles(large: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidate pairs of round 3: sets of different components that share one of the rarest quarter of the shingles of both."""
-    left = mixed(_named(large, components, "rep", "component"), REGION).select("rep", "component").distinct()
-    tokens = checkpointed(_texts(docs, left.select("rep")).select("rep", "text").mapInArrow(_tokens, "rep long, n long, token long"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    # shingles that one set alone has come first and meet nothing; the others follow by how many sets hold them
-    shared = tokens.join(held, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("own"))
-    rare = F.greatest(F.col("n") - F.ceil(F.col("n") * 75 / 100) + 1 - (F.col("n") - F.size("own")), F.lit(0)).cast("int")
-    indexed = checkpointed(shared.select("rep", "n", F.explode(F.slice("own", F.lit(1), rare)["token"]).alias("token")).join(left, "rep"))
-    parts = indexed.groupBy("token", "component").agg(F.count("*").alias("rows"))
-    most = parts.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.count("*").alias("several")).where("several > 1")
-    fewer = indexed.join(most, "token").where("component <> major").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    met = fewer.join(indexed, "token").where("cx <> component and 100 * least(n, nx) >= 75 * greatest(n, nx)")
-    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+def families(large: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The groups of round 3: of the sets whose regions were parted and are still mixed, those that regions connect, block by block.
+
+    Only sets of sizes within a factor 4/3 can be alike, so a family is cut into overlapping bands of sizes first. A band of R sets has
+    R * R / BLOCK / BLOCK / 2 groups of two blocks: what is left for this round is compared in full.
+    """
+    left = checkpointed(mixed(_named(large, components, "rep", "component"), REGION))
+    first = left.withColumn("a", F.min("rep").over(Window.partitionBy(*REGION))).select("a", F.col("rep").alias("b"))
+    family = _named(left.select("rep", "component").distinct(), connected(first), "rep", "family")
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
+    banded = checkpointed(family.join(nodes.select("rep", "n"), "rep").select("rep", "component", "family", F.explode(F.array(step, step + 1)).alias("band")))
+    sized = mixed(banded, ["family", "band"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("family", "band", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "block", "rep", "component")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +268,11 @@ def spelled(packed: bytes) -> set:
     return set(zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else {tuple(words)}
 
 
+def alike(one: set, two: set) -> bool:
+    both = len(one & two)
+    return 100 * both >= 75 * (len(one) + len(two) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: list = [None, None, None, None]
     for batch in batches:
@@ -265,9 +281,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for side, packed in enumerate((x.as_py(), y.as_py())):
                 if last[side] != packed:
                     last[side], last[side + 2] = packed, spelled(packed)
-            one, two = last[2:]
-            both = len(one & two)
-            keep.append(100 * both >= 75 * (len(one) + len(two) - both))
+            keep.append(alike(*last[2:]))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
@@ -317,13 +331,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     links = links.unionByName(checkpointed(confirmed(checkpointed(parted(pairs.where(F.col("tree") >= LEADING), components)), docs)))
     components = connected(links)
 
-    found, large = deepened(checkpointed(mixed(_named(placed, components, "rep", "component"), REGION)), nodes)
-    more = checkpointed(confirmed(checkpointed(found), docs))
+    groups, large = deepened(checkpointed(mixed(_named(placed, components, "rep", "component"), REGION)), nodes)
+    more = checkpointed(met(checkpointed(groups), nodes, docs))
     if more.limit(1).count():
         links = links.unionByName(more)
         components = connected(links)
     if large.limit(1).count():
-        components = connected(links.unionByName(confirmed(checkpointed(rare_shingles(large, components, docs)), docs)))
+        components = connected(links.unionByName(met(checkpointed(families(large, components, nodes)), nodes, docs)))
 
     told = _named(owned, components, "rep", "component").groupBy("node").agg(F.min("component").alias("component"))
     return rows.drop("sign").join(told, "node", "left").withColumn("component", F.coalesce("component", "node"))
