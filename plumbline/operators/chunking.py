@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CHARS, OVERLAP = 18000, 500
+from .provenance import MARKER
+
+MAX_CHARS, OVERLAP, GROUP_CHARS = 18000, 500, 4500
 _TEXTS = "array<string>"
+# The titles that open a table.
+NUMBER = r"\d+(?:\s*[-－—]\s*\d+){1,3}"
+TITLE = rf"(?:附表\s*{NUMBER}[^\r\n]{{0,120}}?(?:观测结果表|结果表|成果表)|【[^】\r\n]+】[^\r\n]{{0,80}}?(?:监测数据(?:成果)?|数据成果|监测成果))"
+
+
+def is_structured(text: Column) -> Column:
+    """Whether a line of a text is the title of a table."""
+    return text.rlike(f"(?m)^{TITLE}")
 
 
 def split_long(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
@@ -50,8 +60,51 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda x: x.rlike(r"\S"))
 
 
-def chunks(reports: DataFrame, max_chars: int = MAX_CHARS, text: str = "raw_text") -> DataFrame:
-    """CHK-04 for texts without table headings: by pages if there are several, else by bracketed titles, else by length."""
+def table_sections(reports: DataFrame, text: str = "raw_text") -> DataFrame:
+    """CHK-01: texts with two titles of tables and more, cut before each of them; what precedes the first is section -1."""
+    parts = reports.select("report_id", F.posexplode(F.split(F.col(text), f"(?m)^(?={TITLE})")).alias("pos", "section"))
+    titled = F.col("section").rlike(rf"\A{TITLE}")
+    report = Window.partitionBy("report_id")
+    numbered = parts.withColumns({"titles": F.count_if(titled).over(report), "section_no": F.when(titled, F.count_if(titled).over(report.orderBy("pos")) - 1).otherwise(-1).cast("int")})
+    return numbered.where("titles >= 2").select("report_id", "section_no", "section")
+
+
+def label_sections(sections: DataFrame) -> DataFrame:
+    """CHK-02: sections without the page marker at their end, under the nearest marker above, with their families: by their first lines an appendix's number
+    without its last part, or a bracketed title; else a family of its own."""
+    marks = F.regexp_extract_all("section", F.lit(MARKER), F.lit(0))
+    above = Window.partitionBy("report_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
+    marker = F.last(F.when(F.size(marks) > 0, F.element_at(marks, -1)), ignorenulls=True).over(above)
+    bare = F.regexp_replace("section", rf"\n?{MARKER}\s*\z", "\n")
+    marked = F.when(F.col("marker").isNull() | F.ltrim(F.col("bare")).startswith(F.col("marker")), F.col("bare")).otherwise(F.concat("marker", F.lit("\n"), "bare"))
+    told = sections.withColumns({"marker": marker, "bare": bare}).withColumn("said", F.when(F.col("section_no") < 0, F.col("section")).otherwise(marked))
+    line = F.trim(F.regexp_extract("said", r"\A([^\r\n]*)", 1))
+    number, bracket = F.regexp_extract(line, rf"\A附表\s*({NUMBER})", 1), F.regexp_extract(line, r"\A(【[^】]+】)", 1)
+    appendix = F.array_join(F.slice(F.split(number, r"\s*[-－—]\s*"), F.lit(1), F.size(F.split(number, r"\s*[-－—]\s*")) - 1), "-")
+    family = F.when(number != "", F.concat(F.lit("appendix:"), appendix)).when(bracket != "", F.concat(F.lit("bracket:"), bracket)).otherwise(F.concat(F.lit("section:"), F.col("section_no").cast("string")))
+    return told.select("report_id", "section_no", F.col("said").alias("section"), family.alias("family"))
+
+
+def pack_sections(sections: DataFrame, max_chars: int = MAX_CHARS, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """CHK-03: one array of chunks per report: neighbouring sections of one family together up to ``group_chars``; one that is longer than ``max_chars`` is split on its own."""
+    limit = min(max_chars, group_chars)
+
+    def step(s: Column, x: Column) -> Column:
+        flushed = F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+        state = lambda done, now, family: F.struct(done.alias("done"), now.alias("now"), family.alias("family"))
+        apart = (x["section_no"] < 0) | (F.length(x["section"]) > max_chars)
+        new = (s["now"] != "") & ((x["family"] != s["family"]) | (F.length(s["now"]) + F.length(x["section"]) > limit))
+        return F.when(~x["section"].rlike(r"\S"), s).when(apart, state(F.concat(flushed, split_long(x["section"], max_chars)), F.lit(""), F.lit(""))).when(new, state(flushed, x["section"], x["family"])).otherwise(state(s["done"], F.concat(s["now"], x["section"]), x["family"]))
+
+    begin = F.struct(F.array().cast(_TEXTS).alias("done"), F.lit("").alias("now"), F.lit("").alias("family"))
+    ordered = sections.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "section", "family"))).alias("own"))
+    packed = F.aggregate("own", begin, step, lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    return ordered.select("report_id", packed.alias("sections"))
+
+
+def chunks(reports: DataFrame, max_chars: int = MAX_CHARS, text: str = "raw_text", group_chars: int = GROUP_CHARS) -> DataFrame:
+    """CHK-04: by titles of tables if there are several, else by pages, else by loose bracketed titles, else by length."""
+    packed = pack_sections(label_sections(table_sections(reports, text)), max_chars, group_chars)
     pages, titles = _parts(F.col(text), r"(?=--- 第 \d+ 页)"), _parts(F.col(text), r"(?=【[^】]+】.*?(?:监测|成果|数据))")
-    cut = F.when(F.size(pages) > 1, pack(pages, max_chars)).when(F.size(titles) > 1, pack(titles, max_chars)).otherwise(split_long(F.col(text), max_chars))
-    return reports.select("report_id", F.posexplode(cut).alias("chunk_no", "text"))
+    cut = F.when(F.col("sections").isNotNull(), F.col("sections")).when(F.size(pages) > 1, pack(pages, max_chars)).when(F.size(titles) > 1, pack(titles, max_chars)).otherwise(split_long(F.col(text), max_chars))
+    return reports.join(packed, "report_id", "left").select("report_id", F.posexplode(cut).alias("chunk_no", "text"))

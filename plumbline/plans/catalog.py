@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import landings, reports, rules, texts
+from . import cutting, landings, reports, rules, texts, tracing
 
-QUERIES = rules.QUERIES | reports.QUERIES | texts.QUERIES | landings.QUERIES
-ORACLES = rules.ORACLES | reports.ORACLES | texts.ORACLES | landings.ORACLES
+QUERIES = rules.QUERIES | reports.QUERIES | texts.QUERIES | landings.QUERIES | tracing.QUERIES | cutting.QUERIES
+ORACLES = rules.ORACLES | reports.ORACLES | texts.ORACLES | landings.ORACLES | tracing.ORACLES | cutting.ORACLES

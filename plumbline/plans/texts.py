@@ -80,7 +80,7 @@ SELECT report_id, page_no, min(line_no) AS line_no, min(start)::BIGINT AS start,
 
 # Markup made of the printed numbers: a page is 20 events, two tables with a line of text before, between and after.
 _MARKUP = """
-SELECT event_id % 5 AS report_id, CAST(floor(event_id / 100.0) AS BIGINT) AS page_no, CAST(floor(event_id / 5.0) AS BIGINT) % 20 AS n, event_type AS kind, CAST(CAST(value AS DECIMAL(18, 2)) AS STRING) AS v FROM {events}
+SELECT CAST(floor(event_id / 1000.0) AS BIGINT) AS report_id, CAST(floor(event_id / 20.0) AS BIGINT) % 50 AS page_no, event_id % 20 AS n, event_type AS kind, CAST(CAST(value AS DECIMAL(18, 2)) AS STRING) AS v FROM {events}
 """
 
 

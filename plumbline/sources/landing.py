@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunking import is_structured
+
 POINT_LABEL = "测点编号"
+# What tells a period from a date, a force table, and its columns.
+PERIOD_WORDS, FORCE_WORDS = ("监测时间", "时间段", "监测期"), ("锚索", "拉力", "支撑", "轴力")
+FORCE_HEADER = r"(?i)本次(?:\s*\([^)]*\))?\s*测值(?:\s*\([^)]*\))?\s*变化速率"
+DATE_TEXT = r"20\d{2}[-/.]\d{1,2}[-/.]\d{1,2}"
 
 
 def split_pages(reports: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -163,6 +169,37 @@ def merge_header(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("report_id").agg(F.min_by("x.project_name", filled).alias("project_name"))
 
 
+def drop_preamble_tables(mon_tables: DataFrame, chunks: DataFrame) -> DataFrame:
+    """LND-07: tables (with chunk_no) of chunks without a table's title go, if another chunk of the report has one."""
+    told = chunks.select("report_id", "chunk_no", is_structured(F.col("text")).alias("titled")).withColumn("any", F.max("titled").over(Window.partitionBy("report_id")))
+    return mon_tables.join(told.where("titled or not any").select("report_id", "chunk_no"), ["report_id", "chunk_no"], "left_semi")
+
+
+def completeness(chunks: DataFrame, tables: DataFrame) -> DataFrame:
+    """LND-08: titled chunks whose answer falls short: fewer tables than the text has dates (lines that name a period count for none), or a table with less than
+    four fifths of the rows it declares. ``tables``: report_id, chunk_no, pos, declared, parsed, one row per table of the answer."""
+    titled = chunks.where(is_structured(F.col("text"))).select("report_id", "chunk_no", F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
+    found = F.regexp_extract_all("line", F.lit(DATE_TEXT), F.lit(0))
+    days = titled.withColumn("days", F.when((F.size(found) >= 2) & F.col("line").rlike("|".join(PERIOD_WORDS)), F.array().cast("array<string>")).otherwise(found))
+    dates = days.groupBy("report_id", "chunk_no").agg(F.size(F.array_distinct(F.flatten(F.collect_set("days")))).alias("dates"))
+    short = (F.col("declared") >= 5) & (F.col("parsed") < F.col("declared") * 0.8)
+    given = tables.groupBy("report_id", "chunk_no").agg(F.count("*").alias("tables"), F.min(F.when(short, F.col("pos"))).alias("short_table"))
+    joined = dates.join(given, ["report_id", "chunk_no"], "left").withColumn("tables", F.coalesce("tables", F.lit(0)))
+    reason = F.when((F.col("dates") > 0) & (F.col("tables") < F.col("dates")), "tables").when(F.col("short_table").isNotNull(), "rows")
+    return joined.withColumn("reason", reason).where("reason is not null")
+
+
+def fix_force_reading(points: DataFrame, mon_tables: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """LND-10: points and tables (with chunk_no) where a chunk's header shows that a force table's last columns are this reading and its rate: the reading is its
+    cumulative value, and initial values aren't to be relied on."""
+    shown = chunks.where(F.contains(F.lower("text"), F.lit("kn")) & F.col("text").rlike(FORCE_HEADER)).select("report_id", "chunk_no").distinct().withColumn("shown", F.lit(True))
+    forces = F.concat_ws(" ", "monitoring_item", "category").rlike("|".join(FORCE_WORDS))
+    told = mon_tables.join(shown, ["report_id", "chunk_no"], "left").withColumn("shown", F.coalesce(F.col("shown") & forces, F.lit(False)))
+    fixed = told.withColumn("initial_value_reliable", F.col("initial_value_reliable") & ~F.col("shown")).drop("shown")
+    moved = points.join(told.select("report_id", "table_idx", "shown"), ["report_id", "table_idx"]).withColumn("cumulative_change", F.when(F.col("shown"), F.coalesce("current_value", "cumulative_change")).otherwise(F.col("cumulative_change")))
+    return moved.drop("shown"), fixed
+
+
 def prompt_key(*columns: str) -> Column:
     """LND-09: the key of a request: the digest of its canonical form."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

@@ -2,7 +2,8 @@
 
 The tables hold no reports, so weekly sums of events stand for readings and
 quarterly sums of line items for borehole profiles, with errors put in at
-arithmetic conditions so that what is wrong is known. The same SQL text runs in
+arithmetic conditions so that what is wrong is known. A report is 15 users (or
+five suppliers), so that there are more reports, not longer ones, in more data. The same SQL text runs in
 Spark and in the oracle's engine; ``{days}`` is the only difference.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _DAYS = {"spark": "datediff(CAST({0} AS DATE), DATE '{1}')", "duckdb": "datediff('day', DATE '{1}', CAST({0} AS DATE))"}
 
 _POINTS = """
-SELECT u % 5 AS report_id, w * 5 + k AS table_idx, CAST(row_number() OVER (PARTITION BY u % 5, w * 5 + k ORDER BY u) AS INT) - 1 AS row_no, 'U' || CAST(u AS STRING) AS point_id,
+SELECT CAST(floor(u / 15.0) AS BIGINT) AS report_id, w * 5 + k AS table_idx, CAST(row_number() OVER (PARTITION BY CAST(floor(u / 15.0) AS BIGINT), w * 5 + k ORDER BY u) AS INT) - 1 AS row_no, 'U' || CAST(u AS STRING) AS point_id,
   CASE WHEN k = 3 THEN start / 1000.0 ELSE start END AS initial_value, CAST(NULL AS DOUBLE) AS previous_value,
   CASE WHEN k = 3 THEN (start + drift) / 1000.0 ELSE start + drift END AS current_value,
   cc AS current_change, cum AS cumulative_change,
@@ -47,7 +48,7 @@ SELECT b AS report_id, q AS table_idx, CAST(row_number() OVER (PARTITION BY b, q
 FROM (
   SELECT b, q, n, CAST(v AS DOUBLE) AS v, CAST(sum(v) OVER (PARTITION BY b, n ORDER BY q) AS DOUBLE) AS run
   FROM (
-    SELECT l_suppkey % 20 AS b, CAST(floor({day} / 91.0) AS BIGINT) AS q, l_linenumber AS n, CAST(sum(CAST(l_quantity - 25 AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS v
+    SELECT CAST(floor(l_suppkey / 5.0) AS BIGINT) AS b, CAST(floor({day} / 91.0) AS BIGINT) AS q, l_linenumber AS n, CAST(sum(CAST(l_quantity - 25 AS DECIMAL(18, 2))) AS DECIMAL(18, 2)) AS v
     FROM {lineitem} GROUP BY 1, 2, 3) a) c
 """
 
