@@ -9,6 +9,7 @@ from ..functions.text import date_key, date_keys
 from .config import choose_deep_interval, choose_interval
 from .issues import FORCE, TABLE, close_enough, issues, together
 
+# What a first period is called.
 FIRST_CUES = ("首测", "初测", "首次监测", "第一期", "第1期", "第 1 期", "第一次", "第1次", "第 1 次", "初始监测", "起始监测", "初始基准", "基准日")
 _RULE = ["unit_conversion", "cumulative_tolerance", "rate_tolerance", "initial_value_reliable", "severity_for_cumulative"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,11 @@ def text_quality(pages: DataFrame, markers: tuple[str, ...], least_chars: float
 def _runs(pages: DataFrame, pattern: str) -> DataFrame:
     """Stretches that match a pattern whose group 1 is the unit: where they start, the unit, and how often it comes."""
     hits, units = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-    found = pages.where(F.col("text").rlike(pattern)).select(*PAGE, F.posexplode(F.arrays_zip(hits.alias("hit"), units.alias("unit"))).alias("finding_no", "x"))
-    return found.select(*PAGE, "finding_no", F.col("x.unit").alias("unit"), (F.length("x.hit") / F.length("x.unit")).cast("long").alias("times"))
+    gaps = F.split("text", pattern, -1)
+    damaged = pages.where(F.col("text").rlike(pattern)).select(*PAGE, hits.alias("hits"), units.alias("units"), gaps.alias("gaps"))
+    before = lambda i: F.aggregate(F.zip_with(F.slice("gaps", F.lit(1), i + 1), F.slice("hits", F.lit(1), i), lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0))), F.lit(0), lambda a, n: a + n)
+    found = damaged.select(*PAGE, "hits", "gaps", F.posexplode("units").alias("finding_no", "unit"))
+    return found.select(*PAGE, "finding_no", before(F.col("finding_no")).cast("long").alias("start"), "unit", (F.length(F.get("hits", F.col("finding_no"))) / F.length("unit")).cast("long").alias("times"))
 
 
 def repeat_char(pages: DataFrame, n: int = 200) -> DataFrame:
@@ -61,6 +66,16 @@ def repeat_unit(pages: DataFrame, n: int = 100) -> DataFrame:
     return _runs(pages, rf"([^\n]{{2,10}}?)\1{{{n - 1},}}")
 
 
+def damage_findings(reports: DataFrame, pages: DataFrame, chars: int = 200, units: int = 100, repeats: int = 50) -> DataFrame:
+    """DOC-13: all three kinds of damage in the whole texts of reports (report_id, text; page null) and in each page, kept apart: what both see counts twice."""
+    def of(texts: DataFrame, source: str) -> DataFrame:
+        kinds = {"char": repeat_char(texts, chars).drop("finding_no"), "unit": repeat_unit(texts, units).drop("finding_no"), "line": repeat_line(lines(texts), repeats).drop("line_no")}
+        rows = [df.select(*PAGE, F.lit(source).alias("source"), F.lit(kind).alias("kind"), "start", "unit", "times") for kind, df in kinds.items()]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+    return of(reports.select("report_id", F.lit(None).cast("long").alias("page_no"), "text"), "report").unionByName(of(pages.select(*PAGE, "text"), "page"))
+
+
 def repeat_line(line_table: DataFrame, n: int = 50) -> DataFrame:
     """DOC-12: the same trimmed line of three characters and more, n times in a row and more; where it starts in the page."""
     page = Window.partitionBy(*PAGE).orderBy("line_no")
@@ -76,16 +91,31 @@ KEEP = (
     "上次累计量", "本次累计量", "本次变化量", "累计变化量", "本期变化", "变化速率", "安全状态", "最大变化速率", "最大变化位移", "最大内力", "最小内力", "当次累计",
 )
 CHART = ("监测数据成果曲线图", "位移—深度曲线", "位移-深度曲线")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+# How a table, its rows and its cells are written in markup.
 _TABLES, _ROWS, _CELLS = r"(?is)<table[^>]*>.*?</table>", r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
 
 
+def unescape(c: Column) -> Column:
+    """A text with its entities resolved, named ones and numbers, each once; names that are unknown stay."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+
+    def put(x: Column) -> Column:
+        bare = F.substring(x, 2, 40)
+        bare = F.left(bare, F.length(bare) - 1)
+        code = F.when(F.lower(bare).startswith("#x"), F.conv(F.substring(bare, 3, 10), 16, 10)).when(bare.startswith("#"), F.substring(bare, 2, 10)).try_cast("int")
+        bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        return F.when(bad, "\ufffd").when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.coalesce(F.try_element_at(names, bare), x))
+
+    hits, gaps = F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), F.split(c, _ENTITY, -1)
+    whole = F.array_join(F.flatten(F.zip_with(gaps, F.transform(hits, put), lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))), "")
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+
+
 def clean_cell(c: Column) -> Column:
     """The text of a cell's markup: breaks as " / ", without images and tags, entities resolved, numbers normalised, spaces collapsed."""
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", " / "), r"(?i)<img[^>]*>", ""), r"<[^>]+>", "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(normalize_numeric(out), r"\s+", " "))
+    return F.trim(F.regexp_replace(normalize_numeric(unescape(out)), r"\s+", " "))
 
 
 def html_cells(pages: DataFrame, markup: str = "markup") -> DataFrame:
@@ -135,8 +165,8 @@ def filter_table_rows(rows: DataFrame) -> DataFrame:
     return marked.withColumn("opened", opened).where(~title & ~image & ~(F.col("opened") & ~has_keep_marker(F.col("said")) & axis)).select(*TABLE, "row_no", "cells")
 
 
-def text_lines(pages: DataFrame, markup: str = "markup") -> DataFrame:
-    """DOC-05: the lines of a page's markup outside tables, block tags as line ends, blank lines and chart parts left out."""
+def _judged_lines(pages: DataFrame, markup: str) -> DataFrame:
+    """The lines of a page's markup outside tables in order, and what becomes of them: kept, noise, or a table's place."""
     flat = F.regexp_replace(F.regexp_replace(F.col(markup), _TABLES, "\n\u0001\n"), r"(?i)<(?:br\s*/?|/?(?:div|p|li|ul|ol|h[1-6]|section|article|tr))[^>]*>", "\n")
     split = pages.select(*PAGE, F.posexplode(F.split(flat, "\n")).alias("at", "raw"))
     said = split.withColumn("line", F.when(F.contains("raw", F.lit("\u0001")), F.lit("\u0001")).otherwise(clean_cell(F.col("raw")))).where("line <> ''")
@@ -144,14 +174,36 @@ def text_lines(pages: DataFrame, markup: str = "markup") -> DataFrame:
     state = F.when(title, "open").when(table | has_keep_marker(F.col("line")), "shut")
     before = Window.partitionBy(*PAGE).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     opened = F.coalesce(F.last(state, ignorenulls=True).over(before) == "open", F.lit(False))
-    kept = said.withColumn("opened", opened).where(~table & ~title & ~(F.col("opened") & is_axis_noise(F.col("line"))))
+    fate = F.when(table, "table").when(title | (F.col("opened") & is_axis_noise(F.col("line"))), "noise").otherwise("kept")
+    return said.withColumn("opened", opened).select(*PAGE, "at", "line", fate.alias("fate"))
+
+
+def text_lines(pages: DataFrame, markup: str = "markup") -> DataFrame:
+    """DOC-05: the lines of a page's markup outside tables, block tags as line ends, blank lines and chart parts left out."""
+    kept = _judged_lines(pages, markup).where("fate = 'kept'")
     return kept.select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy("at")).cast("long").alias("line_no"), "line")
 
 
-def page_stats(pages: DataFrame, kept_lines: DataFrame, rows: DataFrame, markup: str = "markup") -> DataFrame:
-    """DOC-07: per page how long its markup and its text are, what share is markup, and how many lines, rows and cells it has."""
-    said = kept_lines.groupBy(PAGE).agg(F.count("*").alias("lines"), F.sum(F.length("line").cast("long")).alias("plain_chars"))
-    cells = rows.groupBy(PAGE).agg(F.countDistinct("table_no").alias("tables"), F.count("*").alias("rows"), F.sum(F.size("cells").cast("long")).alias("cells"))
-    raw, bare = F.length(markup), F.length(F.regexp_replace(F.col(markup), r"<[^>]+>", ""))
-    sized = pages.select(*PAGE, raw.cast("long").alias("raw_chars"), F.round(F.try_divide(raw - bare, raw), 4).alias("markup_ratio"))
-    return sized.join(said, PAGE, "left").join(cells, PAGE, "left").fillna(0)
+def page_stats(pages: DataFrame, markup: str = "markup") -> DataFrame:
+    """DOC-07: per page the characters of its markup, of its text without tags and of what is kept, the share that is markup, its lines, tables, rows and cells that stay,
+    and the tables and the chart lines and rows that don't."""
+    judged, rows = _judged_lines(pages, markup), html_cells(pages, markup)
+    tables = drop_noise_tables(rows)
+    kept = filter_table_rows(tables)
+    long = lambda c: c.cast("long")
+    said = judged.groupBy(PAGE).agg(F.count_if(F.col("fate") == "kept").alias("lines"), F.coalesce(F.sum(F.when(F.col("fate") == "kept", long(F.length("line")))), F.lit(0)).alias("line_chars"), F.count_if(F.col("fate") == "noise").alias("noise_lines"))
+    found = rows.groupBy(PAGE).agg(F.countDistinct("table_no").alias("all_tables"))
+    stay = tables.groupBy(PAGE).agg(F.countDistinct("table_no").alias("tables"), F.count("*").alias("table_rows"))
+    cells = kept.groupBy(PAGE).agg(F.count("*").alias("rows"), F.sum(long(F.size("cells"))).alias("cells"), F.sum(long(F.length(F.array_join("cells", " | ")))).alias("cell_chars"))
+    raw, bare = F.length(markup), F.length(F.trim(F.regexp_replace(F.col(markup), r"<[^>]+>", "")))
+    sized = pages.select(*PAGE, long(raw).alias("raw_chars"), long(bare).alias("plain_chars"), F.coalesce(F.round(F.try_divide(raw - bare, raw), 4), F.lit(0.0)).alias("markup_ratio"))
+    for part in (said, found, stay, cells):
+        sized = sized.join(part, PAGE, "left")
+    sized = sized.fillna(0)
+    return sized.select(*PAGE, "raw_chars", "plain_chars", (F.col("line_chars") + F.col("cell_chars")).alias("clean_chars"), "markup_ratio", "lines", "tables", (F.col("all_tables") - F.col("tables")).alias("dropped_tables"), "rows", "cells", (F.col("noise_lines") + F.col("table_rows") - F.col("rows")).alias("noise_lines"))
+
+
+def report_stats(stats: DataFrame, most: float = 0.9) -> DataFrame:
+    """DOC-07: per report the sums over its pages, what share of the markup's characters is kept, and how many pages are mostly markup."""
+    sums = stats.groupBy("report_id").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("raw_chars", "plain_chars", "clean_chars")], F.count_if(F.col("markup_ratio") >= most).alias("markup_pages"))
+    return sums.withColumn("compression_ratio", F.coalesce(F.round(F.try_divide("clean_chars", "raw_chars"), 4), F.lit(0.0)))

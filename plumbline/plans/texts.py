@@ -72,8 +72,11 @@ _over_pages("doc_06_repeat_lines", lambda g: hygiene.drop_repeat_lines(hygiene.l
 _over_pages("doc_08_identical_pages", hygiene.identical_pages, """, n AS (SELECT report_id, page_no, string_agg(trim(line, ' \t\r'), chr(10) ORDER BY line_no) AS t FROM l WHERE trim(line, ' \t\r') <> '' GROUP BY 1, 2),
 c AS (SELECT report_id, page_no, min(page_no) OVER (PARTITION BY report_id, t) AS first_page, count(*) OVER (PARTITION BY report_id, t) AS copies FROM n) SELECT report_id, page_no, first_page, copies FROM c WHERE copies > 1""")
 _over_pages("doc_09_text_quality", lambda g: hygiene.text_quality(g, ("the", "que", "der", "los", "and"), 2000), "SELECT report_id, pages, chars, markers, chars / pages >= 2000 AND markers >= 2 AS good FROM (SELECT report_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, " + " + ".join(f"bool_or(contains(text, '{m}'))::INT" for m in ("the", "que", "der", "los", "and")) + " AS markers FROM g GROUP BY 1)")
-_over_pages("doc_10_repeat_char", lambda g: hygiene.repeat_char(g, 8))
-_over_pages("doc_11_repeat_unit", lambda g: hygiene.repeat_unit(g, 12))
+_RUNS = """, h AS (SELECT report_id, page_no, i, x FROM (SELECT report_id, page_no, unnest(string_split(text, '')) AS x, unnest(range(1, len(text) + 1)) AS i FROM {0})),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY report_id, page_no, x ORDER BY i) AS island FROM h WHERE NOT regexp_matches(x, '^[ \\t\\n\\x0B\\f\\r]$')),
+u AS (SELECT report_id, page_no, x AS unit, min(i) - 1 AS start, count(*) AS times FROM k GROUP BY report_id, page_no, x, island HAVING count(*) >= 3)"""
+_over_pages("doc_10_repeat_char", lambda g: hygiene.repeat_char(g, 3), _RUNS.format("g") + " SELECT report_id, page_no, (row_number() OVER (PARTITION BY report_id, page_no ORDER BY start) - 1)::INT AS finding_no, start, unit, times FROM u")
+_over_pages("doc_11_repeat_unit", lambda g: hygiene.repeat_unit(g, 3))
 _over_pages("doc_12_repeat_line", lambda g: hygiene.repeat_line(hygiene.lines(g), 2), """, m AS (SELECT *, trim(line, ' \t\r') AS t, sum(length(line) + 1) OVER (PARTITION BY report_id, page_no ORDER BY line_no) - length(line) - 1 AS start FROM l),
 k AS (SELECT *, line_no - row_number() OVER (PARTITION BY report_id, page_no, t ORDER BY line_no) AS island FROM m WHERE length(t) >= 3)
 SELECT report_id, page_no, min(line_no) AS line_no, min(start)::BIGINT AS start, t AS unit, count(*) AS times FROM k GROUP BY report_id, page_no, t, island HAVING count(*) >= 2""")
@@ -106,7 +109,34 @@ def _rows(rows: DataFrame) -> DataFrame:
 _over_markup("doc_01_html_cells", lambda g: _rows(hygiene.html_cells(g)), "SELECT * FROM r")
 _over_markup("doc_03_04_tables", lambda g: _rows(hygiene.filter_table_rows(hygiene.drop_noise_tables(hygiene.html_cells(g)))), "SELECT * FROM r")
 _over_markup("doc_05_text_lines", hygiene.text_lines, "SELECT DISTINCT report_id, page_no, unnest([1, 2, 3, 4, 5]) AS line_no, unnest(['项目名称 A', '次要', '深度 m', '10 20 30', '尾 <1>']) AS line FROM m")
-_over_markup("doc_07_page_stats", lambda g: hygiene.page_stats(g, hygiene.text_lines(g), hygiene.html_cells(g)).select("report_id", "page_no", "lines", "plain_chars", "tables", "rows", "cells"),
-             "SELECT report_id, page_no, 5 AS lines, len('项目名称 A' || '次要' || '深度 m' || '10 20 30' || '尾 <1>') AS plain_chars, count(DISTINCT table_no) AS tables, count(*) AS rows, 2 * count(*) AS cells FROM r GROUP BY 1, 2")
+
+# Markup with parts of charts: a table of numbers, one that a label keeps, one of half noise, and lines between.
+_AXIS = "<table><tr><td>10 20 30 40</td></tr><tr><td>1.5 2.5</td></tr></table>"
+_LABELLED = "<table><tr><td>位移-深度曲线</td></tr><tr><td>10 20 30</td></tr><tr><td>![a](b.png)</td></tr><tr><td>深度</td><td>&#109;&sup2;&unknown;</td></tr><tr><td>10 20 30</td></tr></table>"
+_HALF = "<table><tr><td>1 2 3</td></tr><tr><td>abc</td></tr></table>"
+
+
+def _charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_MARKUP, events=read(spark, sf_dir, "events").select("event_id", "event_type", "value"))
+    cell = F.concat(F.lit("<tr><td>"), "kind", F.lit("</td><td>"), "v", F.lit("</td></tr>"))
+    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", cell.alias("html")))), lambda x: x["html"]), "")
+    return rows.groupBy("report_id", "page_no").agg(F.concat(F.lit("<table>"), own, F.lit(f"</table>{_AXIS}<p>位移-深度曲线<br>10 20 30 40<br>深度 m<br>10 20 30</p>{_LABELLED}{_HALF}")).alias("markup"))
+
+
+def _over_charts(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(_charts(spark, sf_dir))
+    ORACLES[name] = f"""WITH m AS ({_MARKUP.replace('{events}', 'events')}), g AS (SELECT DISTINCT report_id, page_no FROM m),
+a AS (SELECT report_id, page_no, 0 AS table_no, n::INT - min(n) OVER (PARTITION BY report_id, page_no)::INT AS row_no, kind || '|' || v AS said FROM m),
+b AS (SELECT report_id, page_no, 2 AS table_no, unnest([0, 1, 2, 3, 4]) AS row_no, unnest(['位移-深度曲线', '10 20 30', '![a](b.png)', '深度|m²&unknown;', '10 20 30']) AS said FROM g) {sql}"""
+
+
+_over_charts("doc_03_noise_tables", lambda g: _rows(hygiene.drop_noise_tables(hygiene.html_cells(g))), "SELECT * FROM a UNION ALL SELECT * FROM b")
+_over_charts("doc_04_chart_rows", lambda g: _rows(hygiene.filter_table_rows(hygiene.drop_noise_tables(hygiene.html_cells(g)))), "SELECT * FROM a UNION ALL SELECT * FROM b WHERE row_no >= 3")
+_KEPT = f"""c AS (SELECT report_id, page_no, count(*) AS n, sum(len(kind) + len(v))::BIGINT AS chars FROM m GROUP BY 1, 2),
+z AS (SELECT report_id, page_no, n * len('<tr><td></td><td></td></tr>') + chars + len('<table></table><p><br><br><br></p>位移-深度曲线10 20 30 40深度 m10 20 30{_AXIS}{_LABELLED}{_HALF}') AS raw_chars, chars + len('10 20 30 401.5 2.5位移-深度曲线10 20 30 40深度 m10 20 30位移-深度曲线10 20 30![a](b.png)深度&#109;&sup2;&unknown;10 20 301 2 3abc') AS plain_chars,
+  len('深度 m10 20 30') + chars + 3 * n + len('深度 | m²&unknown;10 20 30') AS clean_chars, n FROM c),
+st AS (SELECT report_id, page_no, raw_chars, plain_chars, clean_chars, round((raw_chars - plain_chars) / raw_chars, 4) AS markup_ratio, 2 AS lines, 2 AS tables, 2 AS dropped_tables, n + 2 AS rows, 2 * n + 3 AS cells, 5 AS noise_lines FROM z)"""
+_over_charts("doc_07_page_stats", hygiene.page_stats, f", {_KEPT} SELECT * FROM st")
+_over_charts("doc_07_report_stats", lambda g: hygiene.report_stats(hygiene.page_stats(g), 0.55), f", {_KEPT} SELECT report_id, count(*) AS pages, sum(raw_chars)::BIGINT AS raw_chars, sum(plain_chars)::BIGINT AS plain_chars, sum(clean_chars)::BIGINT AS clean_chars, count(*) FILTER (markup_ratio >= 0.55) AS markup_pages, round(sum(clean_chars) / sum(raw_chars), 4) AS compression_ratio FROM st GROUP BY 1")
 _query("doc_02_axis_noise", lambda spark, sf_dir: _printed(spark, sf_dir).select("event_id", hygiene.is_axis_noise(F.col("s")).alias("noise")),
        "SELECT event_id, t <> '' AND NOT regexp_matches(t, '" + "|".join(hygiene.KEEP) + "') AND (regexp_matches(t, '^[-•]\\s*[A-Za-z]+[0-9]+$') OR (len(regexp_replace(t, '[^0-9]', '', 'g')) > 0 AND (len(regexp_replace(t, '[^-]', '', 'g')) >= 10 OR (regexp_matches(t, '^[0-9\\-./年月日:~\\sA-Za-z△☐○●]+$') AND len(regexp_replace(t, '[^0-9]', '', 'g')) / greatest(len(t), 1) >= 0.35)))) AS noise FROM (SELECT event_id, trim(s) AS t FROM x)")
