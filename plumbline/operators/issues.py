@@ -23,6 +23,28 @@ def issues(df: DataFrame, rule: str, severity, expected, actual, where: Column |
     )
 
 
+# What each rule is about, and what it says.
+SAYINGS = {
+    "CAL-01": ("cumulative_change", "force differs from its readings"), "CAL-02": ("cumulative_change", "cumulative change differs from its readings"), "CAL-03": ("change_rate", "rate differs from change over interval"),
+    "CAL-05": ("current_change", "change of depth differs from its cumulative values"), "CAL-06": ("change_rate", "rate of depth differs from change over interval"), "CAL-07": ("cumulative_change", "first period differs from its change"),
+    "CAL-08": ("cumulative_change", "period doesn't continue the one before"), "CAL-09": ("current_change", "change stands out"), "CAL-10": ("cumulative_change", "sign differs from its readings"),
+    "STA-01": ("max_force", "largest force differs"), "STA-02": ("min_force", "smallest force differs"), "STA-03": ("positive_max", "largest positive value differs"), "STA-05": ("negative_max", "largest negative value differs"),
+    "STA-06": ("max_rate", "largest rate differs"), "STA-07": ("max_rate", "largest rate follows another convention"), "STA-08": ("point_id", "point is in another table"), "STA-09": ("max_change", "largest change differs"),
+    "LOG-06": ("safety_status", "state differs from its limits"), "LOG-07": ("safety_status", "value is near its limit"), "LOG-08": ("monitoring_item", "summary has no table"), "LOG-09": ("positive_max", "summary's force differs"),
+    "LOG-10": ("positive_max", "summary differs from its tables"), "LOG-11": ("point_count", "number of rows differs"),
+}
+
+
+def described(found: DataFrame, mon_tables: DataFrame) -> DataFrame:
+    """Issues with the name of their table, the field they are about, and a message that says what was expected and what is printed."""
+    told = F.create_map(*[F.lit(x) for rule, (field, text) in SAYINGS.items() for x in (rule, f"{field}|{text}")])
+    said = F.split(F.coalesce(F.try_element_at(told, F.col("rule_id")), F.lit("|")), r"\|")
+    number = lambda c: F.col(c).cast("decimal(18,3)").cast("string")
+    values = F.when(F.col("expected_num").isNotNull() & F.col("actual_num").isNotNull(), F.concat(F.lit(": expected "), number("expected_num"), F.lit(", printed "), number("actual_num"))).otherwise("")
+    names = mon_tables.select(*TABLE, F.col("monitoring_item").alias("table_name"))
+    return found.join(names, TABLE, "left").withColumns({"table_name": F.coalesce("table_name", F.lit("")), "field_name": F.get(said, 0), "message": F.concat(F.get(said, 1), values)})
+
+
 def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

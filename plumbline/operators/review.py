@@ -28,12 +28,16 @@ def context(batches: DataFrame, texts: DataFrame, width: int = 200, before: int
 
 
 def apply_verdicts(batches: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """VER-03: dismissed errors become info, downgraded ones warnings. Indexes outside a batch match nothing."""
+    """VER-03: dismissed errors become info, downgraded ones warnings, and their messages (if there are any) say why. Indexes outside a batch match nothing."""
     joined = batches.join(verdicts.select("report_id", "batch_no", "error_idx", "verdict", "reason", "suspected_origin"), ["report_id", "batch_no", "error_idx"], "left")
     origin = F.when(F.col("suspected_origin").isin("report", "extraction", "logic"), F.col("suspected_origin")).otherwise(source_from_reason(F.coalesce("reason", F.lit(""))))
     known = F.col("suspected_source") if "suspected_source" in batches.columns else F.lit("")
     severity = F.when(F.col("verdict") == "dismiss", "info").when(F.col("verdict") == "downgrade", "warning").otherwise(F.col("severity"))
-    return joined.withColumns({"severity": severity, "suspected_source": F.when(F.col("verdict").isNotNull() & (origin != ""), origin).otherwise(known)}).drop("suspected_origin")
+    changed = {"severity": severity, "suspected_source": F.when(F.col("verdict").isNotNull() & (origin != ""), origin).otherwise(known)}
+    if "message" in batches.columns:
+        why = F.concat(F.when(F.col("verdict") == "dismiss", " [dismissed: ").otherwise(" [downgraded: "), F.coalesce("reason", F.lit("")), F.lit("]"))
+        changed["message"] = F.when(F.col("verdict").isin("dismiss", "downgrade"), F.concat("message", why)).otherwise(F.col("message"))
+    return joined.withColumns(changed).drop("suspected_origin")
 
 
 def issue_totals(issues: DataFrame) -> DataFrame:
@@ -42,9 +46,15 @@ def issue_totals(issues: DataFrame) -> DataFrame:
     return per.unionByName(per.groupBy("report_id").agg(F.sum("n").alias("n")).withColumn("severity", F.lit(None).cast("string")))
 
 
-def conclusion(issues: DataFrame) -> DataFrame:
-    """REP-02: pass without errors and warnings, review without errors, else fail."""
+def source_totals(issues: DataFrame) -> DataFrame:
+    """REP-01: per report the issues by whom they are blamed on; those without a source have the empty one."""
+    return issues.groupBy("report_id", F.coalesce("suspected_source", F.lit("")).alias("suspected_source")).agg(F.count("*").alias("n"))
+
+
+def conclusion(issues: DataFrame, reports: DataFrame) -> DataFrame:
+    """REP-02: of every report, pass without errors and warnings, review without errors, else fail."""
     per = issues.groupBy("report_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    per = reports.select("report_id").distinct().join(per, "report_id", "left").fillna(0, ["errors", "warnings"])
     return per.withColumn("conclusion", F.when(F.col("errors") > 0, "fail").when(F.col("warnings") > 0, "review").otherwise("pass"))
 
 
@@ -73,3 +83,12 @@ def table_list(mon_tables: DataFrame, points: DataFrame, deep_points: DataFrame)
     rows = points.select("report_id", "table_idx").unionByName(deep_points.select("report_id", "table_idx")).groupBy("report_id", "table_idx").agg(F.count("*").alias("rows"))
     name = F.when(F.coalesce("borehole_id", F.lit("")) != "", F.concat("monitoring_item", F.lit("("), "borehole_id", F.lit(")"))).otherwise(F.col("monitoring_item"))
     return mon_tables.join(rows, ["report_id", "table_idx"], "left").select("report_id", "table_idx", name.alias("name"), "category", F.coalesce("rows", F.lit(0)).alias("rows"), "monitor_date")
+
+
+def result_tables(reports: DataFrame, cells: DataFrame, mon_tables: DataFrame, points: DataFrame, deep_points: DataFrame, table_stats: DataFrame, issues: DataFrame, plan: DataFrame) -> dict[str, DataFrame]:
+    """SNK-01: the nine tables of results, by their names in the order in which they are read."""
+    from ..sources.landing import candidate_tables
+
+    return {
+        "00_overview": conclusion(issues, reports), "00A_candidates": candidate_tables(cells), "00B_cells": cells, "01_tables": mon_tables, "02_points": points, "03_deep_points": deep_points, "04_statistics": table_stats, "05_issues": issues, "06_plan": plan,
+    }

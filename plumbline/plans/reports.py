@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calc, logic, plan, quality, review, scoring
-from ..operators.issues import FIELDS, TABLE
+from ..operators.issues import FIELDS, SAYINGS, TABLE, described
+from ..sources import landing
 from ..sources.samples import sample_sql
-from .rules import _CONFIG, _FLAT_CHOSEN, _RAW, _issue, _tables
+from . import rules
+from .landings import _CELLS as _RAW_CELLS
+from .rules import _CONFIG, _FLAT_CHOSEN, _RAW, SHIFT, _issue, _tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,12 +64,12 @@ def _side(v: str, printed: str, near: str, point: str) -> str:
     return _issue("LOG-10", "sx", f"NOT force AND n > 0 AND {printed} IS NOT NULL AND ({v} IS NULL OR abs({v} - {printed}) > 0.15)", v, printed, f"CASE WHEN {v} IS NULL AND abs({near} - {printed}) <= 0.15 THEN 'info' ELSE 'warning' END", point, "si_no").replace("table_idx,", "CAST(NULL AS BIGINT) AS table_idx,", 1)
 
 
-_query("log_08_09_10_summary", lambda x: logic.check_summary(s := _summary(x), logic.match_summary(s, x["mon_tables"]), x["points"], x["deep_points"].limit(0)), _MS + _SUMS
+_query("log_08_09_10_summary", lambda x: logic.check_summary(s := _summary(x), logic.match_summary(s, x["mon_tables"]), x["points"], x["behind"]), _MS + _SUMS
        + "SELECT report_id, CAST(NULL AS BIGINT) AS table_idx, si_no AS row_no, monitoring_item AS point_id, 'LOG-08' AS rule_id, 'info' AS severity, CAST(NULL AS DOUBLE) AS expected_num, CAST(NULL AS DOUBLE) AS actual_num FROM si ANTI JOIN ms USING (report_id, si_no) UNION ALL "
        + _issue("LOG-09", "sx", "force AND abs(most - pos) > 0.3 AND abs(least - pos) > 0.3", "most", "pos", "'warning'", "positive_max_id", "si_no").replace("table_idx,", "CAST(NULL AS BIGINT) AS table_idx,", 1) + " UNION ALL "
        + _side("top", "pos", "tn", "positive_max_id") + " UNION ALL " + _side("bottom", "neg", "lp", "negative_max_id"))
-_COUNT = "(SELECT t.report_id, t.table_idx, point_count, count(*) AS parsed FROM t JOIN p USING (report_id, table_idx) GROUP BY ALL)"
-_query("log_11_qua_01_point_count", lambda x: logic.check_point_count(x["mon_tables"], x["points"], x["deep_points"].limit(0)), " " + _issue("LOG-11", _COUNT, "abs(point_count - parsed) / greatest(point_count, parsed) >= 0.2", "point_count", "parsed", "'warning'", "'ALL'", "NULL"))
+_COUNT = "(SELECT t.report_id, t.table_idx, point_count, count(*) AS parsed FROM t JOIN p USING (report_id, table_idx) GROUP BY ALL UNION ALL SELECT report_id, 100000 + table_idx, CASE WHEN table_idx % 2 = 0 THEN 4 ELSE count(*) END, count(*) FROM d GROUP BY report_id, table_idx)"
+_query("log_11_qua_01_point_count", lambda x: logic.check_point_count(x["all_tables"].withColumn("point_count", F.when((F.col("table_idx") >= SHIFT) & (F.col("table_idx") % 2 == 0), 4).otherwise(F.col("point_count"))), x["points"], x["behind"]), " " + _issue("LOG-11", _COUNT, "abs(point_count - parsed) / greatest(point_count, parsed) >= 0.2", "point_count", "parsed", "'warning'", "'ALL'", "NULL"))
 
 
 def _thin(x: dict[str, DataFrame]) -> DataFrame:
@@ -112,8 +117,15 @@ def _verdicts(x: dict[str, DataFrame]) -> DataFrame:
 
 _query("ver_03_verdicts", _verdicts, f"{_ALL}{_BATCHES}, ve AS ({_VERDICTS.format('ba')}) SELECT ba.* EXCLUDE (severity), CASE verdict WHEN 'dismiss' THEN 'info' WHEN 'downgrade' THEN 'warning' ELSE severity END AS severity, CASE WHEN verdict IS NULL THEN '' WHEN suspected_origin = 'report' THEN 'report' WHEN contains(reason, '单位') THEN 'extraction' WHEN contains(reason, '规则') THEN 'logic' ELSE '' END AS suspected_source FROM ba LEFT JOIN ve USING (report_id, batch_no, error_idx)")
 _query("rep_01_totals", lambda x: review.issue_totals(_some(x)), f"{_ALL} SELECT report_id, severity, count(*) AS n FROM iss GROUP BY 1, 2 UNION ALL SELECT report_id, NULL AS severity, count(*) AS n FROM iss GROUP BY 1")
-_query("rep_02_conclusion", lambda x: review.conclusion(_some(x)), f"{_ALL} SELECT report_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, CASE WHEN bool_or(severity = 'error') THEN 'fail' WHEN bool_or(severity = 'warning') THEN 'review' ELSE 'pass' END AS conclusion FROM iss GROUP BY 1")
-_query("rep_06_tables", lambda x: review.table_list(x["deep_tables"], x["points"].limit(0), x["deep_points"]), " SELECT report_id, table_idx, monitoring_item || '(' || borehole_id || ')' AS name, category, count(*) AS rows, monitor_date FROM dt JOIN d USING (report_id, table_idx) GROUP BY ALL")
+_query("rep_02_conclusion", lambda x: review.conclusion(_some(x).where("report_id % 3 <> 0"), x["mon_tables"]), f"{_ALL} SELECT t.report_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, CASE WHEN bool_or(severity = 'error') THEN 'fail' WHEN bool_or(severity = 'warning') THEN 'review' ELSE 'pass' END AS conclusion FROM (SELECT DISTINCT report_id FROM t) t LEFT JOIN iss ON iss.report_id = t.report_id AND t.report_id % 3 <> 0 GROUP BY 1")
+_FIELD, _TEXT = (" ".join(f"WHEN '{rule}' THEN '{told[i].replace(chr(39), chr(39) * 2)}'" for rule, told in SAYINGS.items()) for i in (0, 1))
+_DESCRIBED = f""", de AS (SELECT iss.*, monitoring_item AS table_name, CASE rule_id {_FIELD} END AS field_name, CASE rule_id {_TEXT} END || CASE WHEN expected_num IS NULL OR actual_num IS NULL THEN ''
+  ELSE ': expected ' || CAST(CAST(expected_num AS DECIMAL(18, 3)) AS VARCHAR) || ', printed ' || CAST(CAST(actual_num AS DECIMAL(18, 3)) AS VARCHAR) END AS message FROM iss JOIN t USING (report_id, table_idx))"""
+_query("iss_messages", lambda x: described(_some(x), x["mon_tables"]), f"{_ALL}{_DESCRIBED} SELECT * FROM de")
+_query("ver_03_messages", lambda x: review.apply_verdicts(b := review.review_batches(described(_some(x), x["mon_tables"]), _ORDER), b.sparkSession.sql(_VERDICTS.format("{b}"), b=b)).select("report_id", "batch_no", "error_idx", "field_name", "message"),
+       f"{_ALL}{_DESCRIBED}{_BATCHES}, ve AS ({_VERDICTS.format('ba')}) SELECT report_id, batch_no, error_idx, field_name, message || CASE verdict WHEN 'dismiss' THEN ' [dismissed: ' || reason || ']' WHEN 'downgrade' THEN ' [downgraded: ' || reason || ']' ELSE '' END AS message FROM ba JOIN de USING (report_id, table_idx, row_no, point_id, rule_id) LEFT JOIN ve USING (report_id, batch_no, error_idx)")
+_query("rep_01_sources", lambda x: review.source_totals(_some(x).withColumn("suspected_source", F.when(F.col("row_no") % 3 == 0, "report").when(F.col("row_no") % 3 == 1, "logic"))), f"{_ALL} SELECT report_id, CASE row_no % 3 WHEN 0 THEN 'report' WHEN 1 THEN 'logic' ELSE '' END AS suspected_source, count(*) AS n FROM iss GROUP BY 1, 2")
+_query("rep_06_tables", lambda x: review.table_list(x["all_tables"], x["points"], x["behind"]), " SELECT report_id, table_idx, monitoring_item AS name, category, count(*) AS rows, monitor_date FROM t JOIN p USING (report_id, table_idx) GROUP BY ALL UNION ALL SELECT report_id, 100000 + table_idx AS table_idx, monitoring_item || '(' || borehole_id || ')' AS name, category, count(*) AS rows, monitor_date FROM dt JOIN d USING (report_id, table_idx) GROUP BY ALL")
 _CELLS = "SELECT 'S' || CAST(report_id AS STRING) AS sheet, CAST(table_idx * 1000 + row_no AS BIGINT) AS row, {1} AS col, {2} AS value FROM {0} WHERE {3}"
 
 
@@ -175,12 +187,40 @@ _query("log_01_damage", lambda x: logic.check_damage(x["points"].select("report_
        ", f AS (SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY table_idx * 1000 + row_no) AS line_no, point_id AS detail FROM p) SELECT report_id, 0 AS line_no, 'LOG-01' AS rule_id, 'warning' AS severity, count(*) || ' findings' AS detail FROM f GROUP BY 1 UNION ALL SELECT report_id, line_no, 'LOG-01' AS rule_id, 'warning' AS severity, detail FROM f WHERE line_no <= 5")
 _query("log_02_extractable", lambda x: logic.check_extractable(x["deep_tables"].select("report_id").distinct(), x["mon_tables"]), " SELECT DISTINCT report_id, 'LOG-02' AS rule_id, 'warning' AS severity FROM dt WHERE report_id NOT IN (SELECT report_id FROM t)")
 _query("log_03_partial", lambda x: logic.check_partial_parse(x["points"].groupBy("report_id").agg(F.count_if(F.col("row_no") % 3 == 0).alias("failed"), F.count_if(F.col("row_no") % 3 != 0).alias("succeeded"))), " SELECT report_id, 'LOG-03' AS rule_id, 'warning' AS severity, count(*) FILTER (row_no % 3 = 0) AS failed FROM p GROUP BY 1")
-_query(
-    "cal_00_all", lambda x: review.issue_totals(calc.run_calculation_checks(x["mon_tables"].select("report_id").distinct().withColumn("monitoring_period", F.lit("")), x["mon_tables"], x["points"], x["deep_points"].limit(0), x["config"]).select("report_id", F.col("rule_id").alias("severity"))),
-)
+
+
+def _every_rule(x: dict[str, DataFrame]) -> DataFrame:
+    """All calculation rules over all tables of a report, those of depths behind the flat ones."""
+    config = x["config"].unionByName(x["deep_config"].withColumn("table_idx", F.col("table_idx") + SHIFT))
+    return calc.run_calculation_checks(x["mon_tables"].select("report_id").distinct().withColumn("monitoring_period", F.lit("")), x["all_tables"], x["points"], x["behind"], config)
+
+
+_PARTS = [(name, 0) for name in ("cal_01_force", "cal_02_cumulative", "cal_03_rate", "cal_08_continuity", "cal_09_anomaly", "cal_10_sign")] + [(name, SHIFT) for name in ("cal_05_deep_change", "cal_06_deep_rate")]
+QUERIES["cal_00_all"] = lambda spark, sf_dir: _every_rule(_tables(spark, sf_dir))
+ORACLES["cal_00_all"] = " UNION ALL ".join(f"SELECT report_id, table_idx + {shift} AS table_idx, row_no, point_id, rule_id, severity, expected_num, actual_num FROM ({rules.ORACLES[name]})" for name, shift in _PARTS)
 _PLAN = _FLAT_CHOSEN + """, pl AS (SELECT report_id, table_idx, category, unit, 'initial_value, current_value, current_change, cumulative_change, change_rate' AS filled, sample, rows, chosen_days AS interval_days,
   CASE WHEN chosen_days IS NULL THEN 'none' WHEN chosen_days = inferred THEN 'inferred' ELSE 'configured' END AS interval_source, CASE WHEN initial_value_reliable THEN 'reliable' WHEN unit = 'm' THEN 'metres' ELSE 'water level' END AS reliability,
   CASE WHEN category = 'ANCHOR_FORCE' THEN 'CAL-01, CAL-10' WHEN initial_value_reliable THEN 'CAL-02, CAL-03, CAL-10' ELSE 'CAL-03, CAL-10' END AS rules
   FROM cfg JOIN ch USING (report_id, table_idx) JOIN (SELECT report_id, table_idx, count(*) AS rows, string_agg(point_id, ', ' ORDER BY row_no) FILTER (row_no < 2) AS sample FROM p GROUP BY 1, 2) USING (report_id, table_idx))"""
 _query("cfg_10_plan", lambda x: plan.analysis_plan(x["points"], x["config"]), f"{_PLAN} SELECT * FROM pl")
 _query("rep_04_plan_groups", lambda x: review.group_plans(plan.analysis_plan(x["points"], x["config"]), ["category", "unit", "interval_source", "rules"]), f"{_PLAN} SELECT report_id, category, unit, interval_source, rules, count(*) AS tables, min(rows) AS least_rows, max(rows) AS most_rows FROM pl GROUP BY 1, 2, 3, 4, 5")
+_query("qua_08_diagnostics", lambda x: quality.diagnostics(_flags(x), x["mon_tables"].select("report_id", F.when(F.col("table_idx") % 3 == 0, 0.95).otherwise(0.5).alias("markup_ratio")), x["mon_tables"].where("table_idx % 5 = 1"), x["points"].where("row_no = 7")),
+       _SPARSE + _FLAGS + """, a AS (SELECT report_id, count(DISTINCT table_idx) AS flagged_tables FROM fg GROUP BY 1), b AS (SELECT report_id, count(*) FILTER (table_idx % 3 = 0) AS markup_pages, count(*) FILTER (table_idx % 5 = 1) AS identical_pairs FROM t GROUP BY 1), c AS (SELECT report_id, count(*) AS damages FROM p WHERE row_no = 7 GROUP BY 1)
+SELECT b.report_id, coalesce(flagged_tables, 0) AS flagged_tables, markup_pages, identical_pairs, coalesce(damages, 0) AS damages FROM b LEFT JOIN a USING (report_id) LEFT JOIN c USING (report_id)""")
+
+
+def _published(x: dict[str, DataFrame], folder: str) -> DataFrame:
+    """All nine tables of results, written and read again: rows by table and report."""
+    spark = x["points"].sparkSession
+    cells = spark.sql(_RAW_CELLS.format("{points}"), points=x["points"])
+    tables = review.result_tables(x["mon_tables"], cells, x["mon_tables"], x["points"], x["deep_points"], x["table_stats"], _some(x), plan.analysis_plan(x["points"], x["config"]))
+    landing.publish(tables, folder)
+    counts = [spark.read.parquet(f"{folder}/{name}").groupBy("report_id").agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), F.col("report_id").cast("long").alias("report_id"), "rows") for name in tables]
+    return reduce(DataFrame.unionByName, counts)
+
+
+QUERIES["snk_01_published"] = lambda spark, sf_dir: _published(_tables(spark, sf_dir), f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/published-{uuid.uuid4().hex}")
+ORACLES["snk_01_published"] = f"""WITH {sample_sql()}{_CONFIG}{_ALL}, c AS ({_RAW_CELLS.format('p')})
+SELECT '00_overview' AS name, report_id, 1 AS rows FROM t GROUP BY 2 UNION ALL SELECT '00A_candidates', report_id, count(DISTINCT page_no) FROM c GROUP BY 2 UNION ALL SELECT '00B_cells', report_id, count(*) FROM c GROUP BY 2
+UNION ALL SELECT '01_tables', report_id, count(*) FROM t GROUP BY 2 UNION ALL SELECT '02_points', report_id, count(*) FROM p GROUP BY 2 UNION ALL SELECT '03_deep_points', report_id, count(*) FROM d GROUP BY 2
+UNION ALL SELECT '04_statistics', report_id, count(*) FROM s GROUP BY 2 UNION ALL SELECT '05_issues', report_id, count(*) FROM iss GROUP BY 2 UNION ALL SELECT '06_plan', report_id, count(*) FROM t GROUP BY 2"""

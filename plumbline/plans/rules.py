@@ -38,8 +38,13 @@ _FLAT_CHOSEN = _chosen("SELECT report_id, table_idx, row_no, abs(current_change
 _DEEP_CHOSEN = _chosen("SELECT report_id, table_idx, row_no, round_even(abs(current_change) / abs(change_rate), 0) AS days FROM d WHERE abs(change_rate) > 1e-6 AND abs(current_change) > 1e-6 AND abs(current_change) / abs(change_rate) > 0.5 AND abs(current_change) / abs(change_rate) < 365", "dt")
 
 
+SHIFT = 100000  # deep tables stand behind a report's flat ones
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     x = sample(spark, sf_dir)
+    behind = lambda df: df.withColumn("table_idx", F.col("table_idx") + SHIFT)
+    x |= {"all_tables": x["mon_tables"].drop("k", "w").unionByName(behind(x["deep_tables"])), "behind": behind(x["deep_points"])}
     return x | {"config": config.base_config(x["mon_tables"], x["points"]), "deep_config": config.base_config(x["deep_tables"], x["points"].limit(0))}
 
 
