@@ -220,7 +220,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def met(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The links in groups of rows (group, block, rep, component). Texts travel packed, once to each group that they are in."""
     packed = _texts(docs, groups.select("rep")).mapInArrow(_pack, "rep long, packed binary")
-    rows = groups.join(nodes.select("rep", "sign", "n"), "rep").join(packed, "rep")
+    rows = groups.join(packed.join(nodes.select("rep", "sign", "n"), "rep"), "rep")
     ordered = rows.repartition("group").sortWithinPartitions("group")
     return ordered.select("group", "block", "rep", "component", "n", "sign", "packed").mapInArrow(_meet, "a long, b long").distinct()
 
@@ -231,7 +231,7 @@ def deepened(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = lambda some, key: some.select(F.xxhash64("tree", key).alias("group"), F.lit(0).alias("block"), "rep", "component")
     groups = grouped(rows.where(F.col("held") <= BLOCK), "prefix")
     if large.limit(1).count():
-        left = large.join(nodes.select("rep", "sign"), "rep").withColumn("turned", turned()).drop("sign")
+        left = large.join(nodes.select("rep", "sign"), "rep").withColumn("turned", F.substring(turned(), 1, 2 * DEPTHS[-1])).drop("sign")
         for depth in DEPTHS[1:]:
             tried = checkpointed(mixed(left.drop("held").withColumn("longer", F.substring("turned", 1, 2 * depth)), ["tree", "longer"]))
             groups = groups.unionByName(grouped(tried.where(F.col("held") <= BLOCK), "longer"))
