@@ -11,24 +11,31 @@ CUMULATIVE_TOLERANCE, RATE_TOLERANCE = 0.15, 0.05
 ELEVATION = ("VERTICAL_DISP", "SETTLEMENT")
 
 
-def mixed_unit_ratio(points: DataFrame) -> DataFrame:
-    """Per table the upper median of cumulative over current - initial, if it is near 1000 or 1; of five usable rows at least."""
+def looks(points: DataFrame) -> DataFrame:
+    """Per table, in one pass: ``elevation``, whether one of its first five rows reads like metres with a change in millimetres; and ``ratio``, the upper median of
+    cumulative over current - initial, if it is near 1000 or 1 (of five usable rows at least)."""
     diff = F.col("current_value") - F.col("initial_value")
-    usable = points.where((F.abs(diff) >= 1e-5) & (F.abs(F.col("cumulative_change")) >= 0.05)).withColumn("ratio", F.col("cumulative_change") / diff)
-    sorted_ratios = usable.groupBy(TABLE).agg(F.array_sort(F.collect_list("ratio")).alias("ratios")).where(F.size("ratios") >= 5)
-    middle = F.element_at("ratios", F.floor(F.size("ratios") / 2).cast("int") + 1)
-    return sorted_ratios.select(*TABLE, F.when(middle.between(950, 1050), 1000.0).when(middle.between(0.95, 1.05), 1.0).alias("ratio"))
+    usable = (F.abs(diff) >= 1e-5) & (F.abs(F.col("cumulative_change")) >= 0.05)
+    metres = (F.abs("initial_value") < 100) & (F.abs("current_value") < 100) & (F.abs("cumulative_change") > 1)
+    rows = points.select(*TABLE, F.when(usable, F.col("cumulative_change") / diff).alias("ratio"), F.when(F.col("row_no") < 5, metres).alias("metres"))
+    middle = F.when(F.count("ratio") >= 5, F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ratio DESC)"))
+    per_table = rows.groupBy(TABLE).agg(F.coalesce(F.bool_or("metres"), F.lit(False)).alias("elevation"), F.count("ratio").alias("usable"), middle.alias("middle"))
+    return per_table.withColumn("ratio", F.when(F.col("middle").between(950, 1050), 1000.0).when(F.col("middle").between(0.95, 1.05), 1.0)).drop("middle")
+
+
+def mixed_unit_ratio(points: DataFrame) -> DataFrame:
+    """CFG-02: per table of five usable rows and more, what its cumulative values are multiples of."""
+    return looks(points).where("usable >= 5").select(*TABLE, "ratio")
 
 
 def looks_like_elevation(points: DataFrame) -> DataFrame:
-    """Tables one of whose first five rows reads like metres with a change in millimetres."""
-    looks = (F.abs("initial_value") < 100) & (F.abs("current_value") < 100) & (F.abs("cumulative_change") > 1)
-    return points.where(F.col("row_no") < 5).groupBy(TABLE).agg(F.coalesce(F.bool_or(looks), F.lit(False)).alias("elevation"))
+    """CFG-03: whether each table reads like elevations, by its first five rows."""
+    return looks(points.where(F.col("row_no") < 5)).select(*TABLE, "elevation")
 
 
 def base_config(mon_tables: DataFrame, points: DataFrame) -> DataFrame:
     """One row per table from its unit and category, corrected by what its rows look like."""
-    joined = mon_tables.join(looks_like_elevation(points), TABLE, "left").join(mixed_unit_ratio(points), TABLE, "left")
+    joined = mon_tables.join(looks(points), TABLE, "left")
     kind, unit = F.col("category"), F.coalesce(F.col("table_unit"), F.lit(""))
     elevated = kind.isin(*ELEVATION) & (unit != "m") & F.coalesce("elevation", F.lit(False))
     metres, water, force = (unit == "m") | elevated, kind == "WATER_LEVEL", kind.isin(*FORCE)

@@ -30,7 +30,7 @@ _SUMMARY = _SUMMARY.replace("{points}.report_id", "report_id")
 
 
 def _query(name: str, build: Callable[[dict[str, DataFrame]], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(_tables(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: build(_tables(spark, sf_dir, "points"))
     if sql is not None:
         ORACLES[name] = f"WITH {sample_sql()}{_CONFIG},\nsi AS ({_SUMMARY.replace('{points}', 'p')}){sql}"
 
@@ -196,7 +196,7 @@ def _every_rule(x: dict[str, DataFrame]) -> DataFrame:
 
 
 _PARTS = [(name, 0) for name in ("cal_01_force", "cal_02_cumulative", "cal_03_rate", "cal_08_continuity", "cal_09_anomaly", "cal_10_sign")] + [(name, SHIFT) for name in ("cal_05_deep_change", "cal_06_deep_rate")]
-QUERIES["cal_00_all"] = lambda spark, sf_dir: _every_rule(_tables(spark, sf_dir))
+QUERIES["cal_00_all"] = lambda spark, sf_dir: _every_rule(_tables(spark, sf_dir, "points", "deep_points"))
 ORACLES["cal_00_all"] = " UNION ALL ".join(f"SELECT report_id, table_idx + {shift} AS table_idx, row_no, point_id, rule_id, severity, expected_num, actual_num FROM ({rules.ORACLES[name]})" for name, shift in _PARTS)
 _PLAN = _FLAT_CHOSEN + """, pl AS (SELECT report_id, table_idx, category, unit, 'initial_value, current_value, current_change, cumulative_change, change_rate' AS filled, sample, rows, chosen_days AS interval_days,
   CASE WHEN chosen_days IS NULL THEN 'none' WHEN chosen_days = inferred THEN 'inferred' ELSE 'configured' END AS interval_source, CASE WHEN initial_value_reliable THEN 'reliable' WHEN unit = 'm' THEN 'metres' ELSE 'water level' END AS reliability,
@@ -219,7 +219,7 @@ def _published(x: dict[str, DataFrame], folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-QUERIES["snk_01_published"] = lambda spark, sf_dir: _published(_tables(spark, sf_dir), f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/published-{uuid.uuid4().hex}")
+QUERIES["snk_01_published"] = lambda spark, sf_dir: _published(_tables(spark, sf_dir, "points"), f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/published-{uuid.uuid4().hex}")
 ORACLES["snk_01_published"] = f"""WITH {sample_sql()}{_CONFIG}{_ALL}, c AS ({_RAW_CELLS.format('p')})
 SELECT '00_overview' AS name, report_id, 1 AS rows FROM t GROUP BY 2 UNION ALL SELECT '00A_candidates', report_id, count(DISTINCT page_no) FROM c GROUP BY 2 UNION ALL SELECT '00B_cells', report_id, count(*) FROM c GROUP BY 2
 UNION ALL SELECT '01_tables', report_id, count(*) FROM t GROUP BY 2 UNION ALL SELECT '02_points', report_id, count(*) FROM p GROUP BY 2 UNION ALL SELECT '03_deep_points', report_id, count(*) FROM d GROUP BY 2

@@ -41,15 +41,19 @@ _DEEP_CHOSEN = _chosen("SELECT report_id, table_idx, row_no, round_even(abs(curr
 SHIFT = 100000  # deep tables stand behind a report's flat ones
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    x = sample(spark, sf_dir)
+def _tables(spark: SparkSession, sf_dir: str, *kept: str) -> dict[str, DataFrame]:
+    x = sample(spark, sf_dir, *kept)
     behind = lambda df: df.withColumn("table_idx", F.col("table_idx") + SHIFT)
     x |= {"all_tables": x["mon_tables"].drop("k", "w").unionByName(behind(x["deep_tables"])), "behind": behind(x["deep_points"])}
     return x | {"config": config.base_config(x["mon_tables"], x["points"]), "deep_config": config.base_config(x["deep_tables"], x["points"].limit(0))}
 
 
+# Queries that go over the points (or depths) many times.
+KEPT = {"cal_03_rate": ["points"], "cal_06_deep_rate": ["deep_points"], "cal_07_first_period": ["points"], "cal_08_continuity": ["points"], "sta_03_04_positive_max": ["points"], "sta_05_negative_max": ["points"], "sta_06_07_max_rate": ["points"], "sta_09_deep_max_change": ["deep_points"]}
+
+
 def _query(name: str, build: Callable[[dict[str, DataFrame]], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(_tables(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: build(_tables(spark, sf_dir, *KEPT.get(name, [])))
     if sql is not None:
         ORACLES[name] = f"WITH {sample_sql()}{_CONFIG}{sql}"
 

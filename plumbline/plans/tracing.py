@@ -76,7 +76,7 @@ tr AS (SELECT report_id, table_idx, row_no, {', '.join(f'({_column(f)})::INT AS
 
 
 def _query(name: str, build: Callable[[dict[str, DataFrame]], DataFrame], sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(sample(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: build(sample(spark, sf_dir, "points"))
     ORACLES[name] = f"WITH {sample_sql()}{sql}"
 
 

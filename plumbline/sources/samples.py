@@ -99,15 +99,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sample(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """points, mon_tables, deep_points, table_stats and thresholds over the given tables."""
+def sample(spark: SparkSession, sf_dir: str, *kept: str) -> dict[str, DataFrame]:
+    """points, mon_tables, deep_points, table_stats and thresholds over the given tables; those in ``kept`` (points, deep_points) are computed once."""
     points = spark.sql(_POINTS.replace("{week}", _days("spark", "ts", "2024-01-01")), events=read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    tables = spark.sql(_TABLES, points=points)
     deep = spark.sql(_DEEP.replace("{day}", _days("spark", "l_shipdate", "1995-01-01")), lineitem=read(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"))
+    own = held({"points": points, "deep_points": deep}, *kept)
+    points, deep = own["points"], own["deep_points"]
+    tables = spark.sql(_TABLES, points=points)
     return {"points": points, "mon_tables": tables, "deep_points": deep, "table_stats": spark.sql(_STATS, tables=tables, points=points).drop("unused"), "thresholds": spark.sql(_THRESHOLDS, tables=tables),
             "deep_tables": spark.sql(_DEEP_TABLES, deep=deep), "deep_stats": spark.sql(_DEEP_STATS, deep=deep)}
 
 
+def held(x: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
+    """x with these tables computed once, in the shared folder: for queries that go over them many times."""
+    spark = next(iter(x.values())).sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+    return x | {name: x[name].checkpoint() for name in names}
+
+
 def sample_sql() -> str:
     """The same tables as common table expressions p, t, d, s and th for the oracle."""
     return ",\n".join([

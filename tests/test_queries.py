@@ -7,15 +7,15 @@ from plumbline.plans import catalog
 from .oracle import check
 
 SMALL = "/root/testdata/sf0.001"
+#: rules that find nothing in the one report of the smallest tables, and are compared over the next larger ones
+SPARSE: set[str] = {"doc_08_identical_pages", "doc_12_repeat_line", "log_02_extractable", "qua_03_magnitude", "rep_03_flag_groups", "sta_09_deep_max_change", "cfg_08_needs_review"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, name):
-    df = catalog.QUERIES[name](spark, SMALL)
-    if name in catalog.ORACLES:
-        check(df, catalog.ORACLES[name], SMALL)
-    else:
-        assert df.count() >= 0
+    where = SMALL.replace("0.001", "0.01") if name in SPARSE else SMALL
+    df = catalog.QUERIES[name](spark, where)
+    assert check(df, catalog.ORACLES[name], where) if name in catalog.ORACLES else df.count()
 
 
 def test_entry(spark):
