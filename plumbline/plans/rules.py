@@ -163,3 +163,21 @@ r AS (SELECT report_id, table_idx, max(abs(change_rate)) AS fast, bool_or(change
 q AS (SELECT ds.*, wd.current_change AS widest, '深度' || wd.depth || 'm' AS place, EXISTS (SELECT 1 FROM d WHERE d.report_id = ds.report_id AND d.table_idx = ds.table_idx AND contains('深度' || d.depth || 'm', ds.max_change_id) AND abs(d.current_cumulative - ds.max_change_value) <= 0.15) AS taken
   FROM ds JOIN wd ON wd.report_id = ds.report_id AND wd.table_idx = ds.table_idx AND k = 1 JOIN r ON r.report_id = ds.report_id AND r.table_idx = ds.table_idx WHERE NOT (near IS NOT NULL AND NOT up AND abs(near - max_rate_value) <= 0.05)) """
        + _issue("STA-09", "q", "max_change_value IS NOT NULL AND abs(abs(widest) - abs(max_change_value)) > 0.15", "widest", "max_change_value", "CASE WHEN taken THEN 'info' ELSE 'error' END", "CASE WHEN taken THEN max_change_id ELSE place END", "NULL"))
+_DEEP_EXT = """, dr AS (SELECT *, '深度' || depth || 'm' AS label, row_number() OVER (PARTITION BY report_id, table_idx ORDER BY current_cumulative DESC, row_no) AS hi, row_number() OVER (PARTITION BY report_id, table_idx ORDER BY current_cumulative, row_no) AS lo, row_number() OVER (PARTITION BY report_id, table_idx ORDER BY abs(change_rate) DESC, row_no) AS fa FROM d),
+dx AS (SELECT report_id, table_idx, max(CASE WHEN current_cumulative > 0 THEN current_cumulative END) AS top, min(CASE WHEN current_cumulative < 0 THEN current_cumulative END) AS bottom, max(CASE WHEN current_cumulative < 0 THEN current_cumulative END) AS tn, min(CASE WHEN current_cumulative > 0 THEN current_cumulative END) AS lp,
+  min(CASE WHEN hi = 1 THEN label END) AS hi_id, min(CASE WHEN lo = 1 THEN label END) AS lo_id, min(CASE WHEN fa = 1 THEN label END) AS fa_id, max(CASE WHEN fa = 1 THEN change_rate END) AS fa_v, bool_or(change_rate > 0) AS up, max(CASE WHEN change_rate < 0 THEN change_rate END) AS near FROM dr GROUP BY 1, 2),
+j AS (SELECT * FROM ds JOIN dx USING (report_id, table_idx)) """
+
+
+def _deep_side(rule: str, stat: str, v: str, near: str, i: str) -> str:
+    return _issue(rule, "j", f"{v} IS NULL OR abs({v} - {stat}_value) > 0.15", v, f"{stat}_value", f"CASE WHEN {v} IS NULL AND abs({near} - {stat}_value) <= 0.15 THEN 'info' ELSE 'warning' END", f"CASE WHEN {v} IS NULL THEN 'N/A' ELSE {i} END", "NULL")
+
+
+KEPT |= {name: ["deep_points"] for name in ("sta_03_04_deep_max", "sta_05_deep_min", "sta_06_07_deep_rate")}
+_query("sta_03_04_deep_max", lambda x: stats.check_positive_max(*_deep(x)), _DEEP_EXT + _deep_side("STA-03", "positive_max", "top", "tn", "hi_id"))
+_query("sta_05_deep_min", lambda x: stats.check_negative_max(x["deep_tables"], x["deep_stats"].withColumn("negative_max_value", F.col("negative_max_value") - F.when(F.col("table_idx") % 3 == 0, 2).otherwise(0)), x["points"].limit(0), x["deep_points"]),
+       _DEEP_EXT.replace("SELECT * FROM ds JOIN", "SELECT * REPLACE (negative_max_value - CASE WHEN table_idx % 3 = 0 THEN 2 ELSE 0 END AS negative_max_value) FROM ds JOIN") + _deep_side("STA-05", "negative_max", "bottom", "lp", "lo_id"))
+_query("sta_06_07_deep_rate", lambda x: stats.check_max_rate(*_deep(x)), _DEEP_EXT
+       + _issue("STA-07", "j", _BY, "near", "max_rate_value", "'info'", "'N/A'", "NULL") + " UNION ALL "
+       + _issue("STA-07", "j", f"{_BY} AND abs(fa_v) >= 0.05 AND abs(max_rate_value) > 0 AND abs(max_rate_value) < abs(fa_v) * 0.3", "fa_v", "max_rate_value", "'warning'", "fa_id", "NULL") + " UNION ALL "
+       + _issue("STA-06", "j", f"NOT coalesce({_BY}, false) AND ({_OPP} OR abs(abs(fa_v) - abs(max_rate_value)) > 0.05)", "fa_v", "max_rate_value", "'warning'", "fa_id", "NULL"))
