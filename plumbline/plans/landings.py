@@ -76,7 +76,7 @@ _query("lnd_01_04_points", lambda x: landing.land(_parsed(x))["points"].select("
 _query("lnd_03_quarantine", lambda x: landing.parse_responses(_responses(x))[1].select("report_id", "chunk_no"), "SELECT DISTINCT report_id, table_idx AS chunk_no FROM p WHERE table_idx % 5 = 4")
 _query("lnd_05_merged", lambda x: landing.merge_records(x["points"].select("report_id", F.col("table_idx").alias("chunk_no"), F.col("row_no").alias("pos"), F.expr("substring(point_id, 1, 3)").alias("item")), F.col("item")),
        ", q AS (SELECT report_id, table_idx AS chunk_no, row_no AS pos, substr(point_id, 1, 3) AS item, row_number() OVER (PARTITION BY report_id, substr(point_id, 1, 3) ORDER BY table_idx, row_no) AS k, min(table_idx) OVER (PARTITION BY report_id) AS f FROM p) SELECT report_id, chunk_no, pos, item FROM q WHERE k = 1 OR chunk_no = f")
-_query("lnd_06_header", lambda x: landing.merge_header(_parsed(x)), "SELECT report_id, 'P' AS project_name FROM p GROUP BY 1")
+_query("lnd_06_header", lambda x: landing.merge_header(_parsed(x)).select("report_id", "project_name"), "SELECT report_id, 'P' AS project_name FROM p GROUP BY 1")
 _query("lnd_09_uncached", lambda x: landing.uncached(x["points"].select("report_id", F.col("point_id").alias("prompt_key"), F.lit(0.1).alias("temperature")).distinct(), x["points"].select(F.col("point_id").alias("prompt_key"), F.when(F.col("row_no") % 3 == 0, '{"a": 1}').when(F.col("row_no") % 3 == 1, " ").otherwise("short").alias("raw"))),
        "SELECT DISTINCT report_id, point_id AS prompt_key, 0.1::DOUBLE AS temperature FROM p WHERE point_id NOT IN (SELECT point_id FROM p WHERE row_no % 3 = 0)")
 _query("lnd_11_chunk_status", lambda x: landing.chunk_status(*landing.parse_responses(_responses(x))), "SELECT report_id, count(DISTINCT table_idx) AS chunks, count(DISTINCT CASE WHEN table_idx % 5 <> 4 THEN table_idx END) AS succeeded, count(DISTINCT CASE WHEN table_idx % 5 = 4 THEN table_idx END) AS failed, false AS lost FROM p GROUP BY 1")
@@ -97,7 +97,7 @@ def _whole_responses(x: dict[str, DataFrame]) -> DataFrame:
         unit = F.when(F.col("table_unit") != "mm", F.col("table_unit")).alias("table_unit")
         table = F.struct("monitoring_item", F.col("monitoring_item").alias("category"), "monitor_date", "monitor_count", F.col("point_count").cast("string").alias("point_count"), "borehole_id", unit, F.when(F.col("table_idx") % 3 == 0, False).alias("initial_value_reliable"), name, "statistics")
         item = F.struct("monitoring_item", F.col("monitor_date").alias("positive_max"))
-        body = F.struct(F.array(table).alias("tables"), F.when(F.col("table_idx") % 2 == 0, F.col("thresholds")).alias("thresholds"), F.array(item).alias("summary_items"), F.lit("7d").alias("interval_days"))
+        body = F.struct(F.array(table).alias("tables"), F.when(F.col("table_idx") % 2 == 0, F.col("thresholds")).alias("thresholds"), F.array(item).alias("summary_items"), F.lit("7d").alias("interval_days"), F.when(F.col("table_idx") % 3 == 1, F.concat(F.lit("N"), (F.col("table_idx") + since).cast("string"))).otherwise("").alias("report_number"), F.when(F.col("table_idx") % 4 == 2, F.col("monitor_date")).alias("monitoring_date"))
         held = tables.join(rows, key).join(stat, key).join(limits, "report_id", "left")
         made.append(held.select("report_id", (F.col("table_idx") + since).cast("int").alias("chunk_no"), F.to_json(body).alias("raw")))
     return made[0].unionByName(made[1])
@@ -113,6 +113,8 @@ def _landed(name: str, sql: str) -> None:
     _query(f"lnd_04_{name}", lambda x: landing.land(landing.parse_responses(_whole_responses(x))[0])[name], _CHUNKS + sql)
 
 
+_query("lnd_06_fields", lambda x: landing.merge_header(landing.parse_responses(_whole_responses(x))[0]), _CHUNKS + """SELECT report_id, '' AS project_name, '' AS monitoring_company, coalesce('N' || min(chunk) FILTER (own % 3 = 1), '') AS report_number, '' AS monitoring_period,
+  coalesce(arg_min(monitor_date, chunk) FILTER (own % 4 = 2), '') AS monitoring_date, '' AS conclusion, '7d' AS interval_days FROM i GROUP BY 1""")
 _landed("mon_tables", "SELECT report_id, idx AS table_idx, monitoring_item, category, monitor_date, monitor_count, '' AS equipment_type, '' AS equipment_model, point_count, borehole_id, NULL::DOUBLE AS borehole_depth, table_unit, own % 3 <> 0 AS initial_value_reliable, 7.0::DOUBLE AS interval_days FROM i")
 _landed("points", "SELECT i.report_id, idx AS table_idx, row_no, point_id, initial_value, NULL::DOUBLE AS previous_value, current_value, current_change, cumulative_change, change_rate, safety_status FROM i JOIN p ON p.report_id = i.report_id AND p.table_idx = i.chunk")
 _landed("deep_points", "SELECT i.report_id, idx AS table_idx, row_number() OVER (PARTITION BY i.report_id, idx ORDER BY row_no) - 1 AS row_no, depth, previous_cumulative, current_cumulative, current_change, change_rate FROM i JOIN d ON d.report_id = i.report_id AND 100000 + d.table_idx = i.chunk WHERE row_no % 5 <> 4")

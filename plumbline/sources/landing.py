@@ -100,7 +100,8 @@ _LIMITS = "warning_value control_value rate_limit".split()
 _SUMMARY = "monitoring_item negative_max negative_max_id positive_max positive_max_id max_rate max_rate_id safety_status".split()
 _STATISTICS = "positive_max negative_max max_rate max_change max_force min_force".split()
 _TABLE_TEXTS = "monitoring_item monitor_date monitor_count equipment_type equipment_model".split()
-RESPONSE = _texts("project_name interval_days", "tables", "thresholds", "summary_items")
+HEADER = "project_name monitoring_company report_number monitoring_period monitoring_date conclusion interval_days".split()
+RESPONSE = _texts(" ".join(HEADER), "tables", "thresholds", "summary_items")
 _TABLE = _texts(" ".join(_TABLE_TEXTS) + " category point_count borehole_id borehole_depth table_unit initial_value_reliable statistics", "points", "deep_points")
 
 
@@ -164,9 +165,10 @@ def merge_records(records: DataFrame, key: Column, first: Column | None = None)
 
 
 def merge_header(parsed: DataFrame) -> DataFrame:
-    """LND-06: the first non-empty project name of a report's chunks."""
-    filled = F.when(F.coalesce("x.project_name", F.lit("")) != "", F.col("chunk_no"))
-    return parsed.groupBy("report_id").agg(F.min_by("x.project_name", filled).alias("project_name"))
+    """LND-06: of each of the header's fields the first that isn't empty in a report's chunks; empty where all are."""
+    said = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(""))
+    first = [F.coalesce(F.min_by(f"x.{c}", F.when(said(c) != "", F.col("chunk_no"))), F.lit("")).alias(c) for c in HEADER]
+    return parsed.groupBy("report_id").agg(*first)
 
 
 def drop_preamble_tables(mon_tables: DataFrame, chunks: DataFrame) -> DataFrame:
