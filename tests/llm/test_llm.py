@@ -307,10 +307,45 @@ def test_chain_marginals_equal_enumeration():
         assert np.allclose(got[a:b], good / total)
 
 
-def test_pipeline_keeps_what_is_clean(spark):
+def test_pipeline_beside_plain_loops(spark):
     import corpus_pipeline
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+    import tiktoken
+
+    from plumbline.llm.tables import read
 
-    out = corpus_pipeline.run(spark, SMALL).toPandas()
-    before = spark.read.parquet(f"{SMALL}/documents.parquet")
-    assert set(out.doc_id) <= {r.doc_id for r in before.select("doc_id").collect()}
-    assert 0.5 * before.count() < len(out) < before.count() and list(out.columns) == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    docs, labels, items = (read(spark, SMALL, name) for name in ("documents", "labels", "benchmark"))
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, SMALL).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    scores = quality.scores(pa.array(list(texts.values())), quality.train(docs, labels))
+    texts = {i: t for (i, t), s in zip(texts.items(), scores) if s >= 0.5}
+    sets, up = {i: _shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    texts = {i: t for i, t in texts.items() if root(i) == i}
+    loose = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+    split = lambda t: re.findall(r"[^ \t-\r]+", loose(t))
+    known: dict = {}
+    number = lambda words: np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    tests = [split(r.text or "") for r in items.collect()]
+    clean = {}
+    for i, t in texts.items():
+        w = split(t)
+        if not any(x and grams(x, min(4, len(x))) & grams(w, min(4, len(x))) and decontaminate.align(number(x), number(w))[0] >= 0.4 * len(x) for x in tests):
+            clean[i] = t
+    assert set(out) == set(clean) and len(clean) < docs.count()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.bpe(bpe.vocabulary()).ranks, special_tokens={})
+    redacted = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(clean.items()), DOCS)).collect()}
+    for i, text in redacted.items():
+        assert out[i].text == text and out[i].ids == own.encode_ordinary(text) and out[i].n_tokens == len(out[i].ids)
+        assert out[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
