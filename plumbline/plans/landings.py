@@ -77,6 +77,7 @@ _query("lnd_03_quarantine", lambda x: landing.parse_responses(_responses(x))[1].
 _query("lnd_05_merged", lambda x: landing.merge_records(x["points"].select("report_id", F.col("table_idx").alias("chunk_no"), F.col("row_no").alias("pos"), F.expr("substring(point_id, 1, 3)").alias("item")), F.col("item")),
        ", q AS (SELECT report_id, table_idx AS chunk_no, row_no AS pos, substr(point_id, 1, 3) AS item, row_number() OVER (PARTITION BY report_id, substr(point_id, 1, 3) ORDER BY table_idx, row_no) AS k, min(table_idx) OVER (PARTITION BY report_id) AS f FROM p) SELECT report_id, chunk_no, pos, item FROM q WHERE k = 1 OR chunk_no = f")
 _query("lnd_06_header", lambda x: landing.merge_header(_parsed(x)).select("report_id", "project_name"), "SELECT report_id, 'P' AS project_name FROM p GROUP BY 1")
+_query("lnd_09_keys", lambda x: x["points"].select("report_id", "table_idx", "row_no", landing.prompt_key("point_id", "row_no", "report_id").alias("key")), """SELECT report_id, table_idx, row_no, sha256('{"point_id":"' || point_id || '","report_id":' || report_id || ',"row_no":' || row_no || '}') AS key FROM p""")
 _query("lnd_09_uncached", lambda x: landing.uncached(x["points"].select("report_id", F.col("point_id").alias("prompt_key"), F.lit(0.1).alias("temperature")).distinct(), x["points"].select(F.col("point_id").alias("prompt_key"), F.when(F.col("row_no") % 3 == 0, '{"a": 1}').when(F.col("row_no") % 3 == 1, " ").otherwise("short").alias("raw"))),
        "SELECT DISTINCT report_id, point_id AS prompt_key, 0.1::DOUBLE AS temperature FROM p WHERE point_id NOT IN (SELECT point_id FROM p WHERE row_no % 3 = 0)")
 _query("lnd_11_chunk_status", lambda x: landing.chunk_status(*landing.parse_responses(_responses(x))), "SELECT report_id, count(DISTINCT table_idx) AS chunks, count(DISTINCT CASE WHEN table_idx % 5 <> 4 THEN table_idx END) AS succeeded, count(DISTINCT CASE WHEN table_idx % 5 = 4 THEN table_idx END) AS failed, false AS lost FROM p GROUP BY 1")

@@ -206,6 +206,8 @@ _query("cfg_10_plan", lambda x: plan.analysis_plan(x["points"], x["config"]), f"
 _query("rep_04_plan_groups", lambda x: review.group_plans(plan.analysis_plan(x["points"], x["config"]), ["category", "unit", "interval_source", "rules"]), f"{_PLAN} SELECT report_id, category, unit, interval_source, rules, count(*) AS tables, min(rows) AS least_rows, max(rows) AS most_rows FROM pl GROUP BY 1, 2, 3, 4, 5")
 _SIGNATURE = ["category", "unit", "filled", "interval_days", "interval_source", "reliability", "rules"]
 _query("rep_04_signatures", lambda x: review.group_plans(plan.analysis_plan(x["points"], x["config"]), _SIGNATURE), f"{_PLAN} SELECT {', '.join(_SIGNATURE)}, report_id, count(*) AS tables, min(rows) AS least_rows, max(rows) AS most_rows FROM pl GROUP BY ALL")
+_query("qua_06_deep_coverage", lambda x: quality.provenance_coverage(x["deep_points"].withColumns({"source_row_text": F.when(F.col("row_no") % 3 != 2, "row"), "source_page": F.lit(None).cast("int"), "source_field_map": F.when(F.col("row_no") % 2 == 0, F.create_map(F.lit("depth"), F.lit(1), F.lit("current_change"), F.lit(4)))}), quality.TRACED_DEEP),
+       " SELECT report_id, table_idx, sum(5)::BIGINT AS numbers, sum(CASE WHEN row_no % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS mapped, CASE WHEN bool_or(row_no % 2 = 1) THEN 'change_rate, current_change, current_cumulative, depth, previous_cumulative' ELSE 'change_rate, current_cumulative, previous_cumulative' END AS unmapped FROM d WHERE row_no % 3 <> 2 GROUP BY 1, 2")
 _query("qua_08_diagnostics", lambda x: quality.diagnostics(_flags(x), x["mon_tables"].select("report_id", F.when(F.col("table_idx") % 3 == 0, 0.95).otherwise(0.5).alias("markup_ratio")), x["mon_tables"].where("table_idx % 5 = 1"), x["points"].where("row_no = 7")),
        _SPARSE + _FLAGS + """, a AS (SELECT report_id, count(DISTINCT table_idx) AS flagged_tables FROM fg GROUP BY 1), b AS (SELECT report_id, count(*) FILTER (table_idx % 3 = 0) AS markup_pages, count(*) FILTER (table_idx % 5 = 1) AS identical_pairs FROM t GROUP BY 1), c AS (SELECT report_id, count(*) AS damages FROM p WHERE row_no = 7 GROUP BY 1)
 SELECT b.report_id, coalesce(flagged_tables, 0) AS flagged_tables, markup_pages, identical_pairs, coalesce(damages, 0) AS damages FROM b LEFT JOIN a USING (report_id) LEFT JOIN c USING (report_id)""")
