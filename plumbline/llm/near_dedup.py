@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fingerprint import SHINGLE, shingles
-from .tables import checkpointed, plain, read, small_side
+from .tables import checkpointed, plain, read, settled, small_side
 from .words import LOWER, binary, words_of
 
 HASHES, DEPTH = 128, 4
@@ -227,13 +227,13 @@ def met(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def deepened(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The groups of round 2, and the rows (tree, prefix, rep) of those regions that were parted. ``rows``: of mixed regions, with ``held``."""
-    large = checkpointed(rows.where(F.col("held") > BLOCK).select(*REGION, "rep", "component"))
+    large = settled(rows.where(F.col("held") > BLOCK).select(*REGION, "rep", "component"))
     grouped = lambda some, key: some.select(F.xxhash64("tree", key).alias("group"), F.lit(0).alias("block"), "rep", "component")
     groups = grouped(rows.where(F.col("held") <= BLOCK), "prefix")
     if large.limit(1).count():
         left = large.join(nodes.select("rep", "sign"), "rep").withColumn("turned", F.substring(turned(), 1, 2 * DEPTHS[-1])).drop("sign")
         for depth in DEPTHS[1:]:
-            tried = checkpointed(mixed(left.drop("held").withColumn("longer", F.substring("turned", 1, 2 * depth)), ["tree", "longer"]))
+            tried = settled(mixed(left.drop("held").withColumn("longer", F.substring("turned", 1, 2 * depth)), ["tree", "longer"]))
             groups = groups.unionByName(grouped(tried.where(F.col("held") <= BLOCK), "longer"))
             left = tried.where(F.col("held") > BLOCK)
     return groups, large.select(*REGION, "rep")
@@ -245,11 +245,11 @@ def families(large: DataFrame, components: DataFrame, nodes: DataFrame) -> DataF
     Only sets of sizes within a factor 4/3 can be alike, so a family is cut into overlapping bands of sizes first. A band of R sets has
     R * R / BLOCK / BLOCK / 2 groups of two blocks: what is left for this round is compared in full.
     """
-    left = checkpointed(mixed(_named(large, components, "rep", "component"), REGION))
+    left = settled(mixed(_named(large, components, "rep", "component"), REGION))
     first = left.withColumn("a", F.min("rep").over(Window.partitionBy(*REGION))).select("a", F.col("rep").alias("b"))
     family = _named(left.select("rep", "component").distinct(), connected(first), "rep", "family")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
-    banded = checkpointed(family.join(nodes.select("rep", "n"), "rep").select("rep", "component", "family", F.explode(F.array(step, step + 1)).alias("band")))
+    banded = settled(family.join(nodes.select("rep", "n"), "rep").select("rep", "component", "family", F.explode(F.array(step, step + 1)).alias("band")))
     sized = mixed(banded, ["family", "band"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(F.xxhash64("family", "band", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "block", "rep", "component")
@@ -301,18 +301,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(rep, component): the smallest node that each node of an edge reaches, by alternating large-star and small-star steps until nothing changes."""
-    edges = edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct()
-    edges, before = checkpointed(edges), None
+    edges = settled(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct())
+    few, before = max(16, edges.count() // 20_000), None  # a round never has more edges than the one before
     while True:
         both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high")))
         least = both.groupBy("low").agg(F.min("high").alias("least")).withColumn("least", F.least("low", "least"))
-        large = both.join(least, "low").where("high > low").select(F.col("least").alias("low"), "high").where("low < high").distinct()
+        large = both.join(least, "low").where("high > low").select(F.col("least").alias("low"), "high").where("low < high").coalesce(few).distinct()
         least = large.groupBy("high").agg(F.min("low").alias("least"))
         small = large.join(least, "high").select(F.explode(F.array("low", "high")).alias("high"), F.col("least").alias("low")).where("low < high")
-        edges = checkpointed(small.select("low", "high").distinct())
+        edges = checkpointed(small.select("low", "high").coalesce(few).distinct().coalesce(few))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if now == before:
-            return checkpointed(edges.groupBy(F.col("high").alias("rep")).agg(F.min("low").alias("component")))
+            return settled(edges.groupBy(F.col("high").alias("rep")).agg(F.min("low").alias("component")))
         before = now
 
 
@@ -320,24 +320,24 @@ def _rows(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, node, n_shingles, component), one per row of docs."""
     rows = checkpointed(signed(docs))
     known = rows.where(F.col("sign").isNotNull())
-    nodes = checkpointed(known.groupBy("digest").agg(F.min("node").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
+    nodes = settled(known.groupBy("digest").agg(F.min("node").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
     owned = known.join(nodes.select("digest", "rep"), "digest").select("node", "rep")
     repeated = owned.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    placed = checkpointed(regions(nodes))
+    placed = settled(regions(nodes))
 
-    pairs = checkpointed(neighbours(placed, nodes))
-    links = checkpointed(confirmed(pairs.where(F.col("tree") < LEADING).select("a", "b"), docs).unionByName(repeated))
+    pairs = settled(neighbours(placed, nodes))
+    links = settled(confirmed(pairs.where(F.col("tree") < LEADING).select("a", "b"), docs).unionByName(repeated))
     components = connected(links)
-    links = links.unionByName(checkpointed(confirmed(checkpointed(parted(pairs.where(F.col("tree") >= LEADING), components)), docs)))
+    links = links.unionByName(settled(confirmed(settled(parted(pairs.where(F.col("tree") >= LEADING), components)), docs)))
     components = connected(links)
 
-    groups, large = deepened(checkpointed(mixed(_named(placed, components, "rep", "component"), REGION)), nodes)
-    more = checkpointed(met(checkpointed(groups), nodes, docs))
+    groups, large = deepened(settled(mixed(_named(placed, components, "rep", "component"), REGION)), nodes)
+    more = settled(met(settled(groups), nodes, docs))
     if more.limit(1).count():
         links = links.unionByName(more)
         components = connected(links)
     if large.limit(1).count():
-        components = connected(links.unionByName(met(checkpointed(families(large, components, nodes)), nodes, docs)))
+        components = connected(links.unionByName(met(settled(families(large, components, nodes)), nodes, docs)))
 
     told = _named(owned, components, "rep", "component").groupBy("node").agg(F.min("component").alias("component"))
     return rows.drop("sign").join(told, "node", "left").withColumn("component", F.coalesce("component", "node"))

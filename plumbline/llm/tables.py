@@ -34,6 +34,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df checkpointed, in as many partitions as its rows need (16 at least, never more than it had): what is small stays small in the shuffles that follow."""
+    df = checkpointed(df)
+    return df.coalesce(max(16, df.count() // rows))
+
+
 BROADCAST_ROWS = 500_000
 
 
