@@ -16,8 +16,8 @@ for the total length, and their chunks are decoded. A broken record or message
 is returned with ``error`` set, never dropped.
 
 Edge cases: null html is the empty payload; equal payloads of null ids and given
-ids revisit the largest id; pages that repeat id and payload are all responses,
-and as many messages are read back; records without a digest are not held
+ids revisit the largest id; pages that repeat id and payload are all responses
+with record ids of their own, and as many messages are read back; records without a digest are not held
 against one; an empty table writes an empty archive, which reads as no rows.
 """
 
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +66,12 @@ def dechunk(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-def _records(page: dict, segment: int, date: str) -> Iterator[str]:
-    """The records of one page, each without its closing separator."""
+def _records(page: dict, segment: int, date: str, number: str) -> Iterator[str]:
+    """The records of one page, each without its closing separator. ``number`` is the page's own in this run; those that no record refers to have it in their ids."""
     data = page["payload"].encode()
     digest = b32(hashlib.sha1(data).digest())
     name = lambda n: f"{PAGE}{'none' if n is None else n}:{digest}"
-    own = name(page["page_id"])
+    own = name(page["page_id"]) if page["named"] else f"{name(page['page_id'])}:{number}"
     common = [f"WARC-Date: {date}", f"WARC-Target-URI: {page['url']}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -93,20 +94,29 @@ def _records(page: dict, segment: int, date: str) -> Iterator[str]:
 
 def _spell(segment: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r for page in batch.slice(lo, 64).to_pylist() for r in _records(page, segment, date)], pa.string())], ["record"])
+                pages = batch.slice(lo, 64).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([r for k, page in enumerate(pages, done) for r in _records(page, segment, date, f"{task}.{k}")], pa.string())], ["record"])
+                done += len(pages)
 
     return run
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """pages with payload and ``refers_to``: of equal payloads of ``least`` bytes and more, the largest id keeps it."""
+    """pages with payload and ``refers_to``: of equal payloads of ``least`` bytes and more, the largest id keeps it; ``named`` is one row of those that are referred to.
+
+    Which of rows that repeat id and payload is named, their place in the table decides: it has to be the same when read twice.
+    """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    own = own.withColumn("same", F.concat(F.sha2("payload", 256), F.octet_length("payload").cast("string")))
-    keeper = own.where(F.octet_length("payload") >= least).groupBy("same").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
+    own = own.withColumn("same", F.concat(F.sha2("payload", 256), F.octet_length("payload").cast("string"))).withColumn("place", F.monotonically_increasing_id())
+    top = F.max(F.struct("page_id", -F.col("place"))).alias("top")
+    kept = own.where(F.octet_length("payload") >= least).groupBy("same").agg(top, F.count("*").alias("n")).where("n > 1 and top.page_id is not null")
+    keeper = kept.select("same", F.col("top.page_id").alias("keeper"), (-F.col("top.col2")).alias("first"))
     other = ~F.coalesce(F.col("page_id") == F.col("keeper"), F.lit(False))
-    return own.join(small_side(keeper), "same", "left").select("page_id", "url", "payload", F.when(F.col("keeper").isNotNull() & other, F.col("keeper")).alias("refers_to"))
+    told = F.when(F.col("keeper").isNotNull() & other, F.col("keeper")).alias("refers_to")
+    return own.join(small_side(keeper), "same", "left").select("page_id", "url", "payload", told, F.coalesce(F.col("place") == F.col("first"), F.lit(False)).alias("named"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_CHARS, least: int = LEAST_BYTES) -> None:
@@ -196,7 +206,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def records_of(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives of a folder: ``*.gz`` in a stream (a packed file is one task), ``*.warc`` file by file in memory."""
     cut = spark.read.option("lineSep", BREAK).option("pathGlobFilter", "*.gz").text(path)
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.warc").text(path)
+    whole = spark.read.option("pathGlobFilter", "*.warc").text(path, wholetext=True)
     cut, whole = (x.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")) for x in (cut, whole))
     return cut.unionByName(whole).mapInArrow(_parse, PARSED)
 
@@ -206,10 +216,10 @@ def _decode(kind: str | None, block: bytes, error: str | None) -> tuple:
     if not block.startswith(b"HTTP/"):
         return block, len(block), error
     head, _, body = block.partition(b"\r\n\r\n")
-    fields = dict(line.lower().split(b": ", 1) for line in head.split(b"\r\n")[1:] if b": " in line)
+    fields = {k.strip(): v.strip() for k, _, v in (line.lower().partition(b":") for line in head.split(b"\r\n")[1:])}
     try:
-        if kind == "revisit":
-            return None, int(fields[b"content-length"]), error
+        if kind == "revisit":  # of a 304 the length may be missing
+            return None, int(fields[b"content-length"]) if b"content-length" in fields else None, error
         payload = dechunk(body) if fields.get(b"transfer-encoding") == b"chunked" else body
         return payload, len(payload), error
     except (ValueError, KeyError) as wrong:
