@@ -4,7 +4,7 @@ Regular expressions propose spans, kind by kind, leftmost and not overlapping.
 Checks confirm them: parts of an ip are at most 255, cards have 16 to 19 digits
 and pass Luhn, phones have 8 to 15 digits, ibans pass mod-97. Words near a span,
 up to ``CONTEXT`` characters on either side and not beyond the next proposal of
-its kind, raise or lower its score. Spans of the kinds that this method adds
+its kind, raise or lower its score, which is 1 at most. Spans of the kinds that this method adds
 (not ``base``) need a score of ``LEAST``; base spans stay whatever their score.
 ``redact`` replaces the spans that ``find`` gives, overlapping ones as one.
 
@@ -43,12 +43,20 @@ class Kind:
     plain: str  # the same language for engines without lookbehind
 
 
+# fixed values: length of an iban by country code (ISO 13616)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: so many characters as the country's ibans have, blanks between them or not: words in capitals that follow are not taken in
+IBAN = r"\b(?:" + "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()) + r")\b"
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True, 0.9, "mail|contact|write", "example", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", "[0-9][.][0-9]", True, 0.6, "ip|address|host|server|login", "version|release|section", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     Kind("card", r"[0-9](?:[ -]?+[0-9])++", "[0-9][ -]?[0-9]", True, 0.8, "card|visa|master|pay|credit", "order|ticket|serial|isbn", r"[0-9]([\x20-]?[0-9])+"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", True, 0.6, "call|phone|tel|mobile|fax", "score|total|points", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", False, 0.6, "iban|account|bank|transfer", "serial|model", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
+    Kind("iban", IBAN, "[A-Z]{2}[0-9]{2}", False, 0.6, "iban|account|bank|transfer", "serial|model", IBAN),
 )
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _BLOCK = 128
@@ -126,7 +134,7 @@ def _spans(kind: Kind) -> Column:
         (x["at"] + F.length(x["gap"])).cast("long").alias("start"), (x["at"] + F.length(x["gap"]) + F.length(h)).cast("long").alias("end"), h.alias("hit"),
         _lower(F.concat(F.right(x["gap"], F.lit(CONTEXT)), F.lit(" "), F.left(x["next"], F.lit(CONTEXT)))).alias("near"),
     ))
-    score = lambda x: F.round(F.lit(kind.score) + F.when(x["near"].rlike(kind.near), 0.3).otherwise(0.0) - F.when(x["near"].rlike(kind.against), 0.3).otherwise(0.0), 2)
+    score = lambda x: F.least(F.lit(1.0), F.round(F.lit(kind.score) + F.when(x["near"].rlike(kind.near), 0.3).otherwise(0.0) - F.when(x["near"].rlike(kind.against), 0.3).otherwise(0.0), 2))
     good = F.filter(placed, lambda x: _holds(kind, x["hit"]))
     spans = F.transform(good, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), score(x).alias("score")))
     spans = spans if kind.base else F.filter(spans, lambda x: x["score"] >= LEAST)
