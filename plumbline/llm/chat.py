@@ -13,7 +13,8 @@ Inside roles and texts a backslash is doubled, and one is put after the first
 character of every control string, so that no control string stands in them.
 ``unescape`` undoes both. ``read_back`` parses the formatted texts by their
 control strings alone, and takes the loss mask from the examples' spans; it
-fails where a span isn't the text of an assistant's turn, or such a turn has none.
+fails where a span isn't the text of an assistant's turn, where its context is
+not all that precedes the turn, or where such a turn has no example.
 
 Edge cases: null roles and texts are empty; turns are ordered by (turn, role,
 text), nulls first; repeated turns all stay; rows whose conv_id is null form one
@@ -89,7 +90,7 @@ class _Reader:
     def __init__(self, conv_id):
         self.conv_id, self.turns, self.loss = conv_id, hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = self.examples = self.targets = 0
-        self.rest, self.last = "", (0, 0, "", "")
+        self.rest, self.last = "", (0, 0, 0, "", "")
 
     def text(self, piece: str) -> None:
         self.rest += piece
@@ -102,14 +103,14 @@ class _Reader:
             self.n += 1
             self.targets += role == TARGET
             self.turns.update(f"{role}\n{text}\n".encode())
-            self.last = self.chars + turn.start(2), self.chars + turn.end(2), role, turn.group(2)
+            self.last = self.chars + turn.start(), self.chars + turn.start(2), self.chars + turn.end(2), role, turn.group(2)
         self.chars += done
         self.rest = self.rest[done:]
 
     def example(self, context: int, begin: int, end: int) -> None:
-        start, stop, role, text = self.last
-        if (begin, end, role) != (start, stop, TARGET) or context > begin:
-            raise ValueError(f"conversation {self.conv_id}: an example's target is no assistant's text")
+        opens, start, stop, role, text = self.last
+        if (context, begin, end, role) != (opens, start, stop, TARGET):
+            raise ValueError(f"conversation {self.conv_id}: an example isn't an assistant's text after all that precedes its turn")
         trained = unescape(text)
         self.loss.update(trained.encode())
         self.loss_chars += len(trained)

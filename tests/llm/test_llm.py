@@ -204,11 +204,12 @@ def test_the_reader_takes_pieces_of_any_length_and_refuses_wrong_spans():
         reader = chat._Reader(1)
         for at in range(0, len(whole), size):
             reader.text(whole[at : at + size])
-        begin = whole.index("<\\/s>")
-        reader.example(31, begin, whole.rindex("</s>"))
+        begin, opens = whole.index("<\\/s>"), whole.index("[INST]assistant")
+        reader.example(opens, begin, whole.rindex("</s>"))
         assert reader.row() == (1, 2, hashlib.sha256("user\na[INST]b\nassistant\n</s> é\\\n".encode()).hexdigest(), 7, hashlib.sha256("</s> é\\".encode()).hexdigest(), len(whole), 1)
-        with pytest.raises(ValueError):
-            reader.example(31, begin + 1, whole.rindex("</s>"))
+        for context, at in ((opens, begin + 1), (opens - 1, begin), (0, begin), (opens + 1, begin)):
+            with pytest.raises(ValueError):
+                reader.example(context, at, whole.rindex("</s>"))
     reader = chat._Reader(1)
     reader.text(whole)
     with pytest.raises(ValueError):  # a target without its example
