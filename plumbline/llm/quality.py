@@ -2,8 +2,8 @@
 
 Every line has shares of character classes, word statistics and repetition
 measures, and the same of the lines before and after it. The field's states are
-bad and good; it is trained by the likelihood of label sequences in which each
-line carries its document's label. Forward-backward gives every line's
+bad and good; it is trained by the weighted likelihood (``loss``) of label
+sequences in which each line carries its document's label. Forward-backward gives every line's
 probability of being good; their mean, weighted by the lines' lengths, is
 calibrated on the training documents and is the document's score.
 
@@ -96,8 +96,8 @@ class Chain:
     slope: float = 1.0
     shift: float = 0.0
 
-    def run(self, unary: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward and backward log sums of all lines; the log sum of each row, and its expected moves summed over all rows."""
+    def run(self, unary: np.ndarray, rows: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward log sums of all lines; the log sum of each row, and its expected moves summed over all rows, each with its weight."""
         n = np.diff(rows)
         order = np.argsort(-n, kind="stable")
         live = [int(np.searchsorted(-n[order], -t, "left")) for t in range(int(n.max(initial=0)))]  # rows longer than t
@@ -120,7 +120,8 @@ class Chain:
         whole[n > 0] = np.logaddexp(fore[ends, 0], fore[ends, 1])
         row = np.repeat(np.arange(len(n)), n)
         pairs = np.flatnonzero(row[1:] == row[:-1])
-        moves = np.array([[np.exp(fore[pairs, a] + self.move[a, b] + emit[pairs + 1, b] + back[pairs + 1, b] - whole[row[pairs]]).sum() for b in (0, 1)] for a in (0, 1)])
+        share = np.ones(len(pairs)) if weight is None else weight[row[pairs]]
+        moves = np.array([[np.exp(fore[pairs, a] + self.move[a, b] + emit[pairs + 1, b] + back[pairs + 1, b] - whole[row[pairs]]) @ share for b in (0, 1)] for a in (0, 1)])
         return fore, back, whole, moves
 
     def marginals(self, features: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -144,21 +145,35 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def loss(chain: Chain, features: np.ndarray, rows: np.ndarray, good: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The weighted negative log-likelihood of the label sequences with a ridge on all parameters, and its gradient (weights, then moves).
+
+    A row's sequence has its label on every line. ``weight``: of each row's log-likelihood.
+    """
+    n = np.diff(rows)
+    line = np.repeat(np.arange(len(n)), n)
+    unary = (features @ chain.weights).astype(np.float64)
+    fore, back, whole, moves = chain.run(unary, rows, weight)
+    own = np.zeros(len(n))
+    np.add.at(own, line, unary * good[line])
+    steps = np.maximum(n - 1, 0)
+    told = own + np.where(good, chain.move[1, 1], chain.move[0, 0]) * steps
+    p = np.exp(fore[:, 1] + back[:, 1] - whole[line])
+    stay = np.diag([weight[~good] @ steps[~good], weight[good] @ steps[good]])
+    value = weight @ (whole - told) + ridge / 2 * (chain.weights @ chain.weights + (chain.move**2).sum())
+    return float(value), np.concatenate([features.T @ ((p - good[line]) * weight[line]) + ridge * chain.weights, (moves - stay + ridge * chain.move).ravel()])
+
+
 def fit(own: np.ndarray, sizes: np.ndarray, rows: np.ndarray, good: np.ndarray, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Chain:
-    """Maximum likelihood of the label sequences by Adam, both classes weighted alike; then the calibration."""
+    """Minimises ``loss`` by Adam, then calibrates. Both classes weigh alike, and a row's log-likelihood counts by its line."""
     chain = Chain(np.zeros(WIDTH * 3 + 1), np.zeros((2, 2)))
     if not len(rows) - 1 or good.all() or not good.any():
         return Chain(chain.weights, chain.move, 0.0, 30.0 if len(good) and good.all() else -30.0)
     features, n = neighboured(own, rows), np.diff(rows)
     weight = np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean())) / len(good)
-    line = np.repeat(np.arange(len(n)), n)
-    share = (weight / np.maximum(n, 1))[line]
     m = v = np.zeros(WIDTH * 3 + 1 + 4)
-    stay = np.array([[(~good)[n > 0] @ (n[n > 0] - 1), 0], [0, good[n > 0] @ (n[n > 0] - 1)]], float)
     for step in range(1, rounds + 1):
-        fore, back, whole, moves = chain.run((features @ chain.weights).astype(np.float64), rows)
-        p = np.exp(fore[:, 1] + back[:, 1] - whole[line])
-        grad = np.concatenate([features.T @ ((p - good[line]) * share) + ridge * chain.weights, ((moves - stay) / max(1.0, len(line))).ravel() + 0.02 * chain.move.ravel()])
+        _, grad = loss(chain, features, rows, good, weight / np.maximum(n, 1), ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         delta = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         chain = Chain(chain.weights - delta[:-4], chain.move - delta[-4:].reshape(2, 2))
