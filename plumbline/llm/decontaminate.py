@@ -13,6 +13,13 @@
    score never exceeds them). So no leak that shares a seed is lost, however
    often its passage repeats.
 
+Rare also means rare among the items: a seed that more than ``sharers`` of them
+have belongs to a template (a question's usual wording). A document is aligned
+with the items of which it holds a seed of their own, so a template alone is no
+leak, and a document that holds it meets none of the thousands of items that
+share it. Items with shared seeds only are met by those that the fewest share.
+Items of equal words count as one, and are aligned once for all their ids.
+
 The corpus is never shuffled; ``decontaminate`` filters rows where they stand. Items are taken in blocks of at most
 ``block_words`` words, so that what is broadcast is bounded whatever the size of
 the benchmark; each further block is a further pass.
@@ -35,18 +42,21 @@ from pyspark.sql import functions as F
 from .tables import read
 from .words import LOOSE, words_of
 
-SEED, COMMON, LEAST, BLOCK_WORDS = 4, 4.0, 0.4, 2_000_000
+SEED, COMMON, LEAST, BLOCK_WORDS, SHARERS = 4, 4.0, 0.4, 2_000_000, 16
 LEAKS = "doc_id long, item_id long, similarity double, score long, first_word long, last_word long, seeds long"
 
 
 class Items:
-    """The items of a block, ready to be searched: sorted seed hashes, and each one's items and places."""
+    """The items of a block, ready to be searched: sorted seed hashes, and each one's items and places. ``ids``: of each distinct item, all that have its words."""
 
-    def __init__(self, rows: list, seed: int):
-        self.seed, self.ids = seed, [r[0] for r in rows]
-        self.words: list[np.ndarray] = []
+    def __init__(self, rows: list, seed: int, sharers: int = SHARERS):
+        self.seed, self.sharers = seed, sharers
+        spelled: dict[tuple, list] = {}
         for w in words_of(pa.array([r[1] for r in rows], pa.string()), LOOSE):
-            self.words += [w.hashes[w.rows[i] : w.rows[i + 1]] for i in range(len(w))]
+            for i in range(len(w)):
+                spelled.setdefault(tuple(w.hashes[w.rows[i] : w.rows[i + 1]].tolist()), []).append(rows[w.first + i])
+        self.ids, rows = [[r[0] for r in same] for same in spelled.values()], [same[0] for same in spelled.values()]
+        self.words = [np.array(x, np.uint64) for x in spelled]
         grams, owner, place, at = [], [], [], 0
         size = np.array([len(x) for x in self.words], np.int64)
         self.sizes = sorted({min(int(n), seed) for n in size if n})  # shorter items are seeds as a whole
@@ -66,6 +76,27 @@ class Items:
         order = np.argsort(grams, kind="stable")
         self.grams, self.owner, self.place = grams[order], owner[order], place[order]
         self.keys, self.rare = np.unique(self.grams), np.ones(len(grams), bool)
+        self.key = np.searchsorted(self.keys, self.grams)
+        pairs = np.unique(np.stack([self.key, self.owner], 1), axis=0) if len(grams) else np.zeros((0, 2), np.int64)
+        holders = np.bincount(pairs[:, 0], minlength=len(self.keys))[self.key]
+        fewest = np.full(len(self.words), np.iinfo(np.int64).max)
+        np.minimum.at(fewest, self.owner, holders)
+        mine = np.unique(np.stack([self.key, self.owner], 1)[holders <= np.maximum(self.sharers, fewest[self.owner])], axis=0) if len(grams) else pairs
+        self.own_from, self.own_items = np.searchsorted(mine[:, 0], np.arange(len(self.keys) + 1)), mine[:, 1]
+        self.by_item = np.lexsort((self.place, self.key, self.owner))
+        self.item_from = np.searchsorted(self.owner[self.by_item], np.arange(len(self.words) + 1))
+
+    def met(self, keys: np.ndarray) -> np.ndarray:
+        """The items that have one of these keys to themselves, or nearly so."""
+        left, many = self.own_from[keys], self.own_from[keys + 1] - self.own_from[keys]
+        return np.unique(self.own_items[np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
+
+    def of(self, item: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys an item has, and which of its seeds these are: all pairs."""
+        own = self.by_item[self.item_from[item] : self.item_from[item + 1]]
+        left, right = np.searchsorted(self.key[own], keys, "left"), np.searchsorted(self.key[own], keys, "right")
+        many = right - left
+        return np.repeat(np.arange(len(keys)), many), own[np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
 
     def tell_rare(self, held: dict[int, int], common: float) -> None:
         """Marks, of each item, the seeds in at most ``common`` times as many documents as the median of those that occur."""
@@ -151,15 +182,10 @@ def _leaks(items: Items, least: float):
         for d in np.unique(doc).tolist():
             own = doc == d
             text = w.hashes[w.rows[d] : w.rows[d + 1]]
-            left = np.searchsorted(items.grams, items.keys[key[own]], "left")
-            right = np.searchsorted(items.grams, items.keys[key[own]], "right")
-            many = right - left
-            which = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            place = np.repeat(at[own] - w.rows[d], many)
-            for i in np.unique(items.owner[which]).tolist():
-                mine = items.owner[which] == i
+            for i in items.met(np.unique(key[own])).tolist():
+                held, which = items.of(i, key[own])
                 item, top = items.words[i], None
-                for a, b, seeds, rare in _regions(place[mine], items.place[which[mine]], items.rare[which[mine]], len(item), len(text)):
+                for a, b, seeds, rare in _regions((at[own] - w.rows[d])[held], items.place[which], items.rare[which], len(item), len(text)):
                     if not rare and shared(item, text[a:b]) < least * len(item):
                         continue
                     score, end = align(item, text[a:b])
@@ -168,7 +194,8 @@ def _leaks(items: Items, least: float):
                         top = (score, a, a + end, seeds, back)
                 if top and top[0] >= least * len(item):
                     begin = top[2] - _reach(item, text[top[1] : top[2]], top[0])
-                    yield w.first + d, items.ids[i], top[0] / len(item), top[0], begin, top[2] - 1, top[3]
+                    for item_id in items.ids[i]:
+                        yield w.first + d, item_id, top[0] / len(item), top[0], begin, top[2] - 1, top[3]
 
     return leaks
 
@@ -204,14 +231,14 @@ def _reach(item: np.ndarray, text: np.ndarray, score: int) -> int:
     return end if best >= score else len(text)
 
 
-def _blocks(docs: DataFrame, items: DataFrame, seed: int = SEED, common: float = COMMON, block_words: int = BLOCK_WORDS) -> Iterator:
+def _blocks(docs: DataFrame, items: DataFrame, seed: int = SEED, common: float = COMMON, block_words: int = BLOCK_WORDS, sharers: int = SHARERS) -> Iterator:
     """The items in broadcast blocks, each with its rare seeds told by a pass over docs."""
     context = docs.sparkSession.sparkContext
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = -(-words // block_words) or 1
     for k in range(blocks):
-        block = Items(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect(), seed)
+        block = Items(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect(), seed, sharers)
         first = context.broadcast(block)
         counted = docs.select("text").mapInArrow(lambda b, x=first: _count(x.value)(b), "gram long, n long")
         block.tell_rare(dict(counted.groupBy("gram").agg(F.sum("n")).collect()), common)
