@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import summary_number
+from .containment import either_holds
 from .issues import FORCE, TABLE, close_enough, issues, together
 
 # Names that mean the same kind of measurement, in this order.
@@ -25,24 +26,29 @@ def name_group(name: Column) -> Column:
     return out
 
 
-def _contains_either(a: Column, b: Column) -> Column:
-    return F.contains(a, b) | F.contains(b, a)
+def _named_alike(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """(report_id, a, b, grouped): pairs of a report's names that are of one group (grouped), or of which one contains the other; each once."""
+    own = lambda df, c: df.where(F.col(c).isNotNull()).select("report_id", c, name_group(F.col(c)).alias("group")).distinct()
+    together = own(left, a).join(own(right, b), ["report_id", "group"]).select("report_id", a, b, F.lit(True).alias("grouped"))
+    holding = either_holds(left, right, ["report_id"], a, b).withColumn("grouped", F.lit(False))
+    return together.unionByName(holding).groupBy("report_id", a, b).agg(F.max("grouped").alias("grouped"))
 
 
 def match_thresholds(thresholds: DataFrame, mon_tables: DataFrame) -> DataFrame:
-    """LOG-04: per table the first threshold of its report that means it. The join is on the report; a report has few thresholds."""
-    named = mon_tables.select(*TABLE, "monitoring_item").join(thresholds, "report_id")
-    same = F.coalesce(name_group(F.col("item_name")) == name_group(F.col("monitoring_item")), F.lit(False)) | _contains_either(F.col("monitoring_item"), F.col("item_name"))
-    return named.where(same).groupBy(TABLE).agg(F.min(F.struct("th_no", "item_name", "warning_value", "control_value", "rate_limit")).alias("x")).select(*TABLE, "x.*")
+    """LOG-04: per table the first threshold of its report that means it."""
+    limits = ("th_no", "item_name", "warning_value", "control_value", "rate_limit")
+    alike = _named_alike(mon_tables, thresholds, "monitoring_item", "item_name").join(thresholds.select("report_id", *limits), ["report_id", "item_name"])
+    first = alike.groupBy("report_id", "monitoring_item").agg(F.min(F.struct(*limits)).alias("first"))
+    named = mon_tables.select(*TABLE, "monitoring_item").join(first, ["report_id", "monitoring_item"]).select(*TABLE, "first.*")
+    return named.groupBy(TABLE).agg(F.min(F.struct("th_no", "item_name", "warning_value", "control_value", "rate_limit")).alias("x")).select(*TABLE, "x.*")
 
 
 def match_summary(summary_items: DataFrame, mon_tables: DataFrame) -> DataFrame:
     """LOG-05: the tables that a summary item speaks of: those of its group if the report has any, else those whose names contain each other."""
-    named = summary_items.select("report_id", "si_no", F.col("monitoring_item").alias("item")).join(mon_tables.select(*TABLE, "monitoring_item", "category"), "report_id")
-    grouped = F.coalesce(name_group(F.col("item")) == name_group(F.col("monitoring_item")), F.lit(False))
-    item = Window.partitionBy("report_id", "si_no")
-    judged = named.withColumn("grouped", grouped).withColumn("some", F.max("grouped").over(item))
-    return judged.where(F.col("grouped") | (~F.col("some") & _contains_either(F.col("item"), F.col("monitoring_item")))).select("report_id", "si_no", "table_idx", "category")
+    items = summary_items.select("report_id", "si_no", F.col("monitoring_item").alias("item"))
+    alike = _named_alike(items, mon_tables, "item", "monitoring_item").withColumn("some", F.max("grouped").over(Window.partitionBy("report_id", "item")))
+    said = alike.where(F.col("grouped") | ~F.col("some")).select("report_id", "item", "monitoring_item")
+    return items.join(said, ["report_id", "item"]).join(mon_tables.select(*TABLE, "monitoring_item", "category"), ["report_id", "monitoring_item"]).select("report_id", "si_no", "table_idx", "category")
 
 
 def check_status(points: DataFrame, matched: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .containment import either_holds, holders
+
 CELL = ["sheet", "row", "col"]
 
 
@@ -29,14 +31,17 @@ def _bare(point: Column) -> Column:
 
 
 def hits(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataFrame:
-    """Truth cells with the first issue that hits them: the same point, and the field's keyword or the cell's value in what it says."""
+    """Truth cells with the first issue that hits them: its point holds the cell's, and it says the field's keyword or the cell's value.
+
+    An issue's point without what stands in brackets is a part of it, so that being equal to the cell's is a case of holding it.
+    """
     left = truth.withColumn("truth_point", _bare(F.col("point_id")))
     said = issues.select(key, F.col("point_id").alias("issue_point"), "issue_no", F.concat_ws("", "field_name", "message").alias("said"))
     digits = lambda v: F.length(F.rtrim(F.replace(F.replace(v, F.lit("-"), F.lit("")), F.lit("."), F.lit("")), F.lit("0"))) >= 3
     shown = lambda v: F.when(digits(v), F.contains(F.col("said"), F.regexp_replace(F.regexp_replace(v, "^-", ""), r"(\.\d*?)0+$", "$1"))).otherwise(False)
-    same = (F.col("truth_point") != "") & (F.contains(F.col("issue_point"), F.col("truth_point")) | (_bare(F.col("issue_point")) == F.col("truth_point")))
+    same = holders(left.where("truth_point <> ''"), said, [key], "truth_point", "issue_point")
     speaks = F.contains(F.col("said"), F.col("keyword")) | F.coalesce(shown(F.col("error_value")), F.lit(False)) | F.coalesce(shown(F.col("correct_value")), F.lit(False))
-    met = left.join(said, key).where(same & speaks)
+    met = left.join(same, [key, "truth_point"]).join(said, [key, "issue_point"]).where(speaks)
     first = F.row_number().over(Window.partitionBy(key, "truth_no").orderBy("issue_no"))
     return met.withColumn("first", first).where("first = 1").select(key, "truth_no", "issue_no")
 
@@ -49,15 +54,19 @@ def recall(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataF
 
 def fuzzy_match(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataFrame:
     """EVA-03: recall and precision when names and points need only contain each other."""
-    near = lambda a, b: F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a))
-    pairs = truth.select(key, "truth_no", F.col("point_id").alias("p"), F.col("table_name").alias("t")).join(issues.select(key, "issue_no", F.col("point_id").alias("q"), F.col("table_name").alias("u")), key).where(near("p", "q") & near("t", "u"))
-    found = pairs.groupBy(key).agg(F.countDistinct("truth_no").alias("hits"), F.countDistinct("issue_no").alias("right"))
+    known = truth.select(key, "truth_no", F.col("point_id").alias("p"), F.col("table_name").alias("t"))
+    told = issues.select(key, "issue_no", F.col("point_id").alias("q"), F.col("table_name").alias("u"))
+    near = known.select(key, "p", "t").distinct().join(either_holds(known, told, [key], "p", "q"), [key, "p"]).join(either_holds(known, told, [key], "t", "u"), [key, "t"])
+    near = near.join(told.select(key, "q", "u").distinct(), [key, "q", "u"])
+    hit = known.join(near.select(key, "p", "t").distinct(), [key, "p", "t"]).groupBy(key).agg(F.countDistinct("truth_no").alias("hits"))
+    right = told.join(near.select(key, "q", "u").distinct(), [key, "q", "u"]).groupBy(key).agg(F.countDistinct("issue_no").alias("right"))
+    found = hit.join(right, key)
     sizes = truth.groupBy(key).agg(F.count("*").alias("truths")).join(issues.groupBy(key).agg(F.count("*").alias("reported")), key, "full").join(found, key, "left").fillna(0)
     return sizes.select(key, "truths", "reported", "hits", F.try_divide("hits", "truths").alias("recall"), F.try_divide("right", "reported").alias("precision"))
 
 
 def extra_errors(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataFrame:
     """EVA-04: errors that are about no truth cell's point."""
-    known = truth.select(F.col(key), _bare(F.col("point_id")).alias("known")).where("known <> ''").distinct()
-    bare = issues.withColumn("bare", _bare(F.col("point_id")))
-    return bare.join(known, (bare[key] == known[key]) & F.contains(bare["point_id"], known["known"]), "left_anti").drop("bare")
+    known = truth.select(F.col(key), _bare(F.col("point_id")).alias("known")).where("known <> ''")
+    met = holders(known, issues, [key], "known", "point_id").select(key, "point_id").distinct()
+    return issues.join(met, [key, "point_id"], "left_anti").select(issues.columns)
