@@ -1,9 +1,13 @@
 """Which line of a chunk, and which cell of it, a landed number was read from.
 
 Rows are found by the words of a line, an equi-join, and scored; what lies above
-a line (its page, the nearest dates, headers and labels) comes from windows over
-the chunk's lines, at most ``SCAN`` lines back and across one page border. A
-chunk is as long as a request to the reader may be, so its windows are short.
+a line (its page, the nearest dates and labels) comes from windows over the
+chunk's lines, at most ``SCAN`` lines back and across one page border. A chunk
+is as long as a request to the reader may be, so its windows are short.
+
+The nearest header that fits a row is an as-of join with a condition: headers
+and rows go into one stream, each under the classes that it may meet in, and the
+last header of a class before a row is found by one window (``_as_of``).
 """
 
 from __future__ import annotations
@@ -11,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import computed_once
+
 SCAN = 60
 CHUNK = ["report_id", "chunk_no"]
 ROW = ["report_id", "table_idx", "row_no"]
 VALUES = ("initial_value", "previous_value", "current_value", "current_change", "cumulative_change", "change_rate", "depth", "previous_cumulative", "current_cumulative")
+# How page borders and dates are printed.
 MARKER = r"---\s*第\s*(\d+)\s*页(?:\s*/\s*共\s*\d+\s*页)?\s*---"
 DATE = r"20\d{2}[-/.]\d{1,2}[-/.]\d{1,2}"
 _WORD, _NUMBER = "[A-Za-z0-9_-]", r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -38,6 +45,7 @@ METRICS = {
     "change_rate": ("变化速率", "变形速率", "本期速率", "速率"),
     "current_value": ("测值", "轴力值", "本次值", "本期值", "本期轴力值", "当前值"),
 }
+# What the columns of points, states and initial values are called.
 POINT_LABELS, STATUS_LABEL, INITIAL = ("测点编号", "测点", "孔号", "测孔编号"), "安全状态", "初始"
 
 
@@ -144,27 +152,40 @@ def best_line(candidates: DataFrame, values: tuple[str, ...] = VALUES) -> DataFr
     return best.select(*ROW, "best.*").withColumnsRenamed({"text": "source_row_text"})
 
 
-def _above(rows: DataFrame, lines: DataFrame, fits: Column, value: Column, name: str) -> DataFrame:
-    """``value`` of the nearest of ``lines`` (at, marked, ...) above each row that ``fits``, in reach."""
-    near = rows.select(*ROW, "chunk_no", "place", "marks", "cells", *[c for c in rows.columns if c.startswith("near_")]).join(lines, CHUNK)
-    reach = (F.col("at") < F.col("place")) & (F.col("at") >= F.col("place") - SCAN) & (F.col("marks") - F.col("marked") <= 1)
-    return near.where(reach & fits).groupBy(ROW).agg(F.max_by(value, "at").alias(name))
+def _as_of(rows: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """For each row (ROW) the ``value`` of the nearest of ``lines`` above it, in reach, that has one of the row's classes.
+
+    ``lines``: (CHUNK, at, marked, classes, value) and ``rows``: (ROW, chunk_no, place, marks, probes), each of its probes (class, moved). Rows and lines of a
+    class come in one order, and a line that is out of reach hides none that is in reach. The value is (value, moved of the probe).
+    """
+    built = lines.select(*CHUNK, F.explode("classes").alias("class"), F.col("at").alias("place"), F.lit(1).alias("side"), F.struct(F.col("at"), F.col("marked"), F.col("value")).alias("line"))
+    probes = rows.select(*ROW, "chunk_no", "place", "marks", F.explode("probes").alias("p")).select(*ROW, "chunk_no", "place", "marks", "p.*").withColumn("side", F.lit(0))
+    stream = probes.unionByName(built, allowMissingColumns=True)
+    order = Window.partitionBy(*CHUNK, "class").orderBy("place", "side").rowsBetween(Window.unboundedPreceding, -1)
+    told = stream.withColumn("above", F.last("line", ignorenulls=True).over(order)).where("side = 0")
+    reach = (F.col("above.at") < F.col("place")) & (F.col("above.at") >= F.col("place") - SCAN) & (F.col("marks") - F.col("above.marked") <= 1)
+    return told.where(reach).groupBy(ROW).agg(F.max_by(F.struct(F.col("above.value").alias("value"), "moved"), "above.at").alias(name))
 
 
 def nearest_header(rows: DataFrame, read: DataFrame) -> DataFrame:
     """PRV-05: per row the columns of the nearest header above: as wide as the row, or narrower by the labels of points and states that stand elsewhere."""
-    lines = read.where(F.size(F.map_keys("columns")) >= 2).select(*CHUNK, F.col("place").alias("at"), F.col("marks").alias("marked"), "columns", F.size("cells").alias("width"))
-    less = F.size("cells") - F.col("width")
-    fits = (less == 0) | ((less == 2) & F.col("near_point") & F.col("near_status")) | ((less == 1) & F.col("near_point"))
-    moved = F.when(less == 0, F.col("columns")).otherwise(F.transform_values("columns", lambda k, v: v + 1))
-    return _above(rows, lines, fits, moved, "header")
+    lines = read.where(F.size(F.map_keys("columns")) >= 2).select(*CHUNK, F.col("place").alias("at"), F.col("marks").alias("marked"), F.array(F.size("cells")).alias("classes"), F.col("columns").alias("value"))
+    probe = lambda less, test: F.when(test, F.struct((F.size("cells") - less).alias("class"), F.lit(min(less, 1)).alias("moved")))
+    widths = F.array_compact(F.array(probe(0, F.lit(True)), probe(1, F.col("near_point")), probe(2, F.col("near_point") & F.col("near_status"))))
+    found = _as_of(rows.withColumn("probes", widths), lines, "found")
+    return found.select(*ROW, F.transform_values("found.value", lambda k, v: v + F.col("found.moved")).alias("header"))
 
 
 def wide_columns(rows: DataFrame, read: DataFrame) -> DataFrame:
-    """PRV-06: per row of a table of several periods the columns of its own period: three metrics for each date, after the id, the initial value and the axis."""
-    lines = read.where(F.size("metrics") >= 3).select(*CHUNK, F.col("place").alias("at"), F.col("marks").alias("marked"), "metrics")
-    found = _above(rows, lines, F.size("metrics") >= 3 * F.size("near_dates"), F.slice(F.col("metrics"), 1, 3), "metric")
-    due = rows.select(*ROW, "near_dates", "near_initial", "near_axes", "cells", day(F.coalesce("monitor_date", F.lit(""))).alias("due")).join(found, ROW)
+    """PRV-06: per row of a table of several periods the columns of its own period: three metrics for each date, after the id, the initial value and the axis.
+
+    A line of metrics fits rows with up to a third as many dates above them: these numbers are its classes.
+    """
+    many = F.floor(F.size("metrics") / 3).cast("int")
+    lines = read.where(F.size("metrics") >= 3).select(*CHUNK, F.col("place").alias("at"), F.col("marks").alias("marked"), F.sequence(F.lit(1), many).alias("classes"), F.slice("metrics", 1, 3).alias("value"))
+    dated = rows.where(F.size("near_dates") > 0)
+    found = _as_of(dated.withColumn("probes", F.array(F.struct(F.size("near_dates").alias("class"), F.lit(0).alias("moved")))), lines, "found")
+    due = dated.select(*ROW, "near_dates", "near_initial", "near_axes", "cells", day(F.coalesce("monitor_date", F.lit(""))).alias("due")).join(found.select(*ROW, F.col("found.value").alias("metric")), ROW)
     prefix = F.when(F.col("near_axes"), 3).when(F.col("near_initial"), 2).otherwise(1)
     at = F.array_position("near_dates", F.col("due")).cast("int")
     good = (at > 0) & (F.size(F.array_distinct("metric")) == 3) & ((F.size("near_dates") > 1) | ((prefix >= 2) & (F.size("cells") >= 9)))
@@ -188,9 +209,9 @@ def field_map(rows: DataFrame, values: tuple[str, ...] = VALUES) -> Column:
 
 def trace(points: DataFrame, lines: DataFrame) -> DataFrame:
     """points (with chunk_no and monitor_date) with source_line, source_page, source_row_text and source_field_map; null where no line holds the id."""
-    read = read_lines(lines)
+    read = computed_once(read_lines(lines))
     best = best_line(candidate_lines(points, read))
-    rows = points.join(best, ROW)
+    rows = computed_once(points.join(best, ROW))
     found = rows.join(nearest_header(rows, read), ROW, "left").join(wide_columns(rows, read), ROW, "left")
     told = found.select(*ROW, F.col("line_no").alias("source_line"), "source_page", "source_row_text", field_map(found).alias("source_field_map"))
     return points.join(told, ROW, "left")

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.store import computed_once
+
 _DAYS = {"spark": "datediff(CAST({0} AS DATE), DATE '{1}')", "duckdb": "datediff('day', DATE '{1}', CAST({0} AS DATE))"}
 
 _POINTS = """
@@ -112,10 +114,7 @@ def sample(spark: SparkSession, sf_dir: str, *kept: str) -> dict[str, DataFrame]
 
 def held(x: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
     """x with these tables computed once, in the shared folder: for queries that go over them many times."""
-    spark = next(iter(x.values())).sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
-    return x | {name: x[name].checkpoint() for name in names}
+    return x | {name: computed_once(x[name]) for name in names}
 
 
 def sample_sql() -> str:
