@@ -14,8 +14,9 @@ folder.
 For two sources s and t of a language with V kept terms, almost all terms are
 absent from both and have one and the same value f0(s, t). So the sum over all
 terms is V * f0 and, for each posting, a correction of the pairs it takes part in;
-these stream out of each (language, shard), source by source, and are summed
-map-side (``_corrections``). The matrix of terms and sources is never built whole:
+these stream out of each (language, part), source by source, and are summed
+map-side (``_corrections``). There is a part for every ``PART`` postings of the
+table, whatever its size. The matrix of terms and sources is never built whole:
 ``CELLS`` bounds what a step holds.
 
 All arithmetic is exact: counts are longs, and a share of 10^9 is divided in three
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from .tables import read, shared_folder
 from .words import cut, words_of
 
-BLOCK, PAGE, CELLS, CHUNK = 2_000_000, 2048, 1 << 21, 1 << 22
+BLOCK, PAGE, PART, CELLS, CHUNK = 2_000_000, 2048, 100_000, 1 << 21, 1 << 22
 LEAST, UNIT, TOP = 3, 1_000_000_000, 200
 #: bytes of terms, A-Z lower-cased; all others separate
 FOLD = np.arange(256, dtype=np.uint8)
@@ -253,7 +254,7 @@ def _rows(lang: str, source, part: str, item, value) -> pa.Table:
 
 def _corrections(top: int):
     def run(terms: pa.Table, totals: pa.Table) -> pa.Table:
-        """Of one language and shard: what its postings add to each pair's sum, and the terms that lead in each source."""
+        """Of one language and part: what its postings add to each pair's sum, and the terms that lead in each source."""
         if not terms.num_rows or not totals.num_rows:
             return _PARTS.empty_table()
         lang = totals.column("lang")[0].as_py()
@@ -320,17 +321,16 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOC
     whole = Window.partitionBy("lang")
     totals = groups.join(counted, ["lang", "source"], "left").join(kept, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kept", F.lit(0)).alias("kept"))
     totals = totals.withColumn("lang_n", F.sum("n").over(whole))
-    shards = found.select(F.col("lang").alias("own"), F.col("shard").alias("part")).distinct()
-    dealt = totals.join(shards, F.col("lang") == F.col("own")).select("part", *[F.col(c).alias(c) for c in totals.columns])
-    streamed = found.groupBy("lang", "shard").cogroup(dealt.groupBy("lang", "part")).applyInArrow(_corrections(top), PARTS)
+    parts = -(-(found.agg(F.sum(F.size("counts"))).first()[0] or 1) // PART)
+    terms = found.select("lang", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("place"), "term", "sources", "counts")
+    dealt = totals.where("kept > 0").select(*[F.col(c).alias(c) for c in totals.columns], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    streamed = terms.groupBy("lang", "place").cogroup(dealt.groupBy("lang", "part")).applyInArrow(_corrections(top), PARTS)
 
-    summed = streamed.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     a, b = totals.select("lang", "source", "kept", _whole("n").alias("p")), totals.select("lang", F.col("source").alias("item"), _whole("n").alias("q"), F.lit("pair").alias("part"))
-    pairs = a.join(b, "lang").where("source <> item").select("lang", "source", "part", "item", F.expr("kept * ((p - q) * (p - q) div q)").alias("base"))
-    values = pairs.join(summed.where("part = 'pair'"), ["lang", "source", "part", "item"], "left").select("lang", "source", "part", "item", (F.col("base") + F.coalesce("value", F.lit(0))).alias("value"))
+    pairs = a.join(b, "lang").where("source <> item").select("lang", "source", "part", "item", F.expr("kept * ((p - q) * (p - q) div q)").alias("value"))
+    values = pairs.unionByName(streamed).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
-    return ranked(values).unionByName(ranked(summed.where("part = 'term'")).where(F.col("rank") <= top))
+    return values.withColumn("rank", F.row_number().over(order)).where((F.col("part") == "pair") | (F.col("rank") <= top))
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,7 @@ def _audit(rows):
 def test_audits_beside_counters(spark, block, page, cells, monkeypatch):
     monkeypatch.setattr(divergence, "PAGE", page)
     monkeypatch.setattr(divergence, "CELLS", cells)
+    monkeypatch.setattr(divergence, "PART", divergence.PART if cells > 1 else 70)
     r = random.Random(9)
     rows = [(None, None, None), ("", "en", "empty"), ("ONE two", "once", "s1"), ("one", "once", "s2"), ("x1y2Ünder ünder", "en", None)]
     for _ in range(150):
