@@ -46,24 +46,56 @@ def text_quality(pages: DataFrame, markers: tuple[str, ...], least_chars: float
     return sums.withColumn("good", (F.col("chars") / F.col("pages") >= least_chars) & (F.col("markers") >= least_markers))
 
 
-def _runs(pages: DataFrame, pattern: str) -> DataFrame:
-    """Stretches that match a pattern whose group 1 is the unit: where they start, the unit, and how often it comes."""
-    hits, units = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-    gaps = F.split("text", pattern, -1)
-    damaged = pages.where(F.col("text").rlike(pattern)).select(*PAGE, hits.alias("hits"), units.alias("units"), gaps.alias("gaps"))
-    before = lambda i: F.aggregate(F.zip_with(F.slice("gaps", F.lit(1), i + 1), F.slice("hits", F.lit(1), i), lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0))), F.lit(0), lambda a, n: a + n)
-    found = damaged.select(*PAGE, "hits", "gaps", F.posexplode("units").alias("finding_no", "unit"))
-    return found.select(*PAGE, "finding_no", before(F.col("finding_no")).cast("long").alias("start"), "unit", (F.length(F.get("hits", F.col("finding_no"))) / F.length("unit")).cast("long").alias("times"))
+def _may_repeat(text: Column, size: int, n: int, block: int) -> Column:
+    """Whether a text may hold n equal units of ``size`` characters in a row: such a stretch covers a whole block of the text, which then has this period."""
+    return F.exists(F.regexp_extract_all(text, F.lit(f"(?s).{{{block}}}"), F.lit(0)), lambda x: F.substring(x, size + 1, block - size) == F.substring(x, 1, block - size))
+
+
+def _stretches(chars: Column, size: int, n: int) -> Column:
+    """The longest stretches, of n units and more, whose characters equal those ``size`` before: from, to (exclusive) and size."""
+    end = F.size(chars)
+    ends = F.filter(F.when(end > size, F.sequence(F.lit(size), end - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(chars, i) != F.get(chars, i - size))
+    between = F.zip_with(F.concat(F.array(F.lit(size - 1)), ends), F.concat(ends, F.array(end)), lambda a, b: F.struct((a + 1 - size).alias("start"), b.alias("stop"), F.lit(size).alias("size")))
+    return F.filter(between, lambda x: x["stop"] - x["start"] >= n * size)
+
+
+def _runs(pages: DataFrame, sizes: tuple[int, ...], n: int, kept: str) -> DataFrame:
+    """Stretches of n equal units of one of the sizes and more: where they start, the unit, and how often it comes. ``kept``: pattern of the units that count.
+
+    Stretches are taken in the order of their starts, of equal ones the shortest unit first, each from where the one before has ended, in whole units. For n of 6
+    and more this is what a pattern with a back-reference finds (of several stretches at a place, one lies in the other), but linear in the text. Texts without a
+    block of the right period are passed over.
+    """
+    text, one = F.col("text"), (n * min(sizes) + 1) // 2
+    block = {size: one if one > max(sizes) else (n * size + 1) // 2 for size in sizes}
+    for size in sizes:
+        pages = pages.withColumn(f"_may_{size}", F.coalesce(_may_repeat(text, size, n, block[size]), F.lit(False)))
+    damaged = pages.where(F.greatest(*[F.col(f"_may_{size}") for size in sizes], F.lit(False))).withColumn("_chars", F.split("text", ""))
+    none = F.array().cast("array<struct<start:int,stop:int,size:int>>")
+    found = damaged.withColumn("_found", F.flatten(F.array(*[F.when(F.col(f"_may_{size}"), _stretches(F.col("_chars"), size, n)).otherwise(none) for size in sizes])))
+
+    def take(state: Column, x: Column) -> Column:
+        start = F.greatest(x["col1"], state["at"])
+        times = F.floor(F.greatest(x["col3"] - start, F.lit(0)) / x["col2"]).cast("int")
+        one = F.struct(start.alias("start"), x["col2"].alias("size"), times.alias("times"))
+        return F.when(times >= n, F.struct((start + times * x["col2"]).alias("at"), F.concat(state["taken"], F.array(one)).alias("taken"))).otherwise(state)
+
+    ordered = F.sort_array(F.transform("_found", lambda x: F.struct(x["start"].alias("col1"), x["size"].alias("col2"), x["stop"].alias("col3"))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int,times:int>>").alias("taken"))
+    taken = F.aggregate(ordered, begin, take)["taken"]
+    units = F.transform(taken, lambda x: F.struct(x["start"].cast("long").alias("start"), F.array_join(F.slice(F.col("_chars"), x["start"] + 1, x["size"]), "").alias("unit"), x["times"].cast("long").alias("times")))
+    told = found.select(*PAGE, F.posexplode(F.filter(units, lambda x: x["unit"].rlike(kept))).alias("finding_no", "x"))
+    return told.select(*PAGE, "finding_no", "x.*")
 
 
 def repeat_char(pages: DataFrame, n: int = 200) -> DataFrame:
     """DOC-10: the same non-space character n times in a row and more."""
-    return _runs(pages, rf"([^\s])\1{{{n - 1},}}")
+    return _runs(pages, (1,), n, r"\A\S\z")
 
 
 def repeat_unit(pages: DataFrame, n: int = 100) -> DataFrame:
     """DOC-11: a unit of two to ten characters, none of them a newline, n times in a row and more."""
-    return _runs(pages, rf"([^\n]{{2,10}}?)\1{{{n - 1},}}")
+    return _runs(pages, tuple(range(2, 11)), n, r"\A[^\n]*\z")
 
 
 def damage_findings(reports: DataFrame, pages: DataFrame, chars: int = 200, units: int = 100, repeats: int = 50) -> DataFrame:
@@ -76,6 +108,14 @@ def damage_findings(reports: DataFrame, pages: DataFrame, chars: int = 200, unit
     return of(reports.select("report_id", F.lit(None).cast("long").alias("page_no"), "text"), "report").unionByName(of(pages.select(*PAGE, "text"), "page"))
 
 
+def told_findings(findings: DataFrame) -> DataFrame:
+    """Findings with a number in their report, whole texts before pages, and what each says: for the rules that report them."""
+    order = Window.partitionBy("report_id").orderBy((F.col("source") == "page"), "page_no", F.array_position(F.array(F.lit("char"), F.lit("unit"), F.lit("line")), F.col("kind")), "start")
+    place = F.when(F.col("page_no").isNotNull(), F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "))).otherwise("")
+    detail = F.concat(place, F.lit("repeated "), "kind", F.lit(" at "), F.col("start").cast("string"), F.lit(", "), F.col("times").cast("string"), F.lit(" times"))
+    return findings.withColumns({"finding_no": F.row_number().over(order), "detail": detail})
+
+
 def repeat_line(line_table: DataFrame, n: int = 50) -> DataFrame:
     """DOC-12: the same trimmed line of three characters and more, n times in a row and more; where it starts in the page."""
     page = Window.partitionBy(*PAGE).orderBy("line_no")

@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calc, logic, plan, quality, review, scoring
+from ..operators import calc, hygiene, logic, plan, quality, review, scoring
 from ..operators.issues import FIELDS, SAYINGS, TABLE, described
 from ..sources import landing
 from ..sources.samples import sample_sql
-from . import rules
+from . import rules, texts
 from .landings import _CELLS as _RAW_CELLS
 from .rules import _CONFIG, _FLAT_CHOSEN, _RAW, SHIFT, _issue, _tables
 
@@ -213,6 +213,19 @@ _query("qua_08_diagnostics", lambda x: quality.diagnostics(_flags(x), x["mon_tab
 SELECT b.report_id, coalesce(flagged_tables, 0) AS flagged_tables, markup_pages, identical_pairs, coalesce(damages, 0) AS damages FROM b LEFT JOIN a USING (report_id) LEFT JOIN c USING (report_id)""")
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of flagged tables, of pages of markup, and of the documents' pages that repeat or are damaged."""
+    pages = texts.bound(spark, sf_dir)
+    return quality.diagnostics(_flags(_tables(spark, sf_dir, "points")), hygiene.page_stats(texts.charts(spark, sf_dir)), hygiene.identical_pages(pages), texts.damage(spark, sf_dir))
+
+
+QUERIES["qua_08_found"] = _found
+ORACLES["qua_08_found"] = f"""WITH RECURSIVE {texts.damage_sql()}, fa AS (SELECT report_id, flagged_tables FROM ({ORACLES['qua_08_diagnostics']}) WHERE flagged_tables > 0),
+fb AS (SELECT report_id, count(*) FILTER (markup_ratio >= 0.9) AS markup_pages FROM ({texts.ORACLES['doc_07_page_stats']}) GROUP BY 1), fc AS (SELECT report_id, count(*) AS identical_pairs FROM ({texts.ORACLES['doc_08_identical_pages'].replace(texts.PAGES_SQL, 'SELECT * FROM dg')}) GROUP BY 1),
+fd AS (SELECT report_id, count(*) AS damages FROM dm GROUP BY 1)
+SELECT report_id, coalesce(flagged_tables, 0) AS flagged_tables, coalesce(markup_pages, 0) AS markup_pages, coalesce(identical_pairs, 0) AS identical_pairs, coalesce(damages, 0) AS damages FROM fa FULL JOIN fb USING (report_id) FULL JOIN fc USING (report_id) FULL JOIN fd USING (report_id)"""
+
+
 def _published(x: dict[str, DataFrame], folder: str) -> DataFrame:
     """All nine tables of results, written and read again: rows by table and report."""
     spark = x["points"].sparkSession

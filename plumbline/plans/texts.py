@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import hygiene
+from ..operators import hygiene, logic
 from ..sources.samples import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,11 +76,66 @@ _RUNS = """, h AS (SELECT report_id, page_no, i, x FROM (SELECT report_id, page_
 k AS (SELECT *, i - row_number() OVER (PARTITION BY report_id, page_no, x ORDER BY i) AS island FROM h WHERE NOT regexp_matches(x, '^[ \\t\\n\\x0B\\f\\r]$')),
 u AS (SELECT report_id, page_no, x AS unit, min(i) - 1 AS start, count(*) AS times FROM k GROUP BY report_id, page_no, x, island HAVING count(*) >= 3)"""
 _over_pages("doc_10_repeat_char", lambda g: hygiene.repeat_char(g, 3), _RUNS.format("g") + " SELECT report_id, page_no, (row_number() OVER (PARTITION BY report_id, page_no ORDER BY start) - 1)::INT AS finding_no, start, unit, times FROM u")
-_over_pages("doc_11_repeat_unit", lambda g: hygiene.repeat_unit(g, 3))
+
+
+def _stretched(chars: str, sizes: range, n: int, kept: str, key: str = "report_id, page_no", prefix: str = "") -> str:
+    """SQL tables for repeated units of ``chars`` (key, i from 1, x): all stretches by their periods, and those that are taken one after the other."""
+    own, p = key.split(", "), prefix
+    same = " UNION ALL ".join(f"SELECT {key}, {size} AS size, min(i) - 1 - {size} AS start, max(i) AS stop FROM (SELECT {key}, i, i - row_number() OVER (PARTITION BY {key} ORDER BY i) AS island FROM (SELECT {key}, i, x = lag(x, {size}) OVER (PARTITION BY {key} ORDER BY i) AS same FROM {chars}) WHERE same) GROUP BY {key}, island HAVING count(*) >= {(n - 1) * size}" for size in sizes)
+    at = "greatest(s.start, f.at)"
+    times = f"greatest(s.stop - {at}, 0) // s.size"
+    on = " AND ".join(f"f.{k} = s.{k}" for k in own)
+    return f"""{p}st AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, size) AS n FROM ({same})),
+{p}fo AS (SELECT {key}, 0::BIGINT AS n, 0::BIGINT AS at, 0::BIGINT AS start, 1::BIGINT AS size, 0::BIGINT AS times FROM {p}st WHERE n = 1
+  UNION ALL SELECT {', '.join('s.' + k for k in own)}, s.n, CASE WHEN {times} >= {n} THEN {at} + {times} * s.size ELSE f.at END, {at}, s.size::BIGINT, CASE WHEN {times} >= {n} THEN {times} ELSE 0 END FROM {p}fo f JOIN {p}st s ON {on} AND s.n = f.n + 1),
+{p}un AS (SELECT {', '.join('f.' + k for k in own)}, f.start, f.times, string_agg(c.x, '' ORDER BY c.i) AS unit FROM {p}fo f JOIN {chars} c ON {' AND '.join(f'f.{k} = c.{k}' for k in own)} AND c.i BETWEEN f.start + 1 AND f.start + f.size WHERE f.times > 0 GROUP BY ALL),
+{p}ta AS (SELECT {key}, start, unit, times FROM {p}un WHERE regexp_matches(unit, '{kept}'))"""
+
+
+_CHARS = "{0} AS (SELECT {1}, unnest(string_split(text, '')) AS x, unnest(range(1, len(text) + 1)) AS i FROM {2})"
+_over_pages("doc_11_repeat_unit", lambda g: hygiene.repeat_unit(g, 3), f", {_CHARS.format('h', 'report_id, page_no', 'g')}, {_stretched('h', range(2, 11), 3, '^[^\n]*$')} SELECT report_id, page_no, (row_number() OVER (PARTITION BY report_id, page_no ORDER BY start) - 1)::INT AS finding_no, start, unit, times FROM ta")
+ORACLES["doc_11_repeat_unit"] = ORACLES["doc_11_repeat_unit"].replace("WITH ", "WITH RECURSIVE ", 1)
 _over_pages("doc_12_repeat_line", lambda g: hygiene.repeat_line(hygiene.lines(g), 2), """, m AS (SELECT *, trim(line, ' \t\r') AS t, sum(length(line) + 1) OVER (PARTITION BY report_id, page_no ORDER BY line_no) - length(line) - 1 AS start FROM l),
 k AS (SELECT *, line_no - row_number() OVER (PARTITION BY report_id, page_no, t ORDER BY line_no) AS island FROM m WHERE length(t) >= 3)
 SELECT report_id, page_no, min(line_no) AS line_no, min(start)::BIGINT AS start, t AS unit, count(*) AS times FROM k GROUP BY report_id, page_no, t, island HAVING count(*) >= 2""")
 
+# Ten documents are the pages of a report, whose whole text they are together.
+_BOUND = "SELECT CAST(floor(doc_id / 10.0) AS BIGINT) AS report_id, CAST(doc_id % 10 AS BIGINT) AS page_no, text FROM {documents}"
+
+
+PAGES_SQL = _PAGES.replace("{documents}", "documents")
+
+
+def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_BOUND, documents=read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damage in all documents, as pages and as whole texts of their reports."""
+    pages = bound(spark, sf_dir)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n")
+    return hygiene.damage_findings(pages.groupBy("report_id").agg(whole.alias("text")), pages, 3, 6, 2)
+
+
+def damage_sql() -> str:
+    """SQL tables that end with dm: the same findings."""
+    key = "source, report_id, page_no"
+    return f"""dg AS ({_BOUND.replace('{documents}', 'documents')}), dw AS (SELECT 'page' AS source, report_id, page_no, text FROM dg UNION ALL SELECT 'report', report_id, -1, string_agg(text, chr(10) ORDER BY page_no) FROM dg GROUP BY report_id),
+{_CHARS.format('dh', key, 'dw')}, {_stretched('dh', range(1, 2), 3, '^[^ \t\n\x0B\f\r]$', key, 'dc')}, {_stretched('dh', range(2, 11), 6, '^[^\n]*$', key, 'du')},
+dl AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM dw),
+dp AS (SELECT *, trim(line, ' \t\r') AS t, sum(length(line) + 1) OVER (PARTITION BY {key} ORDER BY line_no) - length(line) - 1 AS start FROM dl),
+dk AS (SELECT *, line_no - row_number() OVER (PARTITION BY {key}, t ORDER BY line_no) AS island FROM dp WHERE length(t) >= 3),
+da AS (SELECT {key}, 'char' AS kind, start, unit, times FROM dcta UNION ALL SELECT {key}, 'unit', start, unit, times FROM duta UNION ALL SELECT {key}, 'line', min(start)::BIGINT, t, count(*) FROM dk GROUP BY {key}, t, island HAVING count(*) >= 2),
+dm AS (SELECT report_id, CASE WHEN page_no >= 0 THEN page_no END AS page_no, source, kind, start, unit, times FROM da)"""
+
+
+QUERIES["doc_13_findings"] = damage
+ORACLES["doc_13_findings"] = f"WITH RECURSIVE {damage_sql()} SELECT * FROM dm"
+QUERIES["log_01_found_damage"] = lambda spark, sf_dir: logic.check_damage(hygiene.told_findings(damage(spark, sf_dir)))
+ORACLES["log_01_found_damage"] = f"""WITH RECURSIVE {damage_sql()},
+dn AS (SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY source = 'page', page_no, CASE kind WHEN 'char' THEN 1 WHEN 'unit' THEN 2 ELSE 3 END, start) AS line_no, coalesce('page ' || page_no || ': ', '') || 'repeated ' || kind || ' at ' || start || ', ' || times || ' times' AS detail FROM dm)
+SELECT report_id, 0 AS line_no, 'LOG-01' AS rule_id, 'warning' AS severity, count(*) || ' findings' AS detail FROM dn GROUP BY 1 UNION ALL SELECT report_id, line_no, 'LOG-01', 'warning', detail FROM dn WHERE line_no <= 5"""
+
 # Markup made of the printed numbers: a page is 20 events, two tables with a line of text before, between and after.
 _MARKUP = """
 SELECT CAST(floor(event_id / 1000.0) AS BIGINT) AS report_id, CAST(floor(event_id / 20.0) AS BIGINT) % 50 AS page_no, event_id % 20 AS n, event_type AS kind, CAST(CAST(value AS DECIMAL(18, 2)) AS STRING) AS v FROM {events}
@@ -116,7 +171,7 @@ _LABELLED = "<table><tr><td>位移-深度曲线</td></tr><tr><td>10 20 30</td></
 _HALF = "<table><tr><td>1 2 3</td></tr><tr><td>abc</td></tr></table>"
 
 
-def _charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(_MARKUP, events=read(spark, sf_dir, "events").select("event_id", "event_type", "value"))
     cell = F.concat(F.lit("<tr><td>"), "kind", F.lit("</td><td>"), "v", F.lit("</td></tr>"))
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", cell.alias("html")))), lambda x: x["html"]), "")
@@ -124,7 +179,7 @@ def _charts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _over_charts(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(_charts(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: build(charts(spark, sf_dir))
     ORACLES[name] = f"""WITH m AS ({_MARKUP.replace('{events}', 'events')}), g AS (SELECT DISTINCT report_id, page_no FROM m),
 a AS (SELECT report_id, page_no, 0 AS table_no, n::INT - min(n) OVER (PARTITION BY report_id, page_no)::INT AS row_no, kind || '|' || v AS said FROM m),
 b AS (SELECT report_id, page_no, 2 AS table_no, unnest([0, 1, 2, 3, 4]) AS row_no, unnest(['位移-深度曲线', '10 20 30', '![a](b.png)', '深度|m²&unknown;', '10 20 30']) AS said FROM g) {sql}"""

@@ -148,3 +148,44 @@ def test_result_does_not_depend_on_order_or_partitions(spark):
     c = config.base_config(x["mon_tables"], x["points"])
     rows = lambda p: sorted(map(str, calc.check_continuity(x["mon_tables"], p).unionByName(calc.check_rate(p, c)).collect()))
     assert rows(x["points"]) == rows(x["points"].orderBy(F.rand(3)).repartition(7))
+
+
+def test_repeated_units_are_those_of_a_back_reference(spark):
+    import random
+    import re
+
+    r = random.Random(5)
+    rows = []
+    for k in range(150):
+        text = ""
+        while len(text) < 120:
+            unit = "".join(r.choice("ab\né😀") for _ in range(r.randrange(1, 11)))
+            text += unit * r.choice([1, 2, 5, 6, 7, 9, 13]) + unit[: r.randrange(len(unit))] + r.choice(["", "x", "ab"])
+        rows.append((1, k, text))
+    pages = spark.createDataFrame([*rows, (1, 900, None), (1, 901, "")], "report_id long, page_no long, text string")
+    for n in (6, 11):
+        want = {(k, m.start(), m[1], len(m[0]) // len(m[1])) for _, k, text in rows for m in re.finditer(rf"(?s)(.{{2,10}}?)\1{{{n - 1},}}", text) if "\n" not in m[1]}
+        assert {(x.page_no, x.start, x.unit, x.times) for x in hygiene.repeat_unit(pages, n).collect()} == want and len(want) > 10
+    chars = {(k, m.start(), m[1], len(m[0])) for _, k, text in rows for m in re.finditer(r"(\S)\1{4,}", text)}
+    assert {(x.page_no, x.start, x.unit, x.times) for x in hygiene.repeat_char(pages, 5).collect()} == chars
+
+
+def test_damage_in_long_texts_is_found_in_linear_time(spark):
+    import time
+
+    took = []
+    for size in (100_000, 800_000):
+        df = spark.createDataFrame([(1, 1, ("abcdefghi" * 99 + "xyz") * (size // 894) + "0123" * 150)], "report_id long, page_no long, text string")
+        begin = time.time()
+        assert [(x.unit, x.times) for x in hygiene.repeat_unit(df, 100).collect()] == [("0123", 150)]
+        took.append(time.time() - begin)
+    assert took[1] < 20 * took[0] + 5
+
+
+def test_findings_of_both_sources(spark):
+    pages = spark.createDataFrame([(1, 1, "0" * 300), (1, 2, "ab" * 150), (2, 1, "fine")], "report_id long, page_no long, text string")
+    reports = spark.createDataFrame([(1, "0" * 300 + "\n" + "ab" * 150), (2, "fine\n" * 60)], "report_id long, text string")
+    found = hygiene.told_findings(hygiene.damage_findings(reports, pages))
+    got = [(x.report_id, x.finding_no, x.source, x.kind, x.page_no, x.start) for x in found.orderBy("report_id", "finding_no").collect()]
+    assert [g for g in got if g[3] != "unit"] == [(1, 1, "report", "char", None, 0), (1, 4, "page", "char", 1, 0), (2, 1, "report", "line", None, 0)]
+    assert [(x.report_id, x.line_no, x.detail) for x in logic.check_damage(found).orderBy("report_id", "line_no").collect()][0] == (1, 0, "6 findings")
