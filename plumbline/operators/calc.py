@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import date_key, date_keys
 from .config import choose_deep_interval, choose_interval
-from .issues import FORCE, TABLE, close_enough, issues, together
+from .issues import FORCE, TABLE, Rule, broken, close_enough, issues, together
+from .store import computed_once, laid_out
 
 # What a first period is called.
 FIRST_CUES = ("首测", "初测", "首次监测", "第一期", "第1期", "第 1 期", "第一次", "第1次", "第 1 次", "初始监测", "起始监测", "初始基准", "基准日")
@@ -18,23 +21,24 @@ def _configured(points: DataFrame, config: DataFrame) -> DataFrame:
     return points.join(config.select(*TABLE, "category", *_RULE), TABLE)
 
 
-def check_row_local(points: DataFrame, config: DataFrame) -> DataFrame:
-    """CAL-01, CAL-02 and CAL-10 in one pass over the points: cumulative values of forces and of displacements, and signs."""
-    rows = _configured(points, config).where("initial_value is not null and current_value is not null and cumulative_change is not null")
+def local_rules() -> list[Rule]:
+    """CAL-01, CAL-02 and CAL-10: of points with their table's unit, tolerances, reliability and severity."""
     cum, drift = F.col("cumulative_change"), F.col("current_value") - F.col("initial_value")
     scaled, force = drift * F.col("unit_conversion"), F.col("category").isin(*FORCE)
     wide = F.when(F.abs(cum) > 10, F.greatest(F.col("cumulative_tolerance"), F.abs(cum) * 0.05)).otherwise(F.col("cumulative_tolerance"))
-    reliable = F.col("initial_value_reliable")
+    full, reliable = drift.isNotNull() & cum.isNotNull(), F.col("initial_value_reliable")
     large, small = F.greatest(F.abs(scaled), F.abs(cum)), F.least(F.abs(scaled), F.abs(cum))
     opposed = (small >= 0.5) & (large / small <= 10) & ((scaled > 0) != (cum > 0))
-    found = lambda rule, where, severity, expected: F.when(where, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), expected.alias("expected")))
-    rules = F.array_compact(F.array(
-        found("CAL-01", force & reliable & ~close_enough(drift, cum, F.col("cumulative_tolerance")), F.lit("error"), drift),
-        found("CAL-02", ~force & reliable & ~close_enough(scaled, cum, wide), F.col("severity_for_cumulative"), scaled),
-        found("CAL-10", opposed, F.when(reliable, "error").otherwise("warning"), scaled),
-    ))
-    hit = rows.select(*TABLE, "row_no", "point_id", "cumulative_change", F.explode(rules).alias("x"))
-    return hit.select(*TABLE, "row_no", "point_id", F.col("x.rule").alias("rule_id"), F.col("x.severity").alias("severity"), F.col("x.expected").alias("expected_num"), F.col("cumulative_change").alias("actual_num"))
+    return [
+        Rule("CAL-01", full & force & reliable & ~close_enough(drift, cum, F.col("cumulative_tolerance")), F.lit("error"), drift, cum),
+        Rule("CAL-02", full & ~force & reliable & ~close_enough(scaled, cum, wide), F.col("severity_for_cumulative"), scaled, cum),
+        Rule("CAL-10", full & opposed, F.when(reliable, "error").otherwise("warning"), scaled, cum),
+    ]
+
+
+def check_row_local(points: DataFrame, config: DataFrame) -> DataFrame:
+    """CAL-01, CAL-02 and CAL-10 in one pass over the points: cumulative values of forces and of displacements, and signs."""
+    return broken(_configured(points, config), local_rules())
 
 
 def check_force(points: DataFrame, config: DataFrame) -> DataFrame:
@@ -55,12 +59,17 @@ def check_rate(points: DataFrame, config: DataFrame) -> DataFrame:
     known = config.where(~F.col("category").isin(*FORCE)).join(choose_interval(points, config), TABLE).join(held, TABLE)
     none = issues(known, "CAL-03", "info", None, None, F.col("chosen_days").isNull(), None, row=False)
     rows = points.join(known.where("chosen_days is not null").select(*TABLE, "rate_tolerance", "chosen_days"), TABLE)
+    return none.unionByName(broken(rows, rate_rules()))
+
+
+def rate_rules() -> list[Rule]:
+    """CAL-03: of points with their table's interval (chosen_days) and tolerance."""
     change, rate, days = F.col("current_change"), F.col("change_rate"), F.col("chosen_days")
     expected = change / days
     own = F.when(F.abs(rate) > 1e-6, F.abs(change / rate)).otherwise(0.0)
     clean = (F.rint(own) != days) & F.rint(own).between(1, 365) & (F.abs(own - F.rint(own)) <= 0.5)
     wrong = (F.abs(change) >= 1e-6) & rate.isNotNull() & ~close_enough(expected, rate, F.col("rate_tolerance"))
-    return none.unionByName(issues(rows, "CAL-03", F.when(clean, "warning").otherwise("error"), expected, rate, wrong))
+    return [Rule("CAL-03", wrong, F.when(clean, "warning").otherwise("error"), expected, rate)]
 
 
 def _depth():
@@ -69,9 +78,12 @@ def _depth():
 
 def check_deep_change(deep_points: DataFrame, config: DataFrame) -> DataFrame:
     """CAL-05: the change of a depth is the difference of its cumulative values."""
-    rows = deep_points.join(config.select(*TABLE, "cumulative_tolerance"), TABLE)
+    return broken(deep_points.join(config.select(*TABLE, "cumulative_tolerance"), TABLE), deep_change_rules(), _depth())
+
+
+def deep_change_rules() -> list[Rule]:
     expected = F.col("current_cumulative") - F.col("previous_cumulative")
-    return issues(rows, "CAL-05", "error", expected, F.col("current_change"), ~close_enough(expected, F.col("current_change"), F.col("cumulative_tolerance")), _depth())
+    return [Rule("CAL-05", ~close_enough(expected, F.col("current_change"), F.col("cumulative_tolerance")), F.lit("error"), expected, F.col("current_change"))]
 
 
 def check_deep_rate(deep_points: DataFrame, config: DataFrame) -> DataFrame:
@@ -80,25 +92,42 @@ def check_deep_rate(deep_points: DataFrame, config: DataFrame) -> DataFrame:
     known = config.join(printed, TABLE).join(choose_deep_interval(deep_points, config), TABLE)
     none = issues(known, "CAL-06", "info", None, None, F.col("chosen_days").isNull(), None, row=False)
     rows = deep_points.join(known.where("chosen_days is not null").select(*TABLE, "rate_tolerance", "chosen_days"), TABLE)
+    return none.unionByName(broken(rows, deep_rate_rules(), _depth()))
+
+
+def deep_rate_rules() -> list[Rule]:
     expected = F.coalesce("current_change", F.col("current_cumulative") - F.col("previous_cumulative")) / F.col("chosen_days")
-    return none.unionByName(issues(rows, "CAL-06", "error", expected, F.col("change_rate"), ~close_enough(F.abs(expected), F.abs("change_rate"), F.col("rate_tolerance")), _depth()))
+    return [Rule("CAL-06", ~close_enough(F.abs(expected), F.abs("change_rate"), F.col("rate_tolerance")), F.lit("error"), expected, F.col("change_rate"))]
 
 
-def check_first_period(reports: DataFrame, mon_tables: DataFrame, points: DataFrame, config: DataFrame) -> DataFrame:
-    """CAL-07: in the first period of tables without initial values, cumulative equals change, if cues or most rows say it is the baseline."""
+def first_tables(reports: DataFrame, mon_tables: DataFrame) -> DataFrame:
+    """The tables of each report's first period, and whether they say so (cue)."""
     dated = mon_tables.withColumn("day", F.get(date_keys(F.col("monitor_date")), 0)).withColumn("days", date_keys(F.col("monitor_date")))
     first = dated.select("report_id", F.explode("days").alias("d")).groupBy("report_id").agg(F.min("d").alias("earliest"))
     begin = reports.select("report_id", F.get(date_keys(F.col("monitoring_period")), 0).alias("stated")).join(first, "report_id", "left").select("report_id", F.coalesce("stated", "earliest").alias("begin"))
     text = F.concat_ws("\n", "monitor_count", "monitor_date", "monitoring_item")
-    candidates = dated.join(begin, "report_id").where("day = begin").select(*TABLE, text.rlike("|".join(FIRST_CUES)).alias("cue"))
-    rows = points.join(candidates, TABLE).join(config.select(*TABLE, "cumulative_tolerance"), TABLE)
+    return dated.join(begin, "report_id").where("day = begin").select(*TABLE, text.rlike("|".join(FIRST_CUES)).alias("cue"))
+
+
+def _first_fits() -> tuple[Column, Column]:
+    """Whether a row has a change and a cumulative value, and whether these agree."""
     change, cum = F.col("current_change"), F.col("cumulative_change")
-    fits = close_enough(change, cum, F.greatest(F.col("cumulative_tolerance"), F.lit(0.15), F.abs(cum) * 0.05))
-    both = change.isNotNull() & cum.isNotNull()
-    table = Window.partitionBy(*TABLE)
-    judged = rows.withColumns({"fits": fits, "both": both, "started": F.max(F.col("initial_value").isNotNull()).over(table), "rows": F.sum(both.cast("int")).over(table), "fitting": F.sum((both & fits).cast("int")).over(table)})
+    return change.isNotNull() & cum.isNotNull(), close_enough(change, cum, F.greatest(F.col("cumulative_tolerance"), F.lit(0.15), F.abs(cum) * 0.05))
+
+
+def first_rules() -> list[Rule]:
+    """CAL-07: of points with what is known of their table (cue, started, rows, fitting) and its tolerance."""
+    both, fits = _first_fits()
     asserted = F.col("cue") | ((F.col("rows") >= 2) & (F.col("fitting") / F.col("rows") >= 0.6))
-    return issues(judged, "CAL-07", "error", change, cum, ~F.col("started") & F.col("both") & asserted & ~F.col("fits"))
+    return [Rule("CAL-07", ~F.col("started") & both & asserted & ~fits, F.lit("error"), F.col("current_change"), F.col("cumulative_change"))]
+
+
+def check_first_period(reports: DataFrame, mon_tables: DataFrame, points: DataFrame, config: DataFrame) -> DataFrame:
+    """CAL-07: in the first period of tables without initial values, cumulative equals change, if cues or most rows say it is the baseline."""
+    rows = points.join(first_tables(reports, mon_tables), TABLE).join(config.select(*TABLE, "cumulative_tolerance"), TABLE)
+    (both, fits), table = _first_fits(), Window.partitionBy(*TABLE)
+    judged = rows.withColumns({"started": F.max(F.col("initial_value").isNotNull()).over(table), "rows": F.sum(both.cast("int")).over(table), "fitting": F.sum((both & fits).cast("int")).over(table)})
+    return broken(judged, first_rules())
 
 
 def adjacent_tables(mon_tables: DataFrame, points: DataFrame) -> DataFrame:
@@ -129,24 +158,55 @@ def check_continuity(mon_tables: DataFrame, points: DataFrame) -> DataFrame:
     return issues(met.withColumn("table_idx", F.col("later")), "CAL-08", F.when(backward, "info").otherwise("error"), F.when(backward, before - change).otherwise(before + change), cum, usable & ~forward)
 
 
+def _usual() -> tuple[Column, Column]:
+    """Of a table's changes with cumulative values, their number and the middle of their sizes."""
+    size = F.when(F.col("current_change").isNotNull() & F.col("cumulative_change").isNotNull(), F.abs("current_change"))
+    return F.count(size).alias("n"), F.percentile(size, 0.5).alias("middle")
+
+
 def check_anomaly(points: DataFrame) -> DataFrame:
     """CAL-09: changes that stand out in their table or dwarf their own cumulative value."""
-    rows = points.where("current_change is not null and cumulative_change is not null").withColumn("size", F.abs("current_change"))
-    per_table = rows.groupBy(TABLE).agg(F.count("*").alias("n"), F.percentile("size", 0.5).alias("middle"))
-    rows = rows.join(per_table, TABLE)
-    outlier = (F.col("n") >= 4) & (F.col("size") > 3 * F.greatest("middle", F.lit(0.5)))
-    dwarfs = F.col("size") > 3 * F.greatest(F.abs("cumulative_change"), F.lit(0.5))
-    return issues(rows, "CAL-09", "warning", F.col("middle"), F.col("current_change"), (F.col("size") >= 0.5) & (outlier | dwarfs))
+    return broken(points.join(points.groupBy(TABLE).agg(*_usual()), TABLE), anomaly_rules())
 
 
-def run_calculation_checks(reports: DataFrame, mon_tables: DataFrame, points: DataFrame, deep_points: DataFrame, config: DataFrame) -> DataFrame:
-    """CAL-00: force tables, tables with depths and the others each get their rules; the report-wide rules see all."""
-    deep_tables = deep_points.select(*TABLE).distinct()
-    flat = points.join(deep_tables, TABLE, "left_anti")
-    profiles = deep_points.join(config.where(~F.col("category").isin(*FORCE)).select(*TABLE), TABLE, "left_semi")
-    local = check_row_local(points, config)
-    shadowed = local.where("rule_id = 'CAL-02'").join(deep_tables, TABLE, "left_anti")
-    return together(
-        local.where("rule_id <> 'CAL-02'"), shadowed, check_rate(flat, config), check_deep_change(profiles, config), check_deep_rate(profiles, config),
-        check_first_period(reports, mon_tables, points, config), check_continuity(mon_tables, points), check_anomaly(points),
+def anomaly_rules() -> list[Rule]:
+    """CAL-09: of points with their table's n and middle."""
+    size, cum = F.abs("current_change"), F.col("cumulative_change")
+    outlier = (F.col("n") >= 4) & (size > 3 * F.greatest("middle", F.lit(0.5)))
+    dwarfs = size > 3 * F.greatest(F.abs(cum), F.lit(0.5))
+    return [Rule("CAL-09", cum.isNotNull() & (size >= 0.5) & (outlier | dwarfs), F.lit("warning"), F.col("middle"), F.col("current_change"))]
+
+
+def table_facts(reports: DataFrame, mon_tables: DataFrame, points: DataFrame, deep_points: DataFrame, config: DataFrame) -> DataFrame:
+    """One row per table of config with all that the rules ask of its rows; without exchanges where the tables are laid out by TABLE."""
+    both, fits = _first_fits()
+    held = points.join(config.select(*TABLE, "cumulative_tolerance"), TABLE).groupBy(TABLE).agg(
+        *_usual(), F.count("*").alias("flat"), F.max(F.col("initial_value").isNotNull()).alias("started"), F.sum(both.cast("int")).alias("rows"), F.sum((both & fits).cast("int")).alias("fitting"),
     )
+    deep = deep_points.groupBy(TABLE).agg(F.count("*").alias("deep"), F.count("change_rate").alias("printed"))
+    flat_days, deep_days = choose_interval(points, config).withColumnRenamed("chosen_days", "flat_days").drop("inferred"), choose_deep_interval(deep_points, config).withColumnRenamed("chosen_days", "deep_days").drop("inferred")
+    out = config.select(*TABLE, "category", *_RULE)
+    for part in (held, deep, flat_days, deep_days, first_tables(reports, mon_tables)):
+        out = out.join(part, TABLE, "left")
+    return out
+
+
+def run_calculation_checks(reports: DataFrame, mon_tables: DataFrame, points: DataFrame, deep_points: DataFrame, config: DataFrame) -> DataFrame:
+    """CAL-00: force tables, tables with depths and the others each get their rules; the report-wide rules see all.
+
+    All tables are laid out by TABLE once, with one row of facts for each table; the points and the depths are then gone over once each, by all rules that look at a row.
+    """
+    points, deep_points, config = (laid_out(df, TABLE) for df in (points, deep_points, config))
+    mon_tables = computed_once(mon_tables)
+    facts = laid_out(table_facts(reports, mon_tables, points, deep_points, config), TABLE)
+    force, profile = F.col("category").isin(*FORCE), F.col("deep").isNotNull()
+    only = lambda rules, where: [replace(r, broken=where & r.broken) for r in rules]
+    cumulative = [replace(r, broken=r.broken & ~profile) if r.name == "CAL-02" else r for r in local_rules()]
+    first, days = F.col("cue").isNotNull(), F.col("chosen_days").isNotNull()
+    rows = points.join(facts.withColumn("chosen_days", F.col("flat_days")), TABLE)
+    flat = broken(rows, [*cumulative, *only(rate_rules(), ~profile & ~force & days), *only(first_rules(), first), *anomaly_rules()])
+    depths = deep_points.join(facts.withColumn("chosen_days", F.col("deep_days")).where(~force), TABLE)
+    deep = broken(depths, [*deep_change_rules(), *only(deep_rate_rules(), (F.col("printed") > 0) & days)], _depth())
+    untimed = F.array_compact(F.array(F.when(~force & ~profile & (F.col("flat") > 0) & F.col("flat_days").isNull(), "CAL-03"), F.when(~force & (F.col("printed") > 0) & F.col("deep_days").isNull(), "CAL-06")))
+    none = issues(facts.withColumn("rule", F.explode(untimed)), F.col("rule"), "info", None, None, None, None, row=False)
+    return together(flat, deep, none, check_continuity(mon_tables, points))

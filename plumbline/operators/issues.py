@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,17 +13,36 @@ FORCE = ("ANCHOR_FORCE", "STRUT_FORCE")
 FIELDS = ["report_id", "table_idx", "row_no", "point_id", "rule_id", "severity", "expected_num", "actual_num"]
 
 
-def issues(df: DataFrame, rule: str, severity, expected, actual, where: Column | None = None, point: str | Column | None = "point_id", row: bool = True) -> DataFrame:
+def issues(df: DataFrame, rule: str | Column, severity, expected, actual, where: Column | None = None, point: str | Column | None = "point_id", row: bool = True) -> DataFrame:
     """The rows of df for which ``where`` holds, as issues of a rule."""
     as_column = lambda x, kind: (F.lit(x) if not isinstance(x, Column) else x).cast(kind)
     point = F.col(point) if isinstance(point, str) else point if point is not None else F.lit("ALL")
     df = df if where is None else df.where(where)
     return df.select(
-        "report_id", "table_idx", (F.col("row_no") if row else F.lit(None)).cast("int").alias("row_no"), point.cast("string").alias("point_id"), F.lit(rule).alias("rule_id"),
+        "report_id", "table_idx", (F.col("row_no") if row else F.lit(None)).cast("int").alias("row_no"), point.cast("string").alias("point_id"), as_column(rule, "string").alias("rule_id"),
         as_column(severity, "string").alias("severity"), as_column(expected, "double").alias("expected_num"), as_column(actual, "double").alias("actual_num"),
     )
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule over the columns of a row: its name, when it is broken, how badly, and what was expected and printed."""
+
+    name: str
+    broken: Column
+    severity: Column
+    expected: Column
+    actual: Column
+
+
+def broken(rows: DataFrame, rules: list[Rule], point: str | Column = "point_id") -> DataFrame:
+    """The issues of many rules in one pass over the rows."""
+    one = lambda r: F.when(r.broken, F.struct(F.lit(r.name).alias("rule_id"), r.severity.cast("string").alias("severity"), r.expected.cast("double").alias("expected_num"), r.actual.cast("double").alias("actual_num")))
+    named = F.col(point) if isinstance(point, str) else point
+    found = rows.select(*TABLE, F.col("row_no").cast("int").alias("row_no"), named.cast("string").alias("point_id"), F.explode(F.array_compact(F.array(*[one(r) for r in rules]))).alias("_broken"))
+    return found.select(*TABLE, "row_no", "point_id", "_broken.*")
+
+
 # What each rule is about, and what it says.
 SAYINGS = {
     "CAL-01": ("cumulative_change", "force differs from its readings"), "CAL-02": ("cumulative_change", "cumulative change differs from its readings"), "CAL-03": ("change_rate", "rate differs from change over interval"),
