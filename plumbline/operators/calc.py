@@ -56,7 +56,8 @@ def check_sign(points: DataFrame, config: DataFrame) -> DataFrame:
 def check_rate(points: DataFrame, config: DataFrame) -> DataFrame:
     """CAL-03: rate against change over the chosen interval; a row whose own interval is a clean other number is only a warning."""
     held = points.select(*TABLE).distinct()
-    known = config.where(~F.col("category").isin(*FORCE)).join(choose_interval(points, config), TABLE).join(held, TABLE)
+    config = computed_once(config.where(~F.col("category").isin(*FORCE)))
+    known = computed_once(config.join(choose_interval(points, config), TABLE).join(held, TABLE))
     none = issues(known, "CAL-03", "info", None, None, F.col("chosen_days").isNull(), None, row=False)
     rows = points.join(known.where("chosen_days is not null").select(*TABLE, "rate_tolerance", "chosen_days"), TABLE)
     return none.unionByName(broken(rows, rate_rules()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .containment import either_holds, holders
+from .store import computed_once
 
 CELL = ["sheet", "row", "col"]
 
@@ -35,8 +36,8 @@ def hits(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataFra
 
     An issue's point without what stands in brackets is a part of it, so that being equal to the cell's is a case of holding it.
     """
-    left = truth.withColumn("truth_point", _bare(F.col("point_id")))
-    said = issues.select(key, F.col("point_id").alias("issue_point"), "issue_no", F.concat_ws("", "field_name", "message").alias("said"))
+    left = computed_once(truth.select(key, "truth_no", "keyword", "error_value", "correct_value", _bare(F.col("point_id")).alias("truth_point")))
+    said = computed_once(issues.select(key, F.col("point_id").alias("issue_point"), "issue_no", F.concat_ws("", "field_name", "message").alias("said")))
     digits = lambda v: F.length(F.rtrim(F.replace(F.replace(v, F.lit("-"), F.lit("")), F.lit("."), F.lit("")), F.lit("0"))) >= 3
     shown = lambda v: F.when(digits(v), F.contains(F.col("said"), F.regexp_replace(F.regexp_replace(v, "^-", ""), r"(\.\d*?)0+$", "$1"))).otherwise(False)
     same = holders(left.where("truth_point <> ''"), said, [key], "truth_point", "issue_point")
@@ -54,19 +55,20 @@ def recall(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataF
 
 def fuzzy_match(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataFrame:
     """EVA-03: recall and precision when names and points need only contain each other."""
-    known = truth.select(key, "truth_no", F.col("point_id").alias("p"), F.col("table_name").alias("t"))
-    told = issues.select(key, "issue_no", F.col("point_id").alias("q"), F.col("table_name").alias("u"))
+    known = computed_once(truth.select(key, "truth_no", F.col("point_id").alias("p"), F.col("table_name").alias("t")))
+    told = computed_once(issues.select(key, "issue_no", F.col("point_id").alias("q"), F.col("table_name").alias("u")))
     near = known.select(key, "p", "t").distinct().join(either_holds(known, told, [key], "p", "q"), [key, "p"]).join(either_holds(known, told, [key], "t", "u"), [key, "t"])
-    near = near.join(told.select(key, "q", "u").distinct(), [key, "q", "u"])
+    near = computed_once(near.join(told.select(key, "q", "u").distinct(), [key, "q", "u"]))
     hit = known.join(near.select(key, "p", "t").distinct(), [key, "p", "t"]).groupBy(key).agg(F.countDistinct("truth_no").alias("hits"))
     right = told.join(near.select(key, "q", "u").distinct(), [key, "q", "u"]).groupBy(key).agg(F.countDistinct("issue_no").alias("right"))
     found = hit.join(right, key)
-    sizes = truth.groupBy(key).agg(F.count("*").alias("truths")).join(issues.groupBy(key).agg(F.count("*").alias("reported")), key, "full").join(found, key, "left").fillna(0)
+    sizes = known.groupBy(key).agg(F.count("*").alias("truths")).join(told.groupBy(key).agg(F.count("*").alias("reported")), key, "full").join(found, key, "left").fillna(0)
     return sizes.select(key, "truths", "reported", "hits", F.try_divide("hits", "truths").alias("recall"), F.try_divide("right", "reported").alias("precision"))
 
 
 def extra_errors(truth: DataFrame, issues: DataFrame, key: str = "report_id") -> DataFrame:
     """EVA-04: errors that are about no truth cell's point."""
     known = truth.select(F.col(key), _bare(F.col("point_id")).alias("known")).where("known <> ''")
+    issues = computed_once(issues)
     met = holders(known, issues, [key], "known", "point_id").select(key, "point_id").distinct()
     return issues.join(met, [key, "point_id"], "left_anti").select(issues.columns)

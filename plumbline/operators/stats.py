@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .issues import FORCE, TABLE, close_enough, issues, together
+from .store import computed_once
 
 TOLERANCE, RATE_TOLERANCE, HIDDEN_SHARE, LEAST_RATE = 0.15, 0.05, 0.3, 0.05
 NO_ID = ("None", "null", "N/A", "-", "/")
@@ -107,7 +108,10 @@ def check_negative_max(mon_tables, table_stats, points, deep_points) -> DataFram
 
 def check_max_rate(mon_tables, table_stats, points, deep_points) -> DataFrame:
     """STA-06 and STA-07: the fastest rate; all-negative tables may print the one nearest 0, but not hide a far larger one."""
-    rows = _joined(mon_tables, table_stats, points, deep_points)
+    return _rate_issues(_joined(mon_tables, table_stats, points, deep_points))
+
+
+def _rate_issues(rows: DataFrame) -> DataFrame:
     printed, fastest, nearest = F.col("max_rate_value"), F.col("fastest.rate"), F.col("slowest_negative.rate")
     rows = rows.where((F.col("n_rate") > 0) & printed.isNotNull() & ~_foreign(F.col("max_rate_id")))
     by_custom = F.coalesce(nearest.isNotNull() & ~F.col("some_positive") & close_enough(nearest, printed, RATE_TOLERANCE), F.lit(False))
@@ -123,8 +127,8 @@ def check_max_rate(mon_tables, table_stats, points, deep_points) -> DataFrame:
 
 def check_max_change(mon_tables, table_stats, points, deep_points) -> DataFrame:
     """STA-09: the widest change of a profile, unless STA-07 has ended the table's checks."""
-    rows = _joined(mon_tables, table_stats, points, deep_points).where("max_change_value is not null and widest is not null")
-    ended = check_max_rate(mon_tables, table_stats, points, deep_points).where("rule_id = 'STA-07'").select(*TABLE).distinct()
+    rows = computed_once(_joined(mon_tables, table_stats, points, deep_points).where("max_change_value is not null and widest is not null"))
+    ended = _rate_issues(rows).where("rule_id = 'STA-07'").select(*TABLE).distinct()
     label = F.concat(F.lit("深度"), F.col("depth").cast("string"), F.lit("m"))
     stat_id = F.col("max_change_id")
     same = deep_points.join(rows.select(*TABLE, "max_change_id", "max_change_value"), TABLE).where((stat_id != "") & ((stat_id == F.col("depth").cast("string")) | F.contains(label, stat_id)))
