@@ -57,13 +57,13 @@ _query("snk_02_guarded", lambda x: x["points"].select("report_id", "table_idx",
 
 
 def _responses(x: dict[str, DataFrame]) -> DataFrame:
-    """A response a table, written as models write them: fenced, with thinking, trailing commas, units, or cut off."""
+    """A response a table, written as models write them: fenced, with thinking, trailing commas, units, or without an object."""
     n = lambda c: F.format_string("%.2f", c)
     point = F.concat(F.lit('{"point_id": "'), "point_id", F.lit('", "cumulative_change": '), n("cumulative_change"), F.when(F.col("table_idx") % 5 == 3, "mm").otherwise(""), F.lit(', "change_rate": "'), n("change_rate"), F.lit(' mm/d"}'))
     body = _by_table(x["points"], point, ", ")
-    close = F.when(F.col("table_idx") % 5 == 1, ",]}]}").when(F.col("table_idx") % 5 == 4, "").otherwise("]}]}")
+    close = F.when(F.col("table_idx") % 5 == 1, ",]}]}").otherwise("]}]}")
     text = F.concat(F.lit('{"project_name": "'), F.when(F.col("table_idx") % 2 == 1, "P").otherwise(""), F.lit('", "tables": [{"monitoring_item": "地下水位", "points": ['), "body", close)
-    raw = F.when(F.col("table_idx") % 5 == 0, F.concat(F.lit("<think>{</think>```json\n"), text, F.lit("\n```"))).otherwise(text)
+    raw = F.when(F.col("table_idx") % 5 == 0, F.concat(F.lit("<think>{</think>```json\n"), text, F.lit("\n```"))).when(F.col("table_idx") % 5 == 4, F.concat(F.lit("no tables: "), F.translate("body", "{}", "()"))).otherwise(text)
     return body.select("report_id", F.col("table_idx").cast("int").alias("chunk_no"), raw.alias("raw"))
 
 
@@ -137,3 +137,33 @@ _query("lnd_02_repaired_names", lambda x: landing.parse_responses(_broken_respon
        """SELECT DISTINCT report_id, table_idx AS chunk_no, CASE table_idx % 3 WHEN 0 THEN 'P "5"' || chr(10) WHEN 1 THEN 'P' || chr(13) || chr(10) || 'Q' || chr(9) || '5' ELSE 'P' END AS project_name FROM p""")
 _query("lnd_02_repaired_points", lambda x: landing.land(landing.parse_responses(_broken_responses(x))[0])["points"].select("report_id", "table_idx", "row_no", "point_id", F.round("cumulative_change", 2).alias("cum")),
        "SELECT report_id, dense_rank() OVER (PARTITION BY report_id ORDER BY table_idx) - 1 AS table_idx, row_no, point_id, round(cumulative_change, 2) AS cum FROM p")
+
+
+def _cut_responses(x: dict[str, DataFrame]) -> DataFrame:
+    """A response a table that ends anywhere: after two thirds of its characters."""
+    point = F.concat(F.lit('{"point_id": "'), "point_id", F.lit('", "cumulative_change": '), F.format_string("%.2f", "cumulative_change"), F.lit(', "said": ["a}", 1mm]}'))
+    whole = F.concat(F.lit('{"project_name": "P", "tables": [{"monitoring_item": "地下水位", "points": ['), "body", F.lit("]}]}"))
+    body = _by_table(x["points"], point, ", ")
+    return body.select("report_id", F.col("table_idx").cast("int").alias("chunk_no"), F.left(whole, F.floor(F.length(whole) * 2 / 3).cast("int")).alias("raw"))
+
+
+_CUT = """, z AS (SELECT report_id, table_idx, row_no, point_id, cumulative_change, '{"point_id": "' || point_id || '", "cumulative_change": ' || printf('%.2f', cumulative_change) || ', "said": ["a}", 1mm]}' AS said FROM p),
+y AS (SELECT *, sum(len(said) + 2) OVER w - 2 AS upto, sum(len(said) + 2) OVER (PARTITION BY report_id, table_idx) - 2 AS own, len('{"project_name": "P", "tables": [{"monitoring_item": "地下水位", "points": [') AS before FROM z WINDOW w AS (PARTITION BY report_id, table_idx ORDER BY row_no)),
+c AS (SELECT *, dense_rank() OVER (PARTITION BY report_id ORDER BY table_idx) - 1 AS i FROM y) """
+_query("lnd_02_cut_points", lambda x: landing.land(landing.parse_responses(_cut_responses(x))[0])["points"].select("report_id", "table_idx", "row_no", "point_id", F.round("cumulative_change", 2).alias("cum")),
+       _CUT + "SELECT report_id, i AS table_idx, row_no, point_id, round(cumulative_change, 2) AS cum FROM c WHERE before + upto <= floor((before + own + 4) * 2 / 3)")
+
+
+def _loose_responses(x: dict[str, DataFrame]) -> DataFrame:
+    """A response a table in loose spellings of objects: names without quotes, single quotes, comments; and prose."""
+    kind = F.col("table_idx") % 4
+    name = lambda c: F.when(kind == 0, c).when(kind == 1, f"'{c}'").otherwise(f'"{c}"')
+    point = F.concat(F.lit("{"), name("point_id"), F.lit(": "), F.when(kind == 1, F.concat(F.lit("'"), "point_id", F.lit("'"))).otherwise(F.concat(F.lit('"'), "point_id", F.lit('"'))), F.lit(", "), name("cumulative_change"), F.lit(": "), F.format_string("%.2f", "cumulative_change"), F.lit("}"))
+    body = _by_table(x["points"], point, ",\n")
+    text = F.concat(F.lit("{ /* as read */ "), name("tables"), F.lit(": [{"), name("points"), F.lit(": ["), "body", F.lit("]}]}"))
+    return body.select("report_id", F.col("table_idx").cast("int").alias("chunk_no"), F.when(kind == 3, F.regexp_replace("body", r"[{}]", "")).otherwise(text).alias("raw"))
+
+
+_query("lnd_03_loose_points", lambda x: landing.land(landing.parse_responses(_loose_responses(x))[0])["points"].select("report_id", "table_idx", "row_no", "point_id", F.round("cumulative_change", 2).alias("cum")),
+       ", k AS (SELECT report_id, table_idx AS c, dense_rank() OVER (PARTITION BY report_id ORDER BY table_idx) - 1 AS i FROM (SELECT DISTINCT report_id, table_idx FROM p WHERE table_idx % 4 <> 3)) SELECT p.report_id, i AS table_idx, row_no, point_id, round(cumulative_change, 2) AS cum FROM p JOIN k ON k.report_id = p.report_id AND k.c = p.table_idx")
+_query("lnd_03_loose_quarantine", lambda x: landing.parse_responses(_loose_responses(x))[1].select("report_id", "chunk_no"), "SELECT DISTINCT report_id, table_idx AS chunk_no FROM p WHERE table_idx % 4 = 3")

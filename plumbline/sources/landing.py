@@ -77,19 +77,58 @@ def isolate_json(c: Column) -> Column:
 
 def escape_breaks(c: Column) -> Column:
     """LND-02: raw line breaks and tabs inside string literals, escaped; those between literals stay."""
-    pieces = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]++|\\[\s\S])*+"|[^"]++|"'), F.lit(0))
+    pieces = F.regexp_extract_all(c, F.lit(_PIECES), F.lit(0))
     escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
     return F.array_join(F.transform(pieces, lambda x: F.when(x.startswith('"'), escaped(x)).otherwise(x)), "")
 
 
-def repair_json(c: Column) -> Column:
-    """LND-02: breaks inside strings (first, or a missing comma would be put into them), units after numbers, doubled and trailing dots, trailing and missing commas."""
-    c = escape_breaks(c)
-    for pattern, put in ((r"(:\s*-?\d+(?:\.\d+)?)\s*(?:mm/d|mm|cm|kN|KN|kn|m)(?=\s*[,}\]])", "$1"), (r"(\d)\.\.(\d)", "$1.$2"), (r"(\d)\.(?=\s*[,}\]])", "$1"), (r",(?=\s*[}\]])", ""), (r"([}\]\"\d])\s*\n(\s*\")", "$1,\n$2"), (r"([}\]\"\d])\s{2,}(\"[A-Za-z_]+\"\s*:)", "$1, $2")):
+_PIECES = r'"(?:[^"\\]++|\\[\s\S])*+"|[^"]++|"'
+#: what is put right between string literals: units after numbers (of members and of list elements), doubled and trailing dots, trailing commas
+_BETWEEN = ((r"((?:^|[:,\[\s])-?\d+(?:\.\d*)?)\s*(?:mm/d|mm|cm|kN|KN|kn|m)(?=\s*(?:[,}\]]|$))", "$1"), (r"(\d)\.\.(\d)", "$1.$2"), (r"(\d)\.+(?=\s*(?:[,}\]]|$))", "$1"), (r",(?=\s*[}\]])", ""))
+#: and across them: missing commas
+_ACROSS = ((r"([}\]\"\d])\s*\n(\s*\")", "$1,\n$2"), (r"([}\]\"\d])\s{2,}(\"[A-Za-z_]+\"\s*:)", "$1, $2"))
+
+
+def _replaced(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, put in pairs:
         c = F.regexp_replace(c, pattern, put)
     return c
 
 
+def repair_json(c: Column) -> Column:
+    """LND-02: breaks inside strings (first, or a missing comma would be put into them), then units, dots and commas outside of them."""
+    pieces = F.regexp_extract_all(escape_breaks(c), F.lit(_PIECES), F.lit(0))
+    return _replaced(F.array_join(F.transform(pieces, lambda x: F.when(x.startswith('"'), x).otherwise(_replaced(x, _BETWEEN))), ""), _ACROSS)
+
+
+def open_json(c: Column) -> Column:
+    """What follows from the first brace of a response on, whether the object ends or not."""
+    return F.regexp_extract(F.regexp_replace(c, r"(?s)<think(?:ing)?>.*?</think(?:ing)?>", ""), r"(?s)\{.*", 0)
+
+
+def close_cut(c: Column) -> Column:
+    """LND-02: an object that is cut off, ended after its last whole object or list (where it has none, after its last whole value), and all that is open there closed.
+
+    One fold over the words of the text, with a stack of what is open; a text in which nothing is open, or nothing whole, gives null.
+    """
+    words = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]++|\\[\s\S])*+"|"[\s\S]*+|[{}\[\],:]|[^"{}\[\],:]++'), F.lit(0))
+    place = lambda at, stack: F.struct(at.alias("at"), stack.alias("open"))
+
+    def step(s: Column, w: Column) -> Column:
+        at, stack, end = s["at"], s["open"], s["at"] + F.length(w)
+        top, shut = F.right(stack, F.lit(1)), F.left(stack, F.length(stack) - 1)
+        closes = ((w == "}") & (top == "{")) | ((w == "]") & (top == "["))
+        opens, said = (w == "{") | (w == "["), w.startswith('"') & w.endswith('"') & (F.length(w) > 1) & ((top == "[") | (s["last"] == ":"))
+        now = F.when(opens, F.concat(stack, w)).when(closes, shut).otherwise(stack)
+        value = F.when(w == ",", place(at, stack)).when(said, place(end, stack)).otherwise(s["value"])
+        return F.struct(end.alias("at"), now.alias("open"), F.when(F.trim(w) == "", s["last"]).otherwise(F.left(w, F.lit(1))).alias("last"), F.when(closes, place(end, shut)).otherwise(s["whole"]).alias("whole"), value.alias("value"))
+
+    none = place(F.lit(0), F.lit(""))
+    done = F.aggregate(words, F.struct(F.lit(0).alias("at"), F.lit("").alias("open"), F.lit("").alias("last"), none.alias("whole"), none.alias("value")), step)
+    keep = F.when(done["whole"]["at"] > 0, done["whole"]).otherwise(done["value"])
+    return F.when((done["open"] != "") & (keep["at"] > 0), F.concat(F.left(c, keep["at"]), F.reverse(F.translate(keep["open"], "{[", "}]"))))
+
+
 def _texts(names: str, *more: str) -> str:
     """A struct of texts; lists are lists of texts too, so that an element that is no object spoils only itself."""
     return "struct<" + ",".join([f"{c}:string" for c in names.split()] + [f"{c}:array<string>" for c in more]) + ">"
@@ -101,6 +140,8 @@ _SUMMARY = "monitoring_item negative_max negative_max_id positive_max positive_m
 _STATISTICS = "positive_max negative_max max_rate max_change max_force min_force".split()
 _TABLE_TEXTS = "monitoring_item monitor_date monitor_count equipment_type equipment_model".split()
 HEADER = "project_name monitoring_company report_number monitoring_period monitoring_date conclusion interval_days".split()
+#: names without quotes, single quotes, comments, numbers with leading zeros, any character escaped
+LOOSE = {f"allow{x}": "true" for x in ("UnquotedFieldNames", "SingleQuotes", "Comments", "NumericLeadingZeros", "NonNumericNumbers", "BackslashEscapingAnyCharacter", "UnquotedControlChars")}
 RESPONSE = _texts(" ".join(HEADER), "tables", "thresholds", "summary_items")
 _TABLE = _texts(" ".join(_TABLE_TEXTS) + " category point_count borehole_id borehole_depth table_unit initial_value_reliable statistics", "points", "deep_points")
 
@@ -108,10 +149,14 @@ _TABLE = _texts(" ".join(_TABLE_TEXTS) + " category point_count borehole_id bore
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """LND-03: parsed responses, and those that no repair makes an object. Leaves are read as texts: a quoted number is a number too.
 
-    The parser that reads a text also says whether it can: as a map a text is null if any of it is broken, while as a struct it is one of nulls.
+    The parser that reads a text also says whether it can: as a map a text is null if any of it is broken, while as a struct it is one of nulls. A text is read
+    strictly, then repaired, then as loosely as the parser goes (``LOOSE``), and at last as one that is cut off.
     """
     raw = isolate_json(F.col("raw"))
-    body = responses.withColumn("x", F.coalesce(*[F.when(F.from_json(t, "map<string,string>").isNotNull(), F.from_json(t, RESPONSE)) for t in (raw, escape_breaks(raw), repair_json(raw))]))
+    fixed, cut = repair_json(raw), close_cut(repair_json(open_json(F.col("raw"))))
+    reading = lambda t, how: F.when(F.from_json(t, "map<string,string>", how).isNotNull(), F.from_json(t, RESPONSE, how))
+    tries = [(raw, {}), (escape_breaks(raw), {}), (fixed, {}), (raw, LOOSE), (fixed, LOOSE), (cut, {}), (cut, LOOSE)]
+    body = responses.withColumn("x", F.coalesce(*[reading(*x) for x in tries]))
     return body.where("x is not null"), body.where("x is null").drop("x")
 
 
