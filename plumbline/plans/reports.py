@@ -206,6 +206,34 @@ _query("cfg_10_plan", lambda x: plan.analysis_plan(x["points"], x["config"]), f"
 _query("rep_04_plan_groups", lambda x: review.group_plans(plan.analysis_plan(x["points"], x["config"]), ["category", "unit", "interval_source", "rules"]), f"{_PLAN} SELECT report_id, category, unit, interval_source, rules, count(*) AS tables, min(rows) AS least_rows, max(rows) AS most_rows FROM pl GROUP BY 1, 2, 3, 4, 5")
 _SIGNATURE = ["category", "unit", "filled", "interval_days", "interval_source", "reliability", "rules"]
 _query("rep_04_signatures", lambda x: review.group_plans(plan.analysis_plan(x["points"], x["config"]), _SIGNATURE), f"{_PLAN} SELECT {', '.join(_SIGNATURE)}, report_id, count(*) AS tables, min(rows) AS least_rows, max(rows) AS most_rows FROM pl GROUP BY ALL")
+
+
+def _grouped_plans(x: dict[str, DataFrame]) -> DataFrame:
+    """Plans of flat and deep tables by their whole signature, methods and notes as texts."""
+    flat = plan.verification_plan(x["mon_tables"], x["points"], x["deep_points"].limit(0), x["config"])
+    deep = plan.verification_plan(x["deep_tables"], x["points"].limit(0), x["deep_points"], x["deep_config"])
+    found = review.group_plans(flat.unionByName(deep), plan.SIGNATURE)
+    said = F.array_join(F.transform("methods", lambda m: F.concat_ws(" | ", m["name"], m["formula"], m["tolerance"], m["severity"])), "; ")
+    return found.withColumns({"methods": said, "special_notes": F.array_join("special_notes", "; ")})
+
+
+_WAYS = """, w AS (SELECT cfg.*, monitoring_item AS table_name, rows, c.inferred, c.chosen_days, cfg.category = 'ANCHOR_FORCE' AS force, coalesce(abs(c.inferred - cfg.interval_days) > 2 AND c.chosen_days = c.inferred, false) AS overruled
+  FROM cfg JOIN t USING (report_id, table_idx) JOIN ch c USING (report_id, table_idx) JOIN (SELECT report_id, table_idx, count(*) AS rows FROM p GROUP BY 1, 2) USING (report_id, table_idx)),
+v AS (SELECT *, CASE WHEN interval_days IS NULL OR overruled THEN inferred ELSE interval_days END AS days, CASE WHEN interval_days IS NOT NULL THEN 'configured' WHEN inferred IS NOT NULL THEN 'inferred' ELSE 'none' END AS source FROM w),
+fp AS (SELECT report_id, table_name, category, unit, unit_conversion, CASE WHEN unit = 'm' THEN 'heights in m' WHEN unit = 'kN' THEN 'forces in kN' ELSE 'none' END AS conversion_note, initial_value_reliable AS initial_reliable,
+  CASE WHEN force THEN 'initial forces hold' WHEN (unit = 'm' OR category IN ('SETTLEMENT', 'VERTICAL_DISP')) AND NOT initial_value_reliable THEN 'heights may have another origin' WHEN category = 'WATER_LEVEL' THEN 'levels may have another origin' WHEN NOT initial_value_reliable THEN 'another origin' ELSE 'initial values hold' END AS reliability_reason,
+  days AS interval_days, source AS interval_source,
+  CASE WHEN force THEN 'cumulative force | current - initial | ' || cumulative_tolerance || ' kN | error; statistics | largest and smallest force | 0.15 | error'
+    ELSE 'cumulative change | current - initial' || CASE WHEN unit_conversion <> 1 THEN ' times 1000' ELSE '' END || ' | ' || cumulative_tolerance || ' mm | ' || severity_for_cumulative || '; rate | change / ' || coalesce(round_even(days, 0)::INT::VARCHAR, '?') || ' days | 0.05 mm/d | error; statistics | extremes, fastest rate | 0.15 | error' END AS methods,
+  concat_ws('; ', CASE WHEN unit = 'm' AND NOT initial_value_reliable THEN 'differences of heights are warnings' END, CASE WHEN category = 'WATER_LEVEL' THEN 'tolerance of ' || cumulative_tolerance || ' mm' END, CASE WHEN source = 'inferred' THEN 'interval from the rows' END,
+    CASE WHEN unit_conversion = 1000 AND category = 'HORIZONTAL_DISP' THEN 'readings in m, changes in mm' END, CASE WHEN overruled THEN 'interval ' || interval_days::INT || ' overruled by ' || inferred::INT END) AS special_notes, rows FROM v)"""
+_DEEP_WAYS = rules._DEEP_CHOSEN.replace("iv AS", "div AS").replace("FROM iv", "FROM div").replace("inf AS", "dinf AS").replace("JOIN inf ", "JOIN dinf ").replace("sup AS", "dsup AS").replace("JOIN sup ", "JOIN dsup ").replace("ch AS", "dch AS") + """,
+dv AS (SELECT dt.*, dch.inferred, n, coalesce(abs(inferred - interval_days) > 2 AND chosen_days = inferred, false) AS overruled, CASE WHEN interval_days IS NOT NULL THEN 'configured' WHEN inferred IS NOT NULL THEN 'inferred' ELSE 'none' END AS source FROM dt JOIN dch USING (report_id, table_idx) JOIN (SELECT report_id, table_idx, count(*) AS n FROM d GROUP BY 1, 2) USING (report_id, table_idx)),
+dw AS (SELECT *, CASE WHEN interval_days IS NULL OR overruled THEN inferred ELSE interval_days END AS days FROM dv),
+dp AS (SELECT report_id, monitoring_item AS table_name, category, 'mm' AS unit, 1.0::DOUBLE AS unit_conversion, 'none' AS conversion_note, true AS initial_reliable, 'initial values hold' AS reliability_reason, days AS interval_days, source AS interval_source,
+  'change of depth | current - previous cumulative | 0.15 mm | error; rate of depth | change / ' || coalesce(round_even(days, 0)::INT::VARCHAR, '?') || ' days | 0.05 mm/d | error; statistics | extremes, widest change, fastest rate | 0.15 | error' AS methods,
+  concat_ws('; ', 'ids are not looked up in other tables', 'rates are compared without signs', CASE WHEN source = 'inferred' THEN 'interval from the rows' END, CASE WHEN overruled THEN 'interval ' || interval_days::INT || ' overruled by ' || inferred::INT END) AS special_notes, n AS rows FROM dw)"""
+_query("rep_04_methods", _grouped_plans, f"{_FLAT_CHOSEN}{_WAYS}{_DEEP_WAYS} SELECT report_id, {', '.join(plan.SIGNATURE)}, count(*) AS tables, min(rows) AS least_rows, max(rows) AS most_rows FROM (SELECT * FROM fp UNION ALL SELECT * FROM dp) GROUP BY ALL")
 _query("qua_06_deep_coverage", lambda x: quality.provenance_coverage(x["deep_points"].withColumns({"source_row_text": F.when(F.col("row_no") % 3 != 2, "row"), "source_page": F.lit(None).cast("int"), "source_field_map": F.when(F.col("row_no") % 2 == 0, F.create_map(F.lit("depth"), F.lit(1), F.lit("current_change"), F.lit(4)))}), quality.TRACED_DEEP),
        " SELECT report_id, table_idx, sum(5)::BIGINT AS numbers, sum(CASE WHEN row_no % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS mapped, CASE WHEN bool_or(row_no % 2 = 1) THEN 'change_rate, current_change, current_cumulative, depth, previous_cumulative' ELSE 'change_rate, current_cumulative, previous_cumulative' END AS unmapped FROM d WHERE row_no % 3 <> 2 GROUP BY 1, 2")
 _query("qua_08_diagnostics", lambda x: quality.diagnostics(_flags(x), x["mon_tables"].select("report_id", F.when(F.col("table_idx") % 3 == 0, 0.95).otherwise(0.5).alias("markup_ratio")), x["mon_tables"].where("table_idx % 5 = 1"), x["points"].where("row_no = 7")),
