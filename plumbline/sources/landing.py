@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.chunking import is_structured
 
@@ -61,11 +65,32 @@ def guard_text(c: Column) -> Column:
 
 
 def publish(tables: dict[str, DataFrame], path: str, max_rows: int = 900_000, kind: str = "parquet") -> None:
-    """SNK-01 and SNK-03: every table in a folder of its own, by report, in files of at most ``max_rows`` rows; texts are guarded in CSV."""
+    """SNK-01 and SNK-03: every table in a folder of its own, by report, in files of at most ``max_rows`` rows; texts are guarded in CSV.
+
+    All tables together are one version of the reports that they hold. It is added to what stands there, and ``published`` goes by the manifest, which is written
+    last: until then, and if a run breaks off, readers see the version before; reports that are not in the tables stay as they are. Rows are dealt by report before
+    they are written, so that a report is few files; Spark splits those that are large.
+    """
+    version = uuid.uuid4().hex
+    held = None
     for name, df in tables.items():
         if kind == "csv":
             df = df.select(*[guard_text(F.col(c)).alias(c) if t == "string" else c for c, t in df.dtypes])
-        df.write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy("report_id").format(kind).save(f"{path}/{name}")
+        dealt = df.withColumn("version", F.lit(version)).hint("rebalance", "report_id")
+        dealt.write.mode("append").option("maxRecordsPerFile", max_rows).partitionBy("report_id", "version").format(kind).save(f"{path}/{name}")
+        some = df.select(F.col("report_id").cast("long").alias("report_id"))
+        held = some if held is None else held.unionByName(some)
+    if held is not None:
+        told = held.distinct().select("report_id", F.lit(version).alias("version"), F.lit(time.time()).alias("published_at"))
+        told.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def published(spark: SparkSession, path: str, name: str, schema: str | StructType | None = None) -> DataFrame:
+    """A published table: of each report its latest version. ``schema``: of the table, where no version has a row of it."""
+    rows = (spark.read.schema(schema) if schema is not None else spark.read).parquet(f"{path}/{name}")
+    rows = rows.withColumn("report_id", F.col("report_id").cast("long"))
+    latest = spark.read.parquet(f"{path}/manifest").groupBy("report_id").agg(F.max(F.struct("published_at", "version")).alias("last")).select("report_id", F.col("last.version").alias("version"))
+    return rows.join(latest, ["report_id", "version"]).drop("version") if "version" in rows.columns else rows
 
 
 def isolate_json(c: Column) -> Column:
