@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .provenance import MARKER
 
 MAX_CHARS, OVERLAP, GROUP_CHARS = 18000, 500, 4500
-_TEXTS = "array<string>"
+_RUNS = "array<struct<from:int,to:int,alone:boolean>>"
 # The titles that open a table.
 NUMBER = r"\d+(?:\s*[-－—]\s*\d+){1,3}"
 TITLE = rf"(?:附表\s*{NUMBER}[^\r\n]{{0,120}}?(?:观测结果表|结果表|成果表)|【[^】\r\n]+】[^\r\n]{{0,80}}?(?:监测数据(?:成果)?|数据成果|监测成果))"
@@ -19,41 +19,67 @@ def is_structured(text: Column) -> Column:
     return text.rlike(f"(?m)^{TITLE}")
 
 
+def _cuts(state: Column, *new: Column) -> Column:
+    return F.concat(state["cuts"], F.array(*new))
+
+
 def split_long(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
-    """CHK-05: pieces of at most ``max_chars`` that overlap, cut at a newline if there is one near the end. Texts up to the limit are one piece."""
+    """CHK-05: pieces of at most ``max_chars`` that overlap, cut at a newline if there is one near the end. Texts up to the limit are one piece.
+
+    The fold looks for the places only; the pieces are taken from blocks of the text, so that none is looked for from the text's beginning.
+    """
     window = min(2000, max_chars // 3)
     size = F.length(text)
     steps = F.ceil(size / F.lit(max(1, max_chars - window - overlap))).cast("int") + 1
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0))
+
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        """What lies between two places, at most ``max_chars`` apart: in a block and the next."""
+        k = F.floor(start / max_chars).cast("int")
+        return F.substring(F.concat(F.get(blocks, k), F.coalesce(F.get(blocks, k + 1), F.lit(""))), start - k * max_chars + 1, end - start)
 
     def step(s: Column, _: Column) -> Column:
         start = s["start"]
         full = F.least(start + max_chars, size)
         low = start + max_chars - window
-        tail = F.substring(text, low + 1, full - low)
-        back = F.instr(F.reverse(tail), "\n")  # 1: the last character
+        back = F.instr(F.reverse(part(s["blocks"], low, F.greatest(full, low))), "\n")  # 1: the last character
         cut = full - back
         end = F.when((full < size) & (back > 0) & (cut > start), cut).otherwise(full)
-        piece = F.substring(text, start + 1, end - start)
-        moved = F.struct(F.greatest(end - overlap, start + 1).alias("start"), (end >= size).alias("done"), F.concat(s["parts"], F.array(piece)).alias("parts"))
+        moved = F.struct(F.greatest(end - overlap, start + 1).alias("start"), (end >= size).alias("done"), _cuts(s, F.struct(start.alias("from"), end.alias("to"))).alias("cuts"), s["blocks"].alias("blocks"))
         return F.when(s["done"], s).otherwise(moved)
 
-    begin = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast(_TEXTS).alias("parts"))
-    folded = F.aggregate(F.sequence(F.lit(1), steps), begin, step, lambda s: s["parts"])
+    begin = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<from:int,to:int>>").alias("cuts"), blocks.alias("blocks"))
+    folded = F.aggregate(F.sequence(F.lit(1), steps), begin, step, lambda s: F.transform(s["cuts"], lambda c: part(s["blocks"], c["from"], c["to"])))
     return F.when(size <= max_chars, F.array(text)).otherwise(folded)
 
 
-def pack(segments: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Segments joined greedily up to ``max_chars``; one that is longer is split on its own."""
+def _together(items: Column, max_chars: int) -> Column:
+    """Runs of neighbouring items (size, alone, family) as (from, to, alone), of one family and ``max_chars`` at most; those that stand alone are runs of their own. Numbers only are folded."""
+    last = lambda s, i: F.when(s["size"] > 0, F.array(F.struct(s["from"].alias("from"), i.alias("to"), F.lit(False).alias("alone")))).otherwise(F.array().cast(_RUNS))
+    state = lambda at, start, size, family, cuts: F.struct(at.alias("at"), start.alias("from"), size.alias("size"), family.alias("family"), cuts.alias("cuts"))
 
     def step(s: Column, x: Column) -> Column:
-        flushed = F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-        long = F.struct(F.concat(flushed, split_long(x, max_chars)).alias("done"), F.lit("").alias("now"))
-        full = F.struct(flushed.alias("done"), x.alias("now"))
-        more = F.struct(s["done"].alias("done"), F.concat(s["now"], x).alias("now"))
-        return F.when(F.length(x) > max_chars, long).when((F.length(s["now"]) + F.length(x) > max_chars) & (s["now"] != ""), full).otherwise(more)
+        i = s["at"]
+        own = F.struct(i.alias("from"), (i + 1).alias("to"), F.lit(True).alias("alone"))
+        flushed = F.concat(s["cuts"], last(s, i))
+        full = (s["size"] > 0) & ((x["family"] != s["family"]) | (s["size"] + x["size"] > max_chars))
+        alone = state(i + 1, i + 1, F.lit(0), F.lit(""), F.concat(flushed, F.array(own)))
+        return F.when(x["alone"], alone).when(full, state(i + 1, i, x["size"], x["family"], flushed)).otherwise(state(i + 1, s["from"], s["size"] + x["size"], x["family"], s["cuts"]))
+
+    begin = state(F.lit(0), F.lit(0), F.lit(0), F.lit(""), F.array().cast(_RUNS))
+    return F.aggregate(items, begin, step, lambda s: F.concat(s["cuts"], last(s, s["at"])))
 
-    begin = F.struct(F.array().cast(_TEXTS).alias("done"), F.lit("").alias("now"))
-    return F.aggregate(segments, begin, step, lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+
+def _joined(texts: Column, runs: Column, max_chars: int) -> Column:
+    """The texts of each run joined; those that stand alone are split on their own."""
+    return F.flatten(F.transform(runs, lambda r: F.when(r["alone"], split_long(F.get(texts, r["from"]), max_chars)).otherwise(F.array(F.array_join(F.slice(texts, r["from"] + 1, r["to"] - r["from"]), "")))))
+
+
+def pack(segments: Column, max_chars: int = MAX_CHARS) -> Column:
+    """Segments joined greedily up to ``max_chars``; one that is longer is split on its own. They are computed once, not for each run of them."""
+    item = lambda x: F.struct(F.length(x).alias("size"), (F.length(x) > max_chars).alias("alone"), F.lit("").alias("family"))
+    once = F.transform(F.array(segments), lambda own: F.struct(own.alias("own"), _together(F.transform(own, item), max_chars).alias("runs")))
+    return F.get(F.transform(once, lambda x: _joined(x["own"], x["runs"], max_chars)), 0)
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -87,19 +113,10 @@ def label_sections(sections: DataFrame) -> DataFrame:
 
 def pack_sections(sections: DataFrame, max_chars: int = MAX_CHARS, group_chars: int = GROUP_CHARS) -> DataFrame:
     """CHK-03: one array of chunks per report: neighbouring sections of one family together up to ``group_chars``; one that is longer than ``max_chars`` is split on its own."""
-    limit = min(max_chars, group_chars)
-
-    def step(s: Column, x: Column) -> Column:
-        flushed = F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-        state = lambda done, now, family: F.struct(done.alias("done"), now.alias("now"), family.alias("family"))
-        apart = (x["section_no"] < 0) | (F.length(x["section"]) > max_chars)
-        new = (s["now"] != "") & ((x["family"] != s["family"]) | (F.length(s["now"]) + F.length(x["section"]) > limit))
-        return F.when(~x["section"].rlike(r"\S"), s).when(apart, state(F.concat(flushed, split_long(x["section"], max_chars)), F.lit(""), F.lit(""))).when(new, state(flushed, x["section"], x["family"])).otherwise(state(s["done"], F.concat(s["now"], x["section"]), x["family"]))
-
-    begin = F.struct(F.array().cast(_TEXTS).alias("done"), F.lit("").alias("now"), F.lit("").alias("family"))
-    ordered = sections.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "section", "family"))).alias("own"))
-    packed = F.aggregate("own", begin, step, lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
-    return ordered.select("report_id", packed.alias("sections"))
+    ordered = sections.where(F.col("section").rlike(r"\S")).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "section", "family"))).alias("own"))
+    item = lambda x: F.struct(F.length(x["section"]).alias("size"), ((x["section_no"] < 0) | (F.length(x["section"]) > max_chars)).alias("alone"), x["family"].alias("family"))
+    runs = ordered.withColumns({"texts": F.transform("own", lambda x: x["section"]), "runs": _together(F.transform("own", item), min(max_chars, group_chars))})
+    return runs.select("report_id", _joined(F.col("texts"), F.col("runs"), max_chars).alias("sections"))
 
 
 def chunks(reports: DataFrame, max_chars: int = MAX_CHARS, text: str = "raw_text", group_chars: int = GROUP_CHARS) -> DataFrame:
