@@ -26,8 +26,12 @@ def _cuts(state: Column, *new: Column) -> Column:
 def split_long(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
     """CHK-05: pieces of at most ``max_chars`` that overlap, cut at a newline if there is one near the end. Texts up to the limit are one piece.
 
-    The fold looks for the places only; the pieces are taken from blocks of the text, so that none is looked for from the text's beginning.
+    The fold looks for the places only; the pieces are taken from blocks of the text, so that none is looked for from the text's beginning. The text is computed once.
     """
+    return F.get(F.transform(F.array(text), lambda t: _split_long(t, max_chars, overlap)), 0)
+
+
+def _split_long(text: Column, max_chars: int, overlap: int) -> Column:
     window = min(2000, max_chars // 3)
     size = F.length(text)
     steps = F.ceil(size / F.lit(max(1, max_chars - window - overlap))).cast("int") + 1
