@@ -132,7 +132,7 @@ KEEP = (
 )
 CHART = ("监测数据成果曲线图", "位移—深度曲线", "位移-深度曲线")
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
-# How a table, its rows and its cells are written in markup.
+# How a table, its rows and its cells are written in markup, by which results are decided.
 _TABLES, _ROWS, _CELLS = r"(?is)<table[^>]*>.*?</table>", r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
 
 
@@ -175,6 +175,7 @@ def is_axis_noise(c: Column) -> Column:
     """DOC-02: whether a text looks like the labels of a chart's axis."""
     text = F.trim(c)
     digits = F.regexp_count(text, F.lit("[0-9]"))
+    # What legends look like, and the characters of an axis.
     legend, dashed = text.rlike(r"^[-•]\s*[A-Za-z]+[0-9]+$"), (digits > 0) & (F.regexp_count(text, F.lit("-")) >= 10)
     charset = text.rlike(r"^[\d\-./年月日:~\sA-Za-z△☐○●]+$") & (digits / F.greatest(F.length(text), F.lit(1)) >= 0.35)
     return F.coalesce((text != "") & ~has_keep_marker(text) & (legend | dashed | ((digits > 0) & charset)), F.lit(False))

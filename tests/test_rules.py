@@ -108,7 +108,7 @@ def test_near_the_limit(spark):
 
 
 def test_numbers(spark):
-    cases = {"−0.5": -0.5, "１２．３": 12.3, "1,234.56": 1234.56, "23.6mm": 23.6, "累计 -23.6mm": -23.6, "1.23e-2": 0.0123, "正常": None, "--": None, "": None, "abc": None, ".5": 0.5}
+    cases = {"−0.5": -0.5, "１２．３": 12.3, "1,234.56": 1234.56, "23.6mm": 23.6, "累计 -23.6mm": -23.6, "1.23e-2": 0.0123, "正常": None, "--": None, "": None, "abc": None, ".5": 0.5, "x-.5e1y": -5.0, "+ 1,2345": 1234.0, "1234,567": 1234.0, "a..7": 0.7, "- \t 12,345.60E-1": -1234.56, "1.2.3": 1.2, "5e": 5.0, "3-4": 3.0}
     df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", text.parse_number(F.col("s")).alias("v"))
     assert {r.s: None if r.v is None else pytest.approx(r.v) for r in df.collect()} == cases
 
