@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import shared_folder
 from ..sources import landing
 from ..sources.samples import sample, sample_sql
 
@@ -167,3 +169,23 @@ def _loose_responses(x: dict[str, DataFrame]) -> DataFrame:
 _query("lnd_03_loose_points", lambda x: landing.land(landing.parse_responses(_loose_responses(x))[0])["points"].select("report_id", "table_idx", "row_no", "point_id", F.round("cumulative_change", 2).alias("cum")),
        ", k AS (SELECT report_id, table_idx AS c, dense_rank() OVER (PARTITION BY report_id ORDER BY table_idx) - 1 AS i FROM (SELECT DISTINCT report_id, table_idx FROM p WHERE table_idx % 4 <> 3)) SELECT p.report_id, i AS table_idx, row_no, point_id, round(cumulative_change, 2) AS cum FROM p JOIN k ON k.report_id = p.report_id AND k.c = p.table_idx")
 _query("lnd_03_loose_quarantine", lambda x: landing.parse_responses(_loose_responses(x))[1].select("report_id", "chunk_no"), "SELECT DISTINCT report_id, table_idx AS chunk_no FROM p WHERE table_idx % 4 = 3")
+
+
+_SAVED = "SELECT report_id, table_idx, point_id || '-' || CAST(report_id AS STRING) AS prompt_key, CASE row_no % 4 WHEN 0 THEN chr(123) || '\"table\": ' || CAST(table_idx AS STRING) || chr(125) WHEN 1 THEN 'the answer in many words ' || CAST(table_idx AS STRING) WHEN 2 THEN 'short' ELSE ' ' END AS raw, CAST(CASE WHEN table_idx % 6 = 5 THEN 0.7 ELSE 0.1 END AS DOUBLE) AS temperature, CAST(table_idx % 60 AS INT) AS moment FROM {0}"
+
+
+def _cache(x: dict[str, DataFrame]) -> DataFrame:
+    """Responses saved in two runs, the later ones first, and read from the compacted cache."""
+    spark = x["points"].sparkSession
+    said = spark.sql(_SAVED.format("{points}"), points=x["points"]).withColumn("saved_at", F.timestamp_seconds(F.col("moment")))
+    path = f"{shared_folder(spark)}/responses-{uuid.uuid4().hex}"
+    for some in ("moment >= 30", "moment < 30"):
+        landing.save_responses(said.where(some), path)
+    landing.compact_responses(spark, path, f"{path}-compact")
+    return landing.cached_responses(spark, f"{path}-compact")
+
+
+_KEPT = f", sv AS ({_SAVED.format('p')}), kp AS (SELECT * FROM sv WHERE temperature <= 0.3 AND trim(raw) <> '' AND (len(trim(raw)) >= 20 OR trim(raw)[1:1] = '{{')) "
+_query("lnd_09_merged", lambda x: _cache(x).select("prompt_key", "raw", "temperature"), _KEPT + "SELECT prompt_key, raw, temperature FROM (SELECT *, row_number() OVER (PARTITION BY prompt_key ORDER BY moment DESC, raw DESC) AS k FROM kp) WHERE k = 1")
+_query("lnd_09_hits", lambda x: landing.cache_hits(x["points"].sparkSession.sql(_SAVED.format("{points}"), points=x["points"]).drop("raw"), _cache(x)),
+       _KEPT + "SELECT report_id, count(*) AS requests, count(*) FILTER (temperature <= 0.3 AND prompt_key IN (SELECT prompt_key FROM kp)) AS hits FROM sv GROUP BY 1")

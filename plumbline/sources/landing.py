@@ -277,9 +277,44 @@ def prompt_key(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
-def uncached(prompts: DataFrame, responses: DataFrame, hottest: float = 0.3) -> DataFrame:
+HOTTEST = 0.3
+
+
+def _usable() -> Column:
+    """Whether a response is worth keeping: neither blank, nor short and not JSON."""
+    return (F.trim("raw") != "") & ((F.length(F.trim("raw")) >= 20) | F.trim("raw").startswith("{"))
+
+
+def save_responses(responses: DataFrame, path: str, hottest: float = HOTTEST) -> None:
+    """LND-09: adds responses (prompt_key, raw, temperature, saved_at) to a cache, those that are usable and not too hot. Nothing that stands there is read or changed."""
+    kept = responses.where(F.col("prompt_key").isNotNull() & _usable() & (F.col("temperature") <= hottest))
+    kept.select("prompt_key", "raw", "temperature", "saved_at").write.mode("append").parquet(path)
+
+
+CACHE = "prompt_key string, raw string, temperature double, saved_at timestamp"
+
+
+def cached_responses(spark: SparkSession, path: str) -> DataFrame:
+    """LND-09: of each key the response that was saved last (of equal times the largest text), summed map-side: a key that is saved often is no large group."""
+    latest = F.max(F.struct("saved_at", "raw", "temperature")).alias("last")
+    return spark.read.schema(CACHE).parquet(path).groupBy("prompt_key").agg(latest).select("prompt_key", "last.raw", "last.temperature", "last.saved_at")
+
+
+def compact_responses(spark: SparkSession, path: str, to: str) -> None:
+    """LND-09: the cache with one row per key, in a folder of its own: readers of the old one aren't disturbed."""
+    cached_responses(spark, path).write.parquet(to)
+
+
+def cache_hits(prompts: DataFrame, responses: DataFrame, hottest: float = HOTTEST) -> DataFrame:
+    """LND-09: per report its requests and those that a cache answers."""
+    known = responses.where(_usable()).select("prompt_key").distinct().withColumn("_hit", F.lit(True))
+    hit = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("temperature") <= hottest)
+    return prompts.join(known, "prompt_key", "left").groupBy("report_id").agg(F.count("*").alias("requests"), F.count_if(hit).alias("hits"))
+
+
+def uncached(prompts: DataFrame, responses: DataFrame, hottest: float = HOTTEST) -> DataFrame:
     """LND-09: requests without a usable response: not kept above ``hottest``, blank, or short and not JSON."""
-    usable = responses.where((F.trim("raw") != "") & ((F.length(F.trim("raw")) >= 20) | F.trim("raw").startswith("{"))).select("prompt_key").distinct()
+    usable = responses.where(_usable()).select("prompt_key").distinct()
     return prompts.join(usable.withColumn("_hit", F.lit(True)), "prompt_key", "left").where(F.col("_hit").isNull() | (F.col("temperature") > hottest)).drop("_hit")
 
 
