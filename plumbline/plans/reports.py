@@ -301,3 +301,14 @@ ORACLES["snk_01_contents"] = f"""WITH {sample_sql()}{_CONFIG}{_ALL}{_PLAN}, c AS
 cn AS (SELECT report_id, page_no, table_no, count(*) AS rows, max(width) + 1 AS cols, arg_min(head, row)[1:240] AS title FROM w GROUP BY 1, 2, 3),
 o AS (SELECT t.report_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, CASE WHEN bool_or(severity = 'error') THEN 'fail' WHEN bool_or(severity = 'warning') THEN 'review' ELSE 'pass' END AS conclusion FROM (SELECT DISTINCT report_id FROM t) t LEFT JOIN iss USING (report_id) GROUP BY 1)
 """ + " UNION ALL ".join(f"SELECT '{name}' AS name, report_id, {_line(name, 'VARCHAR')} AS line FROM " + ("(SELECT * REPLACE (CASE WHEN report_id % 3 = 0 THEN 'again' ELSE safety_status END AS safety_status) FROM p)" if name == "02_points" else source) for name, (source, _, _) in _PUBLISHED.items())
+
+
+def _as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with ids that a spreadsheet would take for formulas, published as CSV in small files and read again."""
+    folder, rows = _folder(spark), _tables(spark, sf_dir, "points")["points"]
+    landing.publish({"points": rows.select("report_id", "table_idx", "row_no", F.concat(F.lit("="), "point_id").alias("said"))}, folder, 100, "csv")
+    return spark.read.schema("table_idx long, row_no int, said string, report_id long").csv(f"{folder}/points").select("report_id", "table_idx", "row_no", "said")
+
+
+QUERIES["snk_03_csv"] = _as_csv
+ORACLES["snk_03_csv"] = f"WITH {sample_sql()} SELECT report_id, table_idx, row_no, '''=' || point_id AS said FROM p"
