@@ -16,8 +16,12 @@ Candidates are looked at in rounds, so that no group is paired with itself:
    components meet. The depth adapts to the region: one of more than ``BLOCK``
    sets is parted by longer common prefixes (``DEPTHS``) until its parts fit.
 3. Sets that such a parting kept from each other, and whose regions still hold
-   several components, are compared in full, block by block: the exact way for
-   the rest. Only links leave a task, and texts travel once to each group.
+   several components, meet where they share one of their rarest shingles: under
+   one order of all shingles, two sets of the wanted similarity always share one
+   of the first floor(n / 4) + 1 of each. The order is by counts in ``CELLS``
+   cells; it only decides how few meet, never which links there are. Keys of at
+   most ``BLOCK`` sets give candidate pairs; a larger key's sets are compared
+   block by block. Only links leave a task, and texts travel once to each group.
 
 Minhashes only choose whom to look at: a pair whose signatures agree in less
 than half is passed over (at 0.75 that happens with probability 3e-10). A link
@@ -41,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprint import SHINGLE, shingles
@@ -51,6 +55,7 @@ from .words import LOWER, binary, words_of
 HASHES, DEPTH = 128, 4
 TREES, LEADING = HASHES // DEPTH, 4
 DEPTHS, BLOCK, LIKELY = (4, 6, 8, 12, 16), 512, 0.5
+CELLS = 1 << 20
 NO_ID = 1 << 62
 _SEEDS = np.random.default_rng(8).integers(1, 1 << 63, (HASHES, 2), dtype=np.uint64)
 _ADD, _TIMES = _SEEDS[:, :1], _SEEDS[:, 1:] | np.uint64(1)
@@ -169,8 +174,8 @@ def mixed(rows: DataFrame, region: list[str]) -> DataFrame:
     return rows.join(sizes.select(*region, "held"), region)
 
 
-def _links(part: np.ndarray, n: np.ndarray, block: np.ndarray, sign: np.ndarray, packed: list[bytes]) -> Iterator[tuple[int, int]]:
-    """The links between sets of different components in a group; where it has two blocks, between these alone."""
+def _likely(part: np.ndarray, n: np.ndarray, block: np.ndarray, sign: np.ndarray) -> dict[int, np.ndarray]:
+    """For sets of a group, those after it that are of other components and may be alike; where the group has two blocks, only those of the other."""
     two, likely = block.min() != block.max(), {}
     for i in range(len(n) - 1):
         to = np.arange(i + 1, len(n))
@@ -178,11 +183,16 @@ def _links(part: np.ndarray, n: np.ndarray, block: np.ndarray, sign: np.ndarray,
         to = to[_alike(sign[to], sign[i], n[to], n[i])] if len(to) else to
         if len(to):
             likely[i] = to
+    return likely
+
+
+def _links(likely: dict[int, np.ndarray], packed: list[bytes]) -> Iterator[tuple[int, int]]:
+    """The links among what may be alike in a group."""
     wanted = np.unique(np.concatenate([np.append(to, i) for i, to in likely.items()])) if likely else np.zeros(0, np.int64)
     hashed: dict[int, np.ndarray] = {}
     for lo in range(0, len(wanted), 256):
         own = wanted[lo : lo + 256].tolist()
-        hashed.update(zip(own, _sets(pa.array([zstandard.ZstdDecompressor().decompress(packed[i]) for i in own], pa.large_binary()))))
+        hashed.update(zip(own, _sets(_unpacked([packed[i] for i in own]))))
     for i, to in likely.items():
         size = np.array([len(hashed[j]) for j in to.tolist()])
         both = np.add.reduceat(np.isin(np.concatenate([hashed[j] for j in to.tolist()]), hashed[i]), np.cumsum(size) - size)
@@ -192,16 +202,18 @@ def _links(part: np.ndarray, n: np.ndarray, block: np.ndarray, sign: np.ndarray,
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of each group of rows that lie together (a few blocks at most); whole groups are taken as they come."""
+    """The pairs of each group of rows that lie together (a few blocks at most): links where rows have texts, else candidates; whole groups are taken as they come."""
     held: list[pa.RecordBatch] = []
 
-    def links(rows: pa.Table) -> pa.RecordBatch:
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
         group, rep, part, n, block = (rows.column(c).to_numpy() for c in ("group", "rep", "component", "n", "block"))
-        sign, packed, out = _signs(rows.column("sign")), rows.column("packed"), []
+        sign, packed, out = _signs(rows.column("sign")), rows.column("packed") if "packed" in rows.column_names else None, []
         bounds = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
         for lo, hi in zip(bounds, bounds[1:]):
             own = slice(lo, hi)
-            out += [(min(rep[lo + i], rep[lo + j]), max(rep[lo + i], rep[lo + j])) for i, j in _links(part[own], n[own], block[own], sign[own], packed[own].to_pylist())]
+            likely = _likely(part[own], n[own], block[own], sign[own])
+            found = ((i, j) for i, to in likely.items() for j in to.tolist()) if packed is None else _links(likely, packed[own].to_pylist())
+            out += [(min(rep[lo + i], rep[lo + j]), max(rep[lo + i], rep[lo + j])) for i, j in found]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
@@ -210,11 +222,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
             full = int(np.searchsorted(rows.column("group").to_numpy(), rows.column("group")[-1].as_py()))
             if full:
-                yield links(rows.slice(0, full))
+                yield pairs(rows.slice(0, full))
             held = rows.slice(full).to_batches()
     rows = [b for b in held if b.num_rows]
     if rows:
-        yield links(pa.Table.from_batches(rows))
+        yield pairs(pa.Table.from_batches(rows))
+
+
+def likely_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the candidate pairs in groups of rows (group, block, rep, component), by sizes and signatures alone."""
+    ordered = groups.join(nodes.select("rep", "sign", "n"), "rep").repartition("group").sortWithinPartitions("group")
+    return ordered.select("group", "block", "rep", "component", "n", "sign").mapInArrow(_meet, "a long, b long").distinct()
 
 
 def met(groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -239,15 +257,59 @@ def deepened(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, large.select(*REGION, "rep")
 
 
-def families(large: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The groups of round 3: of the sets whose regions were parted and are still mixed, those that regions connect, block by block.
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): how many sets of this task have a shingle in each cell that any has."""
+    seen = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            for own in _sets(_unpacked(batch.column(2).slice(lo, 256).to_pylist())):
+                np.add.at(seen, _cell(own), 1)
+    cell = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell])], ["cell", "n"])
+
+
+def _cell(own: np.ndarray) -> np.ndarray:
+    return (own % np.uint64(CELLS)).astype(np.int64)
+
+
+def _rarest(seen):
+    """(rep, component, key): the floor(n / 4) + 1 rarest shingles of each set; among those of equal counts, the smallest hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, keys = batch.slice(lo, 256), []
+                for own in _sets(_unpacked(part.column(2).to_pylist())):
+                    keys.append(own[np.lexsort((own, seen.value[_cell(own)]))[: len(own) // 4 + 1]].view(np.int64))
+                which = np.repeat(np.arange(part.num_rows), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), part.column(1).take(pa.array(which)), pa.array(np.concatenate(keys))], ["rep", "component", "key"])
+
+    return run
+
+
+def sharing(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, component, key, held): the sets of ``left`` (rep, component) under those of their rarest shingles that several components have.
+
+    The order of shingles is by their counts in cells, ``CELLS`` numbers whatever the input is; any order that all sets share loses no link. Of keys that the very
+    same sets have, one is kept: members are told apart by their number and two xors of hashes.
+    """
+    packed = checkpointed(left.join(_texts(docs, left).mapInArrow(_pack, "rep long, packed binary"), "rep").select("rep", "component", "packed"))
+    told = packed.mapInArrow(_tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(CELLS, np.int64)
+    seen[told.column("cell").to_numpy()] = told.column("n").to_numpy()
+    shared = settled(mixed(packed.mapInArrow(_rarest(left.sparkSession.sparkContext.broadcast(seen)), "rep long, component long, key long"), ["key"]))
+    members = shared.groupBy("key", "held").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit("rep"), "rep")).alias("y"))
+    return settled(shared.join(small_side(members.groupBy("held", "x", "y").agg(F.min("key").alias("key")).select("key")), "key"))
+
+
+def families(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Groups of two blocks for the sets (rep, component, key) of keys that more than BLOCK sets share: those that such keys connect are a family.
 
     Only sets of sizes within a factor 4/3 can be alike, so a family is cut into overlapping bands of sizes first. A band of R sets has
-    R * R / BLOCK / BLOCK / 2 groups of two blocks: what is left for this round is compared in full.
+    R * R / BLOCK / BLOCK / 2 groups: what shares a common shingle even among its rarest is compared in full.
     """
-    left = settled(mixed(_named(large, components, "rep", "component"), REGION))
-    first = left.withColumn("a", F.min("rep").over(Window.partitionBy(*REGION))).select("a", F.col("rep").alias("b"))
-    family = _named(left.select("rep", "component").distinct(), connected(first), "rep", "family")
+    first = hot.join(small_side(hot.groupBy("key").agg(F.min("rep").alias("a"))), "key").select("a", F.col("rep").alias("b")).distinct()
+    family = _named(hot.select("rep", "component").distinct(), connected(first), "rep", "family")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
     banded = settled(family.join(nodes.select("rep", "n"), "rep").select("rep", "component", "family", F.explode(F.array(step, step + 1)).alias("band")))
     sized = mixed(banded, ["family", "band"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
@@ -255,6 +317,29 @@ def families(large: DataFrame, components: DataFrame, nodes: DataFrame) -> DataF
     return dealt.select(F.xxhash64("family", "band", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "block", "rep", "component")
 
 
+def rest(large: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links of round 3 among the sets of regions (tree, prefix, rep) that were parted and are still mixed.
+
+    Candidate pairs come from the keys of few sets. Where those that pairs connect are at most BLOCK, they meet as one group, so that a text travels once; pairs of
+    larger clusters are confirmed one by one. Sets of hot keys meet in blocks.
+    """
+    left = settled(mixed(_named(large, components, "rep", "component"), REGION).select("rep", "component").distinct())
+    shared = sharing(left, docs)
+    hot = shared.where(F.col("held") > BLOCK).select("rep", "component", "key")
+    pairs = settled(likely_pairs(shared.where(F.col("held") <= BLOCK).select(F.col("key").alias("group"), F.lit(0).alias("block"), "rep", "component"), nodes))
+    cluster = connected(pairs).withColumnRenamed("component", "cluster")
+    wide = cluster.groupBy("cluster").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
+    wide = small_side(cluster.join(wide.select("cluster"), "cluster").select("rep"))
+    groups = cluster.join(wide, "rep", "left_anti").join(left, "rep").select(F.xxhash64("cluster").alias("group"), F.lit(0).alias("block"), "rep", "component")
+    if hot.limit(1).count():
+        groups = groups.unionByName(families(hot, nodes))
+    return met(settled(groups), nodes, docs).unionByName(confirmed(settled(pairs.join(wide.select(F.col("rep").alias("a")), "a", "left_semi").select("a", "b")), docs))
+
+
+def _unpacked(packed: list[bytes]) -> pa.Array:
+    return pa.array([zstandard.ZstdDecompressor().decompress(x) for x in packed], pa.large_binary())
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, packed): lower-cased texts, words parted by single spaces, as they travel."""
     press = zstandard.ZstdCompressor(level=3).compress
@@ -337,7 +422,7 @@ def _rows(docs: DataFrame) -> DataFrame:
         links = links.unionByName(more)
         components = connected(links)
     if large.limit(1).count():
-        components = connected(links.unionByName(met(settled(families(large, components, nodes)), nodes, docs)))
+        components = connected(links.unionByName(settled(rest(large, components, nodes, docs))))
 
     told = _named(owned, components, "rep", "component").groupBy("node").agg(F.min("component").alias("component"))
     return rows.drop("sign").join(told, "node", "left").withColumn("component", F.coalesce("component", "node"))
