@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from html.entities import name2codepoint
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,64 +50,78 @@ def text_quality(pages: DataFrame, markers: tuple[str, ...], least_chars: float
     return sums.withColumn("good", (F.col("chars") / F.col("pages") >= least_chars) & (F.col("markers") >= least_markers))
 
 
-def _may_repeat(text: Column, size: int, n: int, block: int) -> Column:
-    """Whether a text may hold n equal units of ``size`` characters in a row: such a stretch covers a whole block of the text, which then has this period."""
-    return F.exists(F.regexp_extract_all(text, F.lit(f"(?s).{{{block}}}"), F.lit(0)), lambda x: F.substring(x, size + 1, block - size) == F.substring(x, 1, block - size))
+Finding = tuple[str, int, str, int]
 
 
-def _stretches(chars: Column, size: int, n: int) -> Column:
-    """The longest stretches, of n units and more, whose characters equal those ``size`` before: from, to (exclusive) and size."""
-    end = F.size(chars)
-    ends = F.filter(F.when(end > size, F.sequence(F.lit(size), end - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(chars, i) != F.get(chars, i - size))
-    between = F.zip_with(F.concat(F.array(F.lit(size - 1)), ends), F.concat(ends, F.array(end)), lambda a, b: F.struct((a + 1 - size).alias("start"), b.alias("stop"), F.lit(size).alias("size")))
-    return F.filter(between, lambda x: x["stop"] - x["start"] >= n * size)
+def _taken(kind: str, text: str, sizes: tuple[int, ...], n: int) -> Iterator[Finding]:
+    """Stretches of n equal units of one of the sizes and more: where they start, the unit, and how often it comes.
 
+    A stretch of a size is where characters equal those ``size`` behind. Stretches are taken in the order of their starts, of equal ones the shortest unit first,
+    each from where the one before has ended, in whole units. For n of 6 and more this is what a pattern with a back-reference finds (of several stretches at a
+    place, one lies in the other), but linear in the text.
+    """
+    chars, found, at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), [], 0
+    for size in (x for x in sizes if n * x <= len(chars)):
+        ends = np.concatenate(([-1], np.flatnonzero(chars[size:] != chars[:-size]), [len(chars) - size]))
+        found += [(int(ends[k]) + 1, size, int(ends[k + 1]) + size) for k in np.flatnonzero(np.diff(ends) > (n - 1) * size)]
+    for start, size, stop in sorted(found):
+        start = max(start, at)
+        times = max(stop - start, 0) // size
+        if times >= n:
+            at = start + times * size
+            yield kind, start, chars[start : start + size].tobytes().decode("utf-32-le", "surrogatepass"), times
 
-def _runs(pages: DataFrame, sizes: tuple[int, ...], n: int, kept: str) -> DataFrame:
-    """Stretches of n equal units of one of the sizes and more: where they start, the unit, and how often it comes. ``kept``: pattern of the units that count.
 
-    Stretches are taken in the order of their starts, of equal ones the shortest unit first, each from where the one before has ended, in whole units. For n of 6
-    and more this is what a pattern with a back-reference finds (of several stretches at a place, one lies in the other), but linear in the text. Texts without a
-    block of the right period are passed over.
-    """
-    text, one = F.col("text"), (n * min(sizes) + 1) // 2
-    block = {size: one if one > max(sizes) else (n * size + 1) // 2 for size in sizes}
-    for size in sizes:
-        pages = pages.withColumn(f"_may_{size}", F.coalesce(_may_repeat(text, size, n, block[size]), F.lit(False)))
-    damaged = pages.where(F.greatest(*[F.col(f"_may_{size}") for size in sizes], F.lit(False))).withColumn("_chars", F.split("text", ""))
-    none = F.array().cast("array<struct<start:int,stop:int,size:int>>")
-    found = damaged.withColumn("_found", F.flatten(F.array(*[F.when(F.col(f"_may_{size}"), _stretches(F.col("_chars"), size, n)).otherwise(none) for size in sizes])))
-
-    def take(state: Column, x: Column) -> Column:
-        start = F.greatest(x["col1"], state["at"])
-        times = F.floor(F.greatest(x["col3"] - start, F.lit(0)) / x["col2"]).cast("int")
-        one = F.struct(start.alias("start"), x["col2"].alias("size"), times.alias("times"))
-        return F.when(times >= n, F.struct((start + times * x["col2"]).alias("at"), F.concat(state["taken"], F.array(one)).alias("taken"))).otherwise(state)
-
-    ordered = F.sort_array(F.transform("_found", lambda x: F.struct(x["start"].alias("col1"), x["size"].alias("col2"), x["stop"].alias("col3"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int,times:int>>").alias("taken"))
-    taken = F.aggregate(ordered, begin, take)["taken"]
-    units = F.transform(taken, lambda x: F.struct(x["start"].cast("long").alias("start"), F.array_join(F.slice(F.col("_chars"), x["start"] + 1, x["size"]), "").alias("unit"), x["times"].cast("long").alias("times")))
-    told = found.select(*PAGE, F.posexplode(F.filter(units, lambda x: x["unit"].rlike(kept))).alias("finding_no", "x"))
-    return told.select(*PAGE, "finding_no", "x.*")
+def _char_runs(text: str, n: int) -> Iterator[Finding]:
+    return (x for x in _taken("char", text, (1,), n) if x[2] not in " \t\n\x0b\f\r")
+
+
+def _unit_runs(text: str, n: int) -> Iterator[Finding]:
+    return (x for x in _taken("unit", text, tuple(range(2, 11)), n) if "\n" not in x[2])
+
+
+def _line_runs(text: str, n: int) -> Iterator[Finding]:
+    """The same trimmed line of three characters and more, n times in a row and more, as ``repeat_line`` has it."""
+    start = 0
+    for unit, same in groupby(text.split("\n"), lambda line: line.strip(_BLANKS)):
+        sizes = [len(line) + 1 for line in same]
+        if len(sizes) >= n and len(unit) >= 3:
+            yield "line", start, unit, len(sizes)
+        start += sum(sizes)
+
+
+def _found(texts: DataFrame, *searches: tuple[Callable[[str, int], Iterator[Finding]], int]) -> DataFrame:
+    """What the searches find in each text (of PAGE), numbered in the text: one pass, without an exchange."""
+    own = texts.select(*PAGE, "text")
+    names = ("kind", "finding_no", "start", "unit", "times")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, no, *x) for i, text in enumerate(batch.column("text")) if text.is_valid for no, x in enumerate(x for search, n in searches for x in search(text.as_py(), n))]
+            at, no, kind, start, unit, times = zip(*rows) if rows else ((),) * 6
+            keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in PAGE]
+            found = [pa.array(kind, pa.string()), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(unit, pa.string()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays(keys + found, names=[*PAGE, *names])
+
+    keys = ", ".join(f"{c} {t}" for c, t in own.drop("text").dtypes)
+    return own.mapInArrow(find, f"{keys}, kind string, finding_no int, start long, unit string, times long")
 
 
 def repeat_char(pages: DataFrame, n: int = 200) -> DataFrame:
     """DOC-10: the same non-space character n times in a row and more."""
-    return _runs(pages, (1,), n, r"\A\S\z")
+    return _found(pages, (_char_runs, n)).drop("kind")
 
 
 def repeat_unit(pages: DataFrame, n: int = 100) -> DataFrame:
     """DOC-11: a unit of two to ten characters, none of them a newline, n times in a row and more."""
-    return _runs(pages, tuple(range(2, 11)), n, r"\A[^\n]*\z")
+    return _found(pages, (_unit_runs, n)).drop("kind")
 
 
 def damage_findings(reports: DataFrame, pages: DataFrame, chars: int = 200, units: int = 100, repeats: int = 50) -> DataFrame:
     """DOC-13: all three kinds of damage in the whole texts of reports (report_id, text; page null) and in each page, kept apart: what both see counts twice."""
     def of(texts: DataFrame, source: str) -> DataFrame:
-        kinds = {"char": repeat_char(texts, chars).drop("finding_no"), "unit": repeat_unit(texts, units).drop("finding_no"), "line": repeat_line(lines(texts), repeats).drop("line_no")}
-        rows = [df.select(*PAGE, F.lit(source).alias("source"), F.lit(kind).alias("kind"), "start", "unit", "times") for kind, df in kinds.items()]
-        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        found = _found(texts, (_char_runs, chars), (_unit_runs, units), (_line_runs, repeats))
+        return found.select(*PAGE, F.lit(source).alias("source"), "kind", "start", "unit", "times")
 
     return of(reports.select("report_id", F.lit(None).cast("long").alias("page_no"), "text"), "report").unionByName(of(pages.select(*PAGE, "text"), "page"))
 
