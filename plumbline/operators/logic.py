@@ -109,9 +109,10 @@ def check_point_count(mon_tables: DataFrame, points: DataFrame, deep_points: Dat
 def check_damage(findings: DataFrame, most: int = 5) -> DataFrame:
     """LOG-01: one warning for a damaged report, and its first findings."""
     rank = F.row_number().over(Window.partitionBy("report_id").orderBy("finding_no"))
-    head = findings.groupBy("report_id").agg(F.count("*").alias("n")).select("report_id", F.lit(0).alias("line_no"), F.lit("LOG-01").alias("rule_id"), F.lit("warning").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" findings")).alias("detail"))
-    first = findings.withColumn("line_no", rank).where(F.col("line_no") <= most).select("report_id", "line_no", F.lit("LOG-01").alias("rule_id"), F.lit("warning").alias("severity"), "detail")
-    return head.unionByName(first)
+    ranked = findings.withColumns({"line_no": rank, "n": F.count("*").over(Window.partitionBy("report_id"))}).where((F.col("line_no") == 1) | (F.col("line_no") <= most))
+    line = lambda no, detail: F.struct(no.alias("line_no"), detail.alias("detail"))
+    head, own = F.when(F.col("line_no") == 1, line(F.lit(0), F.concat(F.col("n").cast("string"), F.lit(" findings")))), F.when(F.col("line_no") <= most, line(F.col("line_no"), F.col("detail")))
+    return ranked.select("report_id", F.inline(F.array_compact(F.array(head, own)))).select("report_id", "line_no", F.lit("LOG-01").alias("rule_id"), F.lit("warning").alias("severity"), "detail")
 
 
 def check_extractable(reports: DataFrame, mon_tables: DataFrame) -> DataFrame:
