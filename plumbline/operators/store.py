@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -12,6 +13,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often they are used behind it: Spark copies expressions into filters and other columns, but not through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def computed_once(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a checkpoint in the shared folder."""
     spark = df.sparkSession
