@@ -16,8 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(name: str, build: Callable[[dict[str, DataFrame]], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(sample(spark, sf_dir))
+def _query(name: str, build: Callable[[dict[str, DataFrame]], DataFrame], sql: str | None = None, kept: tuple[str, ...] = ()) -> None:
+    """``kept``: sample tables that the query goes over many times."""
+    QUERIES[name] = lambda spark, sf_dir: build(sample(spark, sf_dir, *kept))
     if sql is not None:
         ORACLES[name] = f"WITH {sample_sql()} {sql}"
 
@@ -113,11 +114,11 @@ _said = ", ".join(f"coalesce({c}, '') AS {c}" if c.endswith("_id") else c for c
 
 
 def _landed(name: str, sql: str) -> None:
-    _query(f"lnd_04_{name}", lambda x: landing.land(landing.parse_responses(_whole_responses(x))[0])[name], _CHUNKS + sql)
+    _query(f"lnd_04_{name}", lambda x: landing.land(landing.parse_responses(_whole_responses(x))[0])[name], _CHUNKS + sql, ("points", "deep_points"))
 
 
 _query("lnd_06_fields", lambda x: landing.merge_header(landing.parse_responses(_whole_responses(x))[0]), _CHUNKS + """SELECT report_id, '' AS project_name, '' AS monitoring_company, coalesce('N' || min(chunk) FILTER (own % 3 = 1), '') AS report_number, '' AS monitoring_period,
-  coalesce(arg_min(monitor_date, chunk) FILTER (own % 4 = 2), '') AS monitoring_date, '' AS conclusion, '7d' AS interval_days FROM i GROUP BY 1""")
+  coalesce(arg_min(monitor_date, chunk) FILTER (own % 4 = 2), '') AS monitoring_date, '' AS conclusion, '7d' AS interval_days FROM i GROUP BY 1""", ("points", "deep_points"))
 _landed("mon_tables", "SELECT report_id, idx AS table_idx, monitoring_item, category, monitor_date, monitor_count, '' AS equipment_type, '' AS equipment_model, point_count, borehole_id, NULL::DOUBLE AS borehole_depth, table_unit, own % 3 <> 0 AS initial_value_reliable, 7.0::DOUBLE AS interval_days FROM i")
 _landed("points", "SELECT i.report_id, idx AS table_idx, row_no, point_id, initial_value, NULL::DOUBLE AS previous_value, current_value, current_change, cumulative_change, change_rate, safety_status FROM i JOIN p ON p.report_id = i.report_id AND p.table_idx = i.chunk")
 _landed("deep_points", "SELECT i.report_id, idx AS table_idx, row_number() OVER (PARTITION BY i.report_id, idx ORDER BY row_no) - 1 AS row_no, depth, previous_cumulative, current_cumulative, current_change, change_rate FROM i JOIN d ON d.report_id = i.report_id AND 100000 + d.table_idx = i.chunk WHERE row_no % 5 <> 4")
