@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import computed_once
+from .store import computed_once, let, worked_out
 
 SCAN = 60
 CHUNK = ["report_id", "chunk_no"]
@@ -73,27 +73,23 @@ def _field(cell: Column, names: dict[str, tuple[str, ...]], test) -> Column:
 def header_columns(cells: Column) -> Column:
     """Field to column (from 1) of a line's cells; a field's first column counts, and a cell names the first field whose name it holds and that is not named yet."""
     bare = F.transform(cells, lambda x: F.regexp_replace(x, r"\s+", ""))
+    holds = lambda bare: F.transform(bare, lambda x: F.struct(*[x.rlike("|".join(aliases)).alias(field) for field, aliases in HEADERS.items()]))
 
-    def says(words: str) -> Column:
-        return F.transform(bare, lambda x: x.rlike(words))
+    def put(done: Column, x: Column) -> Column:
+        new = F.coalesce(*[F.when(x["says"][field] & ~F.map_contains_key(done, F.lit(field)), F.lit(field)) for field in HEADERS], F.lit(""))
+        return F.when(new == "", done).otherwise(F.map_concat(done, F.create_map(new, x["at"])))
 
-    holds = [(field, says("|".join(aliases))) for field, aliases in HEADERS.items()]
-    entry = lambda i: F.struct(*[F.coalesce(F.get(own, i), F.lit(False)).alias(field) for field, own in holds])
-
-    def put(done: Column, i: Column) -> Column:
-        x = entry(i)
-        new = F.coalesce(*[F.when(x[field] & ~F.map_contains_key(done, F.lit(field)), F.lit(field)) for field in HEADERS], F.lit(""))
-        return F.when(new == "", done).otherwise(F.map_concat(done, F.create_map(new, i + 1)))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(cells)), F.create_map().cast("map<string,int>"), put)
+    none = F.create_map().cast("map<string,int>")
+    named = lambda bare: F.aggregate(F.transform(holds(bare), lambda x, i: F.struct(x.alias("says"), (i + 1).alias("at"))), none, put)
+    return let(bare, lambda bare: F.when(F.array_join(bare, " ").rlike("|".join(w for aliases in HEADERS.values() for w in aliases)), named(bare)).otherwise(none))
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
     """PRV-03 and what lies above each line of (report_id, chunk_no, line_no, text): page, markers so far, the nearest dates and labels; and the line's cells, header columns and metrics."""
     chunk = Window.partitionBy(*CHUNK).orderBy("line_no")
-    so_far, above = chunk.rowsBetween(Window.unboundedPreceding, 0), chunk.rowsBetween(-SCAN, -1)
+    so_far, above = chunk.rowsBetween(Window.unboundedPreceding, 0), chunk.rowsBetween(Window.unboundedPreceding, -1)
     text = F.trim("text")
-    marks = lines.withColumns({"text": text, "page": F.regexp_extract("text", MARKER, 1).try_cast("int"), "cells": cells_of(F.col("text"))})
+    marks = worked_out(lines.withColumn("text", text), page=F.regexp_extract("text", MARKER, 1).try_cast("int"), cells=cells_of(F.col("text")))
     plain = F.col("page").isNull()
     dates = F.transform(F.regexp_extract_all("text", F.lit(DATE), F.lit(0)), day)
     metric = F.filter(F.transform("cells", lambda x: _field(x, METRICS, lambda bare, names: bare.isin(*names))), lambda x: x.isNotNull())
@@ -104,9 +100,9 @@ def read_lines(lines: DataFrame) -> DataFrame:
     })
 
     def nearest(test: Column, value: Column) -> Column:
-        """What the nearest line above that passes has; null if two page borders lie between."""
-        found = F.last(F.when(test, F.struct("marks", value.alias("value"))), ignorenulls=True).over(above)
-        return F.when(F.col("marks") - found["marks"] <= 1, found["value"])
+        """What the nearest line above that passes has; null if it is more than SCAN lines away or two page borders lie between."""
+        found = F.last(F.when(test, F.struct("marks", "place", value.alias("value"))), ignorenulls=True).over(above)
+        return F.when((F.col("place") - found["place"] <= SCAN) & (F.col("marks") - found["marks"] <= 1), found["value"])
 
     seen = {name: F.coalesce(nearest(F.col(f"says_{name}"), F.lit(True)), F.lit(False)) for name in ("point", "status", "initial", "axes")}
     return own.withColumns({"near_dates": nearest(F.size("dates") > 0, F.col("dates")), **{f"near_{k}": v for k, v in seen.items()}}).drop(*[f"says_{k}" for k in seen])
@@ -125,6 +121,11 @@ def value_tokens(v: Column) -> Column:
     return F.when(v.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(v.cast("string"), _shortest(v), F.format_string("%.1f", v), F.format_string("%.2f", v))))
 
 
+def printed(*values: str) -> Column:
+    """The different ways in which a row's numbers may be printed."""
+    return F.array_distinct(F.flatten(F.array(*[value_tokens(F.col(c)) for c in values])))
+
+
 def candidate_lines(points: DataFrame, read: DataFrame) -> DataFrame:
     """PRV-01: the lines of a point's chunk that hold its id with no letter, digit, ``_`` or ``-`` on either side, whatever the case.
 
@@ -133,7 +134,10 @@ def candidate_lines(points: DataFrame, read: DataFrame) -> DataFrame:
     key = F.upper(F.regexp_extract("point_id", f"{_WORD}+", 0))
     wanted = points.where(F.trim("point_id") != "").withColumn("token", key)
     words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.upper("text"), F.lit(f"{_WORD}+"), F.lit(0))))
-    lines = read.select(*CHUNK, "line_no", "text", "source_page", "cells", "marks", "place", *[c for c in read.columns if c.startswith("near_")], F.explode(words).alias("token"))
+    # only words that an id of the chunk begins with: few of a line's, found before its columns travel
+    asked = wanted.groupBy(*CHUNK).agg(F.collect_set("token").alias("asked"))
+    told = read.join(asked, CHUNK).select(*CHUNK, "line_no", "text", "source_page", "cells", "marks", "place", *[c for c in read.columns if c.startswith("near_")], F.array_intersect(words, "asked").alias("tokens"))
+    lines = told.withColumn("token", F.explode("tokens")).drop("tokens")
     whole = F.rlike("text", F.concat(F.lit(rf"(?i)(?<!{_WORD})\Q"), F.trim("point_id"), F.lit(rf"\E(?!{_WORD})")))
     return wanted.join(lines, [*CHUNK, "token"]).where((F.upper(F.trim("point_id")) == F.col("token")) | whole).drop("token")
 
@@ -141,7 +145,7 @@ def candidate_lines(points: DataFrame, read: DataFrame) -> DataFrame:
 def best_line(candidates: DataFrame, values: tuple[str, ...] = VALUES) -> DataFrame:
     """PRV-02: of a point's lines the one under its date, then with most of its numbers, then in a barred row, then the earliest."""
     have = [c for c in values if c in candidates.columns]
-    tokens = F.array_distinct(F.flatten(F.array(*[value_tokens(F.col(c)) for c in have])))
+    tokens = F.col("_tokens") if "_tokens" in candidates.columns else printed(*have)
     due = day(F.coalesce("monitor_date", F.lit("")))
     score = F.struct(
         F.coalesce((due != "") & F.array_contains("near_dates", due), F.lit(False)).alias("dated"), F.size(F.filter(tokens, lambda t: F.contains("text", t))).alias("values"),
@@ -195,22 +199,22 @@ def wide_columns(rows: DataFrame, read: DataFrame) -> DataFrame:
 
 def field_map(rows: DataFrame, values: tuple[str, ...] = VALUES) -> Column:
     """PRV-07: field to column of rows with their cells, values, ``header`` and ``wide``: the column that these name, if its cell is the value; else the only cell that is."""
-    numbers = F.transform("cells", lambda x: F.when(x.rlike(_NUMBER), x.try_cast("double")))
+    own_numbers = F.transform("cells", lambda x: F.when(x.rlike(_NUMBER), x.try_cast("double")))
 
-    def entry(field: str) -> Column:
+    def entry(field: str, numbers: Column) -> Column:
         same = lambda x: F.coalesce(F.abs(x - F.col(field)) <= 1e-9, F.lit(False))
         named = F.coalesce(F.try_element_at("wide", F.lit(field)), F.try_element_at("header", F.lit(field)))
         own = F.filter(F.transform(numbers, lambda x, i: F.when(same(x), i + 1)), lambda i: i.isNotNull())
         column = F.when(same(F.get(numbers, named - 1)), named).when(F.size(own) == 1, F.get(own, 0))
         return F.struct(F.lit(field).alias("field"), column.alias("column"))
 
-    return F.map_from_entries(F.filter(F.array(*[entry(c) for c in values if c in rows.columns]), lambda e: e["column"].isNotNull()))
+    return let(own_numbers, lambda numbers: F.map_from_entries(F.filter(F.array(*[entry(c, numbers) for c in values if c in rows.columns]), lambda e: e["column"].isNotNull())))
 
 
 def trace(points: DataFrame, lines: DataFrame) -> DataFrame:
     """points (with chunk_no and monitor_date) with source_line, source_page, source_row_text and source_field_map; null where no line holds the id."""
     read = computed_once(read_lines(lines))
-    best = best_line(candidate_lines(points, read))
+    best = best_line(candidate_lines(worked_out(points, _tokens=printed(*[c for c in VALUES if c in points.columns])), read))
     rows = computed_once(points.join(best, ROW))
     found = rows.join(nearest_header(rows, read), ROW, "left").join(wide_columns(rows, read), ROW, "left")
     told = found.select(*ROW, F.col("line_no").alias("source_line"), "source_page", "source_row_text", field_map(found).alias("source_field_map"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used, functions of elements included."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def computed_once(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a checkpoint in the shared folder."""
     spark = df.sparkSession

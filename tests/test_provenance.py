@@ -47,3 +47,17 @@ def test_sections_of_a_family_stay_together(spark):
     paged = "--- 第 1 页 ---\n附表 1-2-1 沉降观测结果表\nab\n--- 第 2 页 ---\n附表 1-2-2 沉降观测结果表\ncd\n"
     assert cut(paged) == ["--- 第 1 页 ---\n", "--- 第 1 页 ---\n附表 1-2-1 沉降观测结果表\nab\n", "--- 第 2 页 ---\n附表 1-2-2 沉降观测结果表\ncd\n"]
     assert cut("附表 1-2-1 沉降观测结果表\nab") == ["附表 1-2-1 沉降观测结果表\nab"]
+
+
+def test_words_of_headers_are_looked_for_once_a_cell(spark):
+    df = spark.createDataFrame([(["点号", "初始值", "本次 变化量", "累计变化", "初始值 2", "速率"],), (["a", "1"],), ([],)], "cells array<string>")
+    named = df.select(provenance.header_columns(F.col("cells")).alias("x"))
+    assert [r.x for r in named.collect()] == [{"initial_value": 2, "current_change": 3, "cumulative_change": 4, "change_rate": 6}, {}, {}]
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("上次累计") <= 2
+
+
+def test_what_lies_above_is_found_without_going_over_a_frame_per_line(spark):
+    lines = [(1, 0, k, t) for k, t in enumerate(["2024/01/02", *["x"] * (provenance.SCAN + 2)])]
+    read = provenance.read_lines(spark.createDataFrame(lines, "report_id long, chunk_no long, line_no long, text string"))
+    assert [r.line_no for r in read.where("near_dates is not null").orderBy("line_no").collect()] == list(range(1, provenance.SCAN + 1))
+    assert f"-{provenance.SCAN}" not in read._jdf.queryExecution().optimizedPlan().toString()
