@@ -263,10 +263,14 @@ _PUBLISHED = {
 }
 
 
+#: a double with three places: the oracle's cast rounds its product with 1000; Spark's rounds its shortest text, so that the product is rounded here (0.5065 is 506.49999999999994 thousandths)
+_PLACES = {"VARCHAR": "CAST({0} AS DECIMAL(18, 3))", "STRING": "CAST(CAST(round({0} * 1000D) AS DECIMAL(18, 0)) * 0.001BD AS DECIMAL(18, 3))"}
+
+
 def _line(name: str, text: str) -> str:
-    """SQL for a row of a published table as one text."""
+    """SQL for a row of a published table as one text, by the engine's name for texts."""
     _, texts_, numbers = _PUBLISHED[name]
-    parts = [f"coalesce(CAST({c} AS {text}), '~')" for c in texts_.split()] + [f"coalesce(CAST(CAST({c} AS DECIMAL(18, 3)) AS {text}), '~')" for c in numbers.split()]
+    parts = [f"coalesce(CAST({c} AS {text}), '~')" for c in texts_.split()] + [f"coalesce(CAST({_PLACES[text].format(c)} AS {text}), '~')" for c in numbers.split()]
     return " || '|' || ".join(parts)
 
 
